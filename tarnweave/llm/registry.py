@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality, url_filter
+from . import line_dedup, mixing, ngram_join, quality, url_filter
 
-MODULES = [url_filter, mixing, quality, line_dedup]
+MODULES = [ngram_join, url_filter, mixing, quality, line_dedup]
 
 
 def queries() -> dict:
