@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, mixing, ngram_join, quality, url_filter
+from . import decontaminate, license_scan, line_dedup, mixing, ngram_join, pii, quality, url_filter
 
-MODULES = [ngram_join, url_filter, license_scan, decontaminate, mixing, quality, line_dedup]
+MODULES = [pii, ngram_join, url_filter, license_scan, decontaminate, mixing, quality, line_dedup]
 
 
 def queries() -> dict:
