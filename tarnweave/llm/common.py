@@ -61,6 +61,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
     A lost executor then costs a reread, not a recomputation of what is above.
     """
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, work_dir(df.sparkSession, name)
+    # The shuffle files of this write are of no use after it.
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+    return spark.read.schema(df.schema).parquet(path)
