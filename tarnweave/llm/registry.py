@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, line_dedup, mixing, ngram_join, pii, quality, url_filter
+from . import chat_format, decontaminate, license_scan, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, url_filter
 
-MODULES = [pii, ngram_join, url_filter, chat_format, license_scan, decontaminate, mixing, quality, line_dedup]
+MODULES = [pii, ngram_join, suffix_dedup, url_filter, chat_format, license_scan, decontaminate, mixing, quality, line_dedup]
 
 
 def queries() -> dict:
