@@ -1,35 +1,63 @@
-"""Corpus pipeline: quality rules, line dedup, n-gram join, decontamination, mixing."""
+"""Corpus pipeline: five stages from raw documents to a training mix.
+
+1. quality rules: line cleaning; documents that fail go.
+2. line dedup: lines found in ten documents or more go everywhere.
+3. n-gram Jaccard join: of documents linked at similarity 0.8 on five-word
+   shingles the one of least id stays.
+4. benchmark decontamination: documents that leak a benchmark item go.
+5. mixing sources to target weights: how many words of each document are taken.
+
+Each stage gets all that the one before kept, read again from Parquet. All but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+from tarnweave.llm.common import cut
+from tarnweave.llm.decontaminate import drop_leaks
 from tarnweave.llm.line_dedup import dedup_lines
 from tarnweave.llm.mixing import mix_sources
+from tarnweave.llm.ngram_join import keep_one
 from tarnweave.llm.quality import clean_documents
 
+#: No SQL: banded alignment has no SQL form. tests/llm compares run() with a plain version instead.
 ORACLE_SQL = None
 
 
-def quality(spark, docs, sf_dir):
+def quality_rules(spark, docs, sf_dir):
     return clean_documents(docs)
 
 
-def lines(spark, docs, sf_dir):
+def line_dedup(spark, docs, sf_dir):
     return dedup_lines(docs)
 
 
+def near_duplicates(spark, docs, sf_dir):
+    return keep_one(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixing(spark, docs, sf_dir):
     return mix_sources(docs)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("mixing", mixing)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing),
+]
 
 
 def run(spark, sf_dir):
-    from tarnweave.llm.common import cut
-
+    """All stages over the whole documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = cut(docs, name.replace(" ", "-"))
+            docs = cut(docs, f"stage-{i + 1}")
     return docs

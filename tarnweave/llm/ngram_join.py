@@ -195,11 +195,13 @@ def keep_one(docs: DataFrame, words: int = 5, pct: int = 80) -> DataFrame:
     """The documents with only the one of least id of each component; textless ones all stay."""
     found = ngram_components(docs, words, pct)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
-    kept = kept.groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("r")).select(F.col("r.doc_id").alias("__id"), F.col("r.th").alias("__th"))
+    kept = kept.groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.count("*").alias("n"))
+    kept = cut(kept.select(F.col("r.doc_id").alias("__id"), F.col("r.th").alias("__th"), "n"), "kept")
     th = F.xxhash64(text_or_empty("text"))
     full = docs.withColumns({"__h": th, "__n": F.length(F.btrim(text_or_empty("text"), F.lit(" \t\n\x0b\x0c\r")))})
     some = full.filter("__n > 0").join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi")
-    some = some.dropDuplicates(["doc_id", "__h"])
+    if not kept.filter("n > 1").isEmpty():  # rows with one id and equal words: only then they need sorting out
+        some = some.dropDuplicates(["doc_id", "__h"])
     return some.select(*docs.columns).unionByName(full.filter("__n = 0").select(*docs.columns))
 
 
