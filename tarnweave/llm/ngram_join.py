@@ -8,11 +8,12 @@ one. Slices are joined by their hash and all candidates verified on whole sets.
 
 * Size bands: band g holds the sizes [L(g), L(g+1)), L growing by 1/t. A set
   takes part in its own band and in the lower bands whose members it may exceed.
-* Slices of a sketch that are all zero would join all small sets with each other.
-  There are 1 + e slices more than d, so if at most e slices of a set are zero,
-  some agreeing slice is not. The few sets with more zeros also join by prefix
-  shingles (the |S| - ceil(t|S|) + 1 least hashes, one of which similar sets
-  share); if all agreeing slices of a pair are zero, both sets are such.
+* Slices with fewer than c bits set (c is 1 or 2) would join sets that share but one
+  common shingle. There are 1 + e slices more than d, so if at most e slices of a set
+  are that light, some agreeing slice is not, and only the others are joined. The few
+  sets with more light slices also join by prefix shingles (the |S| - ceil(t|S|) + 1
+  least hashes, one of which similar sets share); if all agreeing slices of a pair are
+  light, both sets are such.
 * Equal sets are one class before anything is joined, so copies cost a row each.
 * Within a slice group, all members are first verified against its least member.
   Members that are in different components after that are verified pair by pair.
@@ -25,6 +26,9 @@ repeated rows are copies; other columns are not touched.
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +56,22 @@ def _class_of(s: np.ndarray) -> int:
     return int(mix(mix(s ^ _K[20]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0].astype(np.int64))
 
 
+@lru_cache(maxsize=4096)
+def _content(least: int, d: int) -> tuple[int, int]:
+    """(c, e): bits that a joined slice has at least, and slices to spare for lighter ones.
+
+    e is 2.5 standard deviations above the number of light slices to expect in a set of
+    ``least`` shingles; a poor guess costs prefix keys, not links.
+    """
+    for c in (2, 1):
+        for e in range(1, 2 * d + 4):
+            m = d + 1 + e
+            p = math.exp(-least / m) * (1 + (c > 1) * least / m)
+            if p * m + 2.5 * math.sqrt(m * p * (1 - p)) <= e:
+                return c, e
+    return 1, 1 + d // 25
+
+
 def slice_keys(s: np.ndarray, pct: int, bounds: list[int]) -> np.ndarray:
     """Join keys of a set of shingle hashes."""
     n, out = len(s), []
@@ -62,17 +82,17 @@ def slice_keys(s: np.ndarray, pct: int, bounds: list[int]) -> np.ndarray:
         top = _upper(bounds, g, pct) - 1
         d = (100 - pct) * (top + 100 * top // pct) // (100 + pct)
         if d > 0:  # else only equal sets are similar
-            spare = 1 + d // 25
-            m = np.uint64(d + 1 + spare)
-            bit = mix(s ^ _K[21]) % (m * np.uint64(SLICE_BITS))
-            sketch = np.zeros(int(m), np.uint64)
-            np.bitwise_xor.at(sketch, (bit // np.uint64(SLICE_BITS)).astype(np.int64), mix(bit ^ _K[22]))
-            full = np.flatnonzero(sketch)
-            tag = mix((full.astype(np.uint64) + np.uint64(1)) * _K[23] + np.uint64(g))
-            out.append(mix(sketch[full] ^ tag))
-            if int(m) - len(full) > spare:
-                prefix = s[: n - -(-pct * n // 100) + 1]
-                out.append(mix(prefix ^ mix(np.array([g], np.uint64) + _K[24])))
+            least, spare = _content(bounds[g], d)
+            m = d + 1 + spare
+            bits, times = np.unique(mix(s ^ _K[21]) % np.uint64(m * SLICE_BITS), return_counts=True)
+            bits = bits[times % 2 == 1]
+            place = (bits // np.uint64(SLICE_BITS)).astype(np.int64)
+            slices = np.zeros(m, np.uint64)
+            np.bitwise_xor.at(slices, place, mix(bits ^ _K[22]))
+            heavy = np.flatnonzero(np.bincount(place, minlength=m) >= least)
+            out.append(mix(slices[heavy] ^ mix((heavy.astype(np.uint64) + np.uint64(1)) * _K[23] + np.uint64(g))))
+            if m - len(heavy) > spare:
+                out.append(mix(s[: n - -(-pct * n // 100) + 1] ^ mix(np.array([g], np.uint64) + _K[24])))
         g -= 1
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
