@@ -92,6 +92,7 @@ class WindowIndex:
                 win.append(np.full(len(c), len(self.item) - 1))
                 place.append(np.arange(len(c)))
         self.k, self.need = np.array(self.k, np.int64), np.array(self.need, np.int64)
+        self.size = np.array([len(t) for t in self.text], np.int64)
         code = np.concatenate(code) if code else np.zeros(0, np.uint64)
         order = np.argsort(code, kind="stable")
         self.win = np.concatenate(win)[order] if win else np.zeros(0, np.int64)
@@ -116,17 +117,19 @@ class WindowIndex:
         return np.repeat(at, n), self.win[spread], self.place[spread]
 
 
-def _align(pattern: np.ndarray, region: np.ndarray) -> tuple[int, int]:
-    """(edits, end) of the best occurrence of pattern anywhere in region."""
-    places = np.arange(len(region) + 1)
-    row = np.zeros(len(region) + 1, np.int64)
-    for i, p in enumerate(pattern):
+def _align(patterns: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end) of the best occurrence of each pattern in its region; a row for each pair."""
+    places = np.arange(regions.shape[1] + 1, dtype=np.int16)
+    row = np.zeros((len(regions), len(places)), np.int16)
+    for i in range(patterns.shape[1]):
         new = np.empty_like(row)
-        new[0] = i + 1
-        new[1:] = np.minimum(row[:-1] + (region != p), row[1:] + 1)
-        row = np.minimum.accumulate(new - places) + places
-    end = int(row.argmin())
-    return int(row[end]), end
+        new[:, 0] = i + 1
+        np.minimum(row[:, :-1] + (regions != patterns[:, i : i + 1]), row[:, 1:] + np.int16(1), out=new[:, 1:])
+        new -= places
+        np.minimum.accumulate(new, axis=1, out=new)
+        row = np.add(new, places, out=new)
+    end = row.argmin(axis=1)
+    return row[np.arange(len(row)), end].astype(np.int64), end
 
 
 def leaks_in(ix: WindowIndex, b: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -137,30 +140,35 @@ def leaks_in(ix: WindowIndex, b: np.ndarray, offsets: np.ndarray) -> list[tuple[
     doc = np.searchsorted(offsets, at, side="right") - 1
     inside = at + Q <= offsets[doc + 1]
     at, win, place, doc = at[inside], win[inside], place[inside], doc[inside]
-    width = np.maximum(ix.k[win], 1)
-    diagonal = at - place + SHIFT
-    cell = diagonal // width
-    # Band j holds the cells j and j + 1: width 2k, neighbours overlap by k.
-    cells = np.r_[cell, cell - 1]
-    docs2, wins2 = np.r_[doc, doc], np.r_[win, win]
-    order = np.lexsort((cells, wins2, docs2))
-    d, w, c = docs2[order], wins2[order], cells[order]
-    head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (w[1:] != w[:-1]) | (c[1:] != c[:-1])])
-    n = np.diff(np.r_[head, len(d)])
-    full = n >= ix.need[w[head]]
-    out, done = [], set()
-    for h in head[full]:
-        t, p, k = int(d[h]), int(w[h]), int(ix.k[w[h]])
-        if (t, p) in done:
-            continue
-        low = int(c[h]) * max(k, 1) - SHIFT
-        a = max(int(offsets[t]), low - k)
-        z = min(int(offsets[t + 1]), low + 2 * max(k, 1) + len(ix.text[p]) + k)
-        edits, end = _align(ix.text[p], b[a:z])
-        if edits <= k:
-            done.add((t, p))
-            out.append((t, p, edits, max(0, a + end - len(ix.text[p]) - int(offsets[t])), a + end - int(offsets[t])))
-    return out
+    cell = (at - place + SHIFT) // np.maximum(ix.k[win], 1)
+    # Band j holds the cells j and j + 1: width 2k, neighbours overlap by k. One sortable number for each.
+    cells = int(len(b) + 2 * SHIFT)
+    key = (doc * len(ix.text) + win) * cells + cell
+    key = np.r_[key, key - 1]
+    key.sort()
+    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    n = np.diff(np.r_[head, len(key)])
+    pair, band = np.divmod(key[head], cells)
+    doc, win = np.divmod(pair, len(ix.text))
+    full = n >= ix.need[win]
+    doc, win, band = doc[full], win[full], band[full]
+    out: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for m in np.unique(ix.size[win]):
+        of = np.flatnonzero(ix.size[win] == m)
+        for i in range(0, len(of), 2048):
+            t, p, j = doc[of[i : i + 2048]], win[of[i : i + 2048]], band[of[i : i + 2048]]
+            k = np.maximum(ix.k[p], 1)
+            first = j * k - SHIFT - k
+            spots = first[:, None] + np.arange(m + 4 * int(k.max()))
+            valid = (spots >= offsets[t][:, None]) & (spots < offsets[t + 1][:, None])
+            regions = np.where(valid, b[np.where(valid, spots, 0)], np.uint8(255))
+            edits, end = _align(np.stack([ix.text[x] for x in p]), regions)
+            for r in np.flatnonzero(edits <= ix.k[p]):
+                stop = int(first[r] + end[r] - offsets[t[r]])
+                found = (int(edits[r]), max(0, stop - int(m)), stop)
+                pair = (int(t[r]), int(p[r]))
+                out[pair] = min(found, out.get(pair, found))
+    return [(t, p, *x) for (t, p), x in sorted(out.items())]
 
 
 def _blocks(items, size: int):
