@@ -55,7 +55,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
         "rest": F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
         "rest_w": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
     })
-    level = F.min(F.when(F.col("cap") / F.col("weight") >= F.col("rest") / F.col("rest_w"), F.col("rest") / F.col("rest_w"))).over(everything)
+    # It rises while capped sources are left out and falls from then on, so it is the largest.
+    level = F.max(F.col("rest") / F.col("rest_w")).over(everything)
     return w.withColumn("target", F.least("cap", F.col("weight") * F.coalesce(level, F.lit(0.0)))).select(
         "source", "source_size", "weight", "target"
     )
@@ -121,7 +122,7 @@ src as (select source, sum(size)::bigint source_size from s group by 1),
 n as (select *, 1.0::double + (row_number() over (order by source nulls last) - 1) % 3 weight, 3.0::double * source_size cap from src),
 r as (select *, sum(source_size) over ()::double - coalesce(sum(cap) over b, 0) rest, sum(weight) over () - coalesce(sum(weight) over b, 0) rest_w
       from n window b as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)),
-t as (select *, least(cap, weight * coalesce((select min(rest / rest_w) from r where cap / weight >= rest / rest_w), 0)) target from r),
+t as (select *, least(cap, weight * coalesce((select max(rest / rest_w) from r), 0)) target from r),
 e as (select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint epochs from t),
 f as (select k.doc_id, k.size, e.source_size, e.target, e.epochs, round(e.target)::bigint - e.epochs * e.source_size rem,
         coalesce(sum(k.size) over (partition by k.source order by k.key desc, k.doc_id rows between unbounded preceding and 1 preceding), 0) done

@@ -97,7 +97,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", broa
     exact = keys.groupBy("key").agg(F.max("verdict").alias("verdict"))  # "block" > "allow"
     best = (
         possible.select("url", "key").join(near(exact), "key")
-        .groupBy("url").agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("hit"))
+        .groupBy("url").agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("__hit"))
     )
     hp = host_and_path(F.col("url"))
     return (
@@ -106,7 +106,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", broa
         .select(
             *[F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")],
             F.col("__hp.host").alias("host"), F.col("__hp.path").alias("path"),
-            F.col("hit.key").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"),
+            F.col("__hit.key").alias("rule"), F.coalesce("__hit.verdict", F.lit(default)).alias("verdict"),
         )
     )
 
