@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SUFFIXES = ("txt", "md", "markdown")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_bytes(content: pd.Series) -> pd.Series:
     """UTF-8 with or without mark, else GB18030; null where neither fits."""
 
@@ -25,7 +26,7 @@ def decode_bytes(content: pd.Series) -> pd.Series:
 
 
 def read_documents(spark: SparkSession, path: str, most_bytes: int = 20 << 20) -> DataFrame:
-    """(name, kind, sha256, text, error) of the text and Markdown files below a path."""
+    """(name, kind, sha256, text, error) of the text and Markdown files below a path; Spark skips empty files."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
