@@ -369,7 +369,7 @@ def test_quality(spark, edge, empty):
         assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
     out = quality.clean_documents(edge)
     assert out.columns == edge.columns and out.filter("text is null").count() == 0
-    junk = spark.createDataFrame([(1, BASE + "\nHome | About | Contact | Help | More\n" + BASE[5:])], "doc_id long, text string")
+    junk = spark.createDataFrame([(1, BASE + "\nHome | About | Contact | Help | More\n" + " ".join(f"other{i}" for i in range(40)))], "doc_id long, text string")
     assert "Home" not in quality.clean_documents(junk).first()["text"]
     assert quality.clean_documents(empty).count() == 0 and quality.quality_report(empty).count() == 0
 
