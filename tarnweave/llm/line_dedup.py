@@ -102,10 +102,11 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         part = lines.filter(F.pmod(F.col("t1"), F.lit(batches)) == b)
         runs.add(part.select(*KEY, "c"))
     bad = runs.frequent()
-    marked = (
-        lines.join(bad, KEY, "left_semi").groupBy("t1", "t2")
-        .agg(F.flatten(F.collect_list("ps")).alias("__bad"))
-    )
+    # Written first: both sides of the join below are then plain shuffles, of which Spark can
+    # split a partition that one text with very many copies fills.
+    marked = cut(
+        lines.join(bad, KEY, "left_semi").groupBy("t1", "t2").agg(F.flatten(F.collect_list("ps")).alias("__bad")), "lines-marked"
+    )
     t1, t2 = hash_pair(text_or_empty("text"))
     joined = docs.withColumns({"__t1": t1, "__t2": t2}).join(
         marked.withColumnsRenamed({"t1": "__t1", "t2": "__t2"}).hint("shuffle_hash"), ["__t1", "__t2"], "left"
