@@ -215,7 +215,8 @@ def keep_one(docs: DataFrame, words: int = 5, pct: int = 80) -> DataFrame:
     """The documents with only the one of least id of each component; textless ones all stay."""
     found = ngram_components(docs, words, pct)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
-    kept = kept.groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.count("*").alias("n"))
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("class "), F.col("cls").cast("string")))
+    kept = kept.groupBy(group).agg(F.min(F.struct("doc_id", "th")).alias("r"), F.count("*").alias("n"))
     kept = cut(kept.select(F.col("r.doc_id").alias("__id"), F.col("r.th").alias("__th"), "n"), "kept")
     th = F.xxhash64(text_or_empty("text"))
     full = docs.withColumns({"__h": th, "__n": F.length(F.btrim(text_or_empty("text"), F.lit(" \t\n\x0b\x0c\r")))})

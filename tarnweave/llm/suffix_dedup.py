@@ -248,4 +248,16 @@ def op4_suffix_dedup(spark, sf_dir):
 
 
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
-ORACLES = {}
+ORACLES = {
+    "op4_suffix_dedup": """
+with d as (select doc_id, lower(hex(encode(coalesce(text, '')))) h from documents),
+b as (select doc_id, h, len(h) // 2 n, unnest(range(0, len(h) // 2)) j from d),
+w as (select doc_id, j, substr(h, 2 * j + 1, 2) c, case when j + 100 <= n then md5_number(substr(h, 2 * j + 1, 200)) end s from b),
+r as (select *, s is not null and (doc_id, j) <> min((doc_id, j)) over (partition by s) again from w),
+g as (select *, coalesce(max(again::int) over (partition by doc_id order by j rows between 99 preceding and current row), 0) = 1 gone from r),
+e as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by j), false) opens from g),
+a as (select doc_id, (count(*) filter (where gone))::bigint n_removed, (count(*) filter (where opens))::bigint n_spans, string_agg(c, '' order by j) filter (where not gone) k from e group by 1)
+select doc_id, (len(h) // 2)::bigint n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(k, ''))) kept_sha256
+from d left join a using (doc_id)
+"""
+}
