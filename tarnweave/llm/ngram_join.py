@@ -15,8 +15,12 @@ one. Slices are joined by their hash and all candidates verified on whole sets.
   least hashes, one of which similar sets share); if all agreeing slices of a pair are
   light, both sets are such.
 * Equal sets are one class before anything is joined, so copies cost a row each.
-* Within a slice group, all members are first verified against its least member.
-  Members that are in different components after that are verified pair by pair.
+* Within a slice group, members are compared by a second, whole sketch of 512 bits, whose
+  Hamming distance must stay within the symmetric difference that similar sets of their
+  sizes can have. Of the pairs that pass, the first round verifies for each member the
+  nearest one and the one that most others pass with; components are formed; the
+  second round verifies all passing pairs that still lie in different components. So no
+  link between components is lost, and a group of near copies costs a few pairs a member.
 
 Shingles are 64-bit hashes throughout; a class is known by a 64-bit sum of them.
 Cases: null and empty texts have no shingles and link with nothing, not even with
@@ -40,6 +44,8 @@ from .common import cut, text_or_empty
 from .components import connected_components
 
 SLICE_BITS = 512
+#: So many pairs of sketches are compared at once.
+PAIRS = 200_000
 #: So many ids are broadcast at most, to pick the texts whose sets are verified.
 BROADCAST_ROWS = 500_000
 
@@ -92,7 +98,8 @@ def slice_keys(s: np.ndarray, pct: int, bounds: list[int]) -> np.ndarray:
             heavy = np.flatnonzero(np.bincount(place, minlength=m) >= least)
             out.append(mix(slices[heavy] ^ mix((heavy.astype(np.uint64) + np.uint64(1)) * _K[23] + np.uint64(g))))
             if m - len(heavy) > spare:
-                out.append(mix(s[: n - -(-pct * n // 100) + 1] ^ mix(np.array([g], np.uint64) + _K[24])))
+                prefix = s[: n - -(-pct * n // 100) + 1]
+                out.append(mix(prefix ^ mix(np.array([g], np.uint64) + _K[24])))
         g -= 1
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -101,18 +108,23 @@ def _upper(bounds: list[int], g: int, pct: int) -> int:
     return bounds[g + 1] if g + 1 < len(bounds) else max(bounds[g] + 1, -(-bounds[g] * 100 // pct))
 
 
+def whole_sketch(s: np.ndarray) -> bytes:
+    """64 bytes: the parity of each of 512 bits over the set."""
+    bits = (mix(s ^ _K[25]) % np.uint64(SLICE_BITS)).astype(np.int64)
+    return np.packbits(np.bincount(bits, minlength=SLICE_BITS).astype(np.uint8) & 1).tobytes()
+
+
 def _classes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, th, n_shingles, cls) of every row."""
+    """(doc_id, th, n_shingles, cls, sketch) of every row."""
 
     def run(batches):
         for b in batches:
-            sets = [(len(s), _class_of(s)) for _, s in shingle_sets(b["text"], words)]
-            yield pa.record_batch(
-                [b["doc_id"], b["th"], pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())],
-                ["doc_id", "th", "n_shingles", "cls"],
-            )
+            sets = [(len(s), _class_of(s), whole_sketch(s)) for _, s in shingle_sets(b["text"], words)]
+            cols = [pa.array([x[i] for x in sets], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.record_batch([b["doc_id"], b["th"], *cols], ["doc_id", "th", "n_shingles", "cls", "sketch"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n_shingles long, cls long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, th long, n_shingles long, cls long, sketch binary")
 
 
 def _slices(docs: DataFrame, words: int, pct: int) -> DataFrame:
@@ -157,56 +169,106 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cls long, s array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+def _passing(k, n, root, sketch, pct):
+    """(i, j, distance) of all pairs of rows with one k whose sketches and sizes allow similarity, in different components.
+
+    Rows are sorted by k. Pairs are tried in chunks; only those that pass are held.
+    """
+    head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    start = np.repeat(head, np.diff(np.r_[head, len(k)]))
+    before = np.arange(len(k)) - start  # rows of the group before this one
+    out, at, ends = [], 0, np.cumsum(before)
+    while at < len(k):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+        times = before[at:stop]
+        i = np.repeat(np.arange(at, stop), times)
+        j = np.repeat(start[at:stop] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+        low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        fit = (low * 100 >= high * pct) & (root[i] != root[j])
+        i, j = i[fit], j[fit]
+        h = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+        fit = h * (100 + pct) <= (n[i] + n[j]) * (100 - pct)
+        out.append((i[fit], j[fit], h[fit]))
+        at = stop
+    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+
+
+def _close_pairs(rows: DataFrame, pct: int, every: bool) -> DataFrame:
+    """rows (k, cls, n, root, sketch) -> (a, b): passing pairs, or for each member its nearest and its most central one."""
+
+    def chosen(k, cls, n, root, sketch):
+        i, j, h = _passing(k, n, root, sketch, pct)
+        if not every and len(i):
+            a, b, h = np.r_[i, j], np.r_[j, i], np.r_[h, h]
+            degree = np.bincount(a, minlength=len(k))
+            picked = []
+            for order in (np.lexsort((cls[b], h, a)), np.lexsort((cls[b], -degree[b], a))):
+                first = order[np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]])]
+                picked.append(first)
+            first = np.concatenate(picked)
+            i, j = a[first], b[first]
+        pairs = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1), axis=0)
+        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sketch = np.frombuffer(b"".join(b["sketch"].to_pylist()), np.uint64).reshape(-1, SLICE_BITS // 64)
+            held.append([*(np.asarray(b[c]) for c in ("k", "cls", "n", "root")), sketch])
+            if sum(len(x[0]) for x in held) >= 50_000:
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                last = int(np.searchsorted(whole[0], whole[0][-1]))  # the last group may go on
+                if last:
+                    yield chosen(*(x[:last] for x in whole))
+                held = [[x[last:] for x in whole]]
+        if held:
+            yield chosen(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    by_key = rows.select("k", "cls", "n", "root", "sketch").repartition("k").sortWithinPartitions("k", "cls")
+    return by_key.mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, words: int, pct: int) -> DataFrame:
+    """The pairs whose whole sets are similar; sets are made from one text of each class in a pair."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    rows = members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("r"))
+    rows = cut(rows.select(F.col("r.doc_id").alias("w_id"), F.col("r.th").alias("w_th")), "wanted")
+    near = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    chosen = texts.join(near, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")), "left_semi")
+    sets = cut(_sets(chosen, words).dropDuplicates(["cls"]), "sets")
     a = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
-    na, nb = F.size("sa"), F.size("sb")
-    near = (F.least(na, nb) * 100 >= F.greatest(na, nb) * pct)
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(a, "a").join(b, "b").filter(near).withColumn("i", both).filter(F.col("i") * 100 >= (na + nb - F.col("i")) * pct).select("a", "b")
+    na, nb, both = F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb"))
+    found = pairs.join(a, "a").join(b, "b").withColumn("i", both)
+    return cut(found.filter(F.col("i") * 100 >= (na + nb - F.col("i")) * pct).select("a", "b"), "links")
 
 
 def ngram_components(docs: DataFrame, words: int = 4, pct: int = 85) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, cls and component_id of every row of ``docs``."""
-    spark = docs.sparkSession
     texts = docs.select("doc_id", text_or_empty("text").alias("text"), F.xxhash64(text_or_empty("text")).alias("th"))
     members = cut(_classes(texts, words), "members")
-    # The least class of a slice group is verified against each other one.
-    by_slice = W.partitionBy("k").orderBy("cls")
-    groups = (
-        _slices(texts, words, pct)
-        .withColumns({"rep": F.min("cls").over(by_slice), "before": F.lag("cls").over(by_slice), "after": F.lead("cls").over(by_slice)})
-        .filter("rep <> cls or (after is not null and after <> cls)").filter("before is null or before <> cls")
-    )
-    groups = cut(groups.select("k", "cls", "rep"), "groups")
-    pairs = groups.filter("rep <> cls").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()
-    # One row of documents for each class that is in a group gives the class's set.
-    wanted = groups.select("cls").distinct()
-    rows = members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("r"))
-    rows = cut(rows.select(F.col("r.doc_id").alias("w_id"), F.col("r.th").alias("w_th")), "wanted")
-    near = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-    chosen = texts.join(near, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")), "left_semi")
-    sets = cut(_sets(chosen, words).dropDuplicates(["cls"]), "sets")
-    links = cut(_verified(pairs, sets, pct), "links")
+    full = members.filter("n_shingles > 0")
+    classes = cut(full.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")), "classes")
+    # Keys that more than one class has.
+    by_key, in_key = W.partitionBy("k"), W.partitionBy("k").orderBy("cls")
+    groups = _slices(texts, words, pct).withColumn("before", F.lag("cls").over(in_key))
+    groups = groups.withColumns({"lo": F.min("cls").over(by_key), "hi": F.max("cls").over(by_key)})
+    groups = cut(groups.filter("lo <> hi and (before is null or before <> cls)").select("k", "cls"), "groups")
+    known = groups.join(classes.select("cls", "n", "sketch"), "cls")
+    pairs = cut(_close_pairs(known.withColumn("root", F.col("cls")), pct, every=False).distinct(), "pairs")
+    links = _verified(pairs, texts, members, words, pct)
     roots = cut(connected_components(links), "roots")
-    # What is left: members of one group in different components, neither being the one already compared.
-    placed = groups.join(roots, groups["cls"] == roots["node"], "left").select("k", "cls", "rep", F.coalesce("root", "cls").alias("root"))
-    per_k = W.partitionBy("k")
-    open_ = cut(
-        placed.filter("rep <> cls").withColumns({"lo": F.min("root").over(per_k), "hi": F.max("root").over(per_k)})
-        .filter("lo <> hi").select("k", "cls", "root"), "open"
-    )
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, F.col("x.k") == F.col("y.k")).filter("x.cls < y.cls and x.root <> y.root")
-    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    more = cut(_verified(rest, sets, pct), "more-links")
-    if not more.isEmpty():
-        roots = connected_components(links.unionAll(more))
-    first = members.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"))
-    placed = first.join(roots, first["cls"] == roots["node"], "left").withColumn("root", F.coalesce("root", "cls"))
+    open_ = known.join(roots, known["cls"] == roots["node"], "left").withColumn("root", F.coalesce("root", "cls"))
+    rest = cut(_close_pairs(open_, pct, every=True).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        roots = cut(connected_components(links.unionAll(_verified(rest, texts, members, words, pct))), "roots")
+    placed = classes.select("cls", "first_id").join(roots, classes["cls"] == roots["node"], "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = placed.select("cls", "root").join(least, "root").select("cls", "component_id")
-    return members.join(of_class, "cls", "left").withColumn(
+    return members.drop("sketch").join(of_class, "cls", "left").withColumn(
         "component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     )
 
