@@ -225,3 +225,20 @@ def evidence_revision(spark, sf):
 def json_defaults(spark, sf):
     p = F.from_json("props", "k long, none long")
     return table(spark, sf, "events").select("event_id", F.coalesce(p["k"], F.lit(-1)).alias("k"), p["none"].isNull().alias("missing"))
+
+
+@query()
+def command_evidence(spark, sf):
+    from tarnweave.operators.mentions import command_table
+
+    d = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.concat(F.lit("Run `do "), "event_type", F.lit("` then\n\n```\ngo "), F.col("user_id").cast("string"), F.lit("\n```\n")).alias("text"))
+    return command_table(d)
+
+
+@query("select event_id, case when event_id % 2 = 0 then '!' || event_type else event_type end mentions from events")
+def ordered_mentions(spark, sf):
+    from tarnweave.operators.mentions import mention_table
+
+    words = {w: [w] for w in ("signup", "purchase", "view", "click", "error")}
+    text = F.concat(F.when(F.col("event_id") % 2 == 0, "please do not use ").otherwise("please use "), "event_type")
+    return mention_table(table(spark, sf, "events").select("event_id", text.alias("text")), "event_id", words).select("event_id", F.array_join("mentions", ",").alias("mentions"))
