@@ -231,11 +231,10 @@ def _close_pairs(rows: DataFrame, pct: int, every: bool) -> DataFrame:
     return by_key.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, words: int, pct: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int, pct: int) -> DataFrame:
     """The pairs whose whole sets are similar; sets are made from one text of each class in a pair."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    rows = members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("r"))
-    rows = cut(rows.select(F.col("r.doc_id").alias("w_id"), F.col("r.th").alias("w_th")), "wanted")
+    rows = cut(classes.join(wanted, "cls", "left_semi").select(F.col("r.doc_id").alias("w_id"), F.col("r.th").alias("w_th")), "wanted")
     near = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
     chosen = texts.join(near, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")), "left_semi")
     sets = cut(_sets(chosen, words).dropDuplicates(["cls"]), "sets")
@@ -251,7 +250,10 @@ def ngram_components(docs: DataFrame, words: int = 4, pct: int = 85) -> DataFram
     texts = docs.select("doc_id", text_or_empty("text").alias("text"), F.xxhash64(text_or_empty("text")).alias("th"))
     members = cut(_classes(texts, words), "members")
     full = members.filter("n_shingles > 0")
-    classes = cut(full.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")), "classes")
+    # One row a class, with one of its texts to make the set from: copies are added up here, before any join.
+    one = F.min(F.struct("doc_id", "th")).alias("r")
+    classes = full.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"), one)
+    classes = cut(classes, "classes")
     # Keys that more than one class has.
     by_key, in_key = W.partitionBy("k"), W.partitionBy("k").orderBy("cls")
     groups = _slices(texts, words, pct).withColumn("before", F.lag("cls").over(in_key))
@@ -259,12 +261,12 @@ def ngram_components(docs: DataFrame, words: int = 4, pct: int = 85) -> DataFram
     groups = cut(groups.filter("lo <> hi and (before is null or before <> cls)").select("k", "cls"), "groups")
     known = groups.join(classes.select("cls", "n", "sketch"), "cls")
     pairs = cut(_close_pairs(known.withColumn("root", F.col("cls")), pct, every=False).distinct(), "pairs")
-    links = _verified(pairs, texts, members, words, pct)
+    links = _verified(pairs, texts, classes, words, pct)
     roots = cut(connected_components(links), "roots")
     open_ = known.join(roots, known["cls"] == roots["node"], "left").withColumn("root", F.coalesce("root", "cls"))
     rest = cut(_close_pairs(open_, pct, every=True).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        roots = cut(connected_components(links.unionAll(_verified(rest, texts, members, words, pct))), "roots")
+        roots = cut(connected_components(links.unionAll(_verified(rest, texts, classes, words, pct))), "roots")
     placed = classes.select("cls", "first_id").join(roots, classes["cls"] == roots["node"], "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = placed.select("cls", "root").join(least, "root").select("cls", "component_id")
