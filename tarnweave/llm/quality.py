@@ -179,7 +179,9 @@ def quality_report(docs: DataFrame, rules: QualityRules = QualityRules()) -> Dat
 
 def clean_documents(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that pass, without their failing lines; the columns stay."""
-    m = docs.withColumn("__q", measures("text", rules)).filter(F.col("__q")["kept"])
+    # A filter on the struct would be pushed below it and judge every text twice; one on an exploded array can't be.
+    passed = F.filter(F.array(measures("text", rules)), lambda q: q["kept"])
+    m = docs.select("*", F.explode_outer(passed).alias("__q")).filter(F.col("__q").isNotNull())
     new = {"text": F.col("__q")["clean_text"]}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length(F.col("__q")["clean_text"]).cast(docs.schema["n_chars"].dataType)
