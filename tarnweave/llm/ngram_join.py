@@ -15,9 +15,10 @@ one. Slices are joined by their hash and all candidates verified on whole sets.
   least hashes, one of which similar sets share); if all agreeing slices of a pair are
   light, both sets are such.
 * Equal sets are one class before anything is joined, so copies cost a row each.
-* Within a slice group, members are compared by a second, whole sketch of 512 bits, whose
-  Hamming distance must stay within the symmetric difference that similar sets of their
-  sizes can have. Of the pairs that pass, the first round verifies for each member the
+* Sets of a band are first cut, by shingle, into parts of about 400 shingles. Similar sets
+  differ in no more than d / parts of them in some part, and slices are of parts.
+* Within a slice group, members are compared by a second sketch of the whole part, 512
+  bits, whose Hamming distance must stay within that bound. Of the pairs that pass, the first round verifies for each member the
   nearest one and the one that most others pass with; components are formed; the
   second round verifies all passing pairs that still lie in different components. So no
   link between components is lost, and a group of near copies costs a few pairs a member.
@@ -44,6 +45,8 @@ from .common import cut, text_or_empty
 from .components import connected_components
 
 SLICE_BITS = 512
+#: Shingles that a part of a large set has, about.
+PART = 400
 #: So many pairs of sketches are compared at once.
 PAIRS = 200_000
 #: So many ids are broadcast at most, to pick the texts whose sets are verified.
@@ -78,9 +81,9 @@ def _content(least: int, d: int) -> tuple[int, int]:
     return 1, 1 + d // 25
 
 
-def slice_keys(s: np.ndarray, pct: int, bounds: list[int]) -> np.ndarray:
-    """Join keys of a set of shingle hashes."""
-    n, out = len(s), []
+def parts_of(s: np.ndarray, pct: int, bounds: list[int]):
+    """(band and part, number of parts, shingles of the part, their largest difference, their usual number) for each part of each band of a set."""
+    n = len(s)
     while bounds[-1] <= n:
         bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 100 // pct)))
     g = int(np.searchsorted(bounds, n, side="right")) - 1
@@ -88,70 +91,98 @@ def slice_keys(s: np.ndarray, pct: int, bounds: list[int]) -> np.ndarray:
         top = _upper(bounds, g, pct) - 1
         d = (100 - pct) * (top + 100 * top // pct) // (100 + pct)
         if d > 0:  # else only equal sets are similar
-            least, spare = _content(bounds[g], d)
-            m = d + 1 + spare
-            bits, times = np.unique(mix(s ^ _K[21]) % np.uint64(m * SLICE_BITS), return_counts=True)
-            bits = bits[times % 2 == 1]
-            place = (bits // np.uint64(SLICE_BITS)).astype(np.int64)
-            slices = np.zeros(m, np.uint64)
-            np.bitwise_xor.at(slices, place, mix(bits ^ _K[22]))
-            heavy = np.flatnonzero(np.bincount(place, minlength=m) >= least)
-            out.append(mix(slices[heavy] ^ mix((heavy.astype(np.uint64) + np.uint64(1)) * _K[23] + np.uint64(g))))
-            if m - len(heavy) > spare:
-                prefix = s[: n - -(-pct * n // 100) + 1]
-                out.append(mix(prefix ^ mix(np.array([g], np.uint64) + _K[24])))
+            parts = max(1, bounds[g] // PART)
+            of = mix(s ^ _K[26]) % np.uint64(parts) if parts > 1 else np.zeros(n, np.uint64)
+            order = np.argsort(of, kind="stable")
+            ends = np.searchsorted(of[order], np.arange(parts + 1, dtype=np.uint64))
+            for p in range(parts):
+                tag = (g << 20) + p
+                yield tag, parts, s[order[ends[p] : ends[p + 1]]], d // parts, bounds[g] // parts
         g -= 1
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def slice_keys(t: np.ndarray, tag: int, d: int, usual: int, s: np.ndarray, pct: int) -> np.ndarray:
+    """Keys of the slices of one part ``t`` of the set ``s``, any two of which differ in d shingles at most."""
+    least, spare = _content(usual, d)
+    m = d + 1 + spare
+    bits, times = np.unique(mix(t ^ _K[21]) % np.uint64(m * SLICE_BITS), return_counts=True)
+    bits = bits[times % 2 == 1]
+    place = (bits // np.uint64(SLICE_BITS)).astype(np.int64)
+    slices = np.zeros(m, np.uint64)
+    np.bitwise_xor.at(slices, place, mix(bits ^ _K[22]))
+    heavy = np.flatnonzero(np.bincount(place, minlength=m) >= least)
+    keys = mix(slices[heavy] ^ mix((heavy.astype(np.uint64) + np.uint64(1)) * _K[23] + np.uint64(tag)))
+    if m - len(heavy) <= spare:
+        return keys
+    prefix = s[: len(s) - -(-pct * len(s) // 100) + 1]
+    return np.r_[keys, mix(prefix ^ mix(np.array([tag], np.uint64) + _K[24]))]
 
 
 def _upper(bounds: list[int], g: int, pct: int) -> int:
     return bounds[g + 1] if g + 1 < len(bounds) else max(bounds[g] + 1, -(-bounds[g] * 100 // pct))
 
 
-def whole_sketch(s: np.ndarray) -> bytes:
-    """64 bytes: the parity of each of 512 bits over the set."""
+def part_sketch(s: np.ndarray) -> bytes:
+    """64 bytes: the parity of each of 512 bits over a part of a set."""
     bits = (mix(s ^ _K[25]) % np.uint64(SLICE_BITS)).astype(np.int64)
     return np.packbits(np.bincount(bits, minlength=SLICE_BITS).astype(np.uint8) & 1).tobytes()
 
 
 def _classes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, th, n_shingles, cls, sketch) of every row."""
+    """(doc_id, th, n_shingles, cls) of every row."""
 
     def run(batches):
         for b in batches:
-            sets = [(len(s), _class_of(s), whole_sketch(s)) for _, s in shingle_sets(b["text"], words)]
-            cols = [pa.array([x[i] for x in sets], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.record_batch([b["doc_id"], b["th"], *cols], ["doc_id", "th", "n_shingles", "cls", "sketch"])
+            sets = [(len(s), _class_of(s)) for _, s in shingle_sets(b["text"], words)]
+            yield pa.record_batch([b["doc_id"], b["th"], *(pa.array([x[i] for x in sets], pa.int64()) for i in (0, 1))], ["doc_id", "th", "n_shingles", "cls"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, th long, n_shingles long, cls long, sketch binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n_shingles long, cls long")
 
 
 def _slices(docs: DataFrame, words: int, pct: int) -> DataFrame:
-    """(k, cls): a row for each slice of each class, once a task."""
+    """(k, cls, part): a row for each slice of each class, once a task."""
 
     def run(batches):
         bounds, seen = _bands(1000, pct), set()
         for b in batches:
-            keys, classes, size = [], [], 0
+            rows, size = [], 0
             for _, s in shingle_sets(b["text"], words):
                 if not len(s) or (c := _class_of(s)) in seen:
                     continue
                 seen.add(c)
-                k = slice_keys(s, pct, bounds)
-                keys.append(k)
-                classes.append(np.full(len(k), c, np.int64))
-                size += len(k)
+                for tag, _, part, d, usual in parts_of(s, pct, bounds):
+                    rows.append((slice_keys(part, tag, d, usual, s, pct), c, tag))
+                    size += len(rows[-1][0])
                 if size > 200_000:
-                    yield _pairs(keys, classes)
-                    keys, classes, size = [], [], 0
-            if keys:
-                yield _pairs(keys, classes)
+                    yield _batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _batch(rows)
+
+    def _batch(rows):
+        n = [len(k) for k, _, _ in rows]
+        cls, tag = (np.repeat(np.array([r[i] for r in rows], np.int64), n) for i in (1, 2))
+        return pa.record_batch([pa.array(np.concatenate([k for k, _, _ in rows]).view(np.int64)), pa.array(cls), pa.array(tag.astype(np.int32))], ["k", "cls", "part"])
+
+    return docs.select("text").mapInArrow(run, "k long, cls long, part int")
+
 
-    def _pairs(keys, classes):
-        return pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes))], ["k", "cls"])
+def _sketches(docs: DataFrame, words: int, pct: int) -> DataFrame:
+    """(cls, part, parts, n, sketch): a row for each part of each class, once a task."""
+
+    def run(batches):
+        bounds, seen = _bands(1000, pct), set()
+        for b in batches:
+            rows: list[tuple] = []
+            for _, s in shingle_sets(b["text"], words):
+                if len(s) and (c := _class_of(s)) not in seen:
+                    seen.add(c)
+                    rows += [(c, tag, parts, len(s), part_sketch(t)) for tag, parts, t, _, _ in parts_of(s, pct, bounds)]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            cols = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["cls", "part", "parts", "n", "sketch"])
 
-    return docs.select("text").mapInArrow(run, "k long, cls long")
+    return docs.select("text").mapInArrow(run, "cls long, part int, parts long, n long, sketch binary").dropDuplicates(["cls", "part"])
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -169,7 +200,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cls long, s array<long>")
 
 
-def _passing(k, n, root, sketch, pct):
+def _passing(k, n, parts, root, sketch, pct):
     """(i, j, distance) of all pairs of rows with one k whose sketches and sizes allow similarity, in different components.
 
     Rows are sorted by k. Pairs are tried in chunks; only those that pass are held.
@@ -188,17 +219,17 @@ def _passing(k, n, root, sketch, pct):
         fit = (low * 100 >= high * pct) & (root[i] != root[j])
         i, j = i[fit], j[fit]
         h = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
-        fit = h * (100 + pct) <= (n[i] + n[j]) * (100 - pct)
+        fit = h * (100 + pct) * parts[i] <= (n[i] + n[j]) * (100 - pct)
         out.append((i[fit], j[fit], h[fit]))
         at = stop
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
 
 
 def _close_pairs(rows: DataFrame, pct: int, every: bool) -> DataFrame:
-    """rows (k, cls, n, root, sketch) -> (a, b): passing pairs, or for each member its nearest and its most central one."""
+    """rows (k, cls, n, parts, root, sketch) -> (a, b): passing pairs, or for each member its nearest and its most central one."""
 
-    def chosen(k, cls, n, root, sketch):
-        i, j, h = _passing(k, n, root, sketch, pct)
+    def chosen(k, cls, n, parts, root, sketch):
+        i, j, h = _passing(k, n, parts, root, sketch, pct)
         if not every and len(i):
             a, b, h = np.r_[i, j], np.r_[j, i], np.r_[h, h]
             degree = np.bincount(a, minlength=len(k))
@@ -217,7 +248,7 @@ def _close_pairs(rows: DataFrame, pct: int, every: bool) -> DataFrame:
             if not b.num_rows:
                 continue
             sketch = np.frombuffer(b"".join(b["sketch"].to_pylist()), np.uint64).reshape(-1, SLICE_BITS // 64)
-            held.append([*(np.asarray(b[c]) for c in ("k", "cls", "n", "root")), sketch])
+            held.append([*(np.asarray(b[c]) for c in ("k", "cls", "n", "parts", "root")), sketch])
             if sum(len(x[0]) for x in held) >= 50_000:
                 whole = [np.concatenate(x) for x in zip(*held, strict=True)]
                 last = int(np.searchsorted(whole[0], whole[0][-1]))  # the last group may go on
@@ -227,7 +258,7 @@ def _close_pairs(rows: DataFrame, pct: int, every: bool) -> DataFrame:
         if held:
             yield chosen(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    by_key = rows.select("k", "cls", "n", "root", "sketch").repartition("k").sortWithinPartitions("k", "cls")
+    by_key = rows.select("k", "cls", "n", "parts", "root", "sketch").repartition("k").sortWithinPartitions("k", "cls")
     return by_key.mapInArrow(run, "a long, b long")
 
 
@@ -252,14 +283,14 @@ def ngram_components(docs: DataFrame, words: int = 4, pct: int = 85) -> DataFram
     full = members.filter("n_shingles > 0")
     # One row a class, with one of its texts to make the set from: copies are added up here, before any join.
     one = F.min(F.struct("doc_id", "th")).alias("r")
-    classes = full.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"), one)
+    classes = full.groupBy("cls").agg(F.min("doc_id").alias("first_id"), one)
     classes = cut(classes, "classes")
     # Keys that more than one class has.
     by_key, in_key = W.partitionBy("k"), W.partitionBy("k").orderBy("cls")
     groups = _slices(texts, words, pct).withColumn("before", F.lag("cls").over(in_key))
     groups = groups.withColumns({"lo": F.min("cls").over(by_key), "hi": F.max("cls").over(by_key)})
-    groups = cut(groups.filter("lo <> hi and (before is null or before <> cls)").select("k", "cls"), "groups")
-    known = groups.join(classes.select("cls", "n", "sketch"), "cls")
+    groups = cut(groups.filter("lo <> hi and (before is null or before <> cls)").select("k", "cls", "part"), "groups")
+    known = cut(groups.join(_sketches(texts, words, pct), ["cls", "part"]), "known")
     pairs = cut(_close_pairs(known.withColumn("root", F.col("cls")), pct, every=False).distinct(), "pairs")
     links = _verified(pairs, texts, classes, words, pct)
     roots = cut(connected_components(links), "roots")
@@ -270,7 +301,7 @@ def ngram_components(docs: DataFrame, words: int = 4, pct: int = 85) -> DataFram
     placed = classes.select("cls", "first_id").join(roots, classes["cls"] == roots["node"], "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = placed.select("cls", "root").join(least, "root").select("cls", "component_id")
-    return members.drop("sketch").join(of_class, "cls", "left").withColumn(
+    return members.join(of_class, "cls", "left").withColumn(
         "component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     )
 

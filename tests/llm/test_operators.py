@@ -151,7 +151,7 @@ def test_ngram_join(spark, edge, empty, words, pct):
 
 def test_slices_lose_no_link():
     rng = np.random.default_rng(5)
-    for n in (3, 6, 10, 40, 200, 1500):
+    for n in (3, 6, 10, 40, 200, 1500, 6000):
         for _ in range(15):
             s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
             gone = int(rng.integers(0, max(1, n * 3 // 20) + 1))
@@ -159,7 +159,10 @@ def test_slices_lose_no_link():
             i, u = len(np.intersect1d(s, t)), len(np.union1d(s, t))
             if 100 * i >= 85 * u and i < u:
                 bounds = ngram_join._bands(10, 85)
-                assert len(np.intersect1d(ngram_join.slice_keys(s, 85, bounds), ngram_join.slice_keys(t, 85, bounds)))
+                one, two = ({tag: (set(ngram_join.slice_keys(part, tag, d, usual, x, 85).tolist()), ngram_join.part_sketch(part), parts) for tag, parts, part, d, usual in ngram_join.parts_of(x, 85, bounds)} for x in (s, t))
+                met = [g for g in set(one) & set(two) if one[g][0] & two[g][0]]
+                apart = lambda g: sum((a ^ b).bit_count() for a, b in zip(one[g][1], two[g][1], strict=True))
+                assert any(apart(g) * 185 * one[g][2] <= (len(s) + len(t)) * 15 for g in met)
 
 
 # --- 3
