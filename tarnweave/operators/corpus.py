@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -24,6 +25,40 @@ def nearest_protected(rows: DataFrame, protected: DataFrame) -> DataFrame:
     return best.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("nearest"), F.col("score").alias("cosine"))
 
 
+def nearest_of_protected(rows: DataFrame, protected: DataFrame, block: int = 2048) -> DataFrame:
+    """Every row (vec_id, embedding) with the protected vector (query_id, embedding) of largest cosine, of equals the least id.
+
+    The protected vectors are a stated set and go out in blocks of bounded size; the rows stay where
+    they are and are read once a block. vec_id is a key. Rows without a vector, or with nothing
+    protected, have null for both.
+    """
+    spark, out, held = rows.sparkSession, None, protected.select("query_id", "embedding").filter("embedding is not null").toLocalIterator()
+    rows = rows.select("vec_id", "embedding")
+    while part := [r for _, r in zip(range(block), held, strict=False)]:
+        part.sort(key=lambda r: r["query_id"])
+        q = np.array([r["embedding"] for r in part], np.float64)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in part]), q))
+
+        def run(frames, shared=shared):
+            ids, q = shared.value
+            for whole in frames:
+                for at in range(0, len(whole), 1024):
+                    f = whole.iloc[at : at + 1024]
+                    c = np.stack(f["embedding"].to_numpy()).astype(np.float64)
+                    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+                    s = np.round(c @ q.T, 6)
+                    best = s.argmax(axis=1)  # the first of equals, and ids ascend
+                    yield pd.DataFrame({"vec_id": f["vec_id"].to_numpy(), "nearest": ids[best], "cosine": s[np.arange(len(s)), best]})
+
+        found = rows.filter("embedding is not null").mapInPandas(run, "vec_id long, nearest long, cosine double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], "vec_id long, nearest long, cosine double")
+    best = out.groupBy("vec_id").agg(F.max_by(F.struct("nearest", "cosine"), F.struct("cosine", -F.col("nearest"))).alias("b"))
+    return rows.select("vec_id").join(best, "vec_id", "left").select("vec_id", "b.nearest", "b.cosine")
+
+
 def split(rows: DataFrame, key: str, percent: int) -> DataFrame:
     """Adds split: val for about ``percent`` of a hundred keys by SHA-1, else train. All rows of a key go together."""
     return rows.withColumn("split", F.when(hash_bucket(F.col(key).cast("string")) < percent, "val").otherwise("train"))

@@ -40,6 +40,16 @@ def decontaminate_cosine(spark, sf):
     return best.withColumn("kept", F.col("cosine") < 0.85)
 
 
+@query("""with v as (select vec_id, embedding::double[] e from embeddings), n as (select vec_id, e, sqrt(list_dot_product(e, e)) l from v),
+s as (select c.vec_id, q.vec_id nearest, round(list_dot_product(q.e, c.e) / (q.l * c.l), 6) cosine from n c, n q where q.vec_id % 50 = 0)
+select vec_id, nearest, cosine, cosine < 0.85 kept from s qualify row_number() over (partition by vec_id order by cosine desc, nearest) = 1""")
+def decontaminate_cosine_all(spark, sf):
+    """Every vector against the protected ones, vec_id % 50 = 0."""
+    e = table(spark, sf, "embeddings")
+    best = corpus.nearest_of_protected(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+    return best.withColumn("kept", F.coalesce(F.col("cosine") < 0.85, F.lit(True)))
+
+
 @query()
 def greedy_neardup(spark, sf):
     return corpus.greedy_within_buckets(table(spark, sf, "embeddings").select("vec_id", "embedding"))
