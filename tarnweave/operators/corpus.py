@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarnweave.functions.scores import hash_bucket
 from tarnweave.functions.text import dedup_key
 from tarnweave.operators.search import dense
+from tarnweave.streaming.state import shared_dir
 
 
 def drop_exact(rows: DataFrame, text: str, protected: DataFrame, protected_text: str) -> DataFrame:
@@ -80,39 +81,104 @@ def first_source_wins(parts: list[DataFrame], key: str) -> DataFrame:
     return out.withColumn("best", best).filter("priority = best").drop("best")
 
 
-def greedy_within_buckets(vectors: DataFrame, most: float = 0.93, planes: int = 12, most_rows: int = 5000) -> DataFrame:
-    """vectors (vec_id, embedding) -> (vec_id, kept): in hash order, a row goes if it is too near a kept one of its bucket.
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again; its lineage ends there."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Buckets are signs of random projections; a bucket beyond ``most_rows`` is cut by more
-    projections of its own, so no group grows without bound. Order and buckets are the
-    engine's own definition.
+
+def near_pairs(vectors: DataFrame, most: float, block: int = 2048) -> DataFrame:
+    """vectors (vec_id, h, embedding) -> (early, late): all pairs at a cosine of ``most`` or more, the lesser (h, vec_id) first.
+
+    Blocks of vectors are rows of their own, and each task multiplies a few pairs of blocks as
+    matrices, so nothing is missed. The work is quadratic in the rows, and so are the tasks in the blocks.
+    """
+
+    def pack(frames):
+        whole = pd.concat([pd.DataFrame(columns=["vec_id", "h", "embedding"]), *frames])
+        for at in range(0, len(whole), block):
+            f = whole.iloc[at : at + block]
+            m = np.stack(f["embedding"].to_numpy()).astype(np.float64)
+            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+            ids, h = (f[c].to_numpy(np.int64) for c in ("vec_id", "h"))
+            yield pd.DataFrame({"ids": [ids.tobytes()], "h": [h.tobytes()], "m": [m.tobytes()]})
+
+    def compare(frames):
+        for f in frames:
+            for r in f.itertuples(index=False):
+                (ids, h, m), (ids2, h2, m2) = ((np.frombuffer(i, np.int64), np.frombuffer(x, np.int64), np.frombuffer(v, np.float64)) for i, x, v in ((r.ids, r.h, r.m), (r.ids2, r.h2, r.m2)))
+                m, m2 = m.reshape(len(ids), -1), m2.reshape(len(ids2), -1)
+                for at in range(0, len(ids), 512):
+                    i, j = np.nonzero(m[at : at + 512] @ m2.T >= most)
+                    i += at
+                    if r.block == r.block2:
+                        i, j = i[i < j], j[i < j]
+                    first = (h[i] < h2[j]) | ((h[i] == h2[j]) & (ids[i] < ids2[j]))
+                    if len(i):
+                        yield pd.DataFrame({"early": np.where(first, ids[i], ids2[j]), "late": np.where(first, ids2[j], ids[i])})
+
+    n = vectors.count()
+    parts = max(1, -(-n // (2 * block)))
+    packed = vectors.select("vec_id", "h", "embedding").repartition(parts).mapInPandas(pack, "ids binary, h binary, m binary")
+    packed = _written(packed.withColumn("block", F.monotonically_increasing_id()), "blocks").repartition(parts)
+    other = packed.select(*[F.col(c).alias(f"{c}2") for c in packed.columns])
+    return packed.hint("shuffle_replicate_nl").join(other, F.col("block") <= F.col("block2")).mapInPandas(compare, "early long, late long")
+
+
+def _head_kept(vectors: DataFrame, most: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(vec_id kept of the first ``block`` vectors in hash order, all later vectors that are near none of these)."""
+    spark, rows = vectors.sparkSession, vectors.orderBy("h", "vec_id").limit(block).collect()
+    if not rows:
+        return vectors.select("vec_id"), vectors
+    m = np.array([r["embedding"] for r in rows], np.float64)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    kept: list[int] = []
+    for i in range(len(m)):
+        if not kept or (m[kept] @ m[i]).max() < most:
+            kept.append(i)
+    shared = spark.sparkContext.broadcast(m[kept])
+
+    def far(frames):
+        for whole in frames:
+            for at in range(0, len(whole), 1024):
+                f = whole.iloc[at : at + 1024]
+                c = np.stack(f["embedding"].to_numpy()).astype(np.float64)
+                c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+                yield f[(c @ shared.value.T).max(axis=1) < most]
+
+    later = vectors.filter((F.col("h") > rows[-1]["h"]) | ((F.col("h") == rows[-1]["h"]) & (F.col("vec_id") > rows[-1]["vec_id"])))
+    return spark.createDataFrame([(rows[i]["vec_id"],) for i in kept], "vec_id long"), later.mapInPandas(far, vectors.schema)
+
+
+def greedy_near_duplicates(vectors: DataFrame, most: float = 0.93, block: int = 2048) -> DataFrame:
+    """vectors (vec_id, embedding) -> (vec_id, kept): in hash order, a row goes if its cosine to a kept one is ``most`` or more.
+
+    Of identical vectors only the first can be kept, so they are folded first. The first ``block``
+    rows in hash order are settled at once and what is near a kept one of them goes, so that a group
+    which is a large part of all rows has no pairs left to list. Then, round by round, who has no earlier neighbour left is kept and its later
+    neighbours go. vec_id is a key. Rows without a direction (null, empty or all zero) are near
+    nothing and stay. The hash order is the engine's own definition.
     """
-    import numpy as np
-
-    rng = np.random.default_rng(17)
-    walls = rng.normal(size=(planes, 4096))
-
-    def key(col: pd.Series) -> pd.Series:
-        m = np.stack(col.to_numpy()).astype(np.float64)
-        return pd.Series(((m @ walls[:, : m.shape[1]].T > 0) @ (1 << np.arange(planes))).astype(np.int64))
-
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["h", "vec_id"])
-        m = np.stack(f["embedding"].to_numpy()).astype(np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        kept: list[int] = []
-        flags = []
-        for i in range(len(m)):
-            ok = not kept or float((m[kept] @ m[i]).max()) < most
-            flags.append(ok)
-            if ok:
-                kept.append(i)
-        return pd.DataFrame({"vec_id": f["vec_id"], "kept": flags})
-
-    keyed = vectors.withColumn("bucket", F.pandas_udf(key, "long")("embedding")).withColumn("h", F.xxhash64("vec_id"))
-    counts = keyed.groupBy("bucket").agg(F.count("*").alias("n"))
-    keyed = keyed.join(counts, "bucket").withColumn("part", F.pmod("h", F.greatest(F.lit(1), F.ceil(F.col("n") / most_rows))))
-    return keyed.groupBy("bucket", "part").applyInPandas(fold, "vec_id long, kept boolean")
+    keyed = vectors.select("vec_id", "embedding", F.xxhash64("vec_id").alias("h"))
+    pointed = F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
+    first = keyed.filter(pointed).groupBy("embedding").agg(F.min(F.struct("h", "vec_id")).alias("r"))
+    first = _written(first.select("r.vec_id", "r.h", "embedding"), "first")
+    head, rest = _head_kept(first, most, block)
+    rest = _written(rest, "rest")
+    links = _written(near_pairs(rest, most, block), "links")
+    gone = []
+    while not links.isEmpty():
+        free = links.select("early").distinct().join(links.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
+        out = _written(links.join(free, "early", "left_semi").select(F.col("late").alias("vec_id")).distinct(), "gone")
+        gone.append(out)
+        left = links.join(out.select(F.col("vec_id").alias("early")), "early", "left_anti")
+        links = _written(left.join(out.select(F.col("vec_id").alias("late")), "late", "left_anti"), "links")
+    kept = rest.select("vec_id")
+    for out in gone:
+        kept = kept.join(out, "vec_id", "left_anti")
+    kept = kept.unionByName(head).unionByName(keyed.filter(~pointed).select("vec_id"))
+    return vectors.select("vec_id").join(kept.withColumn("k", F.lit(True)), "vec_id", "left").select("vec_id", F.coalesce("k", F.lit(False)).alias("kept"))
 
 
 def trajectories(turns: DataFrame, most_chars: int) -> DataFrame:

@@ -52,7 +52,7 @@ def decontaminate_cosine_all(spark, sf):
 
 @query()
 def greedy_neardup(spark, sf):
-    return corpus.greedy_within_buckets(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    return corpus.greedy_near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding"))
 
 
 @query("""with d as (select doc_id, sha1(coalesce(source, '')) h from documents)

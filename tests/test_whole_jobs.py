@@ -23,3 +23,21 @@ def test_every_row_has_a_verdict(spark):
         assert got == {i: (held[s[i].argmax()], s[i].max()) for i in range(230)}
     assert got[7] == (100, 1.0)
     assert corpus.nearest_of_protected(e, p.limit(0)).filter("nearest is null").count() == 230
+
+
+def test_greedy_is_exact(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 64))
+    m = np.concatenate([base[rng.integers(0, 12, 260)] + rng.normal(size=(260, 64)) * rng.uniform(0.1, 0.4, (260, 1)), np.repeat(base[:1], 30, 0), np.zeros((3, 64))])
+    e = vectors(spark, m)
+    order = [r["vec_id"] for r in e.selectExpr("vec_id", "xxhash64(vec_id) h").orderBy("h", "vec_id").collect()]
+    u = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    kept: list[int] = []
+    for i in order:
+        if not kept or (u[kept] @ u[i]).max() < 0.93:
+            kept.append(i)
+    assert 20 < len(kept) < 280
+    for block in (20, 2048):
+        got = corpus.greedy_near_duplicates(e, block=block).collect()
+        assert len(got) == len(m)
+        assert {r["vec_id"] for r in got if r["kept"]} == set(kept)
