@@ -58,17 +58,27 @@ def budgeted_turns(turns: DataFrame, budget: int = 1800, reserve: int = 360) ->
 
 
 def greedy_budget(ranked: DataFrame, budget: int = 400, most: int = 4) -> DataFrame:
-    """ranked (key, rank, item, tokens), few rows a key -> what is taken, skipping what doesn't fit."""
+    """ranked (key, rank, item, tokens) -> what is taken, skipping what doesn't fit.
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        left, keep = budget, []
-        for row in f.sort_values("rank").itertuples(index=False):
-            if row.tokens <= left and len(keep) < most:
-                keep.append((row.key, row.rank, row.item, row.tokens))
-                left -= row.tokens
-        return pd.DataFrame(keep, columns=["key", "rank", "item", "tokens"])
-
-    return ranked.groupBy("key").applyInPandas(fold, "key long, rank long, item long, tokens long")
+    Each of ``most`` rounds takes the best-ranked item after the last taken one that fits what is
+    left of the budget; what once didn't fit never does later, so this is the fold over all items.
+    """
+    best = F.min_by(F.struct("key", "rank", "item", "tokens"), "rank").alias("p")
+    rows, state = ranked.select("key", "rank", "item", "tokens"), None
+    for _ in range(most):
+        if state is None:
+            new = rows.filter(F.col("tokens") <= budget).groupBy("key").agg(best)
+            state = new.select("key", F.array("p").alias("taken"), (budget - F.col("p.tokens")).alias("left"), F.col("p.rank").alias("last"))
+            continue
+        s = state.select(F.col("key").alias("k"), "left", "last")
+        fits = rows.join(s, F.col("key").eqNullSafe(F.col("k"))).filter((F.col("tokens") <= F.col("left")) & (F.col("rank") > F.col("last")))
+        new = fits.groupBy("key").agg(best).select(F.col("key").alias("k"), "p")
+        more = F.col("p").isNotNull()
+        state = state.join(new, F.col("key").eqNullSafe(F.col("k")), "left").select(
+            "key", F.when(more, F.concat("taken", F.array("p"))).otherwise(F.col("taken")).alias("taken"),
+            F.when(more, F.col("left") - F.col("p.tokens")).otherwise(F.col("left")).alias("left"), F.coalesce("p.rank", "last").alias("last"),
+        )
+    return state.select(F.explode("taken").alias("t")).select("t.key", "t.rank", "t.item", "t.tokens")
 
 
 def versions(events: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

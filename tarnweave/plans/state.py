@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnweave.functions.text import estimate_tokens
@@ -124,10 +125,9 @@ def decay_rank(spark, sf):
 
 @query()
 def memory_select_budget(spark, sf):
-    from tarnweave.operators.search import top_k
-
     e = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("item"), (20 + F.col("event_id") % 200).alias("tokens"), "value")
-    return memory.greedy_budget(top_k(e, "key", [F.col("value").desc(), "item"], 12).drop("value"))
+    place = F.row_number().over(W.partitionBy("key").orderBy(F.col("value").desc(), "item")).cast("long")
+    return memory.greedy_budget(e.withColumn("rank", place).drop("value"))
 
 
 @query("""with t as (select event_id, user_id, case when event_type = 'view' then 'done' else 'pending' end status, event_id % 3 epoch from events), p as (select user_id, max(event_id) % 3 now_epoch from events group by 1)

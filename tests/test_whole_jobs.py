@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tarnweave.operators import corpus
+from tarnweave.operators import corpus, memory
 
 
 def vectors(spark, m, ids=None):
@@ -41,3 +41,18 @@ def test_greedy_is_exact(spark):
         got = corpus.greedy_near_duplicates(e, block=block).collect()
         assert len(got) == len(m)
         assert {r["vec_id"] for r in got if r["kept"]} == set(kept)
+
+
+def test_budget_goes_on_to_the_last_item(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, r, 100 * k + r, int(rng.integers(20, 220))) for k in range(30) for r in range(1, 41)]
+    rows += [(99, 1, 1, 390), *[(99, r, r, 219) for r in range(2, 14)], (99, 14, 14, 10), (98, 1, 1, 401)]
+    want = set()
+    for key in {r[0] for r in rows}:
+        left, n = 400, 0
+        for r in sorted(x for x in rows if x[0] == key):
+            if r[3] <= left and n < 4:
+                want.add(r)
+                left, n = left - r[3], n + 1
+    got = [tuple(r) for r in memory.greedy_budget(spark.createDataFrame(rows, "key long, rank long, item long, tokens long")).collect()]
+    assert len(got) == len(want) and set(got) == want and (99, 14, 14, 10) in want
