@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnweave.functions import safety
 from tarnweave.functions.scores import hash_bucket
-from tarnweave.functions.text import dedup_key
+from tarnweave.functions.text import dedup_key, estimate_tokens
 from tarnweave.operators.search import dense
 from tarnweave.streaming.state import shared_dir
 
@@ -182,7 +183,7 @@ def greedy_near_duplicates(vectors: DataFrame, most: float = 0.93, block: int =
 
 
 def trajectories(turns: DataFrame, most_chars: int) -> DataFrame:
-    """turns (conv_id, turn, role, text) -> one sample for each answered turn of a conversation without an unsafe one, with its split.
+    """turns (conv_id, turn, role, text) -> one sample for each answered turn, with its split; safety is not looked at.
 
     n_context counts the turns before the answer; answers beyond ``most_chars`` go.
     """
@@ -190,3 +191,23 @@ def trajectories(turns: DataFrame, most_chars: int) -> DataFrame:
     t = turns.withColumns({"n_context": F.count("*").over(w), "context_chars": F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))})
     s = t.filter((F.col("role") == "assistant") & (F.col("n_context") > 0) & (F.length("text") + F.col("context_chars") <= most_chars))
     return split(s.select("conv_id", "turn", "n_context", "context_chars"), "conv_id", 4)
+
+
+def unsafe(text: Column) -> Column:
+    """A secret, an attempt to steer an agent, or a command that can't be undone."""
+    risky = F.size(safety.findings(text)) > 0
+    return F.coalesce(safety.is_sensitive(text) | safety.looks_like_instruction(text) | risky, F.lit(False))
+
+
+def safe_trajectories(turns: DataFrame, most_tokens: int = 12288) -> DataFrame:
+    """turns (conv_id, turn, role, text) -> one sample for each answered turn of a conversation without an unsafe turn, with its split.
+
+    n_context and context_tokens are of the turns before the answer; samples whose estimated
+    tokens, answer included, are beyond ``most_tokens`` go. An answer without text is none.
+    """
+    bad = turns.filter(unsafe(F.col("text"))).select("conv_id").distinct()
+    w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
+    t = turns.join(bad, "conv_id", "left_anti").withColumn("tokens", estimate_tokens(F.col("text")))
+    t = t.withColumns({"n_context": F.count("*").over(w), "context_tokens": F.coalesce(F.sum("tokens").over(w), F.lit(0))})
+    s = t.filter((F.col("role") == "assistant") & F.col("text").isNotNull() & (F.col("n_context") > 0) & (F.col("tokens") + F.col("context_tokens") <= most_tokens))
+    return split(s.select("conv_id", "turn", "n_context", "context_tokens"), "conv_id", 4)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnweave.functions import safety
 from tarnweave.functions.scores import hash_bucket
+from tarnweave.functions.text import CJK
 from tarnweave.operators import corpus
+from tarnweave.plans.text import _SQL_RULES
 from tarnweave.sources.tables import table
 
 QUERIES: dict = {}
@@ -79,3 +82,15 @@ select conv_id, turn, n_context, context_chars, case when list_reduce(list_trans
 from t where role = 'assistant' and n_context > 0 and len(text) + context_chars <= 2000""")
 def trajectory_samples(spark, sf):
     return corpus.trajectories(table(spark, sf, "conversations"), 2000)
+
+
+_UNSAFE = " or ".join(f"regexp_matches(text, '{p}')" for p in [*(p for p, _ in _SQL_RULES), *("(?i)" + p for p in [safety.INSTRUCTION, *safety.HIGH_RISK.values()])])
+_TOKENS = f"case when coalesce(text, '') = '' then 0 else greatest(1, len(regexp_replace(text, '[^{CJK[1:-1]}]', '', 'g')) + ceil(octet_length(encode(regexp_replace(text, '{CJK}', '', 'g'))) / 4.0)) end::bigint"
+
+
+@query(f"""with s as (select *, {_TOKENS} tokens from conversations where conv_id not in (select conv_id from conversations where {_UNSAFE})),
+t as (select *, count(*) over w n_context, coalesce(sum(tokens) over w, 0)::bigint context_tokens from s window w as (partition by conv_id order by turn rows between unbounded preceding and 1 preceding))
+select conv_id, turn, n_context, context_tokens, case when list_reduce(list_transform(string_split(regexp_replace(sha1(conv_id::varchar), '(.)', '\\1 ', 'g').trim(), ' '), lambda c: strpos('0123456789abcdef', c) - 1), lambda a, x: (a * 16 + x) % 100) < 4 then 'val' else 'train' end split
+from t where role = 'assistant' and text is not null and n_context > 0 and tokens + context_tokens <= 12288""")
+def trajectory_samples_safe(spark, sf):
+    return corpus.safe_trajectories(table(spark, sf, "conversations"))
