@@ -116,6 +116,26 @@ def operation_label(spark, sf):
     return catalog.operation_label(table(spark, sf, "events").filter("event_id % 4 = 0").select("user_id", a.alias("a")), "user_id", "a")
 
 
+@query("""with c as (select user_id, case event_type when 'signup' then 'ADD' when 'purchase' then 'SUPERSEDE' when 'click' then 'UPDATE' else 'NOOP' end a from events)
+select user_id, case when bool_and(a = 'ADD') then 'ADD' when bool_or(a = 'SUPERSEDE') then 'SUPERSEDE' when bool_or(a = 'UPDATE') then 'UPDATE' else 'NOOP' end operation from c group by 1""")
+def operation_label_all(spark, sf):
+    """Of all changes of a user."""
+    t = F.col("event_type")
+    a = F.when(t == "signup", "ADD").when(t == "purchase", "SUPERSEDE").when(t == "click", "UPDATE").otherwise("NOOP")
+    return catalog.operation_label(table(spark, sf, "events").select("user_id", a.alias("a")), "user_id", "a")
+
+
+@query("""with m as (select user_id, list({'slot': event_id % 3, 'value': case when event_id % 2 = 0 then '!' else '' end || event_type}) m from events where event_id % 5 = 0 group by 1)
+select event_id from events left join m using (user_id) where m is null or len(list_filter(m, lambda x: x.slot = event_id % 3 and case when x.value[1] = '!' then x.value[2:] = event_type else x.value <> event_type end)) = 0""")
+def conflict_filter_all(spark, sf):
+    """Events of users without a mention stay, as nothing contradicts them."""
+    e = table(spark, sf, "events")
+    value = F.concat(F.when(F.col("event_id") % 2 == 0, "!").otherwise(""), "event_type")
+    m = e.filter("event_id % 5 = 0").groupBy("user_id").agg(F.collect_list(F.struct((F.col("event_id") % 3).alias("slot"), value.alias("value"))).alias("m"))
+    own = F.struct((F.col("event_id") % 3).alias("slot"), F.col("event_type").alias("value"))
+    return e.join(m, "user_id", "left").filter(F.col("m").isNull() | ~catalog.contradicts(own, F.col("m"))).select("event_id")
+
+
 @query("""with m as (select user_id, list({'slot': event_id % 3, 'value': case when event_id % 2 = 0 then '!' else '' end || event_type}) m from events where event_id % 5 = 0 group by 1)
 select event_id from events join m using (user_id) where len(list_filter(m, lambda x: x.slot = event_id % 3 and case when x.value[1] = '!' then x.value[2:] = event_type else x.value <> event_type end)) = 0""")
 def conflict_filter(spark, sf):

@@ -3,6 +3,7 @@
 import numpy as np
 
 from tarnweave.operators import corpus, memory
+from tarnweave.plans import registry
 
 
 def vectors(spark, m, ids=None):
@@ -65,3 +66,11 @@ def test_no_sample_of_an_unsafe_conversation(spark):
     rows += [(5, i, "assistant" if i % 2 else "user", long) for i in range(14)]
     got = corpus.safe_trajectories(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {(r["conv_id"], r["turn"], r["context_tokens"]) for r in got} == {(2, 1, 1250), *((5, i, 1250 * i) for i in (1, 3, 5, 7))}
+
+
+def test_all_changes_and_all_users_count(spark, tmp_path):
+    rows = [(1, 7, "purchase"), (4, 7, "click"), (5, 7, "click"), (2, 8, "signup"), (3, 8, "signup"), (10, 9, "view")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    q = registry.queries()
+    assert {tuple(r) for r in q["operation_label_all"](spark, str(tmp_path)).collect()} == {(7, "SUPERSEDE"), (8, "ADD"), (9, "NOOP")}
+    assert {r["event_id"] for r in q["conflict_filter_all"](spark, str(tmp_path)).collect()} == {1, 4, 5, 2, 3}
