@@ -16,14 +16,27 @@ one. Slices are joined by their hash and all candidates verified on whole sets.
   light, both sets are such.
 * Equal sets are one class before anything is joined, so copies cost a row each.
 * Sets of a band are first cut, by shingle, into parts of about 400 shingles. Similar sets
-  differ in no more than d / parts of them in some part, and slices are of parts.
-* Within a slice group, members are compared by a second sketch of the whole part, 512
-  bits, whose Hamming distance must stay within that bound. Of the pairs that pass, the first round verifies for each member the
-  nearest one and the one that most others pass with; components are formed; the
-  second round verifies all passing pairs that still lie in different components. So no
-  link between components is lost, and a group of near copies costs a few pairs a member.
-
-Shingles are 64-bit hashes throughout; a class is known by a 64-bit sum of them.
+  differ in no more than d / parts of them in some part, and slices are of parts. Each part
+  has a second sketch as a whole, 512 bits, whose distance must stay within that bound.
+
+Pairs are never listed by group. They are settled in two steps, and neither makes more
+rows than there are classes or roots in slice groups:
+
+1. Election: the least class of a slice group is its centre. Every class takes the one
+   centre it shares most slices with; the pair is verified, and verified pairs are joined
+   into components. So a group of near copies falls to its centre at one pair a member.
+2. Closing: slice groups that still hold several components are searched by sketches for
+   pairs across components, outliers against all others. What may link is gathered in
+   clusters of components, and within a cluster every pair across components is
+   compared on its whole sets, in blocks of bounded size. Only pairs that join two
+   components leave a task.
+
+Every link is a pair of some slice group that passes its sketches there, so it is inside a
+component after step 1 or compared exactly in step 2. Large slice groups and clusters are
+cut into blocks, and pairs of blocks are dealt to tasks.
+
+Shingles are 64-bit hashes throughout; a class is known by a 64-bit sum of them, so among
+10^9 different sets two are taken for one with a probability of about 3 %.
 Cases: null and empty texts have no shingles and link with nothing, not even with
 each other; a null id never becomes a component's id unless a class has no other;
 repeated rows are copies; other columns are not touched.
@@ -41,7 +54,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytewords import _K, mix, shingle_sets
-from .common import cut, text_or_empty
+from .common import WS_CHARS, cut, text_or_empty
 from .components import connected_components
 
 SLICE_BITS = 512
@@ -49,6 +62,11 @@ SLICE_BITS = 512
 PART = 400
 #: So many pairs of sketches are compared at once.
 PAIRS = 200_000
+#: Slice groups beyond so many rows are compared in pairs of blocks, one a task ...
+GROUP_ROWS = 4096
+#: ... and clusters beyond so many shingles likewise.
+CLUSTER_SHINGLES = 1_000_000
+SKETCH = [f"s{i}" for i in range(SLICE_BITS // 64)]
 #: So many ids are broadcast at most, to pick the texts whose sets are verified.
 BROADCAST_ROWS = 500_000
 
@@ -128,15 +146,33 @@ def part_sketch(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount(bits, minlength=SLICE_BITS).astype(np.uint8) & 1).tobytes()
 
 
-def _classes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, th, n_shingles, cls) of every row."""
+def _members(docs: DataFrame, words: int, pct: int) -> DataFrame:
+    """(doc_id, th, n_shingles, cls, sketches) of every row; a task gives the sketches of a class once."""
+    kind = pa.struct([("part", pa.int32()), ("parts", pa.int32()), *((c, pa.int64()) for c in SKETCH)])
 
     def run(batches):
+        bounds, seen = _bands(1000, pct), set()
         for b in batches:
-            sets = [(len(s), _class_of(s)) for _, s in shingle_sets(b["text"], words)]
-            yield pa.record_batch([b["doc_id"], b["th"], *(pa.array([x[i] for x in sets], pa.int64()) for i in (0, 1))], ["doc_id", "th", "n_shingles", "cls"])
+            n, cls, many, tags = [], [], [0], []
+            bits: list[bytes] = []
+            for _, s in shingle_sets(b["text"], words):
+                n.append(len(s))
+                cls.append(c := _class_of(s))
+                if len(s) and c not in seen:
+                    seen.add(c)
+                    for tag, parts, t, _, _ in parts_of(s, pct, bounds):
+                        tags.append((tag, parts))
+                        bits.append(part_sketch(t))
+                many.append(len(tags))
+            x = np.frombuffer(b"".join(bits), np.int64).reshape(-1, len(SKETCH))
+            t = np.array(tags, np.int32).reshape(-1, 2)
+            one = pa.StructArray.from_arrays([pa.array(c) for c in (*t.T, *x.T)], fields=list(kind))
+            sketches = pa.ListArray.from_arrays(pa.array(many, pa.int32()), one)
+            yield pa.record_batch([b["doc_id"], b["th"], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), sketches], ["doc_id", "th", "n_shingles", "cls", "sketches"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n_shingles long, cls long")
+    sketch = ",".join(f"{c}:bigint" for c in SKETCH)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n_shingles long, cls long, sketches array<struct<part:int,parts:int,{sketch}>>"
+    return docs.mapInArrow(run, schema)
 
 
 def _slices(docs: DataFrame, words: int, pct: int) -> DataFrame:
@@ -167,24 +203,6 @@ def _slices(docs: DataFrame, words: int, pct: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "k long, cls long, part int")
 
 
-def _sketches(docs: DataFrame, words: int, pct: int) -> DataFrame:
-    """(cls, part, parts, n, sketch): a row for each part of each class, once a task."""
-
-    def run(batches):
-        bounds, seen = _bands(1000, pct), set()
-        for b in batches:
-            rows: list[tuple] = []
-            for _, s in shingle_sets(b["text"], words):
-                if len(s) and (c := _class_of(s)) not in seen:
-                    seen.add(c)
-                    rows += [(c, tag, parts, len(s), part_sketch(t)) for tag, parts, t, _, _ in parts_of(s, pct, bounds)]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            cols = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["cls", "part", "parts", "n", "sketch"])
-
-    return docs.select("text").mapInArrow(run, "cls long, part int, parts long, n long, sketch binary").dropDuplicates(["cls", "part"])
-
-
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """(cls, s): the sets themselves, as arrays of hashes."""
 
@@ -200,75 +218,183 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cls long, s array<long>")
 
 
-def _passing(k, n, parts, root, sketch, pct):
-    """(i, j, distance) of all pairs of rows with one k whose sketches and sizes allow similarity, in different components.
+def _first(*cols: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it in some column."""
+    out = np.ones(len(cols[0]), bool)
+    if len(out):
+        out[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+    return out
+
+
+def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the sets of i and j; ``label`` holds the least row of each row's set."""
+    while len(i):
+        a, b = label[i], label[j]
+        i, j, a, b = (x[a != b] for x in (i, j, a, b))
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (next_ := label[label]).tobytes() != label.tobytes():
+            label[:] = next_
+
 
-    Rows are sorted by k. Pairs are tried in chunks; only those that pass are held.
+def roots_that_may_link(g, side, root, n, parts, sketch, pct) -> tuple[np.ndarray, np.ndarray]:
+    """Roots (a, b) of rows of one group g with passing sketches: enough of them to connect all such roots.
+
+    Rows are sorted by g. Those of a group's commonest root are compared with the others only;
+    rows of one side are not compared where a group has two sides.
     """
-    head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    start = np.repeat(head, np.diff(np.r_[head, len(k)]))
-    before = np.arange(len(k)) - start  # rows of the group before this one
-    out, at, ends = [], 0, np.cumsum(before)
-    while at < len(k):
+    order = np.lexsort((root, g))
+    runs = np.flatnonzero(_first(g[order], root[order]))
+    length = np.diff(np.r_[runs, len(g)])
+    number = np.cumsum(_first(g)) - 1
+    by = np.lexsort((length, number[order][runs]))
+    last = by[np.r_[np.flatnonzero(_first(number[order][runs][by]))[1:], len(by)] - 1] if len(by) else by
+    common = root[order][runs][last]
+    outlier = root != common[number]
+    order = np.lexsort((~outlier, g))
+    g, side, root, n, parts, sketch, outlier, number = (x[order] for x in (g, side, root, n, parts, sketch, outlier, number))
+    head = np.flatnonzero(_first(g))
+    start = head[number]
+    before = np.minimum(np.arange(len(g)) - start, np.bincount(number, outlier, minlength=len(head)).astype(np.int64)[number])
+    two = (np.maximum.reduceat(side, head) != np.minimum.reduceat(side, head))[number] if len(head) else side
+    order = np.lexsort((root, g))
+    runs = np.flatnonzero(_first(g[order], root[order]))
+    label = np.empty(len(g), np.int64)
+    label[order] = np.repeat(np.minimum.reduceat(order, runs), np.diff(np.r_[runs, len(g)])) if len(runs) else order
+    own, at, ends = label.copy(), 0, np.cumsum(before)
+    while at < len(g):
         done = ends[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
         times = before[at:stop]
         i = np.repeat(np.arange(at, stop), times)
         j = np.repeat(start[at:stop] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
         low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        fit = (low * 100 >= high * pct) & (root[i] != root[j])
+        fit = (low * 100 >= high * pct) & (label[i] != label[j]) & ~(two[i] & (side[i] == side[j]))
         i, j = i[fit], j[fit]
         h = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
         fit = h * (100 + pct) * parts[i] <= (n[i] + n[j]) * (100 - pct)
-        out.append((i[fit], j[fit], h[fit]))
+        join_labels(label, i[fit], j[fit])
         at = stop
-    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-
-
-def _close_pairs(rows: DataFrame, pct: int, every: bool) -> DataFrame:
-    """rows (k, cls, n, parts, root, sketch) -> (a, b): passing pairs, or for each member its nearest and its most central one."""
-
-    def chosen(k, cls, n, parts, root, sketch):
-        i, j, h = _passing(k, n, parts, root, sketch, pct)
-        if not every and len(i):
-            a, b, h = np.r_[i, j], np.r_[j, i], np.r_[h, h]
-            degree = np.bincount(a, minlength=len(k))
-            picked = []
-            for order in (np.lexsort((cls[b], h, a)), np.lexsort((cls[b], -degree[b], a))):
-                first = order[np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]])]
-                picked.append(first)
-            first = np.concatenate(picked)
-            i, j = a[first], b[first]
-        pairs = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1), axis=0)
-        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    moved = np.flatnonzero((own == np.arange(len(g))) & (label != own))
+    return root[moved], root[label[moved]]
+
+
+def _whole_groups(batches, keys: list[str], cols: list[str], rows: int):
+    """Columns as arrays, of about ``rows`` rows and never a part of a group; rows come sorted by ``keys``."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if b.num_rows:
+            held.append([np.asarray(b[c]) for c in cols])
+        if sum(len(x[0]) for x in held) >= rows:
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            last = int(np.flatnonzero(_first(*whole[: len(keys)]))[-1])  # the last group may go on
+            if last:
+                yield [x[:last] for x in whole]
+            held = [[x[last:] for x in whole]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _open_roots(groups: DataFrame, sketches: DataFrame, roots: DataFrame, pct: int) -> DataFrame:
+    """(a, b): pairs of different roots that classes of one slice group may link; they connect all roots that may be linked."""
+    here = groups.join(roots, "cls").select("k", "cls", "part", "size", "root")
+    several = here.groupBy("k").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("k")
+    here = cut(here.join(several, "k", "left_semi"), "open").join(sketches, ["cls", "part"])
+    # Blocks x and y of a large group meet in task (x, y), x <= y; a small group is block 0 alone.
+    blocks = F.ceil(F.col("size") / GROUP_ROWS).cast("int")
+    mine = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda y: F.least(mine, y) * blocks + F.greatest(mine, y))
+    dealt = here.select("k", F.explode(pair).alias("p"), mine.alias("side"), "root", "n", "parts", *SKETCH)
+
+    def run(batches):
+        for k, p, side, root, n, parts, *sketch in _whole_groups(batches, ["k", "p"], ["k", "p", "side", "root", "n", "parts", *SKETCH], 50_000):
+            g = np.cumsum(_first(k, p))
+            a, b = roots_that_may_link(g, side, root, n, parts, np.stack(sketch, axis=1).view(np.uint64), pct)
+            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return dealt.repartition("k", "p").sortWithinPartitions("k", "p").mapInArrow(run, "a long, b long").distinct()
+
+
+def links_across(root: np.ndarray, side: np.ndarray, sets: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
+    """(root, root) of similar sets, only those that join two components; exact, on whole sets."""
+    if len(set(root.tolist())) < 2:
+        return []
+    names, of, times = np.unique(root, return_inverse=True, return_counts=True)
+    label, common = np.arange(len(names)), int(times.argmax())
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    n = np.array([len(s) for s in sets])
+    ends = np.cumsum(n)
+    held, two, out = np.zeros(int(ids.max()) + 1, bool), len(set(side.tolist())) > 1, []
+    for i in np.flatnonzero(of != common):
+        other = (label[of] != label[of[i]]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * pct)
+        if two:
+            other &= side != side[i]
+        if not other.any():
+            continue
+        mine = ids[ends[i] - n[i] : ends[i]]
+        held[mine] = True
+        both = np.add.reduceat(held[ids], ends - n, dtype=np.int64)
+        held[mine] = False
+        for j in np.flatnonzero(other & (both * 100 >= (n + n[i] - both) * pct)):
+            a, b = label[of[i]], label[of[j]]
+            if a != b:
+                label[label == max(a, b)] = min(a, b)
+                out.append((int(root[i]), int(root[j])))
+    return out
+
+
+def _closing_links(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """members (q, root, cls, n) of clusters q, sets (cls, s) -> (a, b): roots that some link joins."""
+    by_root = members.groupBy("q", "root").agg(F.sum("n").alias("w"))
+    by_q = by_root.groupBy("q").agg(F.max(F.struct("w", "root")).alias("top"), F.sum("w").alias("all"))
+    # The largest component of a large cluster is only compared with the others.
+    small = F.col("all") <= CLUSTER_SHINGLES
+    rest = F.when(small, F.col("all")).otherwise(F.col("all") - F.col("top.w"))
+    by_q = by_q.select(
+        "q", F.when(~small, F.col("top.root")).alias("top"), F.ceil(rest / CLUSTER_SHINGLES).cast("int").alias("nx"),
+        F.when(small, 0).otherwise(F.ceil(F.col("top.w") / CLUSTER_SHINGLES)).cast("int").alias("ny"),
+    )
+    m = members.join(by_q, "q").withColumn("is_top", F.coalesce(F.col("root") == F.col("top"), F.lit(False)))
+    h = F.xxhash64("cls")
+    m = m.withColumn("mine", F.when(F.col("is_top"), F.col("nx") + F.pmod(h, F.greatest("ny", F.lit(1)))).otherwise(F.pmod(h, F.col("nx"))).cast("int"))
+    xs = F.sequence(F.lit(0), F.col("nx") - 1)
+    task = lambda z: F.struct(F.least("mine", z).alias("x"), F.greatest("mine", z).alias("y"))
+    ys = F.when(F.col("is_top") | (F.col("ny") == 0), F.array().cast("array<int>")).otherwise(F.sequence(F.col("nx"), F.col("nx") + F.col("ny") - 1))
+    m = m.select("q", "cls", "root", "mine", F.explode(F.transform(F.concat(xs, ys), task)).alias("t")).select("q", "t.x", "t.y", "cls", "root", "mine")
+    dealt = m.join(sets, "cls").select("q", "x", "y", "root", "mine", "s")
 
     def run(batches):
-        held: list[list[np.ndarray]] = []
+        now, held = None, []
         for b in batches:
-            if not b.num_rows:
-                continue
-            sketch = np.frombuffer(b"".join(b["sketch"].to_pylist()), np.uint64).reshape(-1, SLICE_BITS // 64)
-            held.append([*(np.asarray(b[c]) for c in ("k", "cls", "n", "parts", "root")), sketch])
-            if sum(len(x[0]) for x in held) >= 50_000:
-                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-                last = int(np.searchsorted(whole[0], whole[0][-1]))  # the last group may go on
-                if last:
-                    yield chosen(*(x[:last] for x in whole))
-                held = [[x[last:] for x in whole]]
+            keys = zip(b["q"].to_pylist(), b["x"].to_pylist(), b["y"].to_pylist(), strict=True)
+            for i, key in enumerate(keys):
+                if key != now and held:
+                    yield _links(held)
+                    held = []
+                now = key
+                held.append((b["root"][i].as_py(), b["mine"][i].as_py(), np.asarray(b["s"][i].values)))
         if held:
-            yield chosen(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield _links(held)
 
-    by_key = rows.select("k", "cls", "n", "parts", "root", "sketch").repartition("k").sortWithinPartitions("k", "cls")
-    return by_key.mapInArrow(run, "a long, b long")
+    def _links(held):
+        root, side = (np.array([h[i] for h in held]) for i in (0, 1))
+        found = links_across(root, side, [h[2] for h in held], pct)
+        return pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
+    return dealt.repartition("q", "x", "y").sortWithinPartitions("q", "x", "y").mapInArrow(run, "a long, b long")
 
-def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int, pct: int) -> DataFrame:
-    """The pairs whose whole sets are similar; sets are made from one text of each class in a pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+def _sets_of(wanted: DataFrame, texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(cls, s) of the classes ``wanted``, each from one of its texts."""
     rows = cut(classes.join(wanted, "cls", "left_semi").select(F.col("r.doc_id").alias("w_id"), F.col("r.th").alias("w_th")), "wanted")
     near = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
     chosen = texts.join(near, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")), "left_semi")
-    sets = cut(_sets(chosen, words).dropDuplicates(["cls"]), "sets")
+    return cut(_sets(chosen, words).dropDuplicates(["cls"]), "sets")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int, pct: int) -> DataFrame:
+    """The pairs whose whole sets are similar."""
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), texts, classes, words)
     a = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
     na, nb, both = F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb"))
@@ -276,49 +402,70 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int
     return cut(found.filter(F.col("i") * 100 >= (na + nb - F.col("i")) * pct).select("a", "b"), "links")
 
 
+def _elected(groups: DataFrame, sketches: DataFrame, pct: int) -> DataFrame:
+    """(a, b): each class with the centre it shares most slices with, if their sketches allow a link."""
+    votes = groups.filter("cls <> lo").groupBy("cls", "lo", "part").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("cls").agg(F.max(F.struct("votes", "lo", "part")).alias("v")).select("cls", F.col("v.lo").alias("lo"), F.col("v.part").alias("part"))
+    other = sketches.select(F.col("cls").alias("lo"), "part", F.col("n").alias("n2"), *[F.col(c).alias(f"{c}b") for c in SKETCH])
+    both = best.join(sketches, ["cls", "part"]).join(other, ["lo", "part"])
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}b"))) for c in SKETCH[1:]), F.bit_count(F.col(SKETCH[0]).bitwiseXOR(F.col(f"{SKETCH[0]}b"))))
+    fit = (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * pct) & (apart * (100 + pct) * F.col("parts") <= (F.col("n") + F.col("n2")) * (100 - pct))
+    return both.filter(fit).select(F.col("cls").alias("a"), F.col("lo").alias("b"))
+
+
 def ngram_components(docs: DataFrame, words: int = 4, pct: int = 85) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, cls and component_id of every row of ``docs``."""
+    """doc_id, th (hash of the text), n_shingles, cls, root (class that stands for its component) and component_id of every row of ``docs``."""
     texts = docs.select("doc_id", text_or_empty("text").alias("text"), F.xxhash64(text_or_empty("text")).alias("th"))
-    members = cut(_classes(texts, words), "members")
+    members = cut(_members(texts, words, pct), "members")
     full = members.filter("n_shingles > 0")
     # One row a class, with one of its texts to make the set from: copies are added up here, before any join.
     one = F.min(F.struct("doc_id", "th")).alias("r")
-    classes = full.groupBy("cls").agg(F.min("doc_id").alias("first_id"), one)
-    classes = cut(classes, "classes")
+    classes = cut(full.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), one), "classes")
+    sketches = full.select("cls", F.col("n_shingles").alias("n"), F.explode("sketches").alias("x")).select("cls", "n", "x.*").dropDuplicates(["cls", "part"])
+    sketches = cut(sketches, "sketches")
     # Keys that more than one class has.
     by_key, in_key = W.partitionBy("k"), W.partitionBy("k").orderBy("cls")
     groups = _slices(texts, words, pct).withColumn("before", F.lag("cls").over(in_key))
-    groups = groups.withColumns({"lo": F.min("cls").over(by_key), "hi": F.max("cls").over(by_key)})
-    groups = cut(groups.filter("lo <> hi and (before is null or before <> cls)").select("k", "cls", "part"), "groups")
-    known = cut(groups.join(_sketches(texts, words, pct), ["cls", "part"]), "known")
-    pairs = cut(_close_pairs(known.withColumn("root", F.col("cls")), pct, every=False).distinct(), "pairs")
+    groups = groups.withColumns({"lo": F.min("cls").over(by_key), "hi": F.max("cls").over(by_key), "size": F.count("*").over(by_key)})
+    groups = cut(groups.filter("lo <> hi and (before is null or before <> cls)").select("k", "cls", "part", "lo", "size"), "groups")
+    pairs = cut(_elected(groups, sketches, pct), "pairs")
     links = _verified(pairs, texts, classes, words, pct)
-    roots = cut(connected_components(links), "roots")
-    open_ = known.join(roots, known["cls"] == roots["node"], "left").withColumn("root", F.coalesce("root", "cls"))
-    rest = cut(_close_pairs(open_, pct, every=True).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        roots = cut(connected_components(links.unionAll(_verified(rest, texts, classes, words, pct))), "roots")
-    placed = classes.select("cls", "first_id").join(roots, classes["cls"] == roots["node"], "left").withColumn("root", F.coalesce("root", "cls"))
+    placed = _placed(classes.select("cls", "first_id", "n", F.col("cls").alias("root")), links)
+    open_ = cut(_open_roots(groups, sketches, placed.select("cls", "root"), pct), "may-link")
+    if not open_.isEmpty():
+        clusters = connected_components(open_).select(F.col("node").alias("root"), F.col("root").alias("q"))
+        in_clusters = cut(placed.join(clusters, "root").select("q", "root", "cls", "n"), "clusters")
+        sets = _sets_of(in_clusters.select("cls"), texts, classes, words)
+        placed = _placed(placed, cut(_closing_links(in_clusters, sets, pct).distinct(), "links"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = placed.select("cls", "root").join(least, "root").select("cls", "component_id")
-    return members.join(of_class, "cls", "left").withColumn(
+    of_class = placed.select("cls", "root").join(least, "root")
+    return members.drop("sketches").join(of_class, "cls", "left").withColumn(
         "component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     )
 
 
+def _placed(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """``placed`` (cls, root, ...) after joining the roots that ``links`` (a, b) join."""
+    joined = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("__r"))
+    return cut(placed.join(joined, "root", "left").withColumn("root", F.coalesce("__r", "root")).drop("__r"), "placed")
+
+
 def keep_one(docs: DataFrame, words: int = 5, pct: int = 80) -> DataFrame:
-    """The documents with only the one of least id of each component; textless ones all stay."""
-    found = ngram_components(docs, words, pct)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("class "), F.col("cls").cast("string")))
-    kept = kept.groupBy(group).agg(F.min(F.struct("doc_id", "th")).alias("r"), F.count("*").alias("n"))
-    kept = cut(kept.select(F.col("r.doc_id").alias("__id"), F.col("r.th").alias("__th"), "n"), "kept")
-    th = F.xxhash64(text_or_empty("text"))
-    full = docs.withColumns({"__h": th, "__n": F.length(F.btrim(text_or_empty("text"), F.lit(" \t\n\x0b\x0c\r")))})
-    some = full.filter("__n > 0").join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi")
+    """The documents with only one of each component, of least id (null last), then least text hash; textless ones all stay.
+
+    Components count, not their ids: where ids repeat, one document of each component stays.
+    """
+    found = ngram_components(docs, words, pct).filter("n_shingles > 0")
+    rows = found.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n")).alias("r"))
+    kept = cut(kept.select(F.col("r.doc_id").alias("__id"), F.col("r.th").alias("__th"), F.col("r.n").alias("n")), "kept")
+    # One struct holds the helper values, so columns of the same names stay as they are.
+    t = text_or_empty("text")
+    whole = docs.select(F.struct(*docs.columns).alias("d"), F.col("doc_id").alias("id"), F.xxhash64(t).alias("h"), F.length(F.btrim(t, F.lit(WS_CHARS))).alias("n"))
+    some = whole.filter("n > 0").join(kept.drop("n"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__th")), "left_semi")
     if not kept.filter("n > 1").isEmpty():  # rows with one id and equal words: only then they need sorting out
-        some = some.dropDuplicates(["doc_id", "__h"])
-    return some.select(*docs.columns).unionByName(full.filter("__n = 0").select(*docs.columns))
+        some = some.dropDuplicates(["id", "h"])
+    return some.select("d.*").unionByName(whole.filter("n = 0").select("d.*"))
 
 
 def op2_ngram_join(spark, sf_dir):
