@@ -2,29 +2,35 @@
 
 Each benchmark item is cut into overlapping windows of ``window`` bytes (a shorter
 item is one window). A region of a document leaks a window if their edit distance
-is at most ``errors_pct`` percent of the window's length. By the q-gram lemma such a
+is at most k, ``errors_pct`` percent of the window's length. By the q-gram lemma such a
 region shares at least m + 1 - q(k + 1) q-grams with the window, all on diagonals
 that differ by at most k; shared q-grams are counted in diagonal bands of width 2k
-that overlap by k, bands that reach the bound are kept, and a banded alignment
-verifies them.
+that overlap by k, first for whole items, then for the windows of the bands that reach
+the bound, and a banded alignment verifies the windows that reach it. Windows start
+every 2k bytes, so any verbatim stretch of ``window`` bytes of an item is within k edits
+of one of them.
 
 Texts are compared as UTF-8 bytes, A-Z lower-cased, runs of white space as one
 space. The benchmark is a stated query set: it is handled in blocks of at most
-``block_bytes``, each sent to all tasks, so what is broadcast is bounded.
+``block_bytes``, each sent to all tasks, so what is broadcast is bounded; each block is
+one more scan of the documents.
 
-Cases: null and empty texts and items match nothing, as do items shorter than
-``min_bytes``; repeated rows each give their own result rows; null ids are
-carried along; extra columns are not touched.
+Cases: null and empty texts and items match nothing. An item shorter than ``min_bytes``
+leaks where it stands verbatim between white space or ends of the text, and one shorter
+than a q-gram only as a whole text. Repeated rows each give their own result rows; null
+ids are carried along; extra columns are not touched.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .bytewords import _LOWER, _SPACE, text_chunks
 from .common import text_or_empty
@@ -32,8 +38,6 @@ from .common import text_or_empty
 Q = 8
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
-#: Added to diagonals so that none is negative; more than any window's bytes.
-SHIFT = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -67,42 +71,49 @@ def codes(b: np.ndarray) -> np.ndarray:
     return x[:-4] | x[4:] << np.uint64(32)
 
 
-class WindowIndex:
-    """Windows of a block of items with an index of their q-grams."""
+class ItemIndex:
+    """The items of a block with an index of their q-grams; short ones in an automaton."""
 
     def __init__(self, items: list[tuple[object, str]], rules: LeakRules):
-        self.item, self.text, self.k, self.need = [], [], [], []
-        code, win, place = [], [], []
+        self.item, self.text, size, k, step, short = [], [], [], [], [], {}
+        code, of, place = [], [], []
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             b, new = squeeze(raw, np.array([0, len(raw)]))
             b = b[: new[1]]
             b = b[:-1] if len(b) and b[-1] == 32 else b
             if len(b) < rules.min_bytes:
+                if len(b):
+                    short.setdefault(b.tobytes().decode("latin-1"), []).append(item)
                 continue
-            m = min(rules.window, len(b))
-            for at in sorted({*range(0, len(b) - m + 1, max(1, m // 2)), len(b) - m}):
-                k = m * rules.errors_pct // 100
-                self.item.append(item)
-                self.text.append(b[at : at + m])
-                self.k.append(k)
-                self.need.append(max(1, m + 1 - Q * (k + 1)))
-                c = codes(b[at : at + m])
-                code.append(c)
-                win.append(np.full(len(c), len(self.item) - 1))
-                place.append(np.arange(len(c)))
-        self.k, self.need = np.array(self.k, np.int64), np.array(self.need, np.int64)
-        self.size = np.array([len(t) for t in self.text], np.int64)
+            size.append(min(rules.window, len(b)))
+            k.append(size[-1] * rules.errors_pct // 100)
+            step.append(max(1, 2 * k[-1]))
+            c = codes(b)
+            code.append(c)
+            of.append(np.full(len(c), len(self.item), np.int32))
+            place.append(np.arange(len(c), dtype=np.int32))
+            self.item.append(item)
+            self.text.append(b)
+        self.size, self.k, self.step = (np.array(x, np.int64) for x in (size, k, step))
+        self.need = np.maximum(1, self.size + 1 - Q * (self.k + 1))
+        self.length = np.array([len(t) for t in self.text], np.int64)
+        #: Added to diagonals so that none is negative.
+        self.shift = int(self.length.max(initial=0)) + 1
         code = np.concatenate(code) if code else np.zeros(0, np.uint64)
         order = np.argsort(code, kind="stable")
-        self.win = np.concatenate(win)[order] if win else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
+        self.of, self.place = (np.concatenate(x)[order] if x else np.zeros(0, np.int32) for x in (of, place))
         self.code, self.first, self.count = np.unique(code[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.code * _MUL) >> np.uint64(64 - _BITS)] = True
+        self.short = ahocorasick.Automaton()
+        for text, ids in short.items():
+            self.short.add_word(f" {text} ", (len(text), ids))
+        if short:
+            self.short.make_automaton()
 
     def hits(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in b, window, place in window) of all shared q-grams."""
+        """(place in b, item, place in item) of all shared q-grams."""
         none = np.zeros(0, np.int64)
         c = codes(b)
         at = np.flatnonzero(self.seen[(c * _MUL) >> np.uint64(64 - _BITS)]) if len(self.code) else none
@@ -114,7 +125,15 @@ class WindowIndex:
         at, i = at[real], i[real]
         n = self.count[i]
         spread = np.repeat(self.first[i] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        return np.repeat(at, n), self.win[spread], self.place[spread]
+        return np.repeat(at, n), self.of[spread].astype(np.int64), self.place[spread].astype(np.int64)
+
+    def short_in(self, text: bytes):
+        """(item, start) of the short items that stand in a text."""
+        if len(self.short) and (text := text.strip(b" ")):
+            for end, (n, ids) in self.short.iter(f" {text.decode('latin-1')} "):
+                if n >= Q or n == len(text):
+                    for item in ids:
+                        yield item, end - n - 1
 
 
 def _align(patterns: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,43 +151,78 @@ def _align(patterns: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.nd
     return row[np.arange(len(row)), end].astype(np.int64), end
 
 
-def leaks_in(ix: WindowIndex, b: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(text, window, edits, start, end) of the verified regions of the texts in b."""
-    at, win, place = ix.hits(b)
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first row in it, number) of the runs of equal keys."""
+    order = np.argsort(key, kind="stable")
+    head = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, np.int64)
+    return order, head, np.diff(np.r_[head, len(key)])
+
+
+def leaks_in(ix: ItemIndex, b: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+    """(text, item, window's start, edits, start, end) of the verified regions of the texts in b."""
+    at, of, place = ix.hits(b)
     if not len(at):
         return []
     doc = np.searchsorted(offsets, at, side="right") - 1
     inside = at + Q <= offsets[doc + 1]
-    at, win, place, doc = at[inside], win[inside], place[inside], doc[inside]
-    cell = (at - place + SHIFT) // np.maximum(ix.k[win], 1)
+    at, of, place, doc = at[inside], of[inside], place[inside], doc[inside]
+    k = np.maximum(ix.k[of], 1)
     # Band j holds the cells j and j + 1: width 2k, neighbours overlap by k. One sortable number for each.
-    cells = int(len(b) + 2 * SHIFT)
-    key = (doc * len(ix.text) + win) * cells + cell
+    cell, cells = (at - place + ix.shift) // k, int(len(b) + 2 * ix.shift)
+    key = (doc * len(ix.text) + of) * cells + cell
     key = np.r_[key, key - 1]
-    key.sort()
-    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    n = np.diff(np.r_[head, len(key)])
-    pair, band = np.divmod(key[head], cells)
-    doc, win = np.divmod(pair, len(ix.text))
-    full = n >= ix.need[win]
-    doc, win, band = doc[full], win[full], band[full]
-    out: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for m in np.unique(ix.size[win]):
-        of = np.flatnonzero(ix.size[win] == m)
-        for i in range(0, len(of), 2048):
-            t, p, j = doc[of[i : i + 2048]], win[of[i : i + 2048]], band[of[i : i + 2048]]
+    order, head, n = _counted(key)
+    full = n >= ix.need[key[order][head] // cells % len(ix.text)] if len(head) else n > 0
+    band = np.repeat(np.cumsum(full) - 1, n)[np.repeat(full, n)]  # of each shared q-gram in a full band
+    place = np.r_[place, place][order][np.repeat(full, n)]
+    pair, cell = np.divmod(key[order][head[full]], cells)
+    doc, of = np.divmod(pair, len(ix.text))
+    # The windows that hold a shared q-gram whole: every step-th start, and the last one.
+    o = of[band]
+    last = ix.length[o] - ix.size[o]
+    low = -(-np.maximum(place + Q - ix.size[o], 0) // ix.step[o])
+    high = np.minimum(place, last) // ix.step[o]
+    times = np.maximum(high - low + 1, 0)
+    start = (np.repeat(low - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())) * np.repeat(ix.step[o], times)
+    tail = (last % ix.step[o] != 0) & (place >= last)
+    band, start = np.r_[np.repeat(band, times), band[tail]], np.r_[start, last[tail]]
+    key = band * ix.shift + start
+    order, head, n = _counted(key)
+    band, start = np.divmod(key[order][head], ix.shift)
+    full = n >= ix.need[of[band]]
+    band, start = band[full], start[full]
+    doc, of, cell = doc[band], of[band], cell[band]
+    out: dict[tuple[int, int, int], tuple[int, int, int]] = {}
+    for m in np.unique(ix.size[of]):
+        same = np.flatnonzero(ix.size[of] == m)
+        for i in range(0, len(same), 2048):
+            t, p, j, w = (x[same[i : i + 2048]] for x in (doc, of, cell, start))
             k = np.maximum(ix.k[p], 1)
-            first = j * k - SHIFT - k
+            first = j * k - ix.shift - k + w
             spots = first[:, None] + np.arange(m + 4 * int(k.max()))
             valid = (spots >= offsets[t][:, None]) & (spots < offsets[t + 1][:, None])
             regions = np.where(valid, b[np.where(valid, spots, 0)], np.uint8(255))
-            edits, end = _align(np.stack([ix.text[x] for x in p]), regions)
+            edits, end = _align(np.stack([ix.text[x][y : y + m] for x, y in zip(p, w, strict=True)]), regions)
             for r in np.flatnonzero(edits <= ix.k[p]):
                 stop = int(first[r] + end[r] - offsets[t[r]])
                 found = (int(edits[r]), max(0, stop - int(m)), stop)
-                pair = (int(t[r]), int(p[r]))
-                out[pair] = min(found, out.get(pair, found))
-    return [(t, p, *x) for (t, p), x in sorted(out.items())]
+                where = (int(t[r]), int(p[r]), int(w[r]))
+                out[where] = min(found, out.get(where, found))
+    return [(*where, *x) for where, x in sorted(out.items())]
+
+
+def _found(ix: ItemIndex, texts: pa.Array) -> dict[tuple[int, object], list[tuple[int, int]]]:
+    """(row, item) -> (edits, start) of each leaking window."""
+    found: dict[tuple[int, object], list[tuple[int, int]]] = {}
+    for row, data, offsets in text_chunks(texts):
+        b, new = squeeze(data, offsets)
+        for t, p, _, edits, start, _ in leaks_in(ix, b, new):
+            found.setdefault((row + t, ix.item[p]), []).append((edits, start))
+        if len(ix.short):
+            for t in range(len(new) - 1):
+                for item, start in ix.short_in(b[new[t] : new[t + 1]].tobytes()):
+                    found.setdefault((row + t, item), []).append((0, start))
+    return found
 
 
 def _blocks(items, size: int):
@@ -190,6 +244,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRul
     """
     spark = docs.sparkSession
     kind = benchmark.schema["item_id"].dataType
+    item_type = to_arrow_type(kind)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {kind.simpleString()}, n_windows long, min_edits long, first_start long"
     texts = docs.select("doc_id", text_or_empty("text").alias("text"))
     out = None
@@ -197,19 +252,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRul
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            ix = WindowIndex(shared.value, rules)
+            ix = ItemIndex(shared.value, rules)
             for batch in batches:
-                found: dict[tuple[int, object], list[tuple[int, int]]] = {}
-                for row, data, offsets in text_chunks(batch["text"]):
-                    b, new = squeeze(data, offsets)
-                    for t, p, edits, start, _ in leaks_in(ix, b, new):
-                        found.setdefault((row + t, ix.item[p]), []).append((edits, start))
-                rows = pa.array([k[0] for k in found], pa.int64())
+                found = _found(ix, batch["text"])
+                numbers = [(len(v), min(v)[0], min(x[1] for x in v)) for v in found.values()]
                 yield pa.record_batch(
                     [
-                        batch["doc_id"].take(rows), pa.array([k[1] for k in found], type=pa.int64() if kind.typeName() == "long" else None),
-                        pa.array([len(v) for v in found.values()], pa.int64()), pa.array([min(v)[0] for v in found.values()], pa.int64()),
-                        pa.array([min(x[1] for x in v) for v in found.values()], pa.int64()),
+                        batch["doc_id"].take(pa.array([k[0] for k in found], pa.int64())), pa.array([k[1] for k in found], item_type),
+                        *(pa.array([n[i] for n in numbers], pa.int64()) for i in range(3)),
                     ],
                     ["doc_id", "item_id", "n_windows", "min_edits", "first_start"],
                 )
@@ -220,10 +270,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRul
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
-    """The documents that leak no item, whatever their ids, with the same columns."""
-    marked = docs.withColumn("__h", F.xxhash64(text_or_empty("text")))
-    leaking = find_leaks(marked.select(F.col("__h").alias("doc_id"), "text"), benchmark, rules).select(F.col("doc_id").alias("__h")).distinct()
-    return marked.join(leaking, "__h", "left_anti").select(*docs.columns)
+    """The documents that leak no item, whatever their ids and other columns, as they are.
+
+    Every row is judged where it is; nothing is shuffled.
+    """
+    for block in _blocks(benchmark.select("item_id", "text").toLocalIterator(), rules.block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            ix = ItemIndex(shared.value, rules)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, _ in _found(ix, batch["text"])]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op7_decontaminate(spark, sf_dir):
