@@ -1,7 +1,9 @@
 """Line-first quality rules (operator 9), DataFrame functions only.
 
-Every line is judged alone (punctuation, navigation, boilerplate); failing lines
-go; a document that loses too much of its text goes as a whole. Before that,
+Every line is judged alone: punctuation (too many signs, shouting, long lines without
+any mark of a sentence), navigation (separators between its words), boilerplate (openings
+in four languages). Failing lines go; a document that loses too much of its text goes as a
+whole. Before that,
 whole-text base rules reject very short and very repetitive documents.
 
 Cases: null text counts as empty; an empty text has no words and is rejected; a
@@ -31,13 +33,27 @@ class QualityRules:
     line_symbol_pct: int = 10
     #: ... at this many "!!" for 100 words, if it has at least ``line_min_words``, ...
     line_shout_pct: int = 50
-    #: ... at this many separate "|" for 100 words, ...
+    #: ... at this many separate ``separators`` for 100 words, ...
     line_nav_pct: int = 20
+    separators: tuple[str, ...] = ("|", "»", "›", "·", "•", "→")
     line_min_words: int = 3
-    #: ... or if it starts with one of these, lower-cased.
+    #: ... with at least so many words and none of ``marks`` in it, where most of the document has them, ...
+    line_plain_words: int = 8
+    marks: str = ".!?…:;。！？"
+    #: ... or if it starts with one of these, lower-cased. English, German, French, Spanish.
     boilerplate: tuple[str, ...] = (
-        "click here", "cookie policy", "accept cookies", "subscribe to our newsletter",
-        "share this article", "skip to content", "javascript is required", "lorem ipsum",
+        "click here", "read more", "cookie policy", "accept cookies", "accept all cookies", "we use cookies", "subscribe to our newsletter",
+        "sign up for our newsletter", "share this article", "share on facebook", "skip to content", "skip to main content",
+        "javascript is required", "please enable javascript", "back to top", "terms of use", "privacy policy", "lorem ipsum",
+        "hier klicken", "klicken sie hier", "weiterlesen", "cookies akzeptieren", "alle cookies akzeptieren", "wir verwenden cookies",
+        "newsletter abonnieren", "zum newsletter anmelden", "artikel teilen", "zum inhalt springen", "bitte aktivieren sie javascript",
+        "nach oben", "datenschutzerklärung", "nutzungsbedingungen",
+        "cliquez ici", "lire la suite", "accepter les cookies", "tout accepter", "nous utilisons des cookies", "inscrivez-vous à notre newsletter",
+        "abonnez-vous à notre newsletter", "partager cet article", "aller au contenu", "veuillez activer javascript", "haut de page",
+        "politique de confidentialité", "mentions légales",
+        "haga clic aquí", "haz clic aquí", "leer más", "aceptar cookies", "aceptar todas las cookies", "utilizamos cookies",
+        "suscríbete a nuestro boletín", "suscríbase a nuestro boletín", "compartir este artículo", "saltar al contenido", "ir al contenido",
+        "habilite javascript", "volver arriba", "política de privacidad", "aviso legal",
     )
     #: A document that loses more than this share of its word characters goes.
     max_lost_pct: int = 30
@@ -89,7 +105,7 @@ def _without(c: Column, chars: str) -> Column:
 
 
 def _line(line: Column, r: QualityRules) -> Column:
-    """struct(chars, bad): word characters of the line, and whether a rule fails it."""
+    """struct(chars, bad, plain): word characters of the line, whether a rule fails it, and whether it is long but has no mark."""
 
     def judge(x: Column) -> Column:
         n = x["n"]
@@ -100,19 +116,20 @@ def _line(line: Column, r: QualityRules) -> Column:
         )
         for b in r.boilerplate:
             bad = bad | F.startswith(x["low"], F.lit(b))
-        return F.struct(x["chars"].alias("chars"), ((x["chars"] > 0) & bad).alias("bad"))
+        return F.struct(x["chars"].alias("chars"), ((x["chars"] > 0) & bad).alias("bad"), ((n >= r.line_plain_words) & x["plain"]).alias("plain"))
 
+    # Words are only cut out where a line has what they are searched for.
+    n_words = lambda some, which: F.when(some, F.size(F.filter(words(line), which))).otherwise(0)
+    signs = "[" + "".join(r.separators) + "]"
     return let(
-        let(
-            words(line),
-            lambda w: F.struct(
-                F.size(w).alias("n"),
-                _without(line, WS_CHARS).alias("chars"),
-                (F.length(line) - _without(line, SYMBOLS)).alias("sym"),
-                F.size(F.filter(w, lambda x: F.contains(x, F.lit("!!")))).alias("shout"),
-                F.size(F.filter(w, lambda x: x == "|")).alias("nav"),
-                F.lower(F.substring(F.btrim(line, F.lit(WS_CHARS)), 1, 40)).alias("low"),
-            ),
+        F.struct(
+            F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")).alias("n"),
+            _without(line, WS_CHARS).alias("chars"),
+            (F.length(line) - _without(line, SYMBOLS)).alias("sym"),
+            n_words(F.contains(line, F.lit("!!")), lambda x: F.contains(x, F.lit("!!"))).alias("shout"),
+            n_words(line.rlike(signs), lambda x: x.isin(*r.separators)).alias("nav"),
+            (~line.rlike(f"[{r.marks}]")).alias("plain"),
+            F.lower(F.substring(F.btrim(line, F.lit(WS_CHARS)), 1, 40)).alias("low"),
         ),
         judge,
     )
@@ -124,21 +141,19 @@ def measures(text: str | Column, rules: QualityRules = QualityRules()) -> Column
 
     def of_lines(lines: Column) -> Column:
         full = F.filter(lines, lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
-        return let(
-            F.transform(lines, lambda x: _line(x, rules)),
-            lambda v: F.struct(
+        def judged(v: Column, strict: Column) -> Column:
+            fails = lambda x: x["bad"] | (strict & x["plain"])
+            return F.struct(
                 let(full, lambda f: F.size(f) - F.size(F.array_distinct(f))).alias("dup"),
                 F.aggregate(v, F.lit(0), lambda a, x: a + x["chars"]).alias("chars"),
-                F.aggregate(F.filter(v, lambda x: x["bad"]), F.lit(0), lambda a, x: a + x["chars"]).alias("lost"),
+                F.aggregate(F.filter(v, fails), F.lit(0), lambda a, x: a + x["chars"]).alias("lost"),
                 F.array_join(
-                    F.transform(
-                        F.filter(F.arrays_zip(lines.alias("l"), v.alias("v")), lambda z: ~z["v"]["bad"]),
-                        lambda z: z["l"],
-                    ),
-                    "\n",
+                    F.transform(F.filter(F.arrays_zip(lines.alias("l"), v.alias("v")), lambda z: ~fails(z["v"])), lambda z: z["l"]), "\n"
                 ).alias("text"),
-            ),
-        )
+            )
+
+        plain_less_rest = lambda v: F.aggregate(v, F.lit(0), lambda a, x: a + F.when(x["plain"], x["chars"]).otherwise(-x["chars"]))
+        return let(F.transform(lines, lambda x: _line(x, rules)), lambda v: let(plain_less_rest(v) <= 0, lambda strict: judged(v, strict)))
 
     def verdict(m: Column) -> Column:
         w, ln = m["w"], m["l"]
@@ -203,10 +218,13 @@ lines as (select doc_id, l, list_filter(string_split_regex(l, '{ws}'), lambda x:
           from (select doc_id, unnest(string_split(t, chr(10))) l from d)),
 jl as (select doc_id, l, len(regexp_replace(l, '{ws}', '', 'g')) chars, len(lw) n,
           len(l) - len({nosym.format('l')}) sym,
-          len(list_filter(lw, lambda x: contains(x, '!!'))) shout, len(list_filter(lw, lambda x: x = '|')) nav from lines),
+          len(list_filter(lw, lambda x: contains(x, '!!'))) shout, len(list_filter(lw, lambda x: x in ({", ".join(f"'{x}'" for x in rules.separators)}))) nav,
+          len(lw) >= {rules.line_plain_words} and not regexp_matches(l, '[{rules.marks}]') plain from lines),
+pl as (select *, sum(case when plain then chars else -chars end) over (partition by doc_id) <= 0 strict from jl),
 bl as (select *, chars > 0 and (sym * 100 >= chars * {rules.line_symbol_pct}
           or (n >= {rules.line_min_words} and shout * 100 >= n * {rules.line_shout_pct})
-          or (n >= {rules.line_min_words} and nav * 100 >= n * {rules.line_nav_pct}) or {boiler}) bad from jl),
+          or (n >= {rules.line_min_words} and nav * 100 >= n * {rules.line_nav_pct})
+          or (plain and strict) or {boiler}) bad from pl),
 ln as (select doc_id, sum(chars)::bigint chars, coalesce(sum(chars) filter (where bad), 0)::bigint lost,
           (count(*) filter (where n > 0) - count(distinct l) filter (where n > 0))::bigint dup from bl group by 1),
 f as (select w.doc_id, len(w)::bigint n_words, chars word_chars,
