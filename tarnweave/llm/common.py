@@ -43,14 +43,29 @@ def hash_pair(c: Column) -> tuple[Column, Column]:
     return F.xxhash64(c), F.xxhash64(F.lit(7919), c)
 
 
+#: So many bytes of a join's side may be built in memory by one task.
+HASH_BYTES = 32 << 20
+
+
+def built_in_memory(side: DataFrame, total_bytes: int) -> DataFrame:
+    """``side`` of a shuffled join, hashed in memory if it is small: ``total_bytes`` over all tasks; else it is sorted, which spills.
+
+    Its keys must be unique, so that they are dealt evenly.
+    """
+    parts = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return side.hint("shuffle_hash") if total_bytes <= parts * HASH_BYTES else side
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, a laptop) a temporary folder of
-    this machine takes its place.
+    Only where that setting is missing and Spark runs in one process (tests, a laptop)
+    a temporary folder of this machine takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tarnweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tarnweave-{name}-{uuid.uuid4().hex}"

@@ -4,13 +4,15 @@
 Documents come in batches. A batch first merge-anti-joins the runs: keys that a
 run already condemns need no more counting. The rest become a new sorted run of
 level 0, bucketed and sorted by the hash so that joins and compactions between
-runs are merges without a shuffle. When a level holds ``fanout`` runs they are
-compacted, counts added, into one run of the next level.
+runs are merges without a shuffle. A level that holds ``fanout`` runs when a batch
+comes is compacted, counts added, into one run of the next level, which that batch and
+later ones merge against. All runs have one number of buckets, set by the number of lines.
 
 Cases: null and empty texts are one empty line; a key under ``min_chars`` code
 points is never dropped; repeated rows are documents of their own; several equal
 lines in one document count once; text identity, not ``doc_id``, links lines to
-rows, so null or repeated ids are harmless; other columns pass through.
+rows, so null or repeated ids are harmless; other columns pass through, whatever
+their names (``__lines`` alone is replaced by drop_frequent_lines).
 """
 
 from __future__ import annotations
@@ -20,9 +22,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, cut, hash_pair, let, lower_ascii, text_or_empty, work_dir
+from .common import WS_CHARS, built_in_memory, cut, hash_pair, let, lower_ascii, text_or_empty, work_dir
 
 KEY = ["k1", "k2"]
+#: Line keys of a batch that a bucket holds, about: 24 bytes each.
+BUCKET_ROWS = 4_000_000
+
+
+def bucket_count(rows: int, batches: int) -> int:
+    """Buckets of every run, so that one of a batch of ``rows / batches`` keys stays small; 16 at least."""
+    return max(16, -(-rows // (batches * BUCKET_ROWS)))
 
 
 def line_key(line: Column) -> Column:
@@ -32,7 +41,7 @@ def line_key(line: Column) -> Column:
 class LineRuns:
     """Sorted runs of (k1, k2, n), bucketed by k1, in levels."""
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 4, buckets: int = 16):
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2, buckets: int = 16):
         self.spark, self.min_docs, self.fanout, self.buckets = spark, min_docs, fanout, buckets
         self.dir, self.levels = work_dir(spark, "line-runs"), [[]]
 
@@ -52,20 +61,34 @@ class LineRuns:
 
     def add(self, keys: DataFrame) -> None:
         """keys: (k1, k2, c) of a new batch: distinct lines of a text, c documents having it."""
+        self._compact()
         fresh = keys.groupBy(*KEY).agg(F.sum("c").alias("n"))
         for name in [x for level in self.levels for x in level]:
             known = self.spark.table(name).filter(F.col("n") >= self.min_docs)
             fresh = fresh.join(known.select(*KEY).hint("merge"), KEY, "left_anti")
         self.levels[0].append(self._write(fresh))
-        for i in range(len(self.levels)):
+
+    def _compact(self) -> None:
+        i = 0
+        while i < len(self.levels):
             if len(self.levels[i]) >= self.fanout:
                 if i + 1 == len(self.levels):
                     self.levels.append([])
                 merged = self._union(self.levels[i]).groupBy(*KEY).agg(F.sum("n").alias("n"))
                 self.levels[i + 1].append(self._write(merged))
-                for old in self.levels[i]:
-                    self.spark.sql(f"DROP TABLE {old}")
+                self._drop(self.levels[i])
                 self.levels[i] = []
+            i += 1
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def close(self) -> None:
+        """Takes the runs out of the catalog, when what ``frequent`` gave has been used."""
+        for level in self.levels:
+            self._drop(level)
+        self.levels = [[]]
 
     def frequent(self) -> DataFrame:
         """Keys with at least ``min_docs`` documents over all runs."""
@@ -87,8 +110,8 @@ def _line_table(docs: DataFrame, min_chars: int) -> DataFrame:
     return keyed.select("t1", "t2", "p", k1.alias("k1"), k2.alias("k2"))
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
-    """``docs`` plus one struct column ``__lines``: n_lines, n_dropped and the text left."""
+def _judged(docs: DataFrame, min_docs: int, min_chars: int, batches: int) -> DataFrame:
+    """(d, r): each row of ``docs`` as a struct, and n_lines, n_dropped and the text left."""
     spark = docs.sparkSession
     # A row for each distinct text, line key and place, with the number of documents of that text:
     # groups of copies are added up before anything else is shuffled.
@@ -97,23 +120,25 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     lines = cut(
         one.groupBy("t1", "t2", *KEY).agg(F.max("c").alias("c"), F.collect_list("p").alias("ps")), "lines"
     )
-    runs = LineRuns(spark, min_docs)
+    runs = LineRuns(spark, min_docs, buckets=bucket_count(lines.count(), batches))
     for b in range(batches):
         part = lines.filter(F.pmod(F.col("t1"), F.lit(batches)) == b)
         runs.add(part.select(*KEY, "c"))
-    bad = runs.frequent()
     # Written first: both sides of the join below are then plain shuffles, of which Spark can
     # split a partition that one text with very many copies fills.
     marked = cut(
-        lines.join(bad, KEY, "left_semi").groupBy("t1", "t2").agg(F.flatten(F.collect_list("ps")).alias("__bad")), "lines-marked"
-    )
-    t1, t2 = hash_pair(text_or_empty("text"))
-    joined = docs.withColumns({"__t1": t1, "__t2": t2}).join(
-        marked.withColumnsRenamed({"t1": "__t1", "t2": "__t2"}).hint("shuffle_hash"), ["__t1", "__t2"], "left"
+        lines.join(runs.frequent(), KEY, "left_semi").groupBy("t1", "t2").agg(F.flatten(F.collect_list("ps")).alias("bad")), "lines-marked"
     )
+    runs.close()
+    size = marked.agg(F.sum(F.size("bad") * 4 + 64)).first()[0] or 0
+    text = text_or_empty("text")
+    t1, t2 = hash_pair(text)
+    # One struct holds the row, so columns of any names stay apart from those of the join.
+    rows = docs.select(F.struct(*docs.columns).alias("d"), text.alias("text"), t1.alias("t1"), t2.alias("t2"))
+    joined = rows.join(built_in_memory(marked, size), ["t1", "t2"], "left")
 
     def left(ln: Column) -> Column:
-        keep = F.array_except(F.sequence(F.lit(0), F.size(ln) - 1), F.coalesce("__bad", F.array().cast("array<int>")))
+        keep = F.array_except(F.sequence(F.lit(0), F.size(ln) - 1), F.coalesce("bad", F.array().cast("array<int>")))
         return let(
             keep,
             lambda k: F.struct(
@@ -123,16 +148,23 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
             ),
         )
 
-    return joined.withColumn("__lines", let(F.split(text_or_empty("text"), "\n", -1), left)).select(*docs.columns, "__lines")
+    return joined.select("d", let(F.split("text", "\n", -1), left).alias("r"))
+
+
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
+    """``docs`` plus one struct column ``__lines``: n_lines, n_dropped and the text left."""
+    out = _judged(docs, min_docs, min_chars, batches)
+    return out.select(*[F.col("d")[c].alias(c) for c in docs.columns if c != "__lines"], F.col("r").alias("__lines"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
     """The documents without their frequent lines, columns as before."""
-    out = drop_frequent_lines(docs, min_docs, min_chars)
-    new = {"text": F.col("__lines")["text"]}
+    out = _judged(docs, min_docs, min_chars, batches)
+    text = F.col("r")["text"]
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length(F.col("__lines")["text"]).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("d")[c]).alias(c) for c in docs.columns])
 
 
 def op10_line_dedup(spark, sf_dir):

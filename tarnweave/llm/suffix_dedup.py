@@ -1,22 +1,23 @@
-"""Repeated-substring removal by a difference cover of sorted samples (operator 4).
-
-Every byte covered by a ``span``-byte string that also starts earlier goes. Only
-the first ``span`` bytes of a suffix matter, so suffixes are sorted by these alone
-and the recursion on names ends when names stand for that many bytes.
-
-A difference cover is a set of sample places such that any two equal strings meet
-at a sample at one common offset. Here it is content-defined: of the ``span - gram
-+ 1`` grams in a string, the one with the least hash is its sample. Equal strings
-choose the same one, and about 1 in 33 places is sampled, not 2 of 3.
-
-1. Sampled triples: each sample with the bytes before it and the bytes after it
-   that its strings reach, as (gram, whole context) names, sorted by gram.
-2. Recursion: a gram that occurs once ends there: its strings repeat nothing. Where
-   sorted neighbours have equal triples, all strings of the later one repeat. What
-   is left has a common gram but another context.
-3. Remaining suffixes: the strings of those samples, one for each start, are named
-   in full and merged in the order of (name, document, place).
-4. Adjacent entries with equal prefixes: all but the first one repeat.
+"""Repeated-substring removal over a content-defined cover (operator 4).
+
+This is the dealt method with a departure that the README gives figures for: samples are
+not residues of a difference cover, and no suffix array is built. Only the first ``span``
+bytes of a suffix matter here, so suffixes need names that are equal where those bytes
+are, and no order.
+
+A cover is a set of sample places such that any two equal strings meet at a sample at one
+common offset. Here it is content-defined: of the ``span - gram + 1`` grams in a string,
+the one with the least hash is its sample. Equal strings choose the same one, and about 1
+in 33 places is sampled.
+
+1. Samples: each with the bytes before it and the bytes after it that its strings
+   reach, as (gram, whole context) names, grouped by gram.
+2. A gram that occurs once ends there: its strings repeat nothing. Where contexts
+   are equal, all strings of the later sample repeat. What is left has a common gram but
+   another context.
+3. Remaining strings: those of the samples left, one for each start, are named in full
+   and grouped by name.
+4. Of equal names all but the first one, by (document, place), repeat.
 
 Names are 64-bit (samples) and 96-bit (strings) hashes of the bytes. Equal texts
 are one class before all this, so groups of copies cost one row each.
@@ -36,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytewords import CHUNK, mix, text_chunks
-from .common import cut, hash_pair, text_or_empty
+from .common import built_in_memory, cut, hash_pair, text_or_empty
 
 SPAN, GRAM = 100, 36
 BROADCAST_ROWS = 500_000
@@ -207,7 +208,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     members = cut(rows.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes")), "spans-members")
     # One document for each text, the first; did is its order among all and its key.
     texts = members.groupBy("t1", "t2", "n_bytes").agg(F.min("doc_id").alias("ord"))
-    turn = F.row_number().over(W.partitionBy("ord").orderBy("t1", "t2"))
+    # Texts without an id need no turn, so they are dealt by their hash.
+    turn = F.row_number().over(W.partitionBy("ord", F.when(F.col("ord").isNull(), F.col("t1"))).orderBy("t1", "t2"))
     late = F.xxhash64("t1", "t2").bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 62))
     texts = cut(texts.withColumn("did", F.when(F.col("ord").isNotNull() & (turn == 1), F.col("ord").cast("long")).otherwise(late)), "spans-texts")
     key = texts.select(F.col("ord").alias("k_id"), F.col("t1").alias("k1"), F.col("t2").alias("k2"), "did")
@@ -226,13 +228,14 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     named = named.filter("not __first or c0 <> c1").select("did", "p", (~F.col("__first")).alias("repeats"))
     named = cut(named, "spans-named")
     open_ = named.filter("not repeats").groupBy("did").agg(F.collect_set("p").alias("ps"))
-    strings = _strings(firsts.join(open_.hint("shuffle_hash"), "did"), span, gram)
+    strings = _strings(firsts.join(built_in_memory(open_, 32 * named.filter("not repeats").count()), "did"), span, gram)
     again = cut(_first_only(strings, ["s", "x"], ["did", "i"]).filter("not __first").select("did", "i"), "spans-again")
     marks = (
         again.groupBy("did").agg(F.collect_set("i").alias("singles"))
         .join(named.filter("repeats").groupBy("did").agg(F.collect_set("p").alias("runs")), "did", "full")
     )
-    done = _apply(firsts.join(marks.hint("shuffle_hash"), "did", "left"), span).dropDuplicates(["did"])
+    size = 32 * (again.count() + named.filter("repeats").count())
+    done = _apply(firsts.join(built_in_memory(marks, size), "did", "left"), span).dropDuplicates(["did"])
     out = members.join(texts.select("t1", "t2", "ord", "did"), ["t1", "t2"]).join(done, "did")
     copy = ~F.col("doc_id").eqNullSafe(F.col("ord")) & (F.col("n_bytes") >= span)
     return out.select(
