@@ -72,7 +72,7 @@ def format_preferences(turns: DataFrame) -> DataFrame:
 def pair_neighbours(conversations: DataFrame) -> DataFrame:
     """Conversations 2k and 2k + 1 as a pair, the first one chosen."""
     return conversations.select(
-        F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 1).alias("rejected"), "turn", "role", "text"
+        F.shiftright("conv_id", 1).cast("long").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 1).alias("rejected"), "turn", "role", "text"
     )
 
 

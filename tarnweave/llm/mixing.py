@@ -10,7 +10,7 @@ The prefix sum never brings a source together: keys are cut into ``2^bits``
 slices, sizes are summed by (source, slice), and only the slice in which the
 budget ends is sorted.
 
-Cases: null text has size 0 and takes nothing; a null source is a source of its
+Cases: a document without an id draws its number by its text; null text has size 0 and takes nothing; a null source is a source of its
 own, last in order; ties of the key break by doc_id, then by text identity, and
 rows that still tie are equal in every column that counts; an empty table gives
 no rows; a source of size 0 has target 0.
@@ -65,7 +65,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
 def sample_keys(docs: DataFrame, seed: int, quality) -> DataFrame:
     """(doc_id, source, size, key) of every document; key in [0, 1)."""
     t = text_or_empty("text")
-    ident = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # Documents without an id draw by their text, so that they don't all have one key.
+    ident = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64(t).cast("string"))))
     u = F.conv(F.substring(F.md5(ident), 1, 12), 16, 10).cast("double")
     return docs.select(
         "doc_id", "source", word_count(t).alias("size"),

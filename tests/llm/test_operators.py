@@ -87,6 +87,27 @@ def test_pii(spark, docs, edge, empty):
     assert pii.redact(one, pii.find_pii(one)).first()["text"] == "write to <email> now"
 
 
+def test_pii_adds_spans_by_votes(spark):
+    """Keys, names and numbers in contexts that speak for or against them."""
+    rng = np.random.default_rng(4)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(60)]
+    rows = [f'some words token = "{h}" and more words' for h in hexes[:40]] + [f"title: something of length {i} here" for i in range(40)]
+    rows += [f"version: 1.{i}.400.2 of the build" for i in range(20)] + [f"IBAN DE89370400440532013000 konto, number {i}" for i in range(10)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs).collect()}
+    assert all(got[i] == f"secret:{rows[i].index(hexes[i])}:{rows[i].index(hexes[i]) + 40}" for i in range(40))
+    assert not any(got[i] for i in range(40, 100))
+    assert all("iban:5:27" in got[i] for i in range(100, 110))
+
+
+def test_pii_of_a_text_with_many_matches(spark):
+    """Places come from running sums in blocks; a text of thousands of matches is exact and not slow."""
+    many = "a@b.co 1.2.3.4 token=abcdef0123456789 " * 3000
+    rows = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame([(1, many), (2, many[:38])], "doc_id long, text string")).collect()}
+    assert rows[1]["n_email"] == rows[1]["n_ip"] == 3000
+    assert rows[1]["base_sha256"] == hashlib.sha256(",".join(plain_pii(many)).encode()).hexdigest()
+
+
 def test_em_learns_reliability():
     counts = {(0, "+++00"): 500, (0, "0-0-0"): 500, (0, "+0000"): 50, (0, "000-0"): 50}
     p = pii.em_posteriors(counts)
@@ -165,6 +186,53 @@ def test_slices_lose_no_link():
                 assert any(apart(g) * 185 * one[g][2] <= (len(s) + len(t)) * 15 for g in met)
 
 
+def test_large_groups_and_clusters_are_cut(spark, monkeypatch):
+    """A group of near copies around the bound, with blocks so small that groups and clusters have many."""
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 16)
+    monkeypatch.setattr(ngram_join, "CLUSTER_SHINGLES", 600)
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{i}" for i in range(90)], []
+    for i in range(160):
+        t = base.copy()
+        for _ in range(int(rng.integers(0, 5))):
+            t[int(rng.integers(90))] = f"e{int(rng.integers(30))}"
+        rows.append((i, " ".join(t)))
+    want = plain_components(rows, 4, 85)
+    assert len({c for _, _, c in want}) > 5
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id")
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_pairs_grow_with_members_only():
+    """However many rows of a group may link, fewer pairs than roots come out, and they connect what may link."""
+    rng = np.random.default_rng(2)
+    for g in (100, 400):
+        root = np.arange(g) % (g // 2)
+        sketch = np.repeat(rng.integers(0, 1 << 63, (2, 8)).astype(np.uint64), [g // 4, g - g // 4], axis=0)
+        one = np.zeros(g, np.int64)
+        a, b = ngram_join.roots_that_may_link(one, one, root, one + 90, one + 1, sketch, 85)
+        label = np.arange(g // 2)
+        ngram_join.join_labels(label, a, b)
+        assert len(a) < g // 2 and len(set(label.tolist())) == 1
+    sets = [np.unique(rng.integers(0, 60, 50)).astype(np.uint64) for _ in range(80)]
+    root = rng.integers(0, 40, 80)
+    found = ngram_join.links_across(root, np.zeros(80, int), sets, 60)
+    label, plain = np.arange(40), np.arange(40)
+    ngram_join.join_labels(label, *np.array(found).T)
+    close = [(root[i], root[j]) for i in range(80) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))]
+    ngram_join.join_labels(plain, *np.array(close).T)
+    assert len(found) < 40 and label.tolist() == plain.tolist()
+
+
+def test_one_of_each_component_stays(spark):
+    other = " ".join(f"o{i}" for i in range(30))
+    rows = [(1, BASE), (1, other), (2, BASE), (None, "z " + other + " z"), (None, "y1 y2 y3 y4 y5 y6"), (None, "y1 y2 y3 y4 y5 y6")]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(1, BASE), (1, other), (None, "y1 y2 y3 y4 y5 y6")])
+    named = spark.createDataFrame([(i, BASE, 1, "k") for i in (3, 4)], "doc_id long, text string, __h int, root string")
+    assert [tuple(r) for r in ngram_join.keep_one(named).collect()] == [(3, BASE, 1, "k")]
+
+
 # --- 3
 
 
@@ -189,6 +257,27 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_listed_urls(spark):
+    """Forms of one URL; and a filter of so few bits that it lets many through, which the exact join must stop."""
+    forms = {
+        "http://Ex.com:80/a/./b/../c/?utm_source=x&b=2&a=1#top": "ex.com/a/c?a=1&b=2", "https://user:pw@ex.com./a/%7euser/%2f/": "ex.com/a/~user/%2F",
+        "https://ex.com:443?ref=1": "ex.com", "https://ex.com/../../x/..": "ex.com", "ftp://ex.com:8080/%zz%4": "ex.com:8080/%zz%4", "http://ex.com/a?x=http://y#z": "ex.com/a?x=http://y",
+        "http://": None, "ex.com/a": None, None: None, "http://ex.com/" + "a/" * 20_000: "ex.com" + "/a" * 20_000,
+    }
+    got = spark.createDataFrame([(u,) for u in forms], "url string").select("url", url_filter.canonical(F.col("url")).alias("c")).collect()
+    assert {r["url"]: r["c"] for r in got} == forms
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.com/p"), "id", F.lit("?utm_x=1")).alias("url"))
+    urls = pages.filter("page_id % 10 = 0").select(F.replace("url", F.lit("?utm_x=1"), F.lit("#x")).alias("url"), F.lit("block").alias("verdict"))
+    rules = spark.createDataFrame([("h.com", "/p7", "allow")], "host string, path string, verdict string")
+    bits, url_filter.BITS_PER_KEY = url_filter.BITS_PER_KEY, 1
+    try:
+        for most in (32 << 20, 0):
+            out = url_filter.judge_urls(pages, rules, broadcast_bytes=most, urls=urls).collect()
+            assert {r["page_id"] for r in out if r["verdict"] == "block"} == {i for i in range(0, 3000, 10) if not str(i).startswith("7")} and len(out) == 3000
+    finally:
+        url_filter.BITS_PER_KEY = bits
+
+
 # --- 4
 
 
@@ -240,14 +329,51 @@ def test_preferences(spark):
     assert got[1]["rejected"] is None and got[1]["prompt"] == "" and got[None]["chosen"] is None
     assert got[2]["n_prefix"] == 1 and got[2]["chosen"] == got[2]["rejected"] == ""
     assert chat_format.format_preferences(df.limit(0)).count() == 0
+    many = [(5, side, i, "user" if i % 2 == 0 else "assistant", "w " * 50 + (str(i) if i < 900 or side else "other")) for i in range(1000) for side in (False, True)]
+    named = spark.createDataFrame(many, df.schema).withColumns({"c": F.lit(1), "r": F.lit(2), "n": F.lit(3), "p": F.lit(4), "prompt": F.lit("x")})
+    long = chat_format.format_preferences(named).first()
+    assert long["n_prefix"] == 900 and long["prompt"].count("<|im_start|>") == 900 and long["chosen"].count("other") == 100
+    big = spark.createDataFrame([(2**60 + 1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    assert chat_format.pair_neighbours(big).first()["pair_id"] == 2**59 and chat_format.pair_neighbours(big).first()["rejected"]
 
 
 # --- 6
 
 
+def plain_notices(text, whole):
+    """Labels whose notice occurs within its edits anywhere, and the least edits, by the full alignment table."""
+    norm = b" ".join(re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER).encode()))
+    b, least = np.frombuffer(norm, np.uint8), {}
+    if not whole and not any(x in norm for x in (b"licen", b"reserved", b"granted", b"permi")):  # the tables have no other notice
+        return [], {}
+    for notice, label in license_scan.NOTICES.items():
+        pat, k = np.frombuffer(notice.encode(), np.uint8), max(1, len(notice) * 5 // 100)
+        row, places = np.zeros(len(b) + 1, np.int32), np.arange(len(b) + 1)
+        for i in range(len(pat)):
+            new = np.minimum(row[:-1] + (b != pat[i]), row[1:] + 1)
+            new = np.r_[i + 1, new]
+            row = np.minimum.accumulate(new - places) + places
+        if row.min() <= k:
+            least[label] = min(int(row.min()), least.get(label, 99))
+    return list(least), least
+
+
+def test_many_license_hits():
+    notices = license_scan.Notices(license_scan.NOTICES, 5)
+    found = license_scan.scan_text(b"mit license foo licensed under the mit license bar".split() * 2000, notices)
+    assert len(found["base"]) == 4000 and len(found["spans"]) == 2000 and found["spans"][1][:3] == (12, 16, "mit")
+
+
 def test_licenses(spark, docs, edge, empty):
     near = "Permision is hereby granted, free of charge, to any persons obtaining a copy of this software"
     made = spark.createDataFrame([(7000, "see: MIT  License, mit-license (MIT license)"), (7001, near), (7002, "Apache\nLicense! general public license")], "doc_id long, text string")
+    rng, edited = np.random.default_rng(6), []
+    for i, notice in enumerate(list(license_scan.NOTICES) * 2):
+        t = list(notice)
+        for _ in range(int(rng.integers(0, 2 + len(t) * 5 // 100))):
+            t[int(rng.integers(len(t)))] = str(rng.choice(["", "x", "qq", " "]))
+        edited.append((7100 + i, f"before it {''.join(t)} and after"))
+    made = made.unionByName(spark.createDataFrame(edited, made.schema))
     all_ = docs.select("doc_id", "text").unionByName(made).unionByName(edge.select("doc_id", "text").filter("doc_id is not null").select((F.col("doc_id") + 8000).alias("doc_id"), "text"))
     rows = {r["doc_id"]: r for r in license_scan.scan_licenses(all_.dropDuplicates(["doc_id"])).collect()}
     for d, t in {(r["doc_id"], r["text"]) for r in all_.collect()}:
@@ -258,6 +384,11 @@ def test_licenses(spark, docs, edge, empty):
         assert (r["first_word"], r["last_word"]) == (min((i for i, _ in at), default=None), max((i for i, _ in at), default=None))
         assert r["base_labels"] == ",".join(sorted({x for _, x in at})) and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
         assert 0 <= r["score"] <= 1
+    brute = {d: plain_notices(t, 7000 <= d < 8000) for d, t in {(r["doc_id"], r["text"]) for r in all_.collect()}}
+    for d, (labels, least) in brute.items():
+        mine = [x for x in rows[d]["spans"]]
+        assert {x["label"] for x in mine} == set(labels) and all(min(x["edits"] for x in mine if x["label"] == label) == least[label] for label in labels)
+    assert sum(len(labels) for labels, _ in brute.values()) > 50
     assert rows[7001]["labels"] == "mit" and rows[7001]["n_base"] == 0 and 0 < rows[7001]["score"] < 1
     assert license_scan.scan_licenses(empty).count() == 0
 
@@ -265,37 +396,44 @@ def test_licenses(spark, docs, edge, empty):
 # --- 7
 
 
-def plain_leaks(rows, items, rules=decontaminate.LeakRules()):
+def plain_leaks(rows, items, window=80, min_bytes=40):
     """Every window against every whole text, without any filter."""
-    ix = decontaminate.WindowIndex(items, rules)
+    wins, short = defaultdict(list), []
+    for item, text in items:
+        x = squeezed((text or "").encode()).rstrip(b" ")
+        if len(x) >= min_bytes:
+            m = min(window, len(x))
+            for at in {*range(0, len(x) - m + 1, max(1, 2 * (m // 10))), len(x) - m}:
+                wins[m].append((item, np.frombuffer(x[at : at + m], np.uint8)))
+        elif x:
+            short.append((item, x))
     out = set()
     for d, t in rows:
-        raw = np.frombuffer((t or "").encode(), np.uint8)
-        b, _ = squeezed(raw)
+        raw = squeezed((t or "").encode()).rstrip(b" ")
+        out |= {(d, item) for item, x in short if (x == raw if len(x) < 8 else b" " + x + b" " in b" " + raw + b" ")}
+        b = np.frombuffer(raw, np.uint8)
         if not len(b):
             continue
-        for m in np.unique(ix.size):
-            of = np.flatnonzero(ix.size == m)
-            row = np.zeros((len(of), len(b) + 1), np.int16)
-            pats = np.stack([ix.text[i] for i in of])
+        for m, all_ in wins.items():
+            pats = np.stack([x for _, x in all_])
+            row = np.zeros((len(all_), len(b) + 1), np.int32)
             for i in range(m):
                 new = np.minimum(row[:, :-1] + (b[None, :] != pats[:, i : i + 1]), row[:, 1:] + 1)
-                new = np.concatenate([np.full((len(of), 1), i + 1), new], axis=1).astype(np.int16)
-                places = np.arange(new.shape[1], dtype=np.int16)
+                new = np.concatenate([np.full((len(all_), 1), i + 1), new], axis=1).astype(np.int32)
+                places = np.arange(new.shape[1], dtype=np.int32)
                 row = np.minimum.accumulate(new - places, axis=1) + places
-            for i in np.flatnonzero(row.min(axis=1) <= ix.k[of]):
-                out.add((d, ix.item[of[i]]))
+            out |= {(d, all_[i][0]) for i in np.flatnonzero(row.min(axis=1) <= m // 10)}
     return out
 
 
 def squeezed(raw):
-    b = re.sub(rb"[\x20\x09-\x0D]+", b" ", raw.tobytes().lower()).lstrip(b" ")
-    return np.frombuffer(b, np.uint8), None
+    return re.sub(rb"[\x20\x09-\x0D]+", b" ", raw.lower()).lstrip(b" ")
 
 
 def test_leaks(spark, empty):
     rng = np.random.default_rng(9)
-    items = [(i, " ".join(rng.choice(["the", "tion", "and", "ering", "of", "houses", "blue"], 30))) for i in range(6)] + [(6, None), (7, "too short"), (8, "a passage of fifty one characters, no more than that")]
+    items = [(i, " ".join(rng.choice(["the", "tion", "and", "ering", "of", "houses", "blue"], 30))) for i in range(6)]
+    items += [(6, None), (7, "a short item"), (8, "a passage of fifty one characters, no more than that"), (9, ""), (10, "tiny"), (11, "a short item")]
     texts = []
     for i, t in items[:6]:
         e = list(t)
@@ -303,13 +441,22 @@ def test_leaks(spark, empty):
             e[int(rng.integers(len(e)))] = "#"
         texts += ["before it  \n stands " + "".join(e)[: 200 - 20 * i] + " and after", "".join(e)]
     texts += [None, "", " ".join(rng.choice(["the", "tion", "and", "ering", "of", "houses", "blue"], 200)), items[8][1].upper(), "é" * 120]
+    texts += ["here is  A short\nitem .", "a short items", "tiny", "a tiny one", "zz" * 60 + items[0][1][27:107] + "yy" * 60, ("w " * 20_000) + items[1][1]]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = plain_leaks(list(enumerate(texts)), items)
     for rules in (decontaminate.LeakRules(), decontaminate.LeakRules(block_bytes=100)):
         got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, rules).collect()}
         assert got == want and want
-    assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
+    assert {(len(texts) - 2, 0), (len(texts) - 1, 1), (len(texts) - 6, 7)} <= want
+    whole = docs.select("*", F.lit("x").alias("__h"), F.lit(1).alias("item_id"))
+    kept = decontaminate.drop_leaks(whole.unionByName(whole), bench, decontaminate.LeakRules(block_bytes=200))
+    assert kept.columns == whole.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter({d: 2 for d in set(range(len(texts))) - {d for d, _ in want}})
+    for kind in ("int", "string"):
+        typed = bench.withColumn("item_id", F.col("item_id").cast(kind))
+        got = {(r["doc_id"], int(r["item_id"])) for r in decontaminate.find_leaks(docs, typed).collect()}
+        assert got == want
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
@@ -375,6 +522,12 @@ def test_quality(spark, edge, empty):
     junk = spark.createDataFrame([(1, BASE + "\nHome | About | Contact | Help | More\n" + " ".join(f"other{i}" for i in range(40)))], "doc_id long, text string")
     assert "Home" not in quality.clean_documents(junk).first()["text"]
     assert quality.clean_documents(empty).count() == 0 and quality.quality_report(empty).count() == 0
+    good = "\n".join(" ".join(f"{w}{i}" for w in ("line", "page", "more", "words", "than", "have")) + "." for i in range(9))
+    bad = ["Start » News » Sport » Wetter » Kontakt", "Tout accepter et continuer", "one two three four five six seven eight nine", "WOW!! BUY!! NOW!!", "### *** $$$ %%% a b c"]
+    fine = ["a heading of four", "Does a question count as a sentence, too?", "Le prix est de 20 € · en magasin, dit la notice de cette page."]
+    made = spark.createDataFrame([(i, good + "\n" + x) for i, x in enumerate(bad + fine)], "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in quality.clean_documents(made).collect()}
+    assert all((left[i] == good) == (i < len(bad)) for i in left) and len(left) == len(bad + fine)
 
 
 # --- 10
@@ -395,6 +548,10 @@ def test_lines(spark, docs, edge, empty):
         got = line_dedup.drop_frequent_lines(table, batches=batches).select("doc_id", x["n_lines"], x["n_dropped"], x["text"]).collect()
         assert Counter(map(tuple, got)) == want
     assert line_dedup.dedup_lines(edge).columns == edge.columns and line_dedup.dedup_lines(edge).count() == edge.count()
+    named = edge.select("doc_id", "text", *[F.lit("mine").alias(c) for c in ("t1", "bad", "d", "r", "__t1", "__lines")])
+    kept = line_dedup.dedup_lines(named)
+    assert kept.columns == named.columns and kept.filter("t1 = 'mine' and bad = 'mine' and d = 'mine' and __lines = 'mine'").count() == edge.count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
@@ -404,6 +561,8 @@ def test_runs_are_compacted(spark):
         runs.add(spark.createDataFrame([(1, 1, 1), (2, 2, 1 if i == 0 else 0), (i, 9, 1)], "k1 long, k2 long, c long").filter("c > 0"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert [tuple(r) for r in runs.frequent().collect()] == [(1, 1)]
+    runs.close()
+    assert line_dedup.bucket_count(10**6, 4) == 16 and line_dedup.bucket_count(10**11, 4) == 6250
 
 
 # --- the pipeline
