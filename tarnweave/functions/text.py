@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 LATIN = "[a-zA-Z0-9_+.#:/-]+"
 CJK = "[㐀-鿿]"
@@ -45,6 +49,35 @@ def estimate_tokens(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), 0).otherwise(F.greatest(F.lit(1), n)).cast("long")
 
 
+def _nfkc(values: pd.Series) -> pd.Series:
+    return values.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def _nfkc_each(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda ts: [None if t is None else unicodedata.normalize("NFKC", t) for t in ts], na_action="ignore")
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility form; Spark has no function for it, so batches of strings go through Python."""
+    return F.pandas_udf(_nfkc, StringType())(text)
+
+
+def normalized_query(text: Column) -> Column:
+    """Compatibility form, white space as single blanks, trimmed; empty for null."""
+    return F.trim(F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
+
+
+def exact_name(text: Column) -> Column:
+    """Compatibility form in lower case without white space: equal names are equal."""
+    return F.regexp_replace(F.lower(nfkc(F.coalesce(text, F.lit("")))), r"(?U)\s+", "")
+
+
+def exact_names(names: Column) -> Column:
+    """``exact_name`` of each name of an array."""
+    even = F.pandas_udf(_nfkc_each, ArrayType(StringType()))(names)
+    return F.transform(even, lambda n: F.regexp_replace(F.lower(n), r"(?U)\s+", ""))
+
+
 def normalize_text(text: Column) -> Column:
     """Line ends as \\n, no NUL, no blanks at line ends, at most one empty line in a row, trimmed."""
     t = F.regexp_replace(text, "\r\n|\r", "\n")

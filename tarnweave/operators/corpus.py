@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from tarnweave.functions import safety
 from tarnweave.functions.scores import hash_bucket
 from tarnweave.functions.text import dedup_key, estimate_tokens
-from tarnweave.operators.search import dense
-from tarnweave.streaming.state import shared_dir
+from tarnweave.sources.tables import written
 
 
 def drop_exact(rows: DataFrame, text: str, protected: DataFrame, protected_text: str) -> DataFrame:
@@ -22,9 +21,8 @@ def drop_exact(rows: DataFrame, text: str, protected: DataFrame, protected_text:
 
 
 def nearest_protected(rows: DataFrame, protected: DataFrame) -> DataFrame:
-    """rows (vec_id, embedding) with the largest cosine to a protected vector (query_id, embedding), which go out in blocks."""
-    best = dense(rows.select(F.col("vec_id").alias("query_id"), "embedding"), protected.select(F.col("query_id").alias("vec_id"), "embedding"), 1)
-    return best.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("nearest"), F.col("score").alias("cosine"))
+    """rows (vec_id, embedding) that have a vector, with the largest cosine to a protected one (query_id, embedding)."""
+    return nearest_of_protected(rows, protected).filter("nearest is not null").select("vec_id", "nearest", "cosine")
 
 
 def nearest_of_protected(rows: DataFrame, protected: DataFrame, block: int = 2048) -> DataFrame:
@@ -82,13 +80,6 @@ def first_source_wins(parts: list[DataFrame], key: str) -> DataFrame:
     return out.withColumn("best", best).filter("priority = best").drop("best")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again; its lineage ends there."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def near_pairs(vectors: DataFrame, most: float, block: int = 2048) -> DataFrame:
     """vectors (vec_id, h, embedding) -> (early, late): all pairs at a cosine of ``most`` or more, the lesser (h, vec_id) first.
 
@@ -122,7 +113,7 @@ def near_pairs(vectors: DataFrame, most: float, block: int = 2048) -> DataFrame:
     n = vectors.count()
     parts = max(1, -(-n // (2 * block)))
     packed = vectors.select("vec_id", "h", "embedding").repartition(parts).mapInPandas(pack, "ids binary, h binary, m binary")
-    packed = _written(packed.withColumn("block", F.monotonically_increasing_id()), "blocks").repartition(parts)
+    packed = written(packed.withColumn("block", F.monotonically_increasing_id()), "blocks").repartition(parts)
     other = packed.select(*[F.col(c).alias(f"{c}2") for c in packed.columns])
     return packed.hint("shuffle_replicate_nl").join(other, F.col("block") <= F.col("block2")).mapInPandas(compare, "early long, late long")
 
@@ -164,17 +155,17 @@ def greedy_near_duplicates(vectors: DataFrame, most: float = 0.93, block: int =
     keyed = vectors.select("vec_id", "embedding", F.xxhash64("vec_id").alias("h"))
     pointed = F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     first = keyed.filter(pointed).groupBy("embedding").agg(F.min(F.struct("h", "vec_id")).alias("r"))
-    first = _written(first.select("r.vec_id", "r.h", "embedding"), "first")
+    first = written(first.select("r.vec_id", "r.h", "embedding"), "first")
     head, rest = _head_kept(first, most, block)
-    rest = _written(rest, "rest")
-    links = _written(near_pairs(rest, most, block), "links")
+    rest = written(rest, "rest")
+    links = written(near_pairs(rest, most, block), "links")
     gone = []
     while not links.isEmpty():
         free = links.select("early").distinct().join(links.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
-        out = _written(links.join(free, "early", "left_semi").select(F.col("late").alias("vec_id")).distinct(), "gone")
+        out = written(links.join(free, "early", "left_semi").select(F.col("late").alias("vec_id")).distinct(), "gone")
         gone.append(out)
         left = links.join(out.select(F.col("vec_id").alias("early")), "early", "left_anti")
-        links = _written(left.join(out.select(F.col("vec_id").alias("late")), "late", "left_anti"), "links")
+        links = written(left.join(out.select(F.col("vec_id").alias("late")), "late", "left_anti"), "links")
     kept = rest.select("vec_id")
     for out in gone:
         kept = kept.join(out, "vec_id", "left_anti")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnweave.functions.scores import citation_id
-from tarnweave.functions.text import tokenize
+from tarnweave.functions.text import exact_name, tokenize
+from tarnweave.sources.tables import written
 
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
 
@@ -19,9 +22,122 @@ def top_k(scored: DataFrame, query: str, order: list, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, tf)."""
-    return docs.select(key, F.explode(tokenize(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+#: Documents scored at once in a task.
+CHUNK = 512
+ASCII_TOKEN = r"^[a-z0-9][a-z0-9._-]*$"
+
+
+def term_index(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, dl, terms, tfs and the columns ``carry``: a document's distinct tokens with their counts.
+
+    One pass over the texts without a shuffle, written out; everything lexical works on it.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    extra = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+
+    def run(batches):
+        for b in batches:
+            n = b["tokens"].value_lengths().to_numpy(zero_copy_only=False)
+            words = b["tokens"].flatten().dictionary_encode()
+            size = max(1, len(words.dictionary))
+            key, tf = np.unique(np.repeat(np.arange(len(n)), n) * size + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row, term = np.divmod(key, size)
+            at = pa.array(np.searchsorted(row, np.arange(len(n) + 1)), pa.int32())
+            terms, tfs = pa.ListArray.from_arrays(at, words.dictionary.take(pa.array(term))), pa.ListArray.from_arrays(at, pa.array(tf, pa.int64()))
+            yield pa.record_batch([b["doc_id"], pa.array(n, pa.int64()), terms, tfs, *[b[c] for c in carry]], ["doc_id", "dl", "terms", "tfs", *carry])
+
+    tokens = docs.select("doc_id", tokenize(F.col("text")).alias("tokens"), *carry)
+    return written(tokens.mapInArrow(run, f"doc_id {kind}, dl long, terms array<string>, tfs array<long>{extra}"), "terms")
+
+
+def query_terms(index: DataFrame, queries: DataFrame) -> tuple[DataFrame, int, float]:
+    """(query_id, token, qtf, idf) of queries (query_id, text) against all documents, their number and mean length.
+
+    A token that most documents have counts a quarter of the mean idf.
+    """
+    n, avgdl = index.agg(F.count("*"), F.avg("dl")).first()
+    df = index.select(F.explode("terms").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    idf = written(df.withColumn("idf", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "idf")
+    mean = idf.agg(F.avg("idf")).first()[0] or 0.0
+    idf = idf.select("token", F.when(F.col("idf") < 0, F.lit(EPSILON * mean)).otherwise(F.col("idf")).alias("idf"))
+    asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+    return asked.join(idf, "token", "left").select("query_id", "token", "qtf", F.coalesce("idf", F.lit(0.0)).alias("idf")), n, avgdl or 1.0
+
+
+def _bonus(query: str, names: pa.ListArray, rows: int) -> np.ndarray:
+    """25 for the documents one of whose names is the query, else 8 where a name holds it."""
+    out = np.zeros(rows)
+    if query and len(names.values):
+        flat = names.flatten()
+        row = np.repeat(np.arange(rows), names.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        out[row[pc.match_substring(flat, query).fill_null(False).to_numpy(zero_copy_only=False)]] = 8.0
+        out[row[pc.equal(flat, query).fill_null(False).to_numpy(zero_copy_only=False)]] = 25.0
+    return out
+
+
+def lexical(index: DataFrame, terms: DataFrame, n: int, avgdl: float, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank: the best k of ``index`` by BM25 for the queries of ``terms`` (of query_terms).
+
+    The query terms are a stated set and go to all tasks; a document is scored where it lies against all
+    queries as a matrix, and a task hands on k rows for each query. Documents without a
+    shared token are not ranked. With ``queries`` (query_id, text, wanted) and columns names
+    and tags in the index, names add their bonus and documents without all wanted tags are out;
+    in a corpus of at most four documents the share of shared tokens adds up to 4.
+    """
+    spark, small = index.sparkSession, n <= 4
+    rows = terms.collect()  # bounded by the query set
+    texts = {} if queries is None else {r["query_id"]: (r["q"], r["wanted"] or []) for r in queries.select("query_id", exact_name(F.col("text")).alias("q"), "wanted").collect()}
+    ids = sorted({r["query_id"] for r in rows} | set(texts))
+    vocabulary, tags = sorted({r["token"] for r in rows}), sorted({t for _, w in texts.values() for t in w})
+    q_at, t_at = {q: i for i, q in enumerate(ids)}, {t: i for i, t in enumerate(vocabulary)}
+    weight, asked, wanted = np.zeros((len(ids), len(vocabulary))), np.zeros((len(ids), len(vocabulary))), np.zeros((len(ids), len(tags)))
+    for r in rows:
+        weight[q_at[r["query_id"]], t_at[r["token"]]], asked[q_at[r["query_id"]], t_at[r["token"]]] = r["qtf"] * r["idf"], 1
+    for q, (_, want) in texts.items():
+        wanted[q_at[q], [tags.index(t) for t in want]] = 1
+    shared = spark.sparkContext.broadcast((np.array(ids), vocabulary, weight, asked, [texts[q][0] for q in ids if q in texts], tags, wanted))
+    named = queries is not None
+
+    def counted(lists: pa.ListArray, among: pa.Array, size: int, values: np.ndarray | None = None) -> np.ndarray:
+        out = np.zeros((size, len(lists)))
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        at = pc.index_in(lists.flatten(), value_set=among).to_numpy(zero_copy_only=False)
+        hit = ~np.isnan(at)
+        out[at[hit].astype(np.int64), row[hit]] = 1 if values is None else values[hit]
+        return out
+
+    def run(batches):
+        ids, vocabulary, weight, asked, names, tags, wanted = shared.value
+        words, marks = pa.array(vocabulary, pa.string()), pa.array(tags, pa.string())
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                b = whole.slice(at, CHUNK)
+                tf = counted(b["terms"], words, len(vocabulary), b["tfs"].flatten().to_numpy(zero_copy_only=False))
+                dl = b["dl"].to_numpy(zero_copy_only=False)
+                score = weight @ (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)))
+                common = asked @ (tf > 0)
+                fits = common > 0
+                if named:
+                    bonus = np.stack([_bonus(q, b["names"], b.num_rows) for q in names]) if names else np.zeros_like(score)
+                    if small:
+                        bonus = np.where(bonus > 0, bonus, 4.0 * common / np.maximum(asked.sum(axis=1, keepdims=True), 1))
+                    score, fits = score + bonus, (fits | (bonus > 0))
+                    if len(tags):
+                        fits &= wanted @ counted(b["tags"], marks, len(tags)) == wanted.sum(axis=1, keepdims=True)
+                q, d = np.nonzero(fits)
+                now = [q, b["doc_id"].to_numpy(zero_copy_only=False)[d], score[q, d]]
+                q, d, s = (np.concatenate(x) for x in zip(best, now, strict=True))
+                order = np.lexsort((d, -np.round(s, 6), q))
+                q, d, s = q[order], d[order], s[order]
+                first = np.searchsorted(q, np.arange(len(ids)))
+                keep = np.arange(len(q)) - first[q] < k
+                best = [q[keep], d[keep], s[keep]]
+        yield pa.record_batch([pa.array(ids[best[0]], pa.int64()) if len(ids) else pa.array([], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2])], ["query_id", "doc_id", "score"])
+
+    cols = ["doc_id", "dl", "terms", "tfs", *(["names", "tags"] if named else [])]
+    found = index.select(*cols).mapInArrow(run, "query_id long, doc_id long, score double").withColumn("score", F.round("score", 6))
+    return top_k(found, "query_id", [F.col("score").desc(), "doc_id"], k)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
@@ -31,37 +147,29 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame |
     ranked. Query tokens count as often as they occur. Only ids and scores are ranked; join
     texts afterwards.
     """
-    index = postings(docs, "doc_id", "text")
-    length = docs.select("doc_id", F.size(tokenize(F.col("text"))).alias("dl"))
-    n, avgdl = length.agg(F.count("*"), F.avg("dl")).first()
-    idf = index.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.agg(F.avg("idf")).first()[0] or 0.0
-    idf = idf.withColumn("idf", F.when(F.col("idf") < 0, F.lit(EPSILON * mean)).otherwise(F.col("idf")))
-    asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf")).join(idf, "token")
+    index = term_index(docs)
+    terms, n, avgdl = query_terms(index, queries)
     if allowed is not None:
         index = index.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
-    wanted = index.join(asked.select("token").distinct(), "token", "left_semi").join(length, "doc_id")
-    weight = wanted.withColumn("w", F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0))))
-    scored = asked.join(weight.select("token", "doc_id", "w"), "token").groupBy("query_id", "doc_id").agg(
-        F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("w")), 6).alias("score")
-    )
-    return top_k(scored, "query_id", [F.col("score").desc(), "doc_id"], k)
+    return lexical(index, terms, n, avgdl, k)
 
 
-def dense(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+def dense(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = 2048, wanted: bool = False) -> DataFrame:
     """queries (query_id, embedding), corpus (vec_id, embedding) -> query_id, vec_id, score, rank by cosine.
 
+    With ``wanted`` a query names tags in that column, and only vectors with all of them in ``tags`` are ranked.
+
     The queries are a stated set and go out in blocks of bounded size; each task keeps its best
     k for each query, so the last step ranks k rows for each query and batch.
     """
-    spark, out, rows = queries.sparkSession, None, queries.select("query_id", "embedding").toLocalIterator()
+    spark, out, rows = queries.sparkSession, None, queries.select("query_id", "embedding", *(["wanted"] if wanted else [])).toLocalIterator()
     while part := [r for _, r in zip(range(block), rows, strict=False)]:
         q = np.array([r["embedding"] for r in part], np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in part]), q))
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in part]), q, [set(r["wanted"] or []) if wanted else set() for r in part]))
 
         def run(frames, shared=shared):
-            ids, q = shared.value
+            ids, q, need = shared.value
             for f in frames:
                 if not len(f):
                     continue
@@ -70,9 +178,15 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = 2048)
                 s = np.round(q @ c.T, 6)
                 vec = f["vec_id"].to_numpy()
                 best = np.stack([np.lexsort((vec, -row))[:k] for row in s])
-                yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "vec_id": vec[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
-
-        found = corpus.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, score double")
+                if any(need):
+                    has = [set(t) for t in f["tags"]]
+                    out_ = np.array([[not n <= t for t in has] if n else [False] * len(has) for n in need])
+                    s[out_] = -2.0
+                    best = np.stack([np.lexsort((vec, -row))[:k] for row in s])
+                found = pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "vec_id": vec[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
+                yield found[found["score"] >= -1.5]
+
+        found = corpus.select("vec_id", "embedding", *(["tags"] if wanted else [])).mapInPandas(run, "query_id long, vec_id long, score double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], "query_id long, vec_id long, score double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnweave.functions.text import estimate_tokens
 from tarnweave.operators import memory
-from tarnweave.sources.tables import table
+from tarnweave.sources.tables import shared_dir, table
 from tarnweave.streaming import state as streams
 
 QUERIES: dict = {}
@@ -153,10 +153,10 @@ g as (select *, sum(fresh) over (partition by user_id, event_type order by ts, e
 select user_id, event_type, "version", v "value", ts valid_from from g where fresh = 1""")
 def stream_scd2(spark, sf):
     s = _stream(spark, sf).select("event_id", "ts", "user_id", "event_type", (F.col("event_id") % 3).cast("string").alias("value"))
-    return streams.run_to_end(streams.stream_versions(s), streams.shared_dir(spark, "stream-versions"))
+    return streams.run_to_end(streams.stream_versions(s), shared_dir(spark, "stream-versions"))
 
 
 @query("select event_type, count(*)::bigint n, count(distinct event_id)::bigint n_ids from events group by 1")
 def stream_ingest_ledger(spark, sf):
-    out = streams.ingest_ledger(_stream(spark, sf), streams.shared_dir(spark, "ledger"))
+    out = streams.ingest_ledger(_stream(spark, sf), shared_dir(spark, "ledger"))
     return out.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("n_ids").alias("n_ids"))

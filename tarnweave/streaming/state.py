@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +11,6 @@ VERSION = "user_id long, event_type string, version long, value string, valid_fr
 STATE = "version long, value string, at timestamp"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared checkpoint folder, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnweave-")
-    return f"{base.rstrip('/')}/tarnweave-{name}-{uuid.uuid4().hex}"
-
-
 def folder_stream(spark: SparkSession, folder: str, file: str, schema) -> DataFrame:
     """A stream of the Parquet files in a folder whose name fits; new files are new data."""
     return spark.readStream.schema(schema).option("pathGlobFilter", file).option("recursiveFileLookup", "true").parquet(folder)
