@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def content_hash(text: Column) -> Column:
-    t = F.regexp_replace(text, "\r\n|\r", "\n")
-    return F.sha2(F.regexp_replace(t, r"^[ \t\n\x0b\x0c]+|[ \t\n\x0b\x0c]+$", ""), 256)
+    t = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n|\r", "\n")).otherwise(text)
+    return F.sha2(F.btrim(t, F.lit(" \t\n\x0b\x0c")), 256)
 
 
 def citation_id(source: Column, chunk: Column) -> Column:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnweave.functions.scores import content_hash
-from tarnweave.functions.text import normalized_key
+from tarnweave.functions.text import nfkc, normalized_key
 
+#: Lines of fences and of tables; fixed forms.
+FENCE = r"^\s*(?:```|~~~)"
+TABLE = r"^\s*\||^\s*[-+|: ]{3,}\s*$|\s\|\s"
+DISALLOWED = r"[\x01-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
 
@@ -30,9 +35,16 @@ def content_duplicates(docs: DataFrame) -> DataFrame:
     return h.join(first, "content_hash")
 
 
+def _line_kinds(docs: DataFrame) -> DataFrame:
+    """Lines with ``layout``: whether a line is of a fence or a table."""
+    w = W.partitionBy("doc_id").orderBy("pos")
+    marks = F.sum(F.col("line").rlike(FENCE).cast("int")).over(w)
+    return lines(docs).withColumn("layout", (marks % 2 == 1) | F.col("line").rlike(FENCE) | F.col("line").rlike(TABLE))
+
+
 def adjacent_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, removed): a line with text goes if the one before it has the same key."""
-    keyed = lines(docs).withColumn("key", normalized_key(F.col("line")))
+    """(doc_id, pos, removed): a line with text goes if the one before it has the same key; lines of code and tables stay."""
+    keyed = _line_kinds(docs).withColumn("key", F.when(~F.col("layout"), normalized_key(F.col("line"))))
     before = F.lag("key").over(W.partitionBy("doc_id").orderBy("pos"))
     return keyed.withColumn("before", before).select(
         "doc_id", F.col("pos").cast("long").alias("pos"), F.coalesce((F.col("key") != "") & (F.col("key") == F.col("before")), F.lit(False)).alias("removed")
@@ -94,19 +106,121 @@ def same_enough(left: str, right: str) -> bool:
 
 
 def near_duplicate_fold(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_removed, text): each line is compared with the last one kept, so it is a fold."""
+    """(doc_id, n_lines, n_removed, text): each line is compared with the last one kept, so it is a fold; code and table rows stay."""
+    fence, table = re.compile(FENCE), re.compile(TABLE)
 
     def run(batches):
         for b in batches:
             total, gone, texts = [], [], []
             for t in b["text"].to_pylist():
-                kept, all_ = [], (t or "").split("\n")
+                kept, all_, inside, last = [], (t or "").split("\n"), False, None
                 for line in all_:
-                    if not (kept and same_enough(kept[-1], line)):
+                    mark = bool(fence.match(line))
+                    layout = mark or inside or bool(table.search(line))
+                    inside ^= mark
+                    if layout or last is None or not same_enough(last, line):
                         kept.append(line)
+                        last = None if layout else line
                 total.append(len(all_))
                 gone.append(len(all_) - len(kept))
                 texts.append("\n".join(kept))
             yield pa.record_batch([b["doc_id"], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_removed", "text"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_lines long, n_removed long, text string")
+
+
+def line_normalize(text: Column, layout: Column) -> Column:
+    """Without BOM, NUL and control signs, line ends as \\n and no blanks before them.
+
+    Where ``layout`` counts (code, tables) nothing else; prose also gets its compatibility form, at
+    most two empty lines in a row, and none at its ends.
+    """
+    t = F.regexp_replace(F.translate(text, "\ufeff\x00", ""), "\r\n|\r", "\n")
+    code = F.regexp_replace(F.regexp_replace(t, DISALLOWED, ""), r"[ \t]+(?=\n|\z)", "")
+    prose = F.regexp_replace(F.regexp_replace(nfkc(t), DISALLOWED, ""), r"(?U)[^\S\n]+(?=\n|\z)", "")
+    return F.when(layout, code).otherwise(F.regexp_replace(F.regexp_replace(prose, "\n{4,}", "\n\n\n"), r"^\n+|\n+$", ""))
+
+
+def is_table_or_code(kind: Column, text: Column) -> Column:
+    return kind.isin("code", "table_row") | text.rlike(FENCE) | text.rlike("(?m:" + TABLE + ")")
+
+
+def block_edges(blocks: DataFrame) -> DataFrame:
+    """(doc_id, idx) of blocks that are repeated headers or footers: paragraphs at an edge of three pages and of half of all."""
+    pages = blocks.filter("page is not null")
+    ends = pages.groupBy("doc_id", "page").agg(F.min("idx").alias("a"), F.max("idx").alias("z"))
+    edges = pages.join(ends, ["doc_id", "page"]).filter("(idx = a or idx = z) and kind = 'paragraph'").withColumn("key", normalized_key(F.col("text")))
+    plain = edges.filter(~is_table_or_code(F.col("kind"), F.col("text")) & (F.col("key") != "") & (F.length("key") <= 160))
+    total = pages.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"))
+    often = plain.groupBy("doc_id", "key").agg(F.countDistinct("page").alias("on")).join(total, "doc_id")
+    often = often.filter((F.col("pages") >= 3) & (F.col("on") >= 3) & (F.col("on") >= F.ceil(F.col("pages") / 2)))
+    return edges.join(often.select("doc_id", "key"), ["doc_id", "key"], "left_semi").select("doc_id", "idx")
+
+
+def adjacent_fold(blocks: DataFrame) -> DataFrame:
+    """(doc_id, idx, fate): kept, exact or near, each paragraph against the last block kept; code and table rows always stay.
+
+    A document's blocks come together in one row, as a fold needs; nothing else does.
+    """
+    rows = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "kind", is_table_or_code(F.col("kind"), F.col("text")).alias("layout"), "text"))).alias("b"))
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for doc, all_ in zip(batch["doc_id"].to_pylist(), batch["b"].to_pylist(), strict=True):
+                last = None
+                for b in all_:
+                    fate = "kept"
+                    if last and b["kind"] == last["kind"] == "paragraph":
+                        if " ".join(b["text"].split()).casefold() == " ".join(last["text"].split()).casefold():
+                            fate = "exact"
+                        elif not b["layout"] and not last["layout"] and same_enough(last["text"], b["text"]):
+                            fate = "near"
+                    if fate == "kept":
+                        last = b
+                    for o, v in zip(out, (doc, b["idx"], fate), strict=True):
+                        o.append(v)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "idx", "fate"])
+
+    return rows.mapInArrow(run, "doc_id long, idx long, fate string")
+
+
+def clean_blocks(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, idx, kind, page, text) -> the blocks that stay, normalised, with new char_start and char_end."""
+    layout = is_table_or_code(F.col("kind"), F.coalesce("text", F.lit("")))
+    full = blocks.withColumn("text", line_normalize(F.coalesce("text", F.lit("")), layout)).filter(F.col("text").rlike(r"\S"))
+    full = full.join(block_edges(full).withColumn("edge", F.lit(True)), ["doc_id", "idx"], "left").withColumn("edge", F.coalesce("edge", F.lit(False)))
+    fates = adjacent_fold(full.filter("not edge"))
+    judged = full.join(fates, ["doc_id", "idx"], "left").withColumn("fate", F.coalesce("fate", F.lit("edge")))
+    kept = judged.filter("fate = 'kept'").withColumn("text", F.regexp_replace("text", r"^\n+|\n+$", ""))
+    before = W.partitionBy("doc_id").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0)).cast("long")
+    kept = kept.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length("text"))
+    return judged.drop("text", "edge").join(kept.select("doc_id", "idx", "text", "char_start", "char_end"), ["doc_id", "idx"], "left")
+
+
+def clean_documents(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, idx, kind, page, text) -> a report for each document: its clean text, what went, marks and a status.
+
+    rejected: nothing is left, or too many replacement signs; warning: anything went or looks odd; else clean.
+    """
+    raw = blocks.groupBy("doc_id").agg(
+        F.count("*").alias("raw_blocks"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("\ufffd"), F.lit("")))).alias("replacements"),
+        F.sum(F.regexp_count("text", F.lit(DISALLOWED))).alias("controls"), F.sum(F.length("text")).alias("raw_chars"),
+    )
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("fate") == "kept", F.struct("idx", "text")))), lambda x: x["text"]), "\n\n")
+    n = lambda fate: F.count_if(F.col("fate") == fate)
+    done = clean_blocks(blocks).groupBy("doc_id").agg(
+        whole.alias("text"), n("kept").alias("clean_blocks"), n("edge").alias("removed_edges"), n("exact").alias("removed_exact"), n("near").alias("removed_near")
+    )
+    d = raw.join(done, "doc_id", "left")
+    counts = ["clean_blocks", "removed_edges", "removed_exact", "removed_near", "replacements", "controls", "raw_chars"]
+    d = d.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts} | {"text": F.coalesce("text", F.lit(""))})
+    visible = F.col("text").rlike(r"[^\s\p{C}]")
+    many = F.col("replacements") > F.greatest(F.lit(3), F.floor(F.col("raw_chars") / 100))
+    binary = F.coalesce(F.try_divide(F.col("controls"), F.col("raw_chars")) > 0.08, F.lit(False))
+    odd = (F.col("replacements") > 0) | (F.col("controls") > 0) | (F.col("removed_edges") + F.col("removed_exact") + F.col("removed_near") > 0)
+    return d.select(
+        "doc_id", F.when(~visible | many | binary, "rejected").when(odd, "warning").otherwise("clean").alias("status"), "raw_blocks", *counts,
+        F.length("text").cast("long").alias("clean_chars"), F.when(F.col("text") == "", "").otherwise(F.sha2("text", 256)).alias("clean_sha256"),
+    )

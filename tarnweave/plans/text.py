@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnweave.functions import safety, scores, text
-from tarnweave.operators import chunking, cleaning
+from tarnweave.operators import chunking, cleaning, structure
 from tarnweave.sources.tables import table
 
 QUERIES: dict = {}
@@ -24,6 +24,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _docs_all(spark, sf):
+    return table(spark, sf, "documents")
+
+
 def _docs(spark, sf):
     return table(spark, sf, "documents")
 
@@ -148,11 +152,73 @@ _LINES = "(select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line
 _KEY = "lower(trim(regexp_replace(line, '[ \\t\\n\\x0b\\x0c\\r]+', ' ', 'g'), ' '))"
 
 
-@query(f"with k as (select *, {_KEY} key from {_LINES}) select doc_id, pos, coalesce(key <> '' and key = lag(key) over (partition by doc_id order by pos), false) removed from k")
+_TABLE_SQL = r"(regexp_matches({0}, '^\s*\|') or regexp_matches({0}, '^\s*[-+|: ]{{3,}}\s*$') or regexp_matches({0}, '\s\|\s'))"
+
+
+@query(f"""with f as (select *, regexp_matches(line, '^\\s*(```|~~~)') f from {_LINES}),
+l as (select *, f or {_TABLE_SQL.format("line")} or sum(f::int) over (partition by doc_id order by pos) % 2 = 1 layout from f),
+k as (select *, case when not layout then {_KEY} end key from l)
+select doc_id, pos, coalesce(key <> '' and key = lag(key) over (partition by doc_id order by pos), false) removed from k""")
 def adjacent_line_dedup(spark, sf):
     return cleaning.adjacent_duplicates(_docs(spark, sf))
 
 
+_BLOCKS = f"""b0 as (select doc_id, pos idx, case when contains(line, ' | ') then 'table_row' else 'paragraph' end kind, case when doc_id % 3 = 0 then pos // 6 end page, line raw, rtrim(line, ' ' || chr(9)) text from {_LINES}),
+b as (select *, kind = 'table_row' or {_TABLE_SQL.format("text")} layout, {_KEY.replace("line", "text")} key from b0 where regexp_matches(text, '\\S')),
+e0 as (select *, idx = min(idx) over (partition by doc_id, page) or idx = max(idx) over (partition by doc_id, page) edge from b where page is not null),
+np as (select doc_id, count(distinct page) pages from e0 group by 1),
+ek as (select doc_id, key from e0 join np using (doc_id) where edge and kind = 'paragraph' and not layout and key <> '' and len(key) <= 160 group by doc_id, key, pages having pages >= 3 and count(distinct page) >= 3 and count(distinct page) >= ceil(pages / 2.0)),
+e as (select doc_id, idx from e0 join ek using (doc_id, key) where edge and kind = 'paragraph'),
+k as (select *, coalesce(kind = 'paragraph' and lag(kind) over o = 'paragraph' and key = lag(key) over o, false) again from b anti join e using (doc_id, idx) window o as (partition by doc_id order by idx))"""
+
+
+def _blocks(spark, sf):
+    """Lines as blocks: those with a bar between blanks are rows of tables, and every third document has pages of six lines."""
+    line = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("idx", "text")
+    b = _docs(spark, sf).select("doc_id", line).withColumn("idx", F.col("idx").cast("long"))
+    kind = F.when(F.contains("text", F.lit(" | ")), "table_row").otherwise("paragraph")
+    return b.select("doc_id", "idx", kind.alias("kind"), F.when(F.col("doc_id") % 3 == 0, F.floor(F.col("idx") / 6)).alias("page"), "text")
+
+
+@query(f"""with {_BLOCKS}, c as (select doc_id, string_agg(text, chr(10) || chr(10) order by idx) filter (where not again) text, count(*) filter (where not again) n, count(*) filter (where again) x from k group by 1),
+r as (select doc_id, count(*) raw_blocks, sum(len(raw)) raw_chars, count(*) filter (where (doc_id, idx) in (from e)) edges from b0 group by 1)
+select doc_id, case when coalesce(text, '') = '' then 'rejected' when edges + coalesce(x, 0) > 0 then 'warning' else 'clean' end status, raw_blocks, coalesce(n, 0)::bigint clean_blocks, edges::bigint removed_edges, coalesce(x, 0)::bigint removed_exact,
+  0::bigint removed_near, 0::bigint replacements, 0::bigint controls, raw_chars::bigint raw_chars, len(coalesce(text, ''))::bigint clean_chars, case when coalesce(text, '') = '' then '' else sha256(text) end clean_sha256 from r left join c using (doc_id)""")
+def clean_document(spark, sf):
+    return cleaning.clean_documents(_blocks(spark, sf))
+
+
+@query(f"""with {_BLOCKS} select doc_id, idx, coalesce(sum(len(text) + 2) over (partition by doc_id order by idx rows between unbounded preceding and 1 preceding), 0)::bigint char_start, len(text)::bigint n_chars from k where not again""")
+def rebuilt_offsets(spark, sf):
+    return cleaning.clean_blocks(_blocks(spark, sf)).filter("fate = 'kept'").select("doc_id", "idx", "char_start", F.length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def structured_chunks(spark, sf):
+    return structure.document_chunks(_docs(spark, sf)).drop("path")
+
+
+@query()
+def structured_parents(spark, sf):
+    return structure.document_parents(_docs(spark, sf))
+
+
+@query("select lang, source, 'topic ' || lang || case when contains('topic ' || lang, 'topic ' || lang) and doc_id % 2 = 0 then ' > part' else '' end || chr(10) || substr(coalesce(text, ''), 1, 80) body, doc_id from documents")
+def retrieval_text(spark, sf):
+    d = _docs_all(spark, sf)
+    head = F.concat(F.lit("topic "), F.col("lang"))
+    path = F.when(F.col("doc_id") % 2 == 0, F.array(head, F.lit("part"))).otherwise(F.array(head))
+    return d.select("lang", "source", structure.retrieval_text(F.substring(F.coalesce("text", F.lit("")), 1, 80), path).alias("body"), "doc_id")
+
+
+@query("""select conv_id, min(turn)::bigint first_turn, max(turn)::bigint last_turn, case when count(distinct role) = 1 then [any_value(role)] || case when count(distinct turn % 2) = 1 then [any_value((turn % 2)::varchar)] else [] end else []::varchar[] end path from conversations group by 1""")
+def chunk_places(spark, sf):
+    """Least and largest place of what belongs together, and the common beginning of its paths."""
+    c = table(spark, sf, "conversations")
+    path = F.array("role", (F.col("turn") % 2).cast("string"))
+    return c.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), structure.common_path(F.collect_list(path)).alias("path"))
+
+
 @query(f"""with p as (select doc_id doc, pos // 3 page, pos, line from {_LINES}),
 e as (select distinct doc, page, pos, key from (select doc, page, pos, {_KEY} key, len(line) n, min(pos) over w a, max(pos) over w z from p window w as (partition by doc, page)) where (pos = a or pos = z) and key <> '' and n <= 160),
 t as (select doc, count(distinct page) pages from p group by 1),
