@@ -7,14 +7,16 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarnweave.functions.text import bind
+
 LABEL = "[redacted]"
-_NAME = r"[\w.-]*(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|authorization)[\w.-]*"
-_NO_VALUE = r"(?!authentication|auth\b|required|incorrect|expired|is\b|was\b|for\b|in\b|of\b|and\b|or\b|not\b|may\b|must\b)"
-#: Pattern and replacement, in order; fixed values.
+# What follows are fixed values: patterns that texts are judged by. Replacements keep group 1 and 2.
+#: Secrets in text, in order.
 SECRET_RULES = [
     (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\z)", LABEL),
-    (rf"(?i)\b({_NAME})(\s*[:=]\s*)(?:bearer\s+|basic\s+)?[\"']?[^\s\"',;]+", rf"$1$2{LABEL}"),
-    (rf"(?i)\b(password|passwd|pwd)\s+{_NO_VALUE}\S{{4,}}", rf"$1 {LABEL}"),
+    (r"(?i)\b([\w.-]*(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|authorization)[\w.-]*)(\s*[:=]\s*)(?:bearer\s+|basic\s+)?[\"']?[^\s\"',;]+", rf"$1$2{LABEL}"),
+    (r"(?i)\b(password|passwd|pwd)\s+(?!authentication|auth\b|required|incorrect|expired|is\b|was\b|for\b|in\b|of\b|and\b|or\b|not\b|may\b|must\b)\S{4,}", rf"$1 {LABEL}"),
+    (r"(令牌|密钥|私钥|口令|密码|凭证)\s*(?:[:：=]|是|为)\s*(?![?？]|什么|啥|哪个|如何|怎么)[^\s，。！？；、]+", rf"$1：{LABEL}"),
     (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{8,}", f"Bearer {LABEL}"),
     (r"\bsk-[A-Za-z0-9_-]{8,}", LABEL),
     (r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b", LABEL),
@@ -22,15 +24,59 @@ SECRET_RULES = [
     (r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b", LABEL),
     (r"(://[^:/\s@]+:)[^@\s]+@", rf"$1{LABEL}@"),
 ]
-#: Text that tries to steer an agent; fixed values.
+#: A sign that must be in a text for the rule at that place to fit; empty where there is none.
+SECRET_SIGNS = [("PRIVATE KEY",), (":", "="), (), ("令牌", "密钥", "私钥", "口令", "密码", "凭证"), ("earer", "EARER"), ("sk-",), ("gh", "github_pat_"), ("AKIA",), ("eyJ",), ("://",)]
+#: Secrets and local places in evaluation reports, in order.
+REPORT_RULES = [
+    (r"-----BEGIN(?: [A-Z]+)? PRIVATE KEY-----[\s\S]*?(?:-----END(?: [A-Z]+)? PRIVATE KEY-----|$)", LABEL),
+    (r"(?i)(?:[A-Z]:\\|\\\\)[^\r\n\"']+", LABEL),
+    (r"(?i)(?:/home/|/users/|/tmp/|/var/tmp/)[^\r\n\"']+", LABEL),
+    (r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", f"Bearer {LABEL}"),
+    (r"\bsk-[A-Za-z0-9_-]{12,}\b", LABEL),
+    (r"(?i)\b(?:ghp|github_pat)_[A-Za-z0-9_]{16,}\b", LABEL),
+    (r"\bAKIA[0-9A-Z]{16}\b", LABEL),
+    (r"(?i)\b(password|passwd|secret|api[_-]?key|token)\s*[:=]\s*([^\s,;]+)", rf"$1={LABEL}"),
+]
+SECRET_KEY = r"(?i)(?:password|passwd|secret|api[_-]?key|access[_-]?key|token|auth(?:orization)?|cookie|private[_-]?key)"
+COUNTING_KEYS = ("prompt_tokens", "completion_tokens", "total_tokens")
+#: Text that tries to steer an agent.
 INSTRUCTION = (
     r"(?:忽略|无视|绕过|覆盖).{0,12}(?:规则|指令|提示词|限制|策略|系统)"
     r"|(?:ignore|disregard|bypass|override).{0,24}(?:instruction|rule|prompt|polic)"
-    r"|(?:系统提示词|system prompt)|always (?:approve|agree)|始终同意"
+    r"|(?:系统提示词|system prompt)"
+    r"|(?:不需要|不用|无需|不必)(?:再)?(?:询问|告知|确认|通知|审批|经过)"
+    r"|(?:直接|立刻|立即|必须先?|务必)(?:\S{0,6})(?:删除|清空|结束|杀掉|格式化|执行|运行)"
+    r"|AI\s*(?:助手|维护|agent)|\[?OPS-NOTE\]?|始终同意|always (?:approve|agree)"
 )
-#: Commands that cannot be undone, and commands that change something; fixed values.
+#: Injections by name.
+INJECTIONS = {
+    "instruction-override": r"(?:ignore|disregard)\s+(?:all\s+)?(?:previous|prior|system)\s+instructions?",
+    "instruction-override-zh": r"(?:忽略|无视|不要遵守)(?:之前|先前|系统|以上)?(?:的)?(?:指令|提示|规则)",
+    "prompt-disclosure": r"(?:reveal|print|show)\s+(?:the\s+)?(?:system\s+)?prompt",
+    "prompt-disclosure-zh": r"(?:显示|泄露|输出)(?:系统)?(?:提示词|系统提示)",
+    "role-override": r"\byou\s+are\s+now\b",
+    "role-override-zh": r"你现在是",
+}
+#: Credentials in an answer by name.
+CREDENTIALS = {
+    "private-key": r"-----BEGIN(?: [A-Z]+)? PRIVATE KEY-----",
+    "api-key": r"\bsk-(?:proj-)?[A-Za-z0-9_-]{16,}\b",
+    "github-token": r"\b(?:ghp|github_pat)_[A-Za-z0-9_]{16,}\b",
+    "authorization": r"\b(?:authorization\s*:\s*bearer|bearer)\s+[A-Za-z0-9._~+/=-]{16,}",
+    "credential-assignment": r"\b(?:api[_-]?key|token|password|secret)\s*[=:]\s*['\"]?[A-Za-z0-9._~+/=-]{12,}",
+}
+#: Commands of an answer that need a warning, by name.
+UNSAFE_COMMANDS = {
+    "recursive-force-delete": r"\brm\s+[^\n]*(?:-rf|-fr|--recursive[^\n]*--force)",
+    "hard-reset": r"\bgit\s+reset\s+--hard\b",
+    "force-push": r"\bgit\s+push\b[^\n]*(?:--force|-f)\b",
+    "destructive-sql": r"\b(?:drop|truncate)\s+(?:table|database|schema)\b",
+    "pipe-to-shell": r"\bcurl\b[^\n|]*\|\s*(?:sudo\s+)?(?:sh|bash)\b",
+    "windows-force-delete": r"\b(?:remove-item|del|erase|rmdir)\b[^\n]*(?:-recurse|-force|/f|/s)\b",
+}
+#: Commands that cannot be undone, and commands that change something.
 HIGH_RISK = {
-    "recursive_delete": r"\brm\s+[^\n]*-[a-zA-Z]*(?:r[a-zA-Z]*f|f[a-zA-Z]*r)",
+    "recursive_delete": r"\brm\s+[^\n]*-[a-zA-Z]*r[a-zA-Z]*f|\brm\s+[^\n]*-[a-zA-Z]*f[a-zA-Z]*r",
     "git_reset_hard": r"\bgit\s+reset\s+--hard\b",
     "git_force_push": r"\bgit\s+push\b[^\n]*(?:--force(?:-with-lease)?|-f)\b",
     "drop_object": r"\b(?:drop|truncate)\s+(?:table|database|schema)\b",
@@ -42,7 +88,7 @@ HIGH_RISK = {
     "force_kill": r"\btaskkill\b[^\n]*/f\b",
 }
 MEDIUM_RISK = {
-    "sudo": r"(?:^|\s)sudo\s+",
+    "sudo": r"(^|\s)sudo\s+",
     "git_clean": r"\bgit\s+clean\b|\bgit\s+branch\s+-D\b",
     "docker_remove": r"\bdocker\s+(?:rm|rmi)\b",
     "delete_rows": r"\bdelete\s+from\b",
@@ -53,8 +99,27 @@ MEDIUM_RISK = {
 }
 
 
-def redact(text: Column, rules=SECRET_RULES) -> Column:
-    return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, text)
+def _rule(pattern: str, new: str, signs: tuple[str, ...]):
+    """A rule that only runs on texts with a sign it needs, which is cheaper to look for."""
+    has = lambda t: reduce(lambda a, x: a | F.contains(t, F.lit(x)), signs, F.lit(not signs))
+    return lambda t: F.when(has(t), F.regexp_replace(t, pattern, new)).otherwise(t)
+
+
+def redact(text: Column) -> Column:
+    """Secrets written over."""
+    for (pattern, new), signs in zip(SECRET_RULES, SECRET_SIGNS, strict=True):
+        text = bind(text, _rule(pattern, new, signs))
+    return text
+
+
+def redact_report(text: Column) -> Column:
+    """Secrets and local paths of an evaluation report written over."""
+    return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), REPORT_RULES, text)
+
+
+def is_secret_key(key: Column) -> Column:
+    """Whether a field of that name holds a secret; counts of tokens do not."""
+    return key.rlike(SECRET_KEY) & ~F.lower(key).isin(*COUNTING_KEYS)
 
 
 def is_sensitive(text: Column, rules=SECRET_RULES) -> Column:

@@ -202,3 +202,34 @@ def safe_trajectories(turns: DataFrame, most_tokens: int = 12288) -> DataFrame:
     t = t.withColumns({"n_context": F.count("*").over(w), "context_tokens": F.coalesce(F.sum("tokens").over(w), F.lit(0))})
     s = t.filter((F.col("role") == "assistant") & F.col("text").isNotNull() & (F.col("n_context") > 0) & (F.col("tokens") + F.col("context_tokens") <= most_tokens))
     return split(s.select("conv_id", "turn", "n_context", "context_tokens"), "conv_id", 4)
+
+
+def protected_texts(topics: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """topics (title, aliases) and evaluation (query) -> text: all distinct names and questions that training data must not hold."""
+    names = topics.select(F.explode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("text"))
+    every = names.unionByName(evaluation.select(F.col("query").alias("text"))).select(F.trim("text").alias("text"))
+    return every.filter("text <> ''").distinct()
+
+
+def last_good_call(calls: DataFrame) -> DataFrame:
+    """calls (qid, pos, task, finish, content) -> the last answer call of each question whose content is a JSON object with a summary."""
+    summary = F.get_json_object("content", "$.summary")
+    good = calls.filter((F.col("task") == "answer") & (F.col("finish") == "stop") & F.startswith(F.ltrim("content"), F.lit("{")) & (F.coalesce(F.trim(summary), F.lit("")) != ""))
+    return good.groupBy("qid").agg(F.max_by(F.struct("pos", "content"), "pos").alias("r")).select("qid", "r.pos", F.get_json_object("r.content", "$.summary").alias("summary"))
+
+
+def evaluation_cases(topics: DataFrame, all_of: str) -> DataFrame:
+    """topics (id, domain, aliases) -> case_id, query, expected: a case for the first alias of a topic, for every alias in domain ``all_of``.
+
+    Case numbers follow the topic's id and the alias's place within its domain, so they stay when other domains grow.
+    """
+    each = topics.select("id", "domain", F.posexplode(F.filter("aliases", lambda a: F.trim(a) != "")).alias("pos", "query")).filter((F.col("pos") == 0) | (F.col("domain") == all_of))
+    n = F.row_number().over(W.partitionBy("domain").orderBy("id", "pos"))
+    return each.select(F.concat(F.col("domain"), F.lit("-"), F.lpad(n.cast("string"), 5, "0")).alias("case_id"), "query", F.col("id").alias("expected"))
+
+
+def follow_up_cases(turns: DataFrame) -> DataFrame:
+    """turns (conv_id, turn, role, text) -> a case for each user turn after another: the question before it, and the follow-up."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    asked = turns.filter("role = 'user'").withColumns({"previous": F.lag("text").over(w), "n": F.row_number().over(w)})
+    return asked.filter("n > 1").select("conv_id", "turn", "previous", F.col("text").alias("follow_up"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnweave.functions import safety
 from tarnweave.functions.scores import age_decay, freshness, reliability
+from tarnweave.functions.text import dice, estimate_tokens, signature_tokens
 
 
 def turn_pairs(messages: DataFrame) -> DataFrame:
@@ -136,3 +140,182 @@ def expire(plans: DataFrame, now) -> DataFrame:
 def claim(tasks: DataFrame, profiles: DataFrame) -> DataFrame:
     """Pending tasks whose epoch is still the profile's."""
     return tasks.filter("status = 'pending'").join(profiles.select("user_id", F.col("epoch").alias("now_epoch")), "user_id").filter("epoch = now_epoch").drop("now_epoch")
+
+
+#: Other words for a slot and for its values; fixed values.
+SLOT_KEYS = {"language": ("language", "lang", "response_language", "answer_language"), "detail": ("detail", "verbosity", "detail_level"), "developer_level": ("developer_level", "expertise", "level", "skill")}
+SLOT_VALUES = {
+    "language": {"en": ("en", "en-us", "english", "英文", "英语"), "zh-CN": ("zh", "zh-cn", "chinese", "中文", "汉语")},
+    "detail": {"concise": ("concise", "brief", "short", "简短", "简洁", "精炼"), "detailed": ("detailed", "verbose", "详细", "展开", "多解释")},
+    "developer_level": {
+        "beginner": ("beginner", "novice", "junior", "新手", "初学者", "入门"), "intermediate": ("intermediate", "mid", "中级"),
+        "advanced": ("advanced", "senior", "expert", "高级", "资深", "专家"),
+    },
+}
+#: Technologies by the slot they fill; they come before what a key claims. Fixed values.
+TECHNOLOGIES = {
+    "os": ("windows", "macos", "linux", "ubuntu", "debian"), "shell": ("powershell", "bash", "zsh"), "package_manager": ("pnpm", "npm", "yarn", "pip", "poetry"),
+    "database": ("postgresql", "mysql", "sqlite", "redis"), "runtime": ("python", "node.js", "java", "go"),
+}
+PERSISTS = r"(?i)\b(?:always|from now on|by default|remember|prefer|in future)\b|以后|默认|记住|总是|一直|今后"
+ASKS = r"[?？]\s*$|(?i)^\s*(?:what|why|how|which|who|when|where|is|are|can|does)\b|什么|怎么|如何|吗"
+CORRECTS = r"(?i)\b(?:instead|not .{1,20} but|switch(?:ed)? to|no longer)\b|改用|换成|不是.{1,12}(?:而?是)"
+CONSTRAINT = r"(?i)\b(?:this|our|the) project\b.{0,20}?\b(must|must not|only|never|requires?)\b([^.!?]{2,120})"
+
+
+def _as_map(pairs: dict) -> Column:
+    return F.create_map(*[F.lit(x) for canonical, words in pairs.items() for w in words for x in (w, canonical)])
+
+
+NEGATED = r"(?<!\bnot )(?<!instead of )(?<!rather than )(?<!no longer )(?<!no longer use )(?<!avoid )"
+
+
+def _named(text: Column, word: str, before: str = "") -> Column:
+    return F.lower(text).rlike(rf"(?<![a-z0-9_.+-]){before}{re.escape(word)}(?![a-z0-9_+-])")
+
+
+def slot_of(key: Column, value: Column) -> Column:
+    """The slot that a fact fills: by its value if that names one technology, else by its key; null if by neither."""
+    slots = F.array_compact(F.array(*[F.when(_any_named(value, words), F.lit(slot)) for slot, words in TECHNOLOGIES.items()]))
+    k = F.translate(F.regexp_replace(F.lower(key), r"[^a-z0-9_.:-]+", "_"), "-:", "__")
+    return F.when(F.size(slots) == 1, F.get(slots, F.lit(0))).otherwise(F.coalesce(F.try_element_at(_as_map(SLOT_KEYS), k), F.when(k.isin(*TECHNOLOGIES), k)))
+
+
+def _any_named(value: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out |= _named(value, w)
+    return out
+
+
+def canonical_value(slot: Column, value: Column) -> Column:
+    """The usual word for a value of a slot; other values lower-cased with single blanks."""
+    v = F.lower(F.trim(F.regexp_replace(value, r"\s+", " ")))
+    out = F.lit(None).cast("string")
+    for s, values in SLOT_VALUES.items():
+        out = F.when(slot == s, F.try_element_at(_as_map(values), v)).otherwise(out)
+    for s, words in TECHNOLOGIES.items():
+        named = F.get(F.array_compact(F.array(*[F.when(_named(value, w), F.lit(w)) for w in words])), F.lit(0))
+        out = F.when(slot == s, named).otherwise(out)
+    return F.coalesce(out, v)
+
+
+def signal_gate(messages: DataFrame) -> DataFrame:
+    """messages (id, text) -> id, slot, value, action for each thing worth remembering; the last mention of a slot wins.
+
+    Nothing is taken from long or sensitive messages, from attempts to steer, or from mere questions.
+    """
+    t = F.coalesce("text", F.lit(""))
+    fine = (F.length(t) <= 1200) & ~safety.is_sensitive(t) & ~safety.looks_like_instruction(t)
+    lasting = (t.rlike(PERSISTS) | t.rlike(CORRECTS)) & ~t.rlike(ASKS)
+    action = F.when(t.rlike(CORRECTS), "SUPERSEDE").otherwise("ADD")
+    low = F.lower(t)
+    last = lambda word: F.length(low) - F.instr(F.reverse(low), F.reverse(F.lit(word))) - len(word) + 2
+    found = []
+    for s, values in SLOT_VALUES.items():
+        for canonical, words in values.items():
+            for w in words:
+                there = F.contains(low, F.lit(w)) if ord(w[0]) > 127 else _named(t, w, NEGATED)
+                found.append(F.when(there & lasting & F.lit(len(w) > 2 or ord(w[0]) > 127), F.struct(F.lit(s).alias("slot"), last(w).alias("at"), F.lit(canonical).alias("value"))))
+    for s, words in TECHNOLOGIES.items():
+        for w in words:
+            found.append(F.when(_named(t, w, NEGATED) & lasting, F.struct(F.lit(s).alias("slot"), last(w).alias("at"), F.lit(w).alias("value"))))
+    rule = F.trim(F.concat(F.regexp_extract(t, CONSTRAINT, 1), F.regexp_extract(t, CONSTRAINT, 2)))
+    found.append(F.when(t.rlike(CONSTRAINT) & ~t.rlike(ASKS), F.struct(F.lit("project_constraint").alias("slot"), F.lit(0).alias("at"), F.lower(rule).alias("value"))))
+    each = messages.filter(fine).select("id", action.alias("action"), F.explode(F.array_compact(F.array(*found))).alias("x"))
+    best = each.groupBy("id", "x.slot").agg(F.max_by(F.col("x.value"), F.struct("x.at", F.length("x.value"))).alias("value"), F.first("action").alias("action"))
+    return best.select("id", "slot", "value", "action")
+
+
+def trusted(facts: DataFrame, text: str) -> DataFrame:
+    """Facts whose stored text holds no secret and no attempt to steer; looked at again on the way out."""
+    t = F.coalesce(text, F.lit(""))
+    return facts.filter(~safety.is_sensitive(t) & ~safety.looks_like_instruction(t))
+
+
+def payload(memories: DataFrame, most: int = 4, budget: int = 400) -> DataFrame:
+    """memories (owner, place, text) -> those that go to a model: trusted, at most ``most`` in order of place, within ``budget`` estimated tokens.
+
+    One that doesn't fit is passed over and the next ones still count: ``most`` rounds each take the first that fits.
+    """
+    left = trusted(memories, "text").withColumn("tokens", estimate_tokens(F.col("text")))
+    taken = None
+    used = left.select("owner").distinct().withColumns({"used": F.lit(0).cast("long"), "after": F.lit(-1).cast("long")})
+    for _ in range(most):
+        fits = left.join(used, "owner").filter((F.col("used") + F.col("tokens") <= budget) & (F.col("place") > F.col("after")))
+        first = fits.groupBy("owner").agg(F.min_by(F.struct("place", "text", "tokens", "used"), "place").alias("r"))
+        row = first.select("owner", "r.place", "r.text", "r.tokens", F.col("r.used").alias("before"))
+        taken = row if taken is None else taken.unionByName(row)
+        used = row.select("owner", (F.col("before") + F.col("tokens")).alias("used"), F.col("place").alias("after"))
+    return taken.select("owner", "place", "text", "tokens")
+
+
+def local_summary(turns: DataFrame, constraint: str, limit: int = 12) -> DataFrame:
+    """turns (conv_id, turn, text) of users -> conv_id, goal (the last text), topics and constraints: the last distinct ones, in order."""
+    full = turns.filter(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("text", F.substring(safety.redact(F.col("text")), 1, 180))
+    last = full.groupBy("conv_id", "text").agg(F.max("turn").alias("turn"), F.first(F.col("text").rlike(constraint)).alias("binds"))
+    place = W.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    ranked = last.withColumn("n", F.row_number().over(place)).withColumn("c", F.row_number().over(W.partitionBy("conv_id", "binds").orderBy(F.col("turn").desc())))
+    ordered = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("turn", "text")))), lambda x: x["text"])
+    return ranked.groupBy("conv_id").agg(
+        F.max_by("text", "turn").alias("goal"), ordered(F.col("n") <= limit).alias("topics"), ordered(F.col("binds") & (F.col("c") <= limit)).alias("constraints")
+    )
+
+
+def episode_duplicates(episodes: DataFrame, least: float = 0.8) -> DataFrame:
+    """episodes (id, project, outcome, symptom, keys) -> id, first: the earliest episode with the same keys and a symptom alike (Dice).
+
+    Only episodes of one project and outcome with equal key sets are compared, and of these only such as
+    share one of their rarest tokens: of n tokens all but two thirds, and one more, as others can't be alike enough.
+    """
+    e = episodes.select("id", "project", "outcome", F.array_sort(F.array_distinct("keys")).alias("keys"), signature_tokens(F.col("symptom")).alias("t"))
+    equal = e.groupBy("project", "outcome", "keys", "t").agg(F.min("id").alias("rep"))  # equal symptoms first, so that groups of copies are one row
+    cols = ["project", "outcome", "keys"]
+    token = equal.select(*cols, "rep", "t", F.explode("t").alias("token"))
+    common = token.groupBy("token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy("rep").orderBy("df", "token"))
+    needed = F.ceil(F.size("t") * (least / (2 - least)) - 1e-9)
+    token = token.join(common, "token").withColumn("place", place).filter(F.col("place") <= F.size("t") - needed + 1).drop("df", "place")
+    pairs = token.join(token.select(*cols, F.col("rep").alias("other"), F.col("t").alias("t2"), "token"), [*cols, "token"]).filter("other < rep")
+    pairs = pairs.select("rep", "other", "t", "t2").dropDuplicates(["rep", "other"]).filter(dice(F.col("t"), F.col("t2")) >= least)
+    first = pairs.groupBy("rep").agg(F.min("other").alias("first"))
+    known = e.join(equal, [*cols, "t"]).join(first, "rep", "left")
+    return known.select("id", F.coalesce("first", "rep").alias("first"))
+
+
+def observed_facts(trace: DataFrame) -> DataFrame:
+    """trace (run_id, pos, tool, ok, target, output) -> run_id, kind, value: what tools saw, so log text can't make a fact.
+
+    A run's health URL is the last one that answered with HTTP 2xx.
+    """
+    t = trace.filter("ok")
+    kind = (
+        F.when(F.col("tool") == "service_status", F.when(F.col("output").rlike(r"^(?:running|stopped)"), "service"))
+        .when(F.col("tool") == "read_file", F.when(F.contains("target", F.lit("/log")), "log_file"))
+        .when(F.col("tool") == "edit_file", F.when(F.col("target").rlike(r"\.(?:conf|ini|ya?ml|toml|json|env)$"), "config_file"))
+        .when(F.col("tool") == "run_script", F.when(F.startswith("output", F.lit("exit 0")), "maintenance_command"))
+    )
+    seen = t.select("run_id", kind.alias("kind"), F.col("target").alias("value")).filter("kind is not null").distinct()
+    url = t.filter((F.col("tool") == "http_check") & F.startswith("output", F.lit("HTTP 2"))).groupBy("run_id").agg(F.max_by("target", "pos").alias("value"))
+    return seen.unionByName(url.select("run_id", F.lit("health_url").alias("kind"), "value"))
+
+
+def learned(runs: DataFrame, trace: DataFrame, known: DataFrame) -> DataFrame:
+    """runs (run_id, project, symptom, verified, tested) -> one episode for each run that is new and verified or tested.
+
+    known (run_id) are runs learned from before; a run that comes twice counts once. Columns: run_id, project, symptom, outcome, n_writes, facts.
+    """
+    fresh = runs.filter("verified is not null and (verified or tested)").dropDuplicates(["run_id"]).join(known.select("run_id"), "run_id", "left_anti")
+    writes = trace.filter("ok and writes").groupBy("run_id").agg(F.count("*").alias("n_writes"))
+    facts = observed_facts(trace).groupBy("run_id").agg(F.array_sort(F.collect_set(F.concat_ws("=", "kind", "value"))).alias("facts"))
+    out = fresh.join(writes, "run_id", "left").join(facts, "run_id", "left").filter("n_writes > 0 and symptom <> ''")
+    none = F.array().cast("array<string>")
+    return out.select("run_id", "project", "symptom", F.when(F.col("verified"), "verified").otherwise("failed").alias("outcome"), "n_writes", F.when(F.col("verified"), F.coalesce("facts", none)).otherwise(none).alias("facts"))
+
+
+def first_and_recurrence(rows: DataFrame, keys: list[str], family: str, order: str) -> DataFrame:
+    """``rows`` with occurrence (from 1) of their family within ``keys``, and whether it is the first one, the last one, or both."""
+    w = W.partitionBy(*keys, family).orderBy(order)
+    n = F.row_number().over(w)
+    total = F.count("*").over(W.partitionBy(*keys, family))
+    return rows.withColumns({"occurrence": n.cast("long"), "recurs": total > 1}).withColumn("is_last", F.col("occurrence") == total)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog, corpus, evaluation, relational, retrieval, search, state, text
+from . import answers, catalog, corpus, evaluation, memories, records, relational, retrieval, search, state, text
 
-MODULES = [text, relational, search, retrieval, evaluation, state, corpus, catalog]
+MODULES = [text, relational, search, retrieval, evaluation, state, corpus, catalog, records, memories, answers]
 
 
 def queries() -> dict:

@@ -78,3 +78,43 @@ def publish(df: DataFrame, path: str, key: list[str], fmt: str = "parquet") -> D
 
 def write_split(df: DataFrame, path: str) -> None:
     df.write.partitionBy("split").mode("overwrite").json(path)
+
+
+RECIPE = "id string, title string, domain string, steps array<struct<title:string,code:string>>"
+
+
+def read_recipes(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON array of recipes, a row each."""
+    return spark.read.schema(RECIPE).option("multiLine", True).json(path)
+
+
+def recipe_errors(recipes: DataFrame) -> DataFrame:
+    """id, rule: recipes without id or steps, steps without code, and ids that occur twice."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    found = F.array_compact(F.array(
+        F.when(blank(F.col("id")), F.lit("id")), F.when(F.coalesce(F.size("steps"), F.lit(0)) <= 0, F.lit("steps")), F.when(F.exists("steps", lambda x: blank(x["code"])), F.lit("code")),
+    ))
+    twice = recipes.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 and id is not null").select("id", F.lit("duplicate").alias("rule"))
+    return recipes.select("id", F.explode(found).alias("rule")).unionByName(twice)
+
+
+def write_report(results: DataFrame, report: DataFrame, path: str) -> None:
+    """An evaluation as files: the report as JSON, a table of its numbers as Markdown, failed cases as JSON lines, and a manifest."""
+    report.coalesce(1).write.mode("overwrite").json(f"{path}/report")
+    results.filter("not passed").write.mode("overwrite").json(f"{path}/failed")
+    lines = F.array(*[F.concat(F.lit(f"| {c} | "), F.coalesce(F.col(c).cast("string"), F.lit("-")), F.lit(" |")) for c in report.columns])
+    head = F.array(F.lit("| metric | value |"), F.lit("| --- | --- |"))
+    report.select(F.explode(F.concat(head, lines)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/summary")
+    ids = results.agg(F.count("*").alias("cases"), F.sha2(F.bit_xor(F.xxhash64("case_id")).cast("string"), 256).alias("case_fingerprint"))
+    ids.withColumn("columns", F.lit(",".join(sorted(results.columns)))).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def fixture_errors(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """files (name, content) against a manifest (name, sha256, case_count) -> name, rule: missing, hash, blank_line or count."""
+    lines = F.split(F.regexp_replace(F.col("content"), "\n\\z", ""), "\n", -1)
+    f = files.select("name", F.sha2("content", 256).alias("has"), F.size(lines).alias("n"), F.exists(lines, lambda x: F.trim(x) == "").alias("blank"))
+    j = expected.join(f, "name", "left")
+    found = F.array_compact(F.array(
+        F.when(F.col("has").isNull(), F.lit("missing")), F.when(F.col("has") != F.col("sha256"), F.lit("hash")), F.when(F.col("blank"), F.lit("blank_line")), F.when(F.col("n") != F.col("case_count"), F.lit("count")),
+    ))
+    return j.select("name", F.explode(found).alias("rule"))
