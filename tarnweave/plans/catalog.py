@@ -262,3 +262,13 @@ def ordered_mentions(spark, sf):
     words = {w: [w] for w in ("signup", "purchase", "view", "click", "error")}
     text = F.concat(F.when(F.col("event_id") % 2 == 0, "please do not use ").otherwise("please use "), "event_type")
     return mention_table(table(spark, sf, "events").select("event_id", text.alias("text")), "event_id", words).select("event_id", F.array_join("mentions", ",").alias("mentions"))
+
+
+@query("""select event_id, case event_id % 4 when 0 then event_type when 1 then '!' || event_type when 2 then 'rust' else event_type || ',rust' end mentions from events""")
+def settled_mentions(spark, sf):
+    from tarnweave.operators.mentions import mention_table
+
+    k = F.col("event_id") % 4
+    words = {w: [w] for w in ("signup", "purchase", "view", "click", "error", "rust")}
+    text = F.concat(F.when(k == 0, "I use ").when(k == 1, "please do not use ").when(k == 2, "not ").otherwise("use "), "event_type", F.when(k == 2, " but rust").when(k == 3, F.concat(F.lit(", rust, "), "event_type")).otherwise(""))
+    return mention_table(table(spark, sf, "events").select("event_id", text.alias("text")), "event_id", words, True).select("event_id", F.array_join("mentions", ",").alias("mentions"))

@@ -41,7 +41,14 @@ def messages_after_boundary(spark, sf):
     return memory.after_boundary(c, b).select("conv_id", "turn")
 
 
-@query()
+_PAIRS = r"""p as (select conv_id, turn, text, role, lead(role) over w nr, lead(text) over w nt from conversations where role in ('user', 'assistant') and trim(coalesce(text, '')) <> '' window w as (partition by conv_id order by turn)),
+k as (select conv_id, turn, (greatest(1, ceil(octet_length(encode(text)) / 4.0)) + greatest(1, ceil(octet_length(encode(nt)) / 4.0)))::bigint n from p where role = 'user' and nr = 'assistant')"""
+
+
+@query(f"""with recursive {_PAIRS}, o as (select *, row_number() over (partition by conv_id order by turn desc) - 1 i from k),
+r as (select conv_id, turn, n, i, n <= 1800 ok, 1800 - case when n <= 1800 then n + 360 else 0 end rest, false stop from o where i = 0 union all
+  select o.conv_id, o.turn, o.n, o.i, o.n <= r.rest, r.rest - case when o.n <= r.rest then o.n else 0 end, o.n > r.rest and o.i >= 2 from r join o on o.conv_id = r.conv_id and o.i = r.i + 1 where not r.stop)
+select conv_id, turn, n tokens from r where ok""")
 def recent_turn_budget(spark, sf):
     p = memory.turn_pairs(table(spark, sf, "conversations"))
     return memory.budgeted_turns(p.select("conv_id", F.col("user_turn").alias("turn"), (estimate_tokens(F.col("question")) + estimate_tokens(F.col("answer"))).alias("tokens")))
@@ -123,7 +130,10 @@ def decay_rank(spark, sf):
     return memory.decayed(table(spark, sf, "events").select("event_id", (i % 400).cast("double").alias("days"), (i % 11 == 0).alias("pinned"), (i % 30).alias("uses"))).select("event_id", "multiplier")
 
 
-@query()
+@query("""with recursive m as (select user_id "key", event_id item, (20 + event_id % 200)::bigint tokens, row_number() over (partition by user_id order by value desc, event_id)::bigint "rank" from events),
+r as (select distinct "key", 0 n, 400::bigint rest, 0::bigint "rank", 0::bigint item, 0::bigint tokens from m union all
+  select * from (select r."key", r.n + 1, r.rest - arg_min(m.tokens, m."rank"), min(m."rank"), arg_min(m.item, m."rank"), arg_min(m.tokens, m."rank") from r join m on m."key" = r."key" and m."rank" > r."rank" and m.tokens <= r.rest where r.n < 4 group by r."key", r.n, r.rest))
+select "key", "rank", item, tokens from r where n > 0""")
 def memory_select_budget(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("item"), (20 + F.col("event_id") % 200).alias("tokens"), "value")
     place = F.row_number().over(W.partitionBy("key").orderBy(F.col("value").desc(), "item")).cast("long")
@@ -156,6 +166,12 @@ def stream_scd2(spark, sf):
     return streams.run_to_end(streams.stream_versions(s), shared_dir(spark, "stream-versions"))
 
 
+@query("select user_id, count(*)::bigint n, 'active' status from events group by 1")
+def stream_activity(spark, sf):
+    """Keyed state with expiry; within a day of processing time every key is active."""
+    return streams.latest_activity(_stream(spark, sf), shared_dir(spark, "activity"))
+
+
 @query("select event_type, count(*)::bigint n, count(distinct event_id)::bigint n_ids from events group by 1")
 def stream_ingest_ledger(spark, sf):
     out = streams.ingest_ledger(_stream(spark, sf), shared_dir(spark, "ledger"))

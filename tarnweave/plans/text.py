@@ -243,7 +243,10 @@ def near_dup_fold(spark, sf):
     return cleaning.near_duplicate_fold(_docs(spark, sf)).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("h"))
 
 
-@query()
+# The tables have neither headings nor fences, so blocks are runs of lines with text.
+@query(f"""with o as (select doc_id, pos, line, (sum(len(line) + 1) over (partition by doc_id order by pos) - len(line) - 1)::bigint off, regexp_matches(line, '\\S') f from {_LINES}),
+g as (select *, sum((not f)::int) over (partition by doc_id order by pos) g from o), b as (select doc_id, g, min(off) char_start, max(off + len(rtrim(line, {WSQL}))) char_end from g where f group by 1, 2)
+select doc_id, (row_number() over (partition by doc_id order by g) - 1)::bigint idx, 'paragraph' kind, char_start, char_end, '' heading_path, substr(text, char_start + 1, char_end - char_start) text from b join documents using (doc_id)""")
 def block_extract(spark, sf):
     return chunking.extract_blocks(_docs(spark, sf))
 

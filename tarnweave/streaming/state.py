@@ -17,11 +17,16 @@ def folder_stream(spark: SparkSession, folder: str, file: str, schema) -> DataFr
 
 
 def next_versions(key, frames, state: GroupState):
-    """Emit a row for each change of value of a key; equal values (trimmed, lower-cased) only move the clock."""
+    """Emit a row for each change of value of a key; equal values (trimmed, lower-cased) only move the clock.
+
+    An event from before the last one of an earlier batch comes too late: it changes nothing.
+    """
     version, value, at = state.get if state.exists else (0, None, None)
     rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    out = []
+    out, late = [], at
     for r in rows.itertuples(index=False):
+        if late is not None and r.ts < late:
+            continue
         if version == 0 or str(r.value).strip().lower() != str(value).strip().lower():
             version, value = version + 1, r.value
             out.append((key[0], key[1], version, value, r.ts))
@@ -59,13 +64,35 @@ def run_to_end(stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def latest_activity(events: DataFrame, out: str) -> DataFrame:
+    """user_id, n, status of ``stream_ttl`` after all that is there: the last update of each key."""
+    spark = events.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    stream_ttl(events).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", out + "-checkpoint").trigger(once=True).start().awaitTermination()
+    every = spark.read.option("basePath", out).parquet(out)
+    return every.groupBy("user_id").agg(F.max_by(F.struct("n", "status"), "batch").alias("r")).select("user_id", "r.n", "r.status")
+
+
 def ingest_ledger(stream: DataFrame, out: str) -> DataFrame:
-    """Each batch replaces its own folder, so a batch that is tried again counts once."""
+    """Counts of each batch: rows, and ids that no earlier batch had.
+
+    Each batch replaces its own folders, so a batch that is tried again counts once, and ids
+    are looked up in those of earlier batches only.
+    """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_ids"))
-        counts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        ids = batch.select("event_type", "event_id").distinct()
+        if batch_id:
+            seen = spark.read.schema("event_type string, event_id long, batch int").option("basePath", out + "-ids").parquet(*[f"{out}-ids/batch={i}" for i in range(batch_id)])
+            ids = ids.join(seen.filter(F.col("batch") < batch_id), ["event_type", "event_id"], "left_anti")
+        ids.write.mode("overwrite").parquet(f"{out}-ids/batch={batch_id}")
+        fresh = spark.read.schema("event_type string, event_id long").parquet(f"{out}-ids/batch={batch_id}").groupBy("event_type").agg(F.count("*").alias("n_ids"))
+        counts = batch.groupBy("event_type").agg(F.count("*").alias("n")).join(fresh, "event_type", "left")
+        counts.select("event_type", "n", F.coalesce("n_ids", F.lit(0)).alias("n_ids")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.option("basePath", out).parquet(out)
