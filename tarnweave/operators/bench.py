@@ -57,3 +57,20 @@ def blank_secrets(rows: DataFrame, run: str, text: str, secrets: DataFrame, secr
     longest = F.array_sort("s", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
     clean = F.aggregate(longest, F.col(text), lambda t, x: F.replace(t, x, F.lit("[redacted]")))
     return rows.join(s, run, "left").withColumn(text, F.when(F.col("s").isNull(), F.col(text)).otherwise(clean)).drop("s")
+
+
+def last_modes(results: DataFrame, key: str, mode: str, order: list[str]) -> DataFrame:
+    """mode, n: the last result of each key counts."""
+    last = results.groupBy(key).agg(F.max_by(mode, F.struct(*order)).alias("mode"))
+    return last.groupBy("mode").agg(F.count("*").alias("n"))
+
+
+def turn_counts(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Turns of a user with text by conversation, at least one."""
+    said = (F.col("role") == "user") & (F.coalesce("text", F.lit("")) != "")
+    return turns.groupBy(key).agg(F.greatest(F.count_if(said), F.lit(1)).alias("turns"))
+
+
+def broken_texts(docs: DataFrame, by: str) -> DataFrame:
+    """n, and how many hold a replacement sign, by a column."""
+    return docs.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.contains("text", F.lit("\ufffd"))).alias("broken"))

@@ -319,3 +319,14 @@ def first_and_recurrence(rows: DataFrame, keys: list[str], family: str, order: s
     n = F.row_number().over(w)
     total = F.count("*").over(W.partitionBy(*keys, family))
     return rows.withColumns({"occurrence": n.cast("long"), "recurs": total > 1}).withColumn("is_last", F.col("occurrence") == total)
+
+
+def quarantine(outcomes: DataFrame) -> DataFrame:
+    """Adds quarantined: two failures at least, and more failures than successes."""
+    return outcomes.withColumn("quarantined", (F.col("failures") >= 2) & (F.col("failures") > F.col("successes")))
+
+
+def compactable(turns: DataFrame, most_turns: int = 6, most_tokens: int = 1800) -> DataFrame:
+    """conv_id, turns, tokens of the conversations with more turns of a user or more estimated tokens than that."""
+    c = turns.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("turns"), F.sum(estimate_tokens(F.col("text"))).alias("tokens"))
+    return c.filter((F.col("turns") > most_turns) | (F.col("tokens") > most_tokens))

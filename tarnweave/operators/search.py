@@ -248,3 +248,36 @@ def metadata_filter(topics: DataFrame, domain: str | None = None, platform: str
         name = lambda c: F.coalesce(c["shell"], F.when(c["language"] == "bash", "posix").otherwise(c["language"]))
         cond &= F.exists("commands", lambda c: name(c) == shell)
     return topics.filter(cond)
+
+
+def lexical_first(hits: DataFrame, ascii_overlap: str, fused: str, bm25: str, k: int, key: str = "doc_id") -> DataFrame:
+    """Hits that share ASCII words with the query first, then by how many, fused score, BM25 and id."""
+    order = [(F.col(ascii_overlap) > 0).cast("int").desc(), F.col(ascii_overlap).desc(), F.col(fused).desc(), F.col(bm25).desc(), key]
+    return top_k(hits, "query_id", order, k)
+
+
+def cap_per_document(hits: DataFrame, per_document: int, k: int | None = None) -> DataFrame:
+    """At most so many hits of a document in rank order, and then at most k; hits without one are not counted."""
+    turn = F.row_number().over(W.partitionBy("query_id", "document_id").orderBy("rank"))
+    kept = hits.withColumn("__turn", turn).filter(F.col("document_id").isNull() | (F.col("__turn") <= per_document)).drop("__turn")
+    if k is None:
+        return kept
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
+    return kept.withColumn("__place", place).filter(F.col("__place") <= k).drop("__place")
+
+
+def context_budget(hits: DataFrame, length: str, budget: int) -> DataFrame:
+    """Adds chars: how much of each hit, in rank order, still fits the budget."""
+    used = F.coalesce(F.sum(length).over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return hits.withColumn("chars", F.greatest(F.lit(0), F.least(F.col(length), F.lit(budget) - used)).cast("long"))
+
+
+def evidence_revision(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """A hash of the sorted distinct items of each key: equal evidence has one revision."""
+    return rows.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(item)), "|"), 256).alias("revision"))
+
+
+def bundle_hash(items: DataFrame, name: str, value: str) -> DataFrame:
+    """One row: a hash over name=value of all items in order, and their number. Items are few: files or sources of a bundle."""
+    said = F.transform(F.array_sort(F.collect_list(F.struct(name, value))), lambda x: F.concat(x[name], F.lit("="), x[value].cast("string")))
+    return items.agg(F.sha2(F.array_join(said, ","), 256).alias("bundle"), F.count("*").alias("sources"))

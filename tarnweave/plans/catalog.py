@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnweave.operators import bench, catalog, cleaning
+from tarnweave.operators import bench, catalog, cleaning, search
 from tarnweave.sources.tables import table
 
 QUERIES: dict = {}
@@ -168,8 +168,7 @@ def bench_rollup(spark, sf):
 
 @query("""with l as (select user_id, arg_max(event_type, (ts, event_id)) mode from events group by 1) select mode, count(*)::bigint n from l group by 1""")
 def mode_counters(spark, sf):
-    last = table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("mode"))
-    return last.groupBy("mode").agg(F.count("*").alias("n"))
+    return bench.last_modes(table(spark, sf, "events"), "user_id", "event_type", ["ts", "event_id"])
 
 
 @query("select user_id, coalesce(max(case when event_type = 'signup' then event_id end), -1) > coalesce(max(case when event_type = 'purchase' then event_id end), -1) tested from events group by 1")
@@ -211,22 +210,19 @@ def secret_provenance(spark, sf):
 
 @query("select conv_id, greatest((count(*) filter (where role = 'user' and coalesce(text, '') <> '')), 1)::bigint turns from conversations group by 1")
 def turn_count(spark, sf):
-    said = (F.col("role") == "user") & (F.coalesce("text", F.lit("")) != "")
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.greatest(F.count_if(said), F.lit(1)).alias("turns"))
+    return bench.turn_counts(table(spark, sf, "conversations"))
 
 
 @query("select source, count(*)::bigint n, (count(*) filter (where contains(text, chr(65533))))::bigint broken from documents group by 1")
 def text_integrity(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.contains("text", F.lit("�"))).alias("broken"))
+    return bench.broken_texts(table(spark, sf, "documents"), "source")
 
 
 @query("""with h as (select user_id query_id, event_id, event_id % 4 ascii, round(value, 3) fused, round(value / 2, 3) bm25 from events)
 select query_id, event_id, row_number() over (partition by query_id order by (ascii > 0)::int desc, ascii desc, fused desc, bm25 desc, event_id)::bigint rank from h qualify rank <= 5""")
 def lexical_priority(spark, sf):
-    from tarnweave.operators.search import top_k
-
     h = table(spark, sf, "events").select(F.col("user_id").alias("query_id"), "event_id", (F.col("event_id") % 4).alias("a"), F.round("value", 3).alias("f"), F.round(F.col("value") / 2, 3).alias("b"))
-    return top_k(h, "query_id", [(F.col("a") > 0).desc(), F.col("a").desc(), F.col("f").desc(), F.col("b").desc(), "event_id"], 5).select("query_id", "event_id", "rank")
+    return search.lexical_first(h, "a", "f", "b", 5, "event_id").select("query_id", "event_id", "rank")
 
 
 @query("select user_id query_id, event_id, row_number() over (partition by user_id order by round(value, 1) desc, event_type desc, event_id desc)::bigint rank from events qualify rank <= 5")
@@ -238,7 +234,7 @@ def deterministic_rerank(spark, sf):
 
 @query("select user_id, sha256(string_agg(distinct event_type, '|' order by event_type)) revision from events group by 1")
 def evidence_revision(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("event_type")), "|"), 256).alias("revision"))
+    return search.evidence_revision(table(spark, sf, "events"), "user_id", "event_type")
 
 
 @query("select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), -1) k, try_cast(json_extract_string(props, '$.none') as bigint) is null missing from events")

@@ -68,12 +68,12 @@ def local_summary(spark, sf):
     return memory.local_summary(t, "the").select("conv_id", "goal", F.array_join("topics", "|").alias("topics"), F.array_join("constraints", "|").alias("constraints"))
 
 
-@query(r"""with e as (select doc_id id, source project, lang outcome, ['k' || doc_id % 2] keys, list_distinct(regexp_extract_all(regexp_replace(lower(substr(coalesce(text, ''), 1, 90)), '[0-9]+', '#', 'g'), '[a-z_#][a-z0-9_#.-]+|[\x{3400}-\x{9fff}]{2,}')) t from documents),
+@query(r"""with e as (select doc_id id, source project, lang outcome, ['k' || doc_id % 2] keys, list_distinct(regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[0-9]+', '#', 'g'), '[a-z_#][a-z0-9_#.-]+|[\x{3400}-\x{9fff}]{2,}')) t from documents),
 p as (select a.id, min(b.id) f from e a join e b on a.project = b.project and a.outcome = b.outcome and a.keys = b.keys and b.id < a.id and 2.0 * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)) >= 0.8 group by 1)
 select id, coalesce(f, id) as "first" from e left join p using (id)""")
 def episode_dedup(spark, sf):
     d = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), F.col("source").alias("project"), F.col("lang").alias("outcome"), F.substring(F.coalesce("text", F.lit("")), 1, 90).alias("symptom"), F.array(F.concat(F.lit("k"), (F.col("doc_id") % 2).cast("string"))).alias("keys")
+        F.col("doc_id").alias("id"), F.col("source").alias("project"), F.col("lang").alias("outcome"), F.coalesce("text", F.lit("")).alias("symptom"), F.array(F.concat(F.lit("k"), (F.col("doc_id") % 2).cast("string"))).alias("keys")
     )
     return memory.episode_duplicates(d)
 

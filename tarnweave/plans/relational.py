@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnweave.operators import search
 from tarnweave.sources.tables import table
 
 QUERIES: dict = {}
@@ -103,5 +104,4 @@ def order_scan_join(spark, sf):
 @query("select sha256(string_agg(source || '=' || n::varchar, ',' order by source)) bundle, count(*)::bigint sources from (select source, count(*) n from documents where source is not null group by 1)")
 def bundle_hash(spark, sf):
     d = table(spark, sf, "documents").filter("source is not null").groupBy("source").agg(F.count("*").alias("n"))
-    items = F.transform(F.array_sort(F.collect_list(F.struct("source", "n"))), lambda x: F.concat(x["source"], F.lit("="), x["n"].cast("string")))
-    return d.agg(F.sha2(F.array_join(items, ","), 256).alias("bundle"), F.count("*").alias("sources"))
+    return search.bundle_hash(d, "source", "n")
\ No newline at end of file

@@ -62,8 +62,7 @@ def unique_recent(spark, sf):
 
 @query(f"""select conv_id, (count(*) filter (where role = 'user'))::bigint turns, sum({_TOKENS})::bigint tokens from conversations group by 1 having turns > 3 or tokens > 600""")
 def compaction_candidates(spark, sf):
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("turns"), F.sum(estimate_tokens(F.col("text"))).alias("tokens"))
-    return c.filter("turns > 3 or tokens > 600")
+    return memory.compactable(table(spark, sf, "conversations"), 3, 600)
 
 
 _VALUE = "case when event_id % 2 = 0 then upper(substr(event_type, 1, 1)) else lower(substr(event_type, 1, 1)) end"
@@ -121,7 +120,7 @@ def episode_rank(spark, sf):
  (count(*) filter (where event_id % 2 = 1)) >= 2 and (count(*) filter (where event_id % 2 = 1)) > (count(*) filter (where event_id % 2 = 0)) quarantined from events group by 1, 2""")
 def episode_quarantine(spark, sf):
     s = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count_if(F.col("event_id") % 2 == 0).alias("successes"), F.count_if(F.col("event_id") % 2 == 1).alias("failures"))
-    return s.withColumn("quarantined", (F.col("failures") >= 2) & (F.col("failures") > F.col("successes")))
+    return memory.quarantine(s)
 
 
 @query("""select event_id, round(least(1.05, case when event_id % 11 = 0 then 1.0 else greatest(0.85, least(1.0, 0.85 + 0.15 * pow(2.0::double, -(event_id % 400)::double / 180))) end * least(1.05, 1.0 + 0.01 * ln(1 + event_id % 30))), 6)::double multiplier from events""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnweave.functions import safety, scores, text
@@ -197,12 +198,12 @@ def structured_parents(spark, sf):
     return structure.document_parents(_docs(spark, sf))
 
 
-@query("select lang, source, 'topic ' || lang || case when contains('topic ' || lang, 'topic ' || lang) and doc_id % 2 = 0 then ' > part' else '' end || chr(10) || substr(coalesce(text, ''), 1, 80) body, doc_id from documents")
+@query("select lang, source, 'topic ' || lang || case when contains('topic ' || lang, 'topic ' || lang) and doc_id % 2 = 0 then ' > part' else '' end || chr(10) || coalesce(text, '') body, doc_id from documents")
 def retrieval_text(spark, sf):
     d = _docs_all(spark, sf)
     head = F.concat(F.lit("topic "), F.col("lang"))
     path = F.when(F.col("doc_id") % 2 == 0, F.array(head, F.lit("part"))).otherwise(F.array(head))
-    return d.select("lang", "source", structure.retrieval_text(F.substring(F.coalesce("text", F.lit("")), 1, 80), path).alias("body"), "doc_id")
+    return d.select("lang", "source", structure.retrieval_text(F.coalesce("text", F.lit("")), path).alias("body"), "doc_id")
 
 
 @query("""select conv_id, min(turn)::bigint first_turn, max(turn)::bigint last_turn, case when count(distinct role) = 1 then [any_value(role)] || case when count(distinct turn % 2) = 1 then [any_value((turn % 2)::varchar)] else [] end else []::varchar[] end path from conversations group by 1""")
@@ -278,3 +279,13 @@ from (select doc_id, list_distinct(regexp_extract_all(regexp_replace(lower(split
 def signature_dice(spark, sf):
     part = lambda i: text.signature_tokens(F.split_part("text", F.lit("\n"), F.lit(i)))
     return _docs(spark, sf).select("doc_id", F.round(text.dice(part(1), part(2)), 6).alias("dice"))
+
+
+@query(f"""with s as (select doc_id, pos, list_distinct(regexp_extract_all(regexp_replace(lower(line), '[0-9]+', '#', 'g'), '[a-z_#][a-z0-9_#.-]+')) a from {_LINES}),
+d as (select doc_id, a, lag(a) over (partition by doc_id order by pos) b from s)
+select doc_id, count(*)::bigint n_pairs, round(max(case when len(a) + len(b) = 0 then 0 else 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) end), 6) most from d where b is not null group by 1""")
+def signature_dice_all(spark, sf):
+    """Every line of every text against the one before it."""
+    sig = cleaning.lines(_docs(spark, sf)).select("doc_id", "pos", text.signature_tokens(F.col("line")).alias("a"))
+    both = sig.withColumn("b", F.lag("a").over(W.partitionBy("doc_id").orderBy("pos"))).filter("b is not null")
+    return both.groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.round(F.max(text.dice(F.col("a"), F.col("b"))), 6).alias("most"))

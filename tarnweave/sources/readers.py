@@ -118,3 +118,60 @@ def fixture_errors(files: DataFrame, expected: DataFrame) -> DataFrame:
         F.when(F.col("has").isNull(), F.lit("missing")), F.when(F.col("has") != F.col("sha256"), F.lit("hash")), F.when(F.col("blank"), F.lit("blank_line")), F.when(F.col("n") != F.col("case_count"), F.lit("count")),
     ))
     return j.select("name", F.explode(found).alias("rule"))
+
+
+def read_suite(spark: SparkSession, manifest: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(cases, judgments) of all datasets of a suite's manifest.
+
+    A dataset is a file of cases, and judgments from its own file where it names one, else from the
+    cases' expected ids. Both carry the dataset's name. A manifest names few files, so it is read here.
+    """
+    listed = spark.read.option("multiLine", True).json(manifest).select(F.explode("datasets").alias("d")).select("d.*").collect()
+    cases, judged = None, None
+    for d in (r.asDict() for r in listed):
+        name = F.lit(d["name"]).alias("dataset")
+        c = read_cases(spark, f"{folder}/{d['path']}")
+        want = c["expected_topic_id"] if "expected_topic_id" in c.columns else F.lit(None).cast("string")
+        row = c.select(name, F.col("id").alias("case_id"), "query", want.alias("expected"))
+        if d.get("qrels"):
+            q = read_qrels(spark, f"{folder}/{d['qrels']}").select(name, F.col("query_id").alias("case_id"), "doc_id", "relevance")
+        else:
+            q = row.filter("expected is not null").select("dataset", "case_id", F.col("expected").alias("doc_id"), F.lit(1).alias("relevance"))
+        cases, judged = (row, q) if cases is None else (cases.unionByName(row), judged.unionByName(q))
+    if cases is None:
+        return spark.createDataFrame([], "dataset string, case_id string, query string, expected string"), spark.createDataFrame([], "dataset string, case_id string, doc_id string, relevance int")
+    return cases, judged
+
+
+def scan_chunks(chunks: DataFrame, documents: DataFrame, parents: DataFrame) -> DataFrame:
+    """Chunks of known documents in order, each with its parent's text; one whose parent is missing stays."""
+    j = chunks.join(documents.select("doc_id", "title"), "doc_id").join(parents.select("parent_id", F.col("text").alias("parent_text")), "parent_id", "left")
+    return j.orderBy("doc_id", "idx")
+
+
+def merge_revision(path: str, fresh: DataFrame, key: list[str], revision: str, out: str) -> DataFrame:
+    """A new version of an index: documents of ``fresh`` replace theirs, the rest of ``path`` stays; written to ``out``.
+
+    key names what is replaced as a whole, such as doc_id; every row gets the revision.
+    """
+    spark = fresh.sparkSession
+    old = spark.read.parquet(path)
+    kept = old.join(fresh.select(*key).distinct(), key, "left_anti")
+    new = fresh.withColumn("revision", F.lit(revision))
+    kept.unionByName(new, allowMissingColumns=True).write.mode("errorifexists").parquet(out)
+    return spark.read.parquet(out)
+
+
+def write_catalog(topics: DataFrame, path: str, shards: str = "domain") -> DataFrame:
+    """A catalog as JSON by domain, with one row of its hash and counts by the side; topics are unique by id."""
+    publish(topics, f"{path}/by-id", ["id"], "json")
+    topics.write.partitionBy(shards).mode("overwrite").json(f"{path}/topics")
+    rows = topics.select(F.xxhash64(F.to_json(F.struct(*sorted(topics.columns)))).alias("h"), shards)
+    done = rows.agg(F.count("*").alias("topics"), F.countDistinct(shards).alias("shards"), F.sha2(F.concat_ws(":", F.sum(F.col("h").cast("decimal(20,0)")).cast("string"), F.bit_xor("h").cast("string")), 256).alias("catalog_hash"))
+    done.coalesce(1).write.mode("overwrite").json(f"{path}/bundle")
+    return topics.sparkSession.read.json(f"{path}/bundle")
+
+
+def split_stats(samples: DataFrame, text: str) -> DataFrame:
+    """split, samples, chars and the longest text of each part of a training set."""
+    return samples.groupBy("split").agg(F.count("*").alias("samples"), F.sum(F.length(text)).alias("chars"), F.max(F.length(text)).alias("longest"))
