@@ -39,7 +39,7 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Sorted runs of (k1, k2, n), bucketed by k1, in levels."""
+    """Sorted runs of (k1, k2, n), bucketed by both keys, in levels."""
 
     def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2, buckets: int = 16):
         self.spark, self.min_docs, self.fanout, self.buckets = spark, min_docs, fanout, buckets
@@ -48,21 +48,27 @@ class LineRuns:
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         (
-            df.select(*KEY, "n").repartition(self.buckets, "k1").write.bucketBy(self.buckets, "k1")
-            .sortBy(*KEY).option("path", f"{self.dir}/{name}").format("parquet").saveAsTable(name)
+            df.select(*KEY, "n").write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
+            .option("path", f"{self.dir}/{name}").format("parquet").saveAsTable(name)
         )
         return name
 
-    def _union(self, names: list[str]) -> DataFrame:
+    def _merged(self, names: list[str]) -> DataFrame:
+        """The runs as one, counts added: merge joins of sorted buckets.
+
+        Not a union: over bucketed scans Spark 4.1 keeps the partitioning of a union whose partitions
+        it does not bring together, and sums come out apart.
+        """
         out = self.spark.table(names[0])
-        for n in names[1:]:
-            out = out.unionByName(self.spark.table(n))
+        for name in names[1:]:
+            other = self.spark.table(name).withColumnRenamed("n", "m")
+            out = out.join(other.hint("merge"), KEY, "full").select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
         return out
 
     def add(self, keys: DataFrame) -> None:
         """keys: (k1, k2, c) of a new batch: distinct lines of a text, c documents having it."""
         self._compact()
-        fresh = keys.groupBy(*KEY).agg(F.sum("c").alias("n"))
+        fresh = keys.groupBy(*KEY).agg(F.sum("c").alias("n")).repartition(self.buckets, *KEY)
         for name in [x for level in self.levels for x in level]:
             known = self.spark.table(name).filter(F.col("n") >= self.min_docs)
             fresh = fresh.join(known.select(*KEY).hint("merge"), KEY, "left_anti")
@@ -74,8 +80,7 @@ class LineRuns:
             if len(self.levels[i]) >= self.fanout:
                 if i + 1 == len(self.levels):
                     self.levels.append([])
-                merged = self._union(self.levels[i]).groupBy(*KEY).agg(F.sum("n").alias("n"))
-                self.levels[i + 1].append(self._write(merged))
+                self.levels[i + 1].append(self._write(self._merged(self.levels[i])))
                 self._drop(self.levels[i])
                 self.levels[i] = []
             i += 1
@@ -95,8 +100,7 @@ class LineRuns:
         names = [x for level in self.levels for x in level]
         if not names:
             return self.spark.createDataFrame([], "k1 long, k2 long")
-        total = self._union(names).groupBy(*KEY).agg(F.sum("n").alias("n"))
-        return total.filter(F.col("n") >= self.min_docs).select(*KEY)
+        return self._merged(names).filter(F.col("n") >= self.min_docs).select(*KEY)
 
 
 def _line_table(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -124,10 +128,12 @@ def _judged(docs: DataFrame, min_docs: int, min_chars: int, batches: int) -> Dat
     for b in range(batches):
         part = lines.filter(F.pmod(F.col("t1"), F.lit(batches)) == b)
         runs.add(part.select(*KEY, "c"))
-    # Written first: both sides of the join below are then plain shuffles, of which Spark can
+    # Written first, so that Spark knows how few they are and needn't deal a very common line by its key.
+    frequent = cut(runs.frequent(), "lines-frequent")
+    # Written as well: both sides of the join below are then plain shuffles, of which Spark can
     # split a partition that one text with very many copies fills.
     marked = cut(
-        lines.join(runs.frequent(), KEY, "left_semi").groupBy("t1", "t2").agg(F.flatten(F.collect_list("ps")).alias("bad")), "lines-marked"
+        lines.join(frequent, KEY, "left_semi").groupBy("t1", "t2").agg(F.flatten(F.collect_list("ps")).alias("bad")), "lines-marked"
     )
     runs.close()
     size = marked.agg(F.sum(F.size("bad") * 4 + 64)).first()[0] or 0
