@@ -151,13 +151,6 @@ def _align(patterns: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.nd
     return row[np.arange(len(row)), end].astype(np.int64), end
 
 
-def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, first row in it, number) of the runs of equal keys."""
-    order = np.argsort(key, kind="stable")
-    head = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, np.int64)
-    return order, head, np.diff(np.r_[head, len(key)])
-
-
 def leaks_in(ix: ItemIndex, b: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item, window's start, edits, start, end) of the verified regions of the texts in b."""
     at, of, place = ix.hits(b)
@@ -171,11 +164,16 @@ def leaks_in(ix: ItemIndex, b: np.ndarray, offsets: np.ndarray) -> list[tuple[in
     cell, cells = (at - place + ix.shift) // k, int(len(b) + 2 * ix.shift)
     key = (doc * len(ix.text) + of) * cells + cell
     key = np.r_[key, key - 1]
-    order, head, n = _counted(key)
-    full = n >= ix.need[key[order][head] // cells % len(ix.text)] if len(head) else n > 0
-    band = np.repeat(np.cumsum(full) - 1, n)[np.repeat(full, n)]  # of each shared q-gram in a full band
-    place = np.r_[place, place][order][np.repeat(full, n)]
-    pair, cell = np.divmod(key[order][head[full]], cells)
+    bands, n = np.unique(key, return_counts=True)
+    bands = bands[n >= ix.need[bands // cells % len(ix.text)]]
+    if not len(bands):
+        return []
+    band = np.searchsorted(bands, key)  # of each shared q-gram in a full band
+    band[band == len(bands)] = 0
+    inside = bands[band] == key
+    # A q-gram of the item counts once in a band, however often the band of the text repeats it.
+    band, place = np.divmod(np.unique(band[inside] * ix.shift + np.r_[place, place][inside]), ix.shift)
+    pair, cell = np.divmod(bands, cells)
     doc, of = np.divmod(pair, len(ix.text))
     # The windows that hold a shared q-gram whole: every step-th start, and the last one.
     o = of[band]
@@ -186,9 +184,8 @@ def leaks_in(ix: ItemIndex, b: np.ndarray, offsets: np.ndarray) -> list[tuple[in
     start = (np.repeat(low - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())) * np.repeat(ix.step[o], times)
     tail = (last % ix.step[o] != 0) & (place >= last)
     band, start = np.r_[np.repeat(band, times), band[tail]], np.r_[start, last[tail]]
-    key = band * ix.shift + start
-    order, head, n = _counted(key)
-    band, start = np.divmod(key[order][head], ix.shift)
+    key, n = np.unique(band * ix.shift + start, return_counts=True)
+    band, start = np.divmod(key, ix.shift)
     full = n >= ix.need[of[band]]
     band, start = band[full], start[full]
     doc, of, cell = doc[band], of[band], cell[band]
