@@ -562,6 +562,15 @@ def test_runs_are_compacted(spark):
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert [tuple(r) for r in runs.frequent().collect()] == [(1, 1)]
     runs.close()
+    rng, every = np.random.default_rng(12), Counter()
+    runs = line_dedup.LineRuns(spark, 5, buckets=16)
+    for _ in range(5):
+        rows = [(int(k), int(k) * 7, 1) for k in rng.integers(0, 2000, 1500)]
+        every.update(k for k, _, _ in rows)
+        runs.add(spark.createDataFrame(rows, "k1 long, k2 long, c long"))
+    want = {k for k, n in every.items() if n >= 5}
+    assert len(want) > 100 and {r["k1"] for r in runs.frequent().collect()} == want == {r["k1"] for r in line_dedup.cut(runs.frequent(), "t").collect()}
+    runs.close()
     assert line_dedup.bucket_count(10**6, 4) == 16 and line_dedup.bucket_count(10**11, 4) == 6250
 
 
