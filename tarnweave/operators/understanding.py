@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnweave.functions.text import normalized_query
+from tarnweave.functions.text import exact_name, exact_names, normalized_query, routing_tokens
+from tarnweave.sources.tables import written
 
 #: Hints in order: the first group that a question holds decides shell and platform. Fixed values.
 PLATFORM_HINTS = [
@@ -79,3 +81,79 @@ def contextual_rewrite(query: Column, previous: Column, labels: Column, sources:
         .otherwise(F.concat(p, F.lit("; follow-up: "), q))
     )
     return F.when(F.coalesce(p, F.lit("")).eqNullSafe("") | ~(q.rlike(REFERS) | q.rlike(ORDINAL)), q).otherwise(rewritten)
+
+
+#: Words by which a question shows what it is after, in order; fixed values.
+INTENTS = [
+    ("template", ("模板", "范例", "示例", "template", "example")), ("compare", ("比较", "区别", "差异", "对比", "compare", "difference")),
+    ("document_lookup", ("文档", "哪一段", "原文", "来源", "引用", "出处")), ("command", ("命令", "指令", "执行", "运行", "怎么", "如何", "command")),
+]
+CONJUNCTION = r"\s*(?:以及|并且|同时|另外|然后|和|还有|及|,|，|;|；)\s*"
+
+
+def intent_of(text: Column) -> Column:
+    """The first intent one of whose words a question holds, ``command`` also for how; else knowledge."""
+    low, out = F.lower(text), F.lit("knowledge")
+    for name, words in reversed(INTENTS):
+        any_ = low.rlike("(?<![a-z])how(?![a-z])") if name == "command" else F.lit(False)
+        for w in words:
+            any_ |= F.contains(low, F.lit(w))
+        out = F.when(any_, name).otherwise(out)
+    return out
+
+
+def infer_domain(queries: DataFrame, topics: DataFrame, hints: dict[str, list[str]], stop: list[str] = ()) -> DataFrame:
+    """queries (query_id, text), topics (domain, title, aliases) -> query_id, domain, null where nothing or too little decides.
+
+    A question that is a name of one domain only has that domain. Else each hint counts 1 and each
+    word of a topic's names its weight, by the length of the name; the best domain must lead by .75.
+    """
+    name = F.explode(F.array_compact(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))))
+    names = written(topics.select("domain", name.alias("name")).distinct(), "names")
+    owners = names.select("domain", F.explode(exact_names(F.array("name"))).alias("exact")).groupBy("exact").agg(F.min("domain").alias("d0"), F.max("domain").alias("d1"))
+    n = F.length(normalized_query(F.col("name")))
+    usable = names.withColumn("w", F.least(n, F.lit(32)) / 32.0).filter((n >= 3) & ~F.contains("name", F.lit("<")))
+    weights = usable.select("domain", "w", F.explode(routing_tokens(F.col("name"))).alias("token")).filter((F.length("token") >= 3) & ~F.col("token").isin(*stop))
+    weights = weights.groupBy("token", "domain").agg(F.max("w").alias("w"))
+    q = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"))
+    by_word = q.select("query_id", F.explode(routing_tokens(F.col("text"))).alias("token")).join(weights, "token").groupBy("query_id", "domain").agg(F.sum("w").alias("s"))
+    scores = by_word
+    if hints:
+        count = lambda words: sum((has_hint(F.col("text"), h).cast("double") for h in words[1:]), has_hint(F.col("text"), words[0]).cast("double"))
+        each = F.explode(F.array(*[F.struct(F.lit(d).alias("domain"), count(words).alias("s")) for d, words in hints.items()]))
+        known = topics.select("domain").distinct()
+        scores = scores.unionByName(q.select("query_id", each.alias("h")).select("query_id", "h.*").filter("s > 0").join(F.broadcast(known), "domain", "left_semi").select("query_id", "domain", "s"))
+    total = scores.groupBy("query_id", "domain").agg(F.round(F.sum("s"), 9).alias("s"))
+    w = W.partitionBy("query_id").orderBy(F.col("s").desc(), "domain")
+    best = total.withColumns({"n": F.row_number().over(w), "next": F.lead("s").over(w)}).filter("n = 1").select("query_id", F.when(F.col("next").isNull() | (F.col("s") - F.col("next") >= 0.75), F.col("domain")).alias("scored"))
+    named = q.select("query_id", exact_name(F.col("text")).alias("exact")).join(owners.filter("d0 = d1"), "exact").select("query_id", F.col("d0").alias("named"))
+    return q.select("query_id").join(named, "query_id", "left").join(best, "query_id", "left").select("query_id", F.coalesce("named", "scored").alias("domain"))
+
+
+def question_plan(queries: DataFrame, topics: DataFrame, hints: dict[str, list[str]], stop: list[str] = ()) -> DataFrame:
+    """queries (query_id, text) -> original, variants (at most four, the original first), intent, domain, platform, shell, decomposed.
+
+    Parts between conjunctions become variants only if two or more have domains of their own, at least two different ones.
+    A command, template or document question that is not decomposed keeps its original wording only.
+    """
+    q = queries.select("query_id", normalized_query(F.col("text")).alias("original"))
+    parts = q.select("query_id", F.posexplode(F.filter(F.split("original", CONJUNCTION), lambda x: F.trim(x) != "")).alias("pos", "part"))
+    parts = written(parts.withColumn("part_id", F.concat_ws(":", "query_id", "pos")), "parts")
+    of_part = infer_domain(parts.select(F.col("part_id").alias("query_id"), F.col("part").alias("text")), topics, hints, stop).withColumnRenamed("query_id", "part_id")
+    known = parts.join(of_part, "part_id").filter("domain is not null")
+    seen = known.groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]).alias("parts"), F.countDistinct("domain").alias("n_domains")
+    )
+    whole = infer_domain(q.select("query_id", F.col("original").alias("text")), topics, hints, stop)
+    p = q.join(seen, "query_id", "left").join(whole, "query_id", "left").withColumns({
+        "focused": focused_variant(F.col("original")), "intent": intent_of(F.col("original")), "place": shell_and_platform(F.col("original")),
+        "n_domains": F.coalesce("n_domains", F.lit(0)), "parts": F.coalesce("parts", F.array().cast("array<string>")),
+    })
+    many = (F.size("parts") >= 2) & (F.col("n_domains") >= 2)
+    own = F.when((F.col("focused") != "") & (F.lower("focused") != F.lower("original")), F.array("focused")).otherwise(F.array().cast("array<string>"))
+    every = F.slice(F.array_distinct(F.filter(F.concat(F.array("original"), own, F.when(many, F.col("parts")).otherwise(F.array().cast("array<string>"))), lambda x: x != "")), 1, 4)
+    alone = F.col("intent").isin("command", "template", "document_lookup") & ~many
+    return p.select(
+        "query_id", "original", F.when(alone, F.filter(F.array("original"), lambda x: x != "")).otherwise(every).alias("variants"), "intent",
+        F.when(F.col("n_domains") <= 1, F.col("domain")).alias("domain"), "place.platform", "place.shell", many.alias("decomposed"),
+    )
