@@ -233,3 +233,15 @@ def follow_up_cases(turns: DataFrame) -> DataFrame:
     w = W.partitionBy("conv_id").orderBy("turn")
     asked = turns.filter("role = 'user'").withColumns({"previous": F.lag("text").over(w), "n": F.row_number().over(w)})
     return asked.filter("n > 1").select("conv_id", "turn", "previous", F.col("text").alias("follow_up"))
+
+
+def run_samples(runs: DataFrame, turns: DataFrame, tools: list[str], percent: int = 10) -> DataFrame:
+    """runs (run_id, app, success, false_success, violation), turns (run_id, pos, called, tokens) -> samples of the runs worth learning from.
+
+    A run counts if it succeeded, not only by its own word, and broke no rule; a turn, if it calls tools, all of them known.
+    The split is by app, so that no app is in both parts.
+    """
+    good = runs.filter("success and not coalesce(false_success, false) and not coalesce(violation, false)").select("run_id", "app")
+    known = F.array(*[F.lit(t) for t in tools])
+    t = turns.filter((F.size(F.coalesce("called", F.array().cast("array<string>"))) > 0) & (F.size(F.array_except("called", known)) == 0))
+    return split(t.join(good, "run_id"), "app", percent)

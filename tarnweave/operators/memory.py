@@ -330,3 +330,41 @@ def compactable(turns: DataFrame, most_turns: int = 6, most_tokens: int = 1800)
     """conv_id, turns, tokens of the conversations with more turns of a user or more estimated tokens than that."""
     c = turns.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("turns"), F.sum(estimate_tokens(F.col("text"))).alias("tokens"))
     return c.filter((F.col("turns") > most_turns) | (F.col("tokens") > most_tokens))
+
+
+def upsert_chain(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """events (keys, order, value, confidence, pinned, source) -> versions of each key, each with the one it supersedes.
+
+    A run of equal values (trimmed, lower-cased) is one version: its first value, largest confidence, pinned if
+    any is, and first source that is known. The last version is active, the others are superseded.
+    """
+    w = W.partitionBy(*keys).orderBy(*order)
+    norm = F.lower(F.trim("value"))
+    e = events.withColumn("new", (~norm.eqNullSafe(F.lag(norm).over(w)) | (F.row_number().over(w) == 1)).cast("int"))
+    e = e.withColumns({"version": F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long"), "at": F.struct(*order)})
+    v = e.groupBy(*keys, "version").agg(
+        F.min_by("value", "at").alias("value"), F.max("confidence").alias("confidence"), F.bool_or("pinned").alias("pinned"),
+        F.min_by("source", F.when(F.col("source").isNotNull(), F.col("at"))).alias("source"), F.count("*").alias("n_seen"),
+    )
+    last = F.max("version").over(W.partitionBy(*keys))
+    return v.withColumns({"status": F.when(F.col("version") == last, "active").otherwise("superseded"), "supersedes": F.when(F.col("version") > 1, F.col("version") - 1)})
+
+
+def delete_keys(versions: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Without all versions of the keys in ``gone``."""
+    return versions.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def mark_used(versions: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds to use_count of active versions how often their key occurs in ``used``."""
+    n = used.groupBy(*keys).agg(F.count("*").alias("__n"))
+    j = versions.join(n, keys, "left")
+    more = F.when(F.col("status") == "active", F.coalesce("__n", F.lit(0))).otherwise(0)
+    return j.withColumn("use_count", F.coalesce("use_count", F.lit(0)) + more).drop("__n")
+
+
+def reset_owner(profiles: DataFrame, versions: DataFrame, owner: str, which: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(profiles, versions) after the owners in ``which`` start anew: their epoch grows by one, so work of an earlier epoch is void, and their versions go."""
+    w = which.select(owner).distinct()
+    bumped = profiles.join(w.withColumn("__r", F.lit(1)), owner, "left").withColumn("epoch", F.col("epoch") + F.coalesce("__r", F.lit(0))).drop("__r")
+    return bumped, versions.join(w, owner, "left_anti")

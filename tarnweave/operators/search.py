@@ -281,3 +281,15 @@ def bundle_hash(items: DataFrame, name: str, value: str) -> DataFrame:
     """One row: a hash over name=value of all items in order, and their number. Items are few: files or sources of a bundle."""
     said = F.transform(F.array_sort(F.collect_list(F.struct(name, value))), lambda x: F.concat(x[name], F.lit("="), x[value].cast("string")))
     return items.agg(F.sha2(F.array_join(said, ","), 256).alias("bundle"), F.count("*").alias("sources"))
+
+
+def parent_evidence(hits: DataFrame, parents: DataFrame) -> DataFrame:
+    """hits (query_id, rank, chunk_id, parent_id, source_id, text) of the parents that collapse_parents kept -> a record for each matched chunk.
+
+    Records are in order of their parent, then of the chunk's own rank; a citation id occurs once a query.
+    """
+    unit = F.coalesce(F.col("parent_id").cast("string"), F.concat(F.lit("single:"), F.col("chunk_id").cast("string")))
+    kept = parents.select("query_id", "unit", F.col("rank").alias("place"))
+    j = hits.withColumn("unit", unit).join(kept, ["query_id", "unit"])
+    j = j.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("place", "rank", "chunk_id")).cast("long"))
+    return evidence(j)

@@ -147,3 +147,16 @@ def evaluation_cases(spark, sf):
 select conv_id, turn, previous, follow_up from u where n > 1""")
 def follow_up_cases(spark, sf):
     return corpus.follow_up_cases(table(spark, sf, "conversations"))
+
+
+@query("""with r as (select user_id run_id, user_id % 7 app, user_id % 2 = 0 ok, user_id % 10 = 0 fs, case when user_id % 3 = 0 then user_id % 6 = 0 end v from (select distinct user_id from events)),
+t as (select user_id run_id, event_id pos, case event_id % 4 when 0 then [] when 1 then ['read', event_type] else ['read'] end called, event_id % 50 tokens from events)
+select run_id, pos, array_to_string(called, ',') called, app, (list_reduce(list_transform(range(1, 41), lambda i: ('0x' || substr(sha1(app::varchar), i, 1))::int::bigint), lambda a, d: (a * 16 + d) % 100)) < 10 val from t join r using (run_id)
+where ok and not fs and not coalesce(v, false) and len(called) > 0 and (len(called) = 1 or called[2] in ('view', 'click'))""")
+def run_samples(spark, sf):
+    u, i = F.col("user_id"), F.col("event_id")
+    e = table(spark, sf, "events")
+    runs = e.select(u.alias("run_id")).distinct().select("run_id", (F.col("run_id") % 7).alias("app"), (F.col("run_id") % 2 == 0).alias("success"), (F.col("run_id") % 10 == 0).alias("false_success"), F.when(F.col("run_id") % 3 == 0, F.col("run_id") % 6 == 0).alias("violation"))
+    called = F.when(i % 4 == 0, F.array().cast("array<string>")).when(i % 4 == 1, F.array(F.lit("read"), "event_type")).otherwise(F.array(F.lit("read")))
+    out = corpus.run_samples(runs, e.select(u.alias("run_id"), i.alias("pos"), called.alias("called")), ["read", "view", "click"])
+    return out.select("run_id", "pos", F.array_join("called", ",").alias("called"), "app", (F.col("split") == "val").alias("val"))

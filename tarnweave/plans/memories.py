@@ -116,3 +116,39 @@ row_number() over (partition by user_id, event_type order by event_id) = count(*
 def occurrence_of_family(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
     return memory.first_and_recurrence(e, ["user_id"], "event_type", "event_id").select("event_id", "occurrence", "recurs", "is_last")
+
+
+_CHAIN = """e as (select user_id, event_id, case when event_id % 3 = 0 then upper(event_type) else event_type end v, value c, event_id % 7 = 0 p, case when event_id % 2 = 0 then 's' || event_id % 5 end s from events),
+n as (select *, case when row_number() over w = 1 or lag(lower(v)) over w <> lower(v) then 1 else 0 end f from e window w as (partition by user_id order by event_id)), g as (select *, (sum(f) over (partition by user_id order by event_id))::bigint version from n),
+v as (select user_id, version, arg_min(v, event_id) as value, max(c) confidence, bool_or(p) pinned, arg_min(s, event_id) filter (where s is not null) source, count(*)::bigint n_seen from g group by 1, 2),
+r as (select *, case when version = max(version) over (partition by user_id) then 'active' else 'superseded' end status, case when version > 1 then version - 1 end supersedes from v)"""
+
+
+def _chain(spark, sf):
+    i, t = F.col("event_id"), F.col("event_type")
+    e = table(spark, sf, "events").select("user_id", "event_id", F.when(i % 3 == 0, F.upper(t)).otherwise(t).alias("value"), F.col("value").alias("confidence"), (i % 7 == 0).alias("pinned"), F.when(i % 2 == 0, F.concat(F.lit("s"), (i % 5).cast("string"))).alias("source"))
+    return memory.upsert_chain(e, ["user_id"], ["event_id"])
+
+
+@query(f"with {_CHAIN} from r")
+def upsert_chain(spark, sf):
+    return _chain(spark, sf)
+
+
+@query(f"with {_CHAIN} select user_id, version, case when status = 'active' then user_id % 4 else 0 end::bigint use_count from r where user_id % 5 <> 0")
+def used_and_deleted(spark, sf):
+    """Uses are counted on active versions, and some keys are deleted with all their versions."""
+    v = _chain(spark, sf).withColumn("use_count", F.lit(0).cast("long"))
+    users = v.select("user_id").distinct()
+    used = users.select(F.explode(F.array_repeat("user_id", (F.col("user_id") % 4).cast("int"))).alias("user_id"))
+    out = memory.delete_keys(memory.mark_used(v, used, ["user_id"]), users.filter("user_id % 5 = 0"), ["user_id"])
+    return out.select("user_id", "version", "use_count")
+
+
+@query("""select user_id, case when user_id % 3 = 0 then 6 else 5 end::bigint epoch, case when user_id % 3 = 0 then 0 else count(*) end::bigint n from events group by 1""")
+def reset_profiles(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id")
+    p = e.select("user_id").distinct().withColumn("epoch", F.lit(5).cast("long"))
+    profiles, left = memory.reset_owner(p, e, "user_id", p.filter("user_id % 3 = 0"))
+    n = left.groupBy("user_id").agg(F.count("*").alias("n"))
+    return profiles.join(n, "user_id", "left").select("user_id", "epoch", F.coalesce("n", F.lit(0)).alias("n"))
