@@ -76,3 +76,19 @@ def gate(candidate: DataFrame, baseline: DataFrame, quality: float = 0.01, slowe
 def latency_by(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Nearest-rank p95 by key from a sorted array; for groups of bounded size."""
     return rows.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("v")).select(key, p95_nearest(F.col("v")).alias("p95"))
+
+
+def release_gate(candidate: DataFrame, baseline: DataFrame, hard: dict[str, float], profiles: tuple[str, str], quality: float = 0.01, slower: float = 0.2) -> DataFrame:
+    """(metric, value) of two reports -> metric, rule for each reason against a release; none means go.
+
+    changed: a metric fell or grew beyond tolerance; missing: only one report has it, or a hard one is in neither;
+    hard: below its floor; profile: the reports are of different profiles and can't be compared.
+    """
+    g = gate(candidate, baseline, quality, slower)
+    moved = g.filter("not ok").select("metric", F.when(F.col("candidate").isNull() | F.col("baseline").isNull(), "missing").otherwise("changed").alias("rule"))
+    spark = candidate.sparkSession
+    floors = spark.createDataFrame([(k, float(v)) for k, v in sorted(hard.items())], "metric string, floor double")
+    h = floors.join(candidate, "metric", "left").filter(F.col("value").isNull() | (F.col("value") < F.col("floor")))
+    h = h.select("metric", F.when(F.col("value").isNull(), "missing").otherwise("hard").alias("rule"))
+    other = spark.createDataFrame([("profile", "profile")] if profiles[0] != profiles[1] else [], "metric string, rule string")
+    return moved.unionByName(h).unionByName(other).distinct()

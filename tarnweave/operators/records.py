@@ -139,3 +139,26 @@ def distinct_commands(commands: Column) -> Column:
     """The first of the commands with equal code, language, shell and platforms, in order."""
     key = lambda x: F.concat_ws("\u001f", F.trim(x["code"]), x["language"], F.coalesce(x["shell"], F.lit("")), F.array_join(F.array_sort(x["platforms"]), ","))
     return bind(F.transform(commands, key), lambda keys: F.filter(commands, lambda x, i: F.array_position(keys, key(x)) == i + 1))
+
+
+#: Words in a placeholder's name that tell what goes there; fixed values, in order.
+PLACEHOLDER_KINDS = [("port", r"port"), ("image", r"image"), ("commit", r"commit|hash|sha|revision"), ("path", r"path|file|dir|folder"), ("number", r"count|number|size|limit|lines|pid"), ("url", r"url|link|endpoint"), ("name", r"name|branch|user|host|container|pod|service|table|package")]
+#: What fences call a language; fixed values.
+FENCE_HINTS = {"sh": "bash", "shell": "bash", "bash": "bash", "zsh": "bash", "ps1": "powershell", "pwsh": "powershell", "powershell": "powershell", "sql": "sql", "mysql": "sql", "postgres": "sql", "postgresql": "sql"}
+
+
+def placeholder_kind(mark: Column) -> Column:
+    """What a placeholder such as <log-file> stands for, by its name; text where the name tells nothing."""
+    low, out = F.lower(mark), F.lit("text")
+    for kind, words in reversed(PLACEHOLDER_KINDS):
+        out = F.when(low.rlike(words), kind).otherwise(out)
+    return out
+
+
+def language_of(hint: Column, code: Column) -> Column:
+    """bash, sql, powershell or text: by the fence's word for it, else by how the code begins."""
+    h = _mapped(F.lower(F.trim(F.coalesce(hint, F.lit("")))), FENCE_HINTS)
+    return (
+        F.when(h.isNotNull(), h).when(code.rlike(r"^(?:Get|Set|New|Remove|Test|Invoke|Start|Stop)-[A-Za-z]"), "powershell")
+        .when(code.rlike(r"(?i)^(?:SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP)\b"), "sql").when(F.coalesce(code, F.lit("")) != "", "bash").otherwise("text")
+    )

@@ -293,3 +293,11 @@ def parent_evidence(hits: DataFrame, parents: DataFrame) -> DataFrame:
     j = hits.withColumn("unit", unit).join(kept, ["query_id", "unit"])
     j = j.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("place", "rank", "chunk_id")).cast("long"))
     return evidence(j)
+
+
+def matched_union(lists: list[DataFrame]) -> DataFrame:
+    """Hits (query_id, doc_id, chunks) of several lists -> query_id, doc_id and all distinct chunks that matched, sorted."""
+    out = lists[0].select("query_id", "doc_id", "chunks")
+    for x in lists[1:]:
+        out = out.unionByName(x.select("query_id", "doc_id", "chunks"))
+    return out.groupBy("query_id", "doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunks")))).alias("chunks"))

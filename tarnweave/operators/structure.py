@@ -235,3 +235,33 @@ def document_parents(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
         F.max("parent_text").alias("text"), F.countDistinct("child").alias("n_children"), F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end")
     )
     return rows.select(stable_id("parent", F.col("doc_id").cast("string"), F.col("parent").cast("string"), F.sha2("text", 256)).alias("parent_id"), "doc_id", "parent", "text", "n_children", "line_start", "line_end")
+
+
+def plain_chunks(docs: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, idx, text: blocks packed up to ``size`` signs, each chunk beginning with whole blocks of the one before, ``overlap`` at most.
+
+    Equal chunks of a document count once, where they stand first.
+    """
+
+    def rows(doc, text):
+        group: list[Piece] = []
+        out: list[str] = []
+        for p in split_pieces(pieces(text, Sizes(parent=size, parent_max=size)), size, size):
+            if group and joined(group) + 2 + len(p.text) > size:
+                out.append("\n\n".join(x.text for x in group))
+                kept: list[Piece] = []
+                while len(kept) < len(group) - 1 and joined(group[-len(kept) - 1 :]) <= overlap and joined(group[-len(kept) - 1 :]) + 2 + len(p.text) <= size:
+                    kept = group[-len(kept) - 1 :]
+                group = kept
+            group.append(p)
+        if group:
+            out.append("\n\n".join(x.text for x in group))
+        return [(doc, i, t) for i, t in enumerate(dict.fromkeys(out))]
+
+    def run(batches):
+        for b in batches:
+            held = [r for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True) for r in rows(doc, text or "")]
+            cols = list(zip(*held, strict=True)) if held else [[]] * 3
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "idx", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, idx long, text string")

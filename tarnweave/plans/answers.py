@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnweave.operators import answers, corpus
+from tarnweave.operators import answers, corpus, evaluation
 from tarnweave.sources.tables import table
 
 QUERIES: dict = {}
@@ -160,3 +160,12 @@ def run_samples(spark, sf):
     called = F.when(i % 4 == 0, F.array().cast("array<string>")).when(i % 4 == 1, F.array(F.lit("read"), "event_type")).otherwise(F.array(F.lit("read")))
     out = corpus.run_samples(runs, e.select(u.alias("run_id"), i.alias("pos"), called.alias("called")), ["read", "view", "click"])
     return out.select("run_id", "pos", F.array_join("called", ",").alias("called"), "app", (F.col("split") == "val").alias("val"))
+
+
+@query("""with a as (select event_type metric, avg(value) v from events where event_id % 2 = 0 group by 1), b as (select event_type metric, avg(value) v from events where event_id % 2 = 1 and event_type <> 'view' group by 1),
+j as (select coalesce(a.metric, b.metric) metric, a.v c, b.v b from a full join b on a.metric = b.metric)
+select metric, case when c is null or b is null then 'missing' else 'changed' end as "rule" from j where not coalesce(c >= b - 0.01, false) union select metric, 'hard' from a where metric = 'click' and v < 1000 union all select 'gone', 'missing' union all select 'profile', 'profile'""")
+def release_gate(spark, sf):
+    e = table(spark, sf, "events")
+    of = lambda rows: rows.groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
+    return evaluation.release_gate(of(e.filter("event_id % 2 = 0")), of(e.filter("event_id % 2 = 1 and event_type <> 'view'")), {"click": 1000.0, "gone": 1.0}, ("a", "b"))

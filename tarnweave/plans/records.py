@@ -232,3 +232,12 @@ def intents_of_questions(spark, sf):
     k, n = F.col("p_size") % 5, F.col("p_name")
     t = F.when(k == 0, F.concat(F.lit("an Example of "), n)).when(k == 1, F.concat(F.lit("Compare how "), n)).when(k == 2, F.concat(F.lit("How, "), n)).when(k == 3, F.concat(F.lit("show "), n)).otherwise(F.concat(F.lit("出处 "), n))
     return table(spark, sf, "part").select("p_partkey", understanding.intent_of(t).alias("intent"))
+
+
+@query("""select p_partkey, case p_size % 4 when 0 then 'path' when 1 then 'port' when 2 then 'text' else 'name' end kind, case p_size % 5 when 0 then 'bash' when 1 then 'sql' when 2 then 'powershell' when 3 then 'bash' else 'text' end "language" from part""")
+def kinds_of_marks(spark, sf):
+    k, j, n = F.col("p_size") % 4, F.col("p_size") % 5, F.col("p_name")
+    mark = F.when(k == 0, "<log-file>").when(k == 1, "{{HOST_PORT}}").when(k == 2, "<x>").otherwise("<branch>")
+    hint = F.when(j == 0, "ZSH")
+    code = F.when(j == 1, F.concat(F.lit("select "), n)).when(j == 2, F.concat(F.lit("Get-Item "), n)).when(j == 4, "").otherwise(n)
+    return table(spark, sf, "part").select("p_partkey", records.placeholder_kind(mark).alias("kind"), records.language_of(hint, code).alias("language"))

@@ -136,3 +136,10 @@ def hits_with_topics(spark, sf):
     hits = table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
     d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 500).alias("query_id"))
     return search.top_k(hits.join(d, "query_id"), "query_id", ["doc_id"], 3).select("doc_id", "query_id", F.col("rank").alias("r"))
+
+
+@query("""select user_id query_id, event_id % 20 doc_id, string_agg(distinct (event_id % 3)::varchar, ',' order by (event_id % 3)::varchar) chunks from events group by 1, 2""")
+def matched_union(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("query_id"), (F.col("event_id") % 20).alias("doc_id"), F.array((F.col("event_id") % 3).cast("string")).alias("chunks"), "event_id")
+    out = search.matched_union([e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1")])
+    return out.withColumn("chunks", F.array_join("chunks", ","))

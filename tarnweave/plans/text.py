@@ -289,3 +289,8 @@ def signature_dice_all(spark, sf):
     sig = cleaning.lines(_docs(spark, sf)).select("doc_id", "pos", text.signature_tokens(F.col("line")).alias("a"))
     both = sig.withColumn("b", F.lag("a").over(W.partitionBy("doc_id").orderBy("pos"))).filter("b is not null")
     return both.groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.round(F.max(text.dice(F.col("a"), F.col("b"))), 6).alias("most"))
+
+
+@query()
+def plain_chunks(spark, sf):
+    return structure.plain_chunks(_docs(spark, sf))

@@ -175,3 +175,13 @@ def write_catalog(topics: DataFrame, path: str, shards: str = "domain") -> DataF
 def split_stats(samples: DataFrame, text: str) -> DataFrame:
     """split, samples, chars and the longest text of each part of a training set."""
     return samples.groupBy("split").agg(F.count("*").alias("samples"), F.sum(F.length(text)).alias("chars"), F.max(F.length(text)).alias("longest"))
+
+
+def utf8_errors(spark: SparkSession, path: str) -> DataFrame:
+    """name, rule for files below a path that are not UTF-8, hold a replacement sign, or begin with a byte order mark."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    text = F.try_validate_utf8("content")
+    found = F.array_compact(F.array(
+        F.when(text.isNull(), F.lit("encoding")), F.when(F.contains(text, F.lit("\ufffd")), F.lit("replacement")), F.when(F.startswith(text, F.lit("\ufeff")), F.lit("mark")),
+    ))
+    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.explode(found).alias("rule"))

@@ -52,3 +52,10 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "rep/manifest")).first()["cases"] == 2
     s = spark.createDataFrame([("train", "abc"), ("train", "d"), ("val", "ef")], "split string, text string")
     assert {r["split"]: (r["samples"], r["chars"], r["longest"]) for r in readers.split_stats(s, "text").collect()} == {"train": (2, 4, 3), "val": (1, 2, 2)}
+
+
+def test_utf8_errors(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"\xff\xfe")
+    (tmp_path / "b.txt").write_text("\ufeffok \ufffd", encoding="utf-8")
+    (tmp_path / "c.txt").write_text("fine")
+    assert sorted(map(tuple, readers.utf8_errors(spark, str(tmp_path)).collect())) == [("a.txt", "encoding"), ("b.txt", "mark"), ("b.txt", "replacement")]

@@ -96,3 +96,12 @@ def test_chunk_rows(spark):
     assert rows[1]["retrieval_text"].startswith("A > B\n") and rows[-1]["line_end"] == 9
     parents = structure.document_parents(d).collect()
     assert {r["parent_id"] for r in parents} == {r["parent_id"] for r in rows} and sum(r["n_children"] for r in parents) == len(rows)
+
+
+def test_plain_chunks(spark):
+    text = "\n\n".join(["short one", "w " * 300, "tiny", "v " * 390, "tiny", "short one"])
+    rows = structure.plain_chunks(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("idx").collect()
+    assert all(len(r["text"]) <= 800 for r in rows) and len({r["text"] for r in rows}) == len(rows) > 1
+    assert rows[1]["text"].startswith("tiny")
+    every = "".join(r["text"] for r in rows)
+    assert every.count("w ") >= 299 and every.count("v ") >= 389
