@@ -8,7 +8,8 @@ shape. They contradict each other, so votes alone give labels:
 expectation-maximisation over the counts of vote patterns estimates how reliable
 each labeler is for each kind and how probable each pattern is a true one. With
 these probabilities as soft labels a naive Bayes span classifier is trained on
-features that no labeler sees, and its yes adds a span. Base spans always stay.
+features that no labeler sees, and its yes adds a span, unless a check of the form failed.
+Base spans always stay.
 
 One pass over the texts writes candidates; all statistics are grouped counts of
 them. What reaches the driver is counts by (kind, votes, feature value): at most
@@ -227,7 +228,8 @@ def em_posteriors(counts: dict[tuple[int, str], int], rounds: int = 30) -> dict[
     """P(true | kind, votes) by expectation-maximisation on counts of vote patterns.
 
     Each labeler has, for each kind, a distribution over yes, no and abstain for true and
-    for false candidates; they start from votes being right more often than not.
+    for false candidates; they start from votes being right more often than not. A no of the first
+    labeler is a failed check (check digits, ranges), so such candidates are known to be false.
     """
     out: dict[tuple[int, str], float] = {}
     for kind in sorted({k for k, _ in counts}):
@@ -246,7 +248,7 @@ def em_posteriors(counts: dict[tuple[int, str], int], rounds: int = 30) -> dict[
                 like.append({c: math.log(x[0] / sums[0]) - math.log(x[1] / sums[1]) for c, x in by.items()})
             for v in pats:
                 z = math.log(prior / (1 - prior)) + sum(like[j][v[j]] for j in range(5))
-                post[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+                post[v] = 0.001 if v[0] == "-" else 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
         out |= {(kind, v): p for v, p in post.items()}
     return out
 
@@ -298,7 +300,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     n = lambda k: F.size(F.filter("c", lambda x: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{KINDS[k]}")
     return spans.select(
         "doc_id", *[n(k) for k in range(4)], F.sha2(said(base), 256).alias("base_sha256"),
-        said(F.filter("c", lambda x: x["base"] | (score(x) > 0))).alias("spans"),
+        said(F.filter("c", lambda x: x["base"] | (~F.startswith(x["votes"], F.lit("-")) & (score(x) > 0)))).alias("spans"),
     )
 
 

@@ -92,7 +92,7 @@ def test_pii_adds_spans_by_votes(spark):
     rng = np.random.default_rng(4)
     hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(60)]
     rows = [f'some words token = "{h}" and more words' for h in hexes[:40]] + [f"title: something of length {i} here" for i in range(40)]
-    rows += [f"version: 1.{i}.400.2 of the build" for i in range(20)] + [f"IBAN DE89370400440532013000 konto, number {i}" for i in range(10)]
+    rows += [f"version: 1.{i}.400.2 of the build" if i % 2 else f"card 4111111111111112 here, text {i}" for i in range(20)] + [f"IBAN DE89370400440532013000 konto, number {i}" for i in range(10)]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs).collect()}
     assert all(got[i] == f"secret:{rows[i].index(hexes[i])}:{rows[i].index(hexes[i]) + 40}" for i in range(40))
@@ -112,6 +112,8 @@ def test_em_learns_reliability():
     counts = {(0, "+++00"): 500, (0, "0-0-0"): 500, (0, "+0000"): 50, (0, "000-0"): 50}
     p = pii.em_posteriors(counts)
     assert p[0, "+++00"] > 0.9 > 0.1 > p[0, "0-0-0"]
+    p = pii.em_posteriors({(2, "++00+"): 300, (2, "-+00+"): 300})
+    assert p[2, "++00+"] > 0.8 > 0.1 > p[2, "-+00+"]
 
 
 # --- 2
