@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, license_scan, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, url_filter
+from . import (
+    chat_format, decontaminate, fill_in_middle, license_scan, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, token_align, token_counts, url_filter,
+)
 
-MODULES = [pii, ngram_join, suffix_dedup, url_filter, chat_format, license_scan, decontaminate, mixing, quality, line_dedup]
+MODULES = [pii, ngram_join, suffix_dedup, url_filter, chat_format, license_scan, decontaminate, mixing, quality, line_dedup, token_counts, token_align, fill_in_middle]
 
 
 def queries() -> dict:
