@@ -65,6 +65,17 @@ CREDENTIALS = {
     "authorization": r"\b(?:authorization\s*:\s*bearer|bearer)\s+[A-Za-z0-9._~+/=-]{16,}",
     "credential-assignment": r"\b(?:api[_-]?key|token|password|secret)\s*[=:]\s*['\"]?[A-Za-z0-9._~+/=-]{12,}",
 }
+#: Credentials in a report that keep a release back, names of fields that hold one, and what replaces them; fixed values.
+GATE_CREDENTIALS = (
+    r"-----BEGIN(?: [A-Z]+)? PRIVATE KEY-----",
+    r"\b(?:sk-(?:proj-)?|[rps]k_)[A-Za-z0-9_-]{16,}\b",
+    r"(?i)\b(?:ghp|github_pat)_[A-Za-z0-9_]{16,}\b",
+    r"\bAKIA[0-9A-Z]{16}\b",
+    r"(?i)\b(?:authorization\s*:\s*bearer|bearer)\s+[A-Za-z0-9._~+/=-]{16,}",
+    r"(?i)\b(?:api[_-]?key|token|password|secret)\s*[=:]\s*['\"]?[A-Za-z0-9._~+/=-]{12,}",
+)
+GATE_SECRET_KEY = r"(?i)(?:api[_-]?key|access[_-]?token|auth(?:orization)?|password|secret|private[_-]?key)"
+GATE_LABEL = "[REDACTED]"
 #: Commands of an answer that need a warning, by name.
 UNSAFE_COMMANDS = {
     "recursive-force-delete": r"\brm\s+[^\n]*(?:-rf|-fr|--recursive[^\n]*--force)",

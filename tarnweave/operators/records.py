@@ -57,18 +57,6 @@ def match_keys(code: Column) -> Column:
     return F.struct(strict.alias("strict"), blind.alias("blind"), loose.alias("loose"))
 
 
-def grounded_commands(commands: DataFrame, evidence: DataFrame) -> DataFrame:
-    """commands (answer_id, pos, code), evidence (answer_id, rank, code) -> the best ranked evidence command that equals each by its loosest fitting key.
-
-    Only commands of the evidence come out, each once, in the order of the answer.
-    """
-    mine = commands.select("answer_id", "pos", match_keys(F.col("code"))["loose"].alias("k"))
-    theirs = evidence.select("answer_id", match_keys(F.col("code"))["loose"].alias("k"), "rank", "code")
-    best = theirs.groupBy("answer_id", "k").agg(F.min_by("code", "rank").alias("code"))
-    first = mine.groupBy("answer_id", "k").agg(F.min("pos").alias("pos"))
-    return first.join(best, ["answer_id", "k"]).select("answer_id", "pos", "code")
-
-
 def argument_error(json: Column, schema: dict[str, dict], required: list[str]) -> Column:
     """The first thing wrong with a tool call's arguments, or null. schema: name -> {type, enum}.
 
@@ -141,18 +129,44 @@ def distinct_commands(commands: Column) -> Column:
     return bind(F.transform(commands, key), lambda keys: F.filter(commands, lambda x, i: F.array_position(keys, key(x)) == i + 1))
 
 
-#: Words in a placeholder's name that tell what goes there; fixed values, in order.
-PLACEHOLDER_KINDS = [("port", r"port"), ("image", r"image"), ("commit", r"commit|hash|sha|revision"), ("path", r"path|file|dir|folder"), ("number", r"count|number|size|limit|lines|pid"), ("url", r"url|link|endpoint"), ("name", r"name|branch|user|host|container|pod|service|table|package")]
+#: Marks that stand for themselves, and words in a placeholder's name that tell what goes there; fixed values, in the order they are tried.
+LITERAL_MARKS = ["enter", "tab", "space", "80", "443", "8.8.8.8", "2.7.10", "0c01a9", "9a1743"]
+PLACEHOLDER_KINDS = {
+    "credential": ["password", "passwd", "token", "secret", "private_key", "credential"],
+    "path": ["path", "file", "dir", "directory", "folder", "filename", "backup.sql"],
+    "identifier": ["branch", "commit", "tag", "repo", "repository", "database", "db", "table", "column", "user", "host", "image", "container", "key", "field", "channel"],
+}
+PORT_NAMES = ["port", "port_number", "localport", "remoteport"]
 #: What fences call a language; fixed values.
 FENCE_HINTS = {"sh": "bash", "shell": "bash", "bash": "bash", "zsh": "bash", "ps1": "powershell", "pwsh": "powershell", "powershell": "powershell", "sql": "sql", "mysql": "sql", "postgres": "sql", "postgresql": "sql"}
 
 
 def placeholder_kind(mark: Column) -> Column:
-    """What a placeholder such as <log-file> stands for, by its name; text where the name tells nothing."""
-    low, out = F.lower(mark), F.lit("text")
-    for kind, words in reversed(PLACEHOLDER_KINDS):
-        out = F.when(low.rlike(words), kind).otherwise(out)
-    return out
+    """What a placeholder such as <log-file> stands for, by its name: literal, credential, port, path, identifier or else value.
+
+    A guess for display: nothing is filled in by it. A port is one only by its whole name or its end, so <report-file> is a path.
+    """
+    name = F.trim(F.regexp_replace(mark, r"^<|>$", ""))
+    low = F.lower(F.regexp_replace(name, r"\s+", " "))
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    return (
+        F.when(low.isin(*LITERAL_MARKS) | name.rlike(r"^\[.+\]$"), "literal").when(has(PLACEHOLDER_KINDS["credential"]), "credential")
+        .when(low.isin(*PORT_NAMES) | F.endswith(low, F.lit("_port")), "port").when(has(PLACEHOLDER_KINDS["path"]), "path")
+        .when(has(PLACEHOLDER_KINDS["identifier"]), "identifier").otherwise("value")
+    )
+
+
+def typed_placeholders(code: Column) -> Column:
+    """array of (name, kind, raw): the placeholders of a command, each name once whatever its case and blanks, in order of first use."""
+    raw = F.regexp_extract_all(code, F.lit(r"(?<!<)<([^<>\r\n]+)>(?!>)"), F.lit(0))
+
+    def of(marks: Column) -> Column:
+        key = lambda m: F.lower(F.regexp_replace(F.trim(F.substring(m, 2, F.length(m) - 2)), r"\s+", " "))
+        keys = F.transform(marks, key)
+        first = F.filter(marks, lambda m, i: (key(m) != "") & (F.array_position(keys, key(m)) == i + 1))
+        return F.transform(first, lambda m: F.struct(F.trim(F.substring(m, 2, F.length(m) - 2)).alias("name"), placeholder_kind(m).alias("kind"), m.alias("raw")))
+
+    return bind(raw, of)
 
 
 def language_of(hint: Column, code: Column) -> Column:

@@ -95,17 +95,6 @@ def match_keys(spark, sf):
     return table(spark, sf, "part").select("p_partkey", records.match_keys(code).alias("k")).select("p_partkey", "k.*")
 
 
-@query("""with a as (select user_id answer_id, event_id pos, 'run "' || event_type || '"  <x>' code from events where event_id % 3 = 0),
-e as (select user_id answer_id, event_id % 1000 * 1000000 + event_id rank, 'run ' || event_type || ' <y>' code from events where event_id % 3 = 1 and event_type <> 'click'),
-m as (select answer_id, 'run ' || replace(split_part(code, '"', 2), '"', '') k, min(pos) pos from a group by 1, 2), b as (select answer_id, replace(code, ' <y>', '') k, arg_min(code, rank) code from e group by 1, 2)
-select answer_id, pos, code from m join b using (answer_id, k)""")
-def grounded_commands(spark, sf):
-    e = table(spark, sf, "events")
-    mine = e.filter("event_id % 3 = 0").select(F.col("user_id").alias("answer_id"), F.col("event_id").alias("pos"), F.concat(F.lit('run "'), "event_type", F.lit('"  <x>')).alias("code"))
-    theirs = e.filter("event_id % 3 = 1 and event_type <> 'click'").select(F.col("user_id").alias("answer_id"), (F.col("event_id") % 1000 * 1000000 + F.col("event_id")).alias("rank"), F.concat(F.lit("run "), "event_type", F.lit(" <y>")).alias("code"))
-    return records.grounded_commands(mine, theirs)
-
-
 @query("""select event_id, case event_id % 6 when 0 then 'object' when 1 then 'missing k' when 2 then 'unknown z' when 3 then 'type k' when 4 then case when event_type not in ('view', 'click') then 'enum e' end end error from events""")
 def argument_errors(spark, sf):
     """Arguments of tool calls made from event properties, five kinds of them wrong."""
@@ -234,10 +223,14 @@ def intents_of_questions(spark, sf):
     return table(spark, sf, "part").select("p_partkey", understanding.intent_of(t).alias("intent"))
 
 
-@query("""select p_partkey, case p_size % 4 when 0 then 'path' when 1 then 'port' when 2 then 'text' else 'name' end kind, case p_size % 5 when 0 then 'bash' when 1 then 'sql' when 2 then 'powershell' when 3 then 'bash' else 'text' end "language" from part""")
+@query("""with m as (select p_partkey, ['<log-file>', '<report-file>', '<HOST_PORT>', '<support-user>', '<x>', '<port>', '< Enter >', '<[a|b]>', '<api token>', '<export-dir>', '<tag>', '<remoteport>'][1 + p_size % 12] m, p_name, p_size from part),
+n as (select *, lower(trim(m, '<> ')) n from m)
+select p_partkey, case when n = 'enter' or n ~ '\\[.*\\]' then 'literal' when n ~ '.*(token|password|secret).*' then 'credential' when regexp_full_match(n, '((local|remote)?port|port_number|.*_port)') then 'port' when n ~ '.*(file|dir|path).*' then 'path' when n ~ '.*(user|tag|branch).*' then 'identifier' else 'value' end kind,
+case p_size % 5 when 0 then 'bash' when 1 then 'sql' when 2 then 'powershell' when 3 then 'bash' else 'text' end "language" from n""".replace("\\\\", "\\"))
 def kinds_of_marks(spark, sf):
-    k, j, n = F.col("p_size") % 4, F.col("p_size") % 5, F.col("p_name")
-    mark = F.when(k == 0, "<log-file>").when(k == 1, "{{HOST_PORT}}").when(k == 2, "<x>").otherwise("<branch>")
+    marks = ["<log-file>", "<report-file>", "<HOST_PORT>", "<support-user>", "<x>", "<port>", "< Enter >", "<[a|b]>", "<api token>", "<export-dir>", "<tag>", "<remoteport>"]
+    j, n = F.col("p_size") % 5, F.col("p_name")
+    mark = F.get(F.array(*map(F.lit, marks)), F.col("p_size") % len(marks))
     hint = F.when(j == 0, "ZSH")
     code = F.when(j == 1, F.concat(F.lit("select "), n)).when(j == 2, F.concat(F.lit("Get-Item "), n)).when(j == 4, "").otherwise(n)
     return table(spark, sf, "part").select("p_partkey", records.placeholder_kind(mark).alias("kind"), records.language_of(hint, code).alias("language"))
