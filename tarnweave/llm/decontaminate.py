@@ -6,7 +6,10 @@ is at most k, ``errors_pct`` percent of the window's length. By the q-gram lemma
 region shares at least m + 1 - q(k + 1) q-grams with the window, all on diagonals
 that differ by at most k; shared q-grams are counted in diagonal bands of width 2k
 that overlap by k, first for whole items, then for the windows of the bands that reach
-the bound, and a banded alignment verifies the windows that reach it. Windows start
+the bound, and a banded alignment verifies the windows that reach it. As a phrase that many items
+hold reaches the bound everywhere, full bands are looked at once more before anything is aligned: an edit spoils
+at most 4 of a window's 4-grams, so if more than 4k of them are missing around the region, by bit sketches of both,
+no alignment can be good. Alignments stop when all of a row is over the budget. Windows start
 every 2k bytes, so any verbatim stretch of ``window`` bytes of an item is within k edits
 of one of them.
 
@@ -38,6 +41,10 @@ from .common import text_or_empty
 Q = 8
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
+#: Length of the grams that sketches hold, their bits, and how far apart stretches of text are sketched.
+_GRAM, _WIDE, _APART = 4, 512, 16
+#: Shared q-grams, and bands with windows, that are handled at once.
+_HITS, _PAIRS = 1 << 21, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -71,6 +78,21 @@ def codes(b: np.ndarray) -> np.ndarray:
     return x[:-4] | x[4:] << np.uint64(32)
 
 
+def _gram_bits(b: np.ndarray) -> np.ndarray:
+    """The sketch's bit of the 4-gram at each place; three places less than bytes."""
+    x = b.astype(np.uint32)
+    x = x[:-1] | x[1:] << np.uint32(8)
+    x = x[:-2] | x[2:] << np.uint32(16)
+    return ((x * np.uint32(0x9E3779B1)) >> np.uint32(23)).astype(np.int64)
+
+
+def _sketches(bits: np.ndarray) -> np.ndarray:
+    """A row of 64-bit words for each row of bits."""
+    wide = np.zeros((len(bits), _WIDE), bool)
+    wide[np.arange(len(bits))[:, None], bits] = True
+    return np.packbits(wide, axis=1).view(np.uint64)
+
+
 class ItemIndex:
     """The items of a block with an index of their q-grams; short ones in an automaton."""
 
@@ -104,6 +126,10 @@ class ItemIndex:
         order = np.argsort(code, kind="stable")
         self.of, self.place = (np.concatenate(x)[order] if x else np.zeros(0, np.int32) for x in (of, place))
         self.code, self.first, self.count = np.unique(code[order], return_index=True, return_counts=True)
+        self.posting = np.repeat(np.arange(len(self.code)), self.count) * max(1, len(self.item)) + self.of
+        self.windows = np.array([-(-int(n - m) // s) + 1 for n, m, s in zip(self.length, self.size, self.step, strict=True)], np.int64)
+        self.window_at = np.cumsum(self.windows) - self.windows
+        self.sketch = np.concatenate([np.zeros((0, _WIDE // 64), np.uint64), *map(self._sketched, range(len(self.item)))])
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.code * _MUL) >> np.uint64(64 - _BITS)] = True
         self.short = ahocorasick.Automaton()
@@ -112,20 +138,38 @@ class ItemIndex:
         if short:
             self.short.make_automaton()
 
-    def hits(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in b, item, place in item) of all shared q-grams."""
-        none = np.zeros(0, np.int64)
+    def _sketched(self, p: int) -> np.ndarray:
+        """The sketches of the windows of an item."""
+        starts = np.minimum(np.arange(self.windows[p]) * self.step[p], self.length[p] - self.size[p])
+        bits, inside = _gram_bits(self.text[p]), np.arange(self.size[p] - _GRAM + 1)
+        rows = [_sketches(bits[starts[i : i + _PAIRS, None] + inside]) for i in range(0, len(starts), _PAIRS)]
+        return np.concatenate(rows)
+
+    def hits(self, b: np.ndarray):
+        """(place in b, item, place in item) of all shared q-grams, in parts of whole items with some _HITS each."""
         c = codes(b)
-        at = np.flatnonzero(self.seen[(c * _MUL) >> np.uint64(64 - _BITS)]) if len(self.code) else none
+        at = np.flatnonzero(self.seen[(c * _MUL) >> np.uint64(64 - _BITS)]) if len(self.code) else np.zeros(0, np.int64)
         if not len(at):
-            return none, none, none
+            return
         i = np.searchsorted(self.code, c[at])
         i[i == len(self.code)] = 0
         real = self.code[i] == c[at]
         at, i = at[real], i[real]
-        n = self.count[i]
-        spread = np.repeat(self.first[i] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        return np.repeat(at, n), self.of[spread].astype(np.int64), self.place[spread].astype(np.int64)
+        ends = [len(self.item)]
+        if self.count[i].sum() > _HITS:
+            used, times = np.unique(i, return_counts=True)
+            n = self.count[used]
+            spread = np.repeat(self.first[used] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            each = np.bincount(self.of[spread], np.repeat(times, n), len(self.item))
+            part = np.cumsum(each) // _HITS
+            ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), *ends]
+        begin = 0
+        for end in ends:
+            low = np.searchsorted(self.posting, i * len(self.item) + begin)
+            n = np.searchsorted(self.posting, i * len(self.item) + end) - low
+            spread = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            yield np.repeat(at, n), self.of[spread].astype(np.int64), self.place[spread].astype(np.int64)
+            begin = end
 
     def short_in(self, text: bytes):
         """(item, start) of the short items that stand in a text."""
@@ -136,10 +180,11 @@ class ItemIndex:
                         yield item, end - n - 1
 
 
-def _align(patterns: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(edits, end) of the best occurrence of each pattern in its region; a row for each pair."""
+def _align(patterns: np.ndarray, regions: np.ndarray, budget: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end) of the best occurrence of each pattern in its region, a row for each pair; where that has more than ``budget`` edits, some number above it."""
     places = np.arange(regions.shape[1] + 1, dtype=np.int16)
-    row = np.zeros((len(regions), len(places)), np.int16)
+    edits, end = budget + 1, np.zeros(len(regions), np.int64)
+    alive, row = np.arange(len(regions)), np.zeros((len(regions), len(places)), np.int16)
     for i in range(patterns.shape[1]):
         new = np.empty_like(row)
         new[:, 0] = i + 1
@@ -147,25 +192,68 @@ def _align(patterns: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.nd
         new -= places
         np.minimum.accumulate(new, axis=1, out=new)
         row = np.add(new, places, out=new)
-    end = row.argmin(axis=1)
-    return row[np.arange(len(row)), end].astype(np.int64), end
+        if i % 8 == 7:  # the least of a row never falls
+            good = row.min(axis=1) <= budget[alive]
+            if not good.all():
+                alive, row, patterns, regions = alive[good], row[good], patterns[good], regions[good]
+                if not len(alive):
+                    return edits, end
+    end[alive] = row.argmin(axis=1)
+    edits[alive] = row[np.arange(len(row)), end[alive]]
+    return edits, end
+
+
+def _hopeful(ix: ItemIndex, b: np.ndarray, of: np.ndarray, cell: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which bands have a window that misses few enough 4-grams of the text around it. least, most: places of a band's q-grams in its item."""
+    k, bound, last = np.maximum(ix.k[of], 1), _GRAM * ix.k[of], ix.length[of] - ix.size[of]
+    low = -(-np.maximum(least + Q - ix.size[of], 0) // ix.step[of])
+    high = np.where(most >= last, ix.windows[of] - 1, most // ix.step[of])
+    low = np.minimum(low, high)
+    wide = int((ix.size + 4 * np.maximum(ix.k, 1)).max()) + _APART
+    bits = _gram_bits(np.r_[b, np.zeros(wide + _APART, np.uint8)])
+    good = np.zeros(len(of), bool)
+    ends = np.cumsum(high - low + 1)
+    at = 0
+    while at < len(of):
+        z = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS)))
+        times = (high - low + 1)[at:z]
+        band = np.repeat(np.arange(at, z), times)
+        window = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + low[band]
+        p = of[band]
+        start = np.minimum(window * ix.step[p], last[band])
+        first = np.clip(cell[band] * k[band] - ix.shift - k[band] + start, 0, len(b)) // _APART
+        spots, which = np.unique(first, return_inverse=True)
+        around = _sketches(bits[np.minimum(spots[:, None] * _APART + np.arange(wide - _GRAM + 1), len(bits) - 1)])
+        missing = np.bitwise_count(ix.sketch[ix.window_at[p] + window] & ~around[which]).sum(axis=1)
+        good[band[missing <= bound[band]]] = True
+        at = z
+    return good
 
 
 def leaks_in(ix: ItemIndex, b: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item, window's start, edits, start, end) of the verified regions of the texts in b."""
-    at, of, place = ix.hits(b)
-    if not len(at):
-        return []
+    return sorted(x for hits in ix.hits(b) for x in _leaks_of(ix, b, offsets, *hits))
+
+
+def _leaks_of(ix: ItemIndex, b: np.ndarray, offsets: np.ndarray, at: np.ndarray, of: np.ndarray, place: np.ndarray):
+    """The same of some items, from their shared q-grams."""
     doc = np.searchsorted(offsets, at, side="right") - 1
     inside = at + Q <= offsets[doc + 1]
     at, of, place, doc = at[inside], of[inside], place[inside], doc[inside]
+    if not len(at):
+        return []
     k = np.maximum(ix.k[of], 1)
     # Band j holds the cells j and j + 1: width 2k, neighbours overlap by k. One sortable number for each.
     cell, cells = (at - place + ix.shift) // k, int(len(b) + 2 * ix.shift)
     key = (doc * len(ix.text) + of) * cells + cell
     key = np.r_[key, key - 1]
-    bands, n = np.unique(key, return_counts=True)
-    bands = bands[n >= ix.need[bands // cells % len(ix.text)]]
+    order = np.argsort(key)
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    bands, n, places = key[order[first]], np.diff(np.r_[first, len(key)]), np.r_[place, place][order]
+    full = n >= ix.need[bands // cells % len(ix.text)]
+    least, most = np.minimum.reduceat(places, first)[full], np.maximum.reduceat(places, first)[full]
+    bands = bands[full]
+    bands = bands[_hopeful(ix, b, bands // cells % len(ix.text), bands % cells, least, most)]
     if not len(bands):
         return []
     band = np.searchsorted(bands, key)  # of each shared q-gram in a full band
@@ -199,13 +287,13 @@ def leaks_in(ix: ItemIndex, b: np.ndarray, offsets: np.ndarray) -> list[tuple[in
             spots = first[:, None] + np.arange(m + 4 * int(k.max()))
             valid = (spots >= offsets[t][:, None]) & (spots < offsets[t + 1][:, None])
             regions = np.where(valid, b[np.where(valid, spots, 0)], np.uint8(255))
-            edits, end = _align(np.stack([ix.text[x][y : y + m] for x, y in zip(p, w, strict=True)]), regions)
+            edits, end = _align(np.stack([ix.text[x][y : y + m] for x, y in zip(p, w, strict=True)]), regions, ix.k[p])
             for r in np.flatnonzero(edits <= ix.k[p]):
                 stop = int(first[r] + end[r] - offsets[t[r]])
                 found = (int(edits[r]), max(0, stop - int(m)), stop)
                 where = (int(t[r]), int(p[r]), int(w[r]))
                 out[where] = min(found, out.get(where, found))
-    return [(*where, *x) for where, x in sorted(out.items())]
+    return [(*where, *x) for where, x in out.items()]
 
 
 def _found(ix: ItemIndex, texts: pa.Array) -> dict[tuple[int, object], list[tuple[int, int]]]:
