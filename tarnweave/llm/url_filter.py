@@ -78,10 +78,10 @@ def canonical(url: Column) -> Column:
     rest = F.regexp_extract(url, r"(?s)^[^:]*://(?:[^/?#@]*@)?([^#]*)", 1)
 
     def of(r: Column) -> Column:
-        host = F.regexp_replace(lower_ascii(F.regexp_extract(r, r"^[^/?]*", 0)), r"(?::(?:80|443)?)?$", "")
-        host = F.regexp_replace(host, r"\.$", "")
-        path = F.regexp_replace(_without_dots(_unescape(F.regexp_extract(r, r"^[^/?]*([^?]*)", 1))), r"/+$", "")
-        query = F.regexp_extract(r, r"\?(.*)$", 1)
+        host = F.regexp_replace(lower_ascii(F.regexp_extract(r, r"^[^/?]*", 0)), r"(?::(?:80|443)?)?\z", "")
+        host = F.regexp_replace(host, r"\.\z", "")
+        path = F.regexp_replace(_without_dots(_unescape(F.regexp_extract(r, r"^[^/?]*([^?]*)", 1))), r"/+\z", "")
+        query = F.regexp_extract(r, r"(?s)\?(.*)\z", 1)
         kept = F.array_sort(F.filter(F.split(_unescape(query), "&"), lambda x: (x != "") & ~F.lower(x).rlike(TRACKING)))
         return F.when(host != "", F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
 
