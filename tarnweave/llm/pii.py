@@ -39,9 +39,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Candidates beyond them.
 LOOSE_PHONE = r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])"
 LOOSE_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-KEYED_ID = r"(?<=(?:SSN|ssn|[Pp]assport|DNI|NIF|Ausweis|Steuer-ID|[Ii]nsurance)(?:\x20(?:no\.?|number|is))?[:#\x20]{1,3})[A-Z0-9][A-Z0-9-]{5,13}(?![A-Za-z0-9-])"
+KEYED_ID = r"(?=[A-Z0-9])(?<=[:#\x20])(?<=(?:SSN|ssn|[Pp]assport|DNI|NIF|Ausweis|Steuer-ID|[Ii]nsurance)(?:\x20(?:no\.?|number|is))?[:#\x20]{1,3})[A-Z0-9][A-Z0-9-]{5,13}(?![A-Za-z0-9-])"
 NAME = r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.?\x20\p{Lu}\p{Ll}{1,20}(?:\x20\p{Lu}\p{Ll}{1,20})?"
-KEYED_NAME = r"(?<=(?:[Nn]ame(?:\x20is)?|[Ss]igned|[Dd]ear|[Aa]uthor|[Aa]ttn|[Cc]ontact|Nombre|Nom|Unterschrift)[:,]?\x20)\p{Lu}\p{Ll}{1,20}(?:\x20\p{Lu}\p{Ll}{1,20}){1,2}"
+KEYED_NAME = r"(?=\p{Lu})(?<=\x20)(?<=(?:[Nn]ame(?:\x20is)?|[Ss]igned|[Dd]ear|[Aa]uthor|[Aa]ttn|[Cc]ontact|Nombre|Nom|Unterschrift)[:,]?\x20)\p{Lu}\p{Ll}{1,20}(?:\x20\p{Lu}\p{Ll}{1,20}){1,2}"
 # A value that is assigned to a word, or any long run of letters and digits mixed.
 SECRET = r"""(?<![A-Za-z0-9+/_.~-])(?:(?<=[A-Za-z_]["']?\x20?[=:]\x20?["']?)[A-Za-z0-9+/_.~-]{8,}|(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,})"""
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -188,7 +188,7 @@ def _candidate(kind: str, x: Column, base: bool) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, and ``c``: all base spans and candidates of each text by start, with votes and features."""
+    """doc_id, and ``c``: all base spans and candidates of each text, with votes and features."""
     t = text_or_empty("text")
 
     def of(text: Column) -> Column:
@@ -220,8 +220,27 @@ def candidates(docs: DataFrame) -> DataFrame:
         kept = F.filter(F.arrays_zip(c.alias("c"), ends.alias("e"), starts.alias("n")), free)
         return F.when(F.forall(c, lambda x: x["base"]) | ~F.exists(c, lambda x: x["base"]), c).otherwise(F.transform(kept, lambda z: z["c"]))
 
+    def apart(c: Column) -> Column:
+        """Two patterns look for ids and for names: of their candidates of one kind that overlap, the leftmost and longest stays."""
+        twice = lambda x: ~x["base"] & x["kind"].isin(KINDS.index("id"), KINDS.index("name"))
+        kept = lambda found: F.transform(F.array_sort(F.transform(found, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x.alias("x")))), lambda y: y["x"])
+
+        def add(a: Column, x: Column) -> Column:
+            is_id = x["kind"] == KINDS.index("id")
+            free = x["s"] >= F.when(is_id, a["id"]).otherwise(a["name"])
+            return F.struct(
+                F.when(free & is_id, x["e"]).otherwise(a["id"]).alias("id"), F.when(free & ~is_id, x["e"]).otherwise(a["name"]).alias("name"),
+                F.when(free, F.concat(a["out"], F.array(x))).otherwise(a["out"]).alias("out"),
+            )
+
+        def of(found: Column) -> Column:
+            start = F.struct(F.lit(0).alias("id"), F.lit(0).alias("name"), F.slice(found, 1, 0).alias("out"))
+            return F.when(F.size(found) < 2, c).otherwise(F.concat(F.filter(c, lambda x: ~twice(x)), F.aggregate(kept(found), start, add, lambda a: a["out"])))
+
+        return let(F.filter(c, twice), of)
+
     by_start = lambda c: F.transform(F.array_sort(F.transform(c, lambda x: F.struct(x["s"].alias("s"), x.alias("x")))), lambda y: y["x"])
-    return docs.select("doc_id", let(let(let(t, of), by_start), clear).alias("c"))
+    return docs.select("doc_id", let(let(let(let(t, of), by_start), clear), apart).alias("c"))
 
 
 def em_posteriors(counts: dict[tuple[int, str], int], rounds: int = 30) -> dict[tuple[int, str], float]:

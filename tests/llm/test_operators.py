@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -108,6 +109,37 @@ def test_pii_of_a_text_with_many_matches(spark):
     assert rows[1]["base_sha256"] == hashlib.sha256(",".join(plain_pii(many)).encode()).hexdigest()
 
 
+def plain_added(text):
+    """Candidates of ids and names by both patterns of each, leftmost and longest first, clear of base spans."""
+    text, base = text or "", [tuple(map(int, x.split(":")[1:])) for x in plain_pii(text)]
+    head = r"(?:SSN|ssn|[Pp]assport|DNI|NIF|Ausweis|Steuer-ID|[Ii]nsurance)(?:\x20(?:no\.?|number|is))?[:#\x20]{1,3}"
+    call = r"(?:[Nn]ame(?:\x20is)?|[Ss]igned|[Dd]ear|[Aa]uthor|[Aa]ttn|[Cc]ontact|Nombre|Nom|Unterschrift)[:,]?\x20"
+    out = []
+    for kind, pats in {"id": [pii.LOOSE_ID, f"(?<={head})[A-Z0-9][A-Z0-9-]{{5,13}}(?![A-Za-z0-9-])"], "name": [pii.NAME, rf"(?<={call})\p{{Lu}}\p{{Ll}}{{1,20}}(?:\x20\p{{Lu}}\p{{Ll}}{{1,20}}){{1,2}}"]}.items():
+        found = sorted((m.start(), -m.end()) for p in pats for m in regex.finditer(p, text))
+        end = 0
+        for s, e in found:
+            if all(-e <= a or z <= s for a, z in base) and s >= end:
+                out.append((kind, s, -e))
+                end = -e
+    return out
+
+
+def test_added_candidates_do_not_overlap(spark, docs):
+    """Both patterns of a kind hit here; the same places as by the patterns without look-aheads in front."""
+    made = ["My SSN 123-45-6789 and passport no AB123456. Signed Dr. John Smith Miller, dear Mrs. Anna Maria Lopez. SSN: 123-45-6789-0", "SSN 111-22-3333 " * 500, "Name is John Paul Smith name is Mr John Paul"]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(made)], "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    n = 0
+    for r in pii.candidates(rows).collect():
+        got = sorted((pii.KINDS[x["kind"]], x["s"], x["e"]) for x in r["c"] if not x["base"] and pii.KINDS[x["kind"]] in ("id", "name"))
+        assert got == sorted(plain_added(texts[r["doc_id"]])), r["doc_id"]
+        n += len(got)
+    assert n > 505
+    spans = [r["spans"].split(",") for r in pii.find_pii(rows).collect()]
+    assert all(len(s) == len(set(s)) for s in spans)
+
+
 def test_em_learns_reliability():
     counts = {(0, "+++00"): 500, (0, "0-0-0"): 500, (0, "+0000"): 50, (0, "000-0"): 50}
     p = pii.em_posteriors(counts)
@@ -266,6 +298,9 @@ def test_listed_urls(spark):
         "https://ex.com:443?ref=1": "ex.com", "https://ex.com/../../x/..": "ex.com", "ftp://ex.com:8080/%zz%4": "ex.com:8080/%zz%4", "http://ex.com/a?x=http://y#z": "ex.com/a?x=http://y",
         "http://": None, "ex.com/a": None, None: None, "http://ex.com/" + "a/" * 20_000: "ex.com" + "/a" * 20_000,
     }
+    lines = ["http://a.com/p?x=1\ny=2", "http://a.com/p?x=1\u0085", "http://a.com/p/\n", "http://a.com.\n", "http://a.com/p?x=1\u2028y"]
+    odd = spark.createDataFrame([(u,) for u in lines], "url string").select(url_filter.canonical(F.col("url"))).collect()
+    assert [r[0] for r in odd] == ["a.com/p?x=1\ny=2", "a.com/p?x=1\u0085", "a.com/p/\n", "a.com.\n", "a.com/p?x=1\u2028y"]
     got = spark.createDataFrame([(u,) for u in forms], "url string").select("url", url_filter.canonical(F.col("url")).alias("c")).collect()
     assert {r["url"]: r["c"] for r in got} == forms
     pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.com/p"), "id", F.lit("?utm_x=1")).alias("url"))
@@ -462,6 +497,23 @@ def test_leaks(spark, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_phrases_that_many_items_share(spark, monkeypatch):
+    """Each item holds the same phrase, the text holds it hundreds of times; hits come in parts of a few items."""
+    rng = np.random.default_rng(4)
+    made = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 9)))) for _ in range(400)]
+    some = lambda n: " ".join(rng.choice(made, n))
+    items = [(i, some(10) + " one of the following " + some(11)) for i in range(60)]
+    texts = [" ".join(some(12) + " one of the following" for _ in range(60)) + " " + items[7][1], "-" * 400 + items[9][1][20:130], some(50)]
+    for hits, pairs in ((1 << 21, 1 << 15), (500, 64)):
+        monkeypatch.setattr(decontaminate, "_HITS", hits)
+        monkeypatch.setattr(decontaminate, "_PAIRS", pairs)
+        ix = decontaminate.ItemIndex(items, decontaminate.LeakRules())
+        raw = "".join(texts).encode()
+        b, new = decontaminate.squeeze(np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, texts)]))
+        got = {x[:2] for x in decontaminate.leaks_in(ix, b, new)}
+        assert got == plain_leaks(list(enumerate(texts)), items) and {(0, 7), (1, 9)} <= got
+
+
 # --- 8
 
 
