@@ -49,8 +49,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import _K, mix, shingle_sets
@@ -294,16 +293,32 @@ def _whole_groups(batches, keys: list[str], cols: list[str], rows: int):
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
+def _cells(cls: Column, common: Column, size: Column, n_common: Column) -> Column:
+    """Where a row of a slice group is compared: array of (p, side); in a cell with two sides only rows of different sides meet.
+
+    A small group is one cell. In a large one, rows of the commonest root do not meet each other: each is dealt to one
+    cell (p < 0), and only the others, its outliers, are copied to all of these. Outliers meet each other in cells
+    (x, y) of their blocks, x <= y.
+    """
+    whole = size <= GROUP_ROWS
+    inner, outer = (F.greatest(F.ceil(n / GROUP_ROWS), F.lit(1)).cast("int") for n in (n_common, size - n_common))
+    cell = lambda p, side: F.struct(p.cast("int").alias("p"), side.cast("int").alias("side"))
+    mine = F.pmod(F.xxhash64(cls), outer).cast("int")
+    met = F.transform(F.sequence(F.lit(0), outer - 1), lambda y: cell(F.least(mine, y) * outer + F.greatest(mine, y), mine))
+    copied = F.transform(F.sequence(F.lit(1), inner), lambda x: cell(-x, F.lit(1)))
+    once = F.array(cell(-1 - F.pmod(F.xxhash64(cls), inner), F.lit(0)))
+    return F.when(whole, F.array(cell(F.lit(0), F.lit(0)))).when(common, once).otherwise(F.concat(met, copied))
+
+
 def _open_roots(groups: DataFrame, sketches: DataFrame, roots: DataFrame, pct: int) -> DataFrame:
     """(a, b): pairs of different roots that classes of one slice group may link; they connect all roots that may be linked."""
-    here = groups.join(roots, "cls").select("k", "cls", "part", "size", "root")
-    several = here.groupBy("k").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("k")
-    here = cut(here.join(several, "k", "left_semi"), "open").join(sketches, ["cls", "part"])
-    # Blocks x and y of a large group meet in task (x, y), x <= y; a small group is block 0 alone.
-    blocks = F.ceil(F.col("size") / GROUP_ROWS).cast("int")
-    mine = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda y: F.least(mine, y) * blocks + F.greatest(mine, y))
-    dealt = here.select("k", F.explode(pair).alias("p"), mine.alias("side"), "root", "n", "parts", *SKETCH)
+    here = groups.join(roots, "cls").select("k", "cls", "part", "root")
+    # A group's commonest root, from sums; groups of one root have nothing to add.
+    of_group = here.groupBy("k", "root").agg(F.count("*").alias("n")).groupBy("k").agg(F.count("*").alias("roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("top"))
+    of_group = of_group.filter("roots > 1").select("k", "size", F.col("top.root").alias("common"), F.col("top.n").alias("n_common"))
+    here = cut(here.join(of_group, "k"), "open").join(sketches, ["cls", "part"])
+    dealt = here.select("k", F.explode(_cells(F.col("cls"), F.col("root") == F.col("common"), F.col("size"), F.col("n_common"))).alias("c"), "root", "n", "parts", *SKETCH)
+    dealt = dealt.select("k", F.col("c.p").alias("p"), F.col("c.side").alias("side"), "root", "n", "parts", *SKETCH)
 
     def run(batches):
         for k, p, side, root, n, parts, *sketch in _whole_groups(batches, ["k", "p"], ["k", "p", "side", "root", "n", "parts", *SKETCH], 50_000):
@@ -423,11 +438,10 @@ def ngram_components(docs: DataFrame, words: int = 4, pct: int = 85) -> DataFram
     classes = cut(full.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), one), "classes")
     sketches = full.select("cls", F.col("n_shingles").alias("n"), F.explode("sketches").alias("x")).select("cls", "n", "x.*").dropDuplicates(["cls", "part"])
     sketches = cut(sketches, "sketches")
-    # Keys that more than one class has.
-    by_key, in_key = W.partitionBy("k"), W.partitionBy("k").orderBy("cls")
-    groups = _slices(texts, words, pct).withColumn("before", F.lag("cls").over(in_key))
-    groups = groups.withColumns({"lo": F.min("cls").over(by_key), "hi": F.max("cls").over(by_key), "size": F.count("*").over(by_key)})
-    groups = cut(groups.filter("lo <> hi and (before is null or before <> cls)").select("k", "cls", "part", "lo", "size"), "groups")
+    # Keys that more than one class has, from sums by key: copies of a text, and keys that are everywhere, shrink before they are shuffled.
+    slices = cut(_slices(texts, words, pct), "slices")
+    shared = slices.groupBy("k").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("k", "lo")
+    groups = cut(slices.join(shared, "k").select("k", "cls", "part", "lo").distinct(), "groups")
     pairs = cut(_elected(groups, sketches, pct), "pairs")
     links = _verified(pairs, texts, classes, words, pct)
     placed = _placed(classes.select("cls", "first_id", "n", F.col("cls").alias("root")), links)

@@ -237,6 +237,24 @@ def test_large_groups_and_clusters_are_cut(spark, monkeypatch):
     assert Counter(map(tuple, got.collect())) == Counter(want)
 
 
+def test_members_of_the_commonest_root_are_dealt_once(spark):
+    """Only the others are copied; every two rows of different roots have a cell where they may meet."""
+    rows = spark.range(100_000).select(F.col("id").alias("cls"), (F.col("id") % 20_000 != 0).alias("common"))
+    dealt = rows.select("cls", "common", F.explode(ngram_join._cells(F.col("cls"), F.col("common"), F.lit(100_000), F.lit(99_995))).alias("c"))
+    assert dealt.count() < 2 * 100_000
+    small = spark.range(9000).select(F.col("id").alias("cls"), (F.col("id") % 3 > 0).alias("common"))
+    cells = defaultdict(set)
+    for r in small.select("cls", F.explode(ngram_join._cells(F.col("cls"), F.col("common"), F.lit(18_000), F.lit(9000))).alias("c")).collect():
+        cells[r["cls"]].add((r["c"]["p"], r["c"]["side"]))
+    two = defaultdict(set)
+    for c in cells.values():
+        for p, side in c:
+            two[p].add(side)
+    meet = lambda a, b: any(p == q and (s != t or len(two[p]) == 1) for p, s in cells[a] for q, t in cells[b])
+    assert all(meet(a, b) for a in range(0, 9000, 303) for b in range(0, 9000, 97) if a != b and (a % 3 == 0 or b % 3 == 0))
+    assert all(len(cells[i]) == 1 for i in range(9000) if i % 3)
+
+
 def test_pairs_grow_with_members_only():
     """However many rows of a group may link, fewer pairs than roots come out, and they connect what may link."""
     rng = np.random.default_rng(2)
