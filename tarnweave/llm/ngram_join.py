@@ -440,7 +440,8 @@ def ngram_components(docs: DataFrame, words: int = 4, pct: int = 85) -> DataFram
     sketches = cut(sketches, "sketches")
     # Keys that more than one class has, from sums by key: copies of a text, and keys that are everywhere, shrink before they are shuffled.
     slices = cut(_slices(texts, words, pct), "slices")
-    shared = slices.groupBy("k").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("k", "lo")
+    # They are written, so that the shuffle of the sums is gone before the join, and the join can split a frequent key.
+    shared = cut(slices.groupBy("k").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("k", "lo"), "shared")
     groups = cut(slices.join(shared, "k").select("k", "cls", "part", "lo").distinct(), "groups")
     pairs = cut(_elected(groups, sketches, pct), "pairs")
     links = _verified(pairs, texts, classes, words, pct)
