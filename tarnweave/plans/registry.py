@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import answers, assembly, catalog, corpus, evaluation, memories, records, relational, retrieval, search, state, text
+from . import answers, assembly, catalog, corpus, evaluation, memories, pages, records, relational, retrieval, search, state, text
 
-MODULES = [text, relational, search, retrieval, evaluation, state, corpus, catalog, records, memories, answers, assembly]
+MODULES = [text, relational, search, retrieval, evaluation, state, corpus, catalog, records, memories, answers, assembly, pages]
 
 
 def queries() -> dict:
