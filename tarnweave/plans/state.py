@@ -175,3 +175,16 @@ def stream_activity(spark, sf):
 def stream_ingest_ledger(spark, sf):
     out = streams.ingest_ledger(_stream(spark, sf), shared_dir(spark, "ledger"))
     return out.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("n_ids").alias("n_ids"))
+
+
+@query("""with v as (select *, lower(trim((event_id % 3)::varchar)) x, lag(event_id % 3) over (partition by user_id, event_type order by ts, event_id) p from events)
+select user_id, event_type, row_number() over (partition by user_id, event_type order by ts, event_id) as version, x as value, ts valid_from from v where p is null or p <> event_id % 3""")
+def stream_revisions(spark, sf):
+    """Versions of events that come in four batches in no order of time: what is late corrects what was emitted."""
+    from datetime import timedelta
+
+    e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", (F.col("event_id") % 3).cast("string").alias("value"))
+    folder = shared_dir(spark, "shuffled-events")
+    e.repartition(4, F.xxhash64("event_id")).write.parquet(folder)
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return streams.current_versions(streams.run_to_end(streams.stream_revisions(s, timedelta(days=36500)), shared_dir(spark, "revisions")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,20 +82,82 @@ def latest_activity(events: DataFrame, out: str) -> DataFrame:
 def ingest_ledger(stream: DataFrame, out: str) -> DataFrame:
     """Counts of each batch: rows, and ids that no earlier batch had.
 
-    Each batch replaces its own folders, so a batch that is tried again counts once, and ids
-    are looked up in those of earlier batches only.
+    Ids seen are in the state store, by id over all partitions, so a batch looks up its own ids only and costs its own size, however
+    many came before; nothing of earlier batches is read. A batch that is tried again starts from the same state and replaces its
+    own folder, so it counts once. Ids are kept for good; where they come again only within a bounded time,
+    give the stream a watermark and use ``dropDuplicatesWithinWatermark`` before this.
     """
-    spark = stream.sparkSession
+    every = stream.select("event_type", F.lit(1).alias("n"), F.lit(0).alias("n_ids"))
+    fresh = stream.dropDuplicates(["event_type", "event_id"]).select("event_type", F.lit(0).alias("n"), F.lit(1).alias("n_ids"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ids = batch.select("event_type", "event_id").distinct()
-        if batch_id:
-            seen = spark.read.schema("event_type string, event_id long, batch int").option("basePath", out + "-ids").parquet(*[f"{out}-ids/batch={i}" for i in range(batch_id)])
-            ids = ids.join(seen.filter(F.col("batch") < batch_id), ["event_type", "event_id"], "left_anti")
-        ids.write.mode("overwrite").parquet(f"{out}-ids/batch={batch_id}")
-        fresh = spark.read.schema("event_type string, event_id long").parquet(f"{out}-ids/batch={batch_id}").groupBy("event_type").agg(F.count("*").alias("n_ids"))
-        counts = batch.groupBy("event_type").agg(F.count("*").alias("n")).join(fresh, "event_type", "left")
-        counts.select("event_type", "n", F.coalesce("n_ids", F.lit(0)).alias("n_ids")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
+        batch.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("n_ids").alias("n_ids")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    spark, key = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = every.union(fresh).writeStream.foreachBatch(write).option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
     return spark.read.option("basePath", out).parquet(out)
+
+
+REVISION = "user_id long, event_type string, kind string, revision long, version long, value string, valid_from timestamp"
+HISTORY = "version long, value string, bound timestamp, revision long, events string"
+
+
+def _same(a, b) -> bool:
+    return str(a).strip().lower() == str(b).strip().lower()
+
+
+def revised_versions(horizon: dt.timedelta):
+    """The state function of ``stream_revisions``: what it remembers of a key is its events within the horizon, and where versions stood before them."""
+
+    def run(key, frames, state: GroupState):
+        version, value, bound, revision, said = state.get if state.exists else (0, None, None, 0, "[]")
+        events = {e[1]: (pd.Timestamp(e[0]), e[1], e[2]) for e in json.loads(said)}
+        rows = pd.concat(list(frames))
+        late, old = [], dict(events)
+        for r in rows.itertuples(index=False):
+            if bound is not None and r.ts < pd.Timestamp(bound):
+                late.append((key[0], key[1], "late", revision, None, r.value, r.ts))
+            else:
+                events.setdefault(r.event_id, (r.ts, r.event_id, r.value))
+        ordered, out = sorted(events.values()), []
+        if len(events) > len(old):
+            revision += 1
+            number, last = version, value
+            for ts, _, v in ordered:
+                if number == 0 or not _same(v, last):
+                    number, last = number + 1, v
+                    out.append((key[0], key[1], "version", revision, number, v, ts))
+        if ordered:
+            bound = max(ordered[-1][0] - horizon, pd.Timestamp(bound) if bound is not None else pd.Timestamp.min)
+        keep = []
+        for ts, i, v in ordered:
+            if ts >= bound:
+                keep.append((ts.isoformat(), i, v))
+            elif version == 0 or not _same(v, value):
+                version, value = version + 1, v
+        state.update((version, value, bound.to_pydatetime() if ordered else bound, revision, json.dumps(keep)))
+        yield pd.DataFrame(out + late, columns=["user_id", "event_type", "kind", "revision", "version", "value", "valid_from"])
+
+    return run
+
+
+def stream_revisions(events: DataFrame, horizon: dt.timedelta) -> DataFrame:
+    """events (event_id, ts, user_id, event_type, value string) stream in any order -> versions of each key, corrected as late events come.
+
+    An event that comes after later ones re-opens the versions from its time on: they are emitted once more with a higher revision. An
+    event more than ``horizon`` behind the latest of its key changes nothing; it comes out as a row of kind ``late``. Ids that come again
+    within the horizon count once. The state of a key is its events within the horizon.
+    """
+    return events.groupBy("user_id", "event_type").applyInPandasWithState(revised_versions(horizon), REVISION, HISTORY, "append", GroupStateTimeout.NoTimeout)
+
+
+def current_versions(revisions: DataFrame) -> DataFrame:
+    """user_id, event_type, version, value, valid_from: each version as last revised. An event more never makes fewer versions, so a version's last revision is what holds."""
+    last = revisions.filter("kind = 'version'").groupBy("user_id", "event_type", "version").agg(F.max_by(F.struct("value", "valid_from"), "revision").alias("r"))
+    return last.select("user_id", "event_type", "version", "r.value", "r.valid_from")

@@ -1,6 +1,7 @@
 """Streams over more than one batch: late events, ids that come again, and expiry with a clock of its own."""
 
 import datetime as dt
+import itertools
 
 import pandas as pd
 import pytest
@@ -66,3 +67,30 @@ def test_idle_keys_expire():
         assert next(it)["status"][0] == "expired"
         next(it)
     assert not clock.exists
+
+
+def test_batches_in_any_order_give_the_same_versions(spark, tmp_path):
+    """Late events re-open versions; what is read at the end is what one batch in order of time gives."""
+    batches = [[event(1, 0, "x"), event(4, 30, "x"), event(5, 40, "z")], [event(2, 10, " X "), event(3, 20, "y"), event(9, 5, "q", "b")], [event(6, 50, "z"), event(3, 20, "y"), event(7, 35, "w")]]
+    want = [(1, "x", 0), (2, "y", 20), (3, "x", 30), (4, "w", 35), (5, "z", 40)]
+    for n, order in enumerate(itertools.permutations(batches)):
+        s = in_batches(spark, str(tmp_path / f"in{n}"), order)
+        out = state.run_to_end(state.stream_revisions(s, dt.timedelta(days=1)), str(tmp_path / f"out{n}"))
+        rows = state.current_versions(out).filter("event_type = 'a'").orderBy("version").collect()
+        assert [(r["version"], r["value"].strip().lower(), (r["valid_from"] - T).seconds // 60) for r in rows] == want
+        assert out.filter("kind = 'late'").count() == 0
+
+
+def test_events_behind_the_horizon_come_out_as_late(spark, tmp_path):
+    s = in_batches(spark, str(tmp_path / "in"), [[event(1, 0, "x"), event(2, 100, "y")], [event(3, 1, "q"), event(4, 95, "x"), event(5, 200, "y")], [event(6, 150, "x")]])
+    out = state.run_to_end(state.stream_revisions(s, dt.timedelta(minutes=60)), str(tmp_path / "out"))
+    assert [(r["value"], r["valid_from"]) for r in out.filter("kind = 'late'").collect()] == [("q", T + dt.timedelta(minutes=1))]
+    rows = state.current_versions(out).orderBy("version").collect()
+    assert [(r["version"], r["value"]) for r in rows] == [(1, "x"), (2, "y"), (3, "x"), (4, "y")]
+
+
+def test_the_ledger_reads_no_earlier_batch(spark, tmp_path):
+    s = in_batches(spark, str(tmp_path / "in"), [[event(i, 0, "x"), event(i + 1, 0, "x")] for i in range(6)])
+    out = state.ingest_ledger(s, str(tmp_path / "out"))
+    assert [(r["n"], r["n_ids"]) for r in out.orderBy("batch").collect()] == [(2, 2)] + [(2, 1)] * 5
+    assert not (tmp_path / "out-ids").exists()
