@@ -58,8 +58,9 @@ def _nfkc_each(lists: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility form; Spark has no function for it, so batches of strings go through Python."""
-    return F.pandas_udf(_nfkc, StringType())(text)
+    """Unicode compatibility form; Spark has no function for it, so batches of strings go through Python, but only those beyond ASCII, which has no other form."""
+    beyond = F.when(F.octet_length(text) != F.length(text), text)
+    return F.coalesce(F.pandas_udf(_nfkc, StringType())(beyond), text)
 
 
 def normalized_query(text: Column) -> Column:

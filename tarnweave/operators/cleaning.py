@@ -9,9 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tarnweave.functions.scores import content_hash
 from tarnweave.functions.text import nfkc, normalized_key
+from tarnweave.sources.tables import written
 
 #: Lines of fences and of tables; fixed forms.
 FENCE = r"^\s*(?:```|~~~)"
@@ -129,74 +132,101 @@ def near_duplicate_fold(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_lines long, n_removed long, text string")
 
 
-def line_normalize(text: Column, layout: Column) -> Column:
-    """Without BOM, NUL and control signs, line ends as \\n and no blanks before them.
-
-    Where ``layout`` counts (code, tables) nothing else; prose also gets its compatibility form, at
-    most two empty lines in a row, and none at its ends.
-    """
-    t = F.regexp_replace(F.translate(text, "\ufeff\x00", ""), "\r\n|\r", "\n")
-    code = F.regexp_replace(F.regexp_replace(t, DISALLOWED, ""), r"[ \t]+(?=\n|\z)", "")
-    prose = F.regexp_replace(F.regexp_replace(nfkc(t), DISALLOWED, ""), r"(?U)[^\S\n]+(?=\n|\z)", "")
-    return F.when(layout, code).otherwise(F.regexp_replace(F.regexp_replace(prose, "\n{4,}", "\n\n\n"), r"^\n+|\n+$", ""))
-
-
 def is_table_or_code(kind: Column, text: Column) -> Column:
     return kind.isin("code", "table_row") | text.rlike(FENCE) | text.rlike("(?m:" + TABLE + ")")
 
 
-def block_edges(blocks: DataFrame) -> DataFrame:
-    """(doc_id, idx) of blocks that are repeated headers or footers: paragraphs at an edge of three pages and of half of all."""
-    pages = blocks.filter("page is not null")
-    ends = pages.groupBy("doc_id", "page").agg(F.min("idx").alias("a"), F.max("idx").alias("z"))
-    edges = pages.join(ends, ["doc_id", "page"]).filter("(idx = a or idx = z) and kind = 'paragraph'").withColumn("key", normalized_key(F.col("text")))
-    plain = edges.filter(~is_table_or_code(F.col("kind"), F.col("text")) & (F.col("key") != "") & (F.length("key") <= 160))
-    total = pages.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"))
-    often = plain.groupBy("doc_id", "key").agg(F.countDistinct("page").alias("on")).join(total, "doc_id")
-    often = often.filter((F.col("pages") >= 3) & (F.col("on") >= 3) & (F.col("on") >= F.ceil(F.col("pages") / 2)))
+def line_normalized(blocks: DataFrame) -> DataFrame:
+    """blocks (kind, text and others) -> text without BOM, NUL and control signs, line ends as \\n and no blanks before them; plus layout and the raw counts.
+
+    In code and tables (``layout``) nothing else changes; prose also gets its compatibility form, at most two
+    empty lines in a row, and none at its ends. Each step is a projection of its own, so that no text is
+    computed twice, and a pattern only runs where a cheap look at the text says that it can match.
+    """
+    is_ascii = lambda c: F.octet_length(c) == F.length(c)
+    has = lambda c, x: F.contains(F.col(c), F.lit(x))
+    t = blocks.withColumns({
+        "raw_chars": F.length("text"), "replacements": F.length("text") - F.length(F.replace("text", F.lit("\ufffd"), F.lit(""))),
+        "controls": F.regexp_count("text", F.lit(DISALLOWED)), "raw": F.coalesce("text", F.lit("")),
+    })
+    t = t.withColumns({"layout": is_table_or_code(F.col("kind"), F.col("raw")), "t": F.replace(F.replace("raw", F.lit("\ufeff"), F.lit("")), F.lit("\x00"), F.lit(""))})
+    t = t.withColumn("t", F.when(has("t", "\r"), F.regexp_replace("t", "\r\n|\r", "\n")).otherwise(F.col("t")))
+    t = t.withColumn("even", nfkc(F.when(~F.col("layout"), F.col("t")))).withColumn("t", F.coalesce("even", "t"))
+    t = t.withColumn("t", F.when(F.col("controls") > 0, F.regexp_replace("t", DISALLOWED, "")).otherwise(F.col("t")))
+    # Of white space only blanks, tabs and \n are left in ASCII here.
+    blanks = F.when(~has("t", "\n"), F.rtrim(F.col("t"), F.lit(" \t"))).otherwise(F.regexp_replace("t", r"[ \t]+(?=\n|\z)", ""))
+    t = t.withColumn("t", F.when(F.col("layout") | is_ascii("t"), blanks).otherwise(F.regexp_replace("t", r"(?U)[^\S\n]+(?=\n|\z)", "")))
+    empty = F.regexp_replace(F.regexp_replace("t", "\n{4,}", "\n\n\n"), r"^\n+|\n+$", "")
+    t = t.withColumn("t", F.when(~F.col("layout") & has("t", "\n"), empty).otherwise(F.col("t")))
+    now = F.when(F.col("t") == F.col("raw"), F.col("layout")).otherwise(is_table_or_code(F.col("kind"), F.col("t")))
+    return t.withColumn("layout", now).withColumn("text", F.col("t")).drop("t", "raw", "even")
+
+
+def normalized_blocks(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, idx, kind, page, text) normalised, with the keys of those on pages; written, as edges and the fold both read it."""
+    t = line_normalized(blocks.select("doc_id", "idx", "kind", "page", "text"))
+    return written(t.withColumn("key", F.when(F.col("page").isNotNull(), normalized_key(F.col("text")))), "blocks")
+
+
+def block_edges(normal: DataFrame) -> DataFrame:
+    """(doc_id, idx) of blocks that are repeated headers or footers: paragraphs at an edge of three pages and of half of all.
+
+    A page is one row with its first and last block, so only edges are compared, not texts.
+    """
+    block = F.struct("idx", "kind", "layout", F.when(F.length("key") <= 160, F.col("key")).alias("key"))
+    pages = normal.filter(F.col("page").isNotNull() & F.col("text").rlike(r"\S")).groupBy("doc_id", "page").agg(F.min_by(block, "idx").alias("a"), F.max_by(block, "idx").alias("z"))
+    total = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
+    edges = pages.select("doc_id", "page", F.explode(F.array_distinct(F.array("a", "z"))).alias("e")).select("doc_id", "page", "e.*").filter("kind = 'paragraph' and key is not null")
+    often = edges.filter("not layout and key <> ''").groupBy("doc_id", "key").agg(F.countDistinct("page").alias("on")).join(total, "doc_id")
+    often = often.filter((F.col("on") >= 3) & (F.col("on") >= F.ceil(F.col("pages") / 2)))
     return edges.join(often.select("doc_id", "key"), ["doc_id", "key"], "left_semi").select("doc_id", "idx")
 
 
-def adjacent_fold(blocks: DataFrame) -> DataFrame:
-    """(doc_id, idx, fate): kept, exact or near, each paragraph against the last block kept; code and table rows always stay.
+def folded(blocks: DataFrame) -> DataFrame:
+    """A row for each document: raw counts and ``b``, its blocks with text in order, each with its fate and, if kept, text and place.
 
-    A document's blocks come together in one row, as a fold needs; nothing else does.
+    fate: edge (of a page), kept, exact or near. Each paragraph is compared with the last block kept; code and
+    table rows always stay. A document's blocks come together in one row, as a fold needs; nothing else does.
     """
-    rows = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "kind", is_table_or_code(F.col("kind"), F.col("text")).alias("layout"), "text"))).alias("b"))
+    normal = normalized_blocks(blocks)
+    edge = block_edges(normal).distinct().withColumn("edge", F.lit(True))
+    row = F.struct("idx", "kind", "page", "layout", F.coalesce("edge", F.lit(False)).alias("edge"), "text")
+    rows = normal.join(edge, ["doc_id", "idx"], "left").groupBy("doc_id").agg(
+        F.count("*").alias("raw_blocks"), *[F.sum(c).alias(c) for c in ("replacements", "controls", "raw_chars")],
+        F.array_sort(F.collect_list(F.when(F.col("text").rlike(r"\S"), row))).alias("b"),
+    )
+    kind = {c: normal.schema[c].dataType.simpleString() for c in ("doc_id", "idx", "page")}
+    out = f"doc_id {kind['doc_id']}, raw_blocks long, replacements long, controls long, raw_chars long, b array<struct<idx:{kind['idx']},kind:string,page:{kind['page']},fate:string,text:string,char_start:long,char_end:long>>"
+    pa_out = to_arrow_schema(StructType.fromDDL(out))
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for doc, all_ in zip(batch["doc_id"].to_pylist(), batch["b"].to_pylist(), strict=True):
-                last = None
+            done = []
+            for all_ in batch["b"].to_pylist():
+                last, at, new = None, 0, []
                 for b in all_:
-                    fate = "kept"
-                    if last and b["kind"] == last["kind"] == "paragraph":
+                    fate = "edge" if b["edge"] else "kept"
+                    if fate == "kept" and last and b["kind"] == last["kind"] == "paragraph":
                         if " ".join(b["text"].split()).casefold() == " ".join(last["text"].split()).casefold():
                             fate = "exact"
                         elif not b["layout"] and not last["layout"] and same_enough(last["text"], b["text"]):
                             fate = "near"
+                    x = {"idx": b["idx"], "kind": b["kind"], "page": b["page"], "fate": fate}
                     if fate == "kept":
-                        last = b
-                    for o, v in zip(out, (doc, b["idx"], fate), strict=True):
-                        o.append(v)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "idx", "fate"])
+                        last, text = b, b["text"].strip("\n")
+                        x |= {"text": text, "char_start": at, "char_end": at + len(text)}
+                        at += len(text) + 2
+                    new.append(x)
+                done.append(new)
+            names = pa_out.names[:-1]
+            yield pa.record_batch([*[batch[n] for n in names], pa.array(done, pa_out.field("b").type)], schema=pa_out)
 
-    return rows.mapInArrow(run, "doc_id long, idx long, fate string")
+    return rows.mapInArrow(run, out)
 
 
 def clean_blocks(blocks: DataFrame) -> DataFrame:
-    """blocks (doc_id, idx, kind, page, text) -> the blocks that stay, normalised, with new char_start and char_end."""
-    layout = is_table_or_code(F.col("kind"), F.coalesce("text", F.lit("")))
-    full = blocks.withColumn("text", line_normalize(F.coalesce("text", F.lit("")), layout)).filter(F.col("text").rlike(r"\S"))
-    full = full.join(block_edges(full).withColumn("edge", F.lit(True)), ["doc_id", "idx"], "left").withColumn("edge", F.coalesce("edge", F.lit(False)))
-    fates = adjacent_fold(full.filter("not edge"))
-    judged = full.join(fates, ["doc_id", "idx"], "left").withColumn("fate", F.coalesce("fate", F.lit("edge")))
-    kept = judged.filter("fate = 'kept'").withColumn("text", F.regexp_replace("text", r"^\n+|\n+$", ""))
-    before = W.partitionBy("doc_id").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0)).cast("long")
-    kept = kept.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length("text"))
-    return judged.drop("text", "edge").join(kept.select("doc_id", "idx", "text", "char_start", "char_end"), ["doc_id", "idx"], "left")
+    """blocks (doc_id, idx, kind, page, text) -> doc_id, idx, kind, page, fate of blocks with text; those that stay have their normalised text, char_start and char_end."""
+    return folded(blocks).select("doc_id", F.inline("b"))
 
 
 def clean_documents(blocks: DataFrame) -> DataFrame:
@@ -204,18 +234,11 @@ def clean_documents(blocks: DataFrame) -> DataFrame:
 
     rejected: nothing is left, or too many replacement signs; warning: anything went or looks odd; else clean.
     """
-    raw = blocks.groupBy("doc_id").agg(
-        F.count("*").alias("raw_blocks"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("\ufffd"), F.lit("")))).alias("replacements"),
-        F.sum(F.regexp_count("text", F.lit(DISALLOWED))).alias("controls"), F.sum(F.length("text")).alias("raw_chars"),
-    )
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("fate") == "kept", F.struct("idx", "text")))), lambda x: x["text"]), "\n\n")
-    n = lambda fate: F.count_if(F.col("fate") == fate)
-    done = clean_blocks(blocks).groupBy("doc_id").agg(
-        whole.alias("text"), n("kept").alias("clean_blocks"), n("edge").alias("removed_edges"), n("exact").alias("removed_exact"), n("near").alias("removed_near")
-    )
-    d = raw.join(done, "doc_id", "left")
+    n = lambda fate: F.size(F.filter("b", lambda x: x["fate"] == fate))
+    whole = F.array_join(F.transform(F.filter("b", lambda x: x["fate"] == "kept"), lambda x: x["text"]), "\n\n")
+    d = folded(blocks).withColumns({"text": whole, "clean_blocks": n("kept"), "removed_edges": n("edge"), "removed_exact": n("exact"), "removed_near": n("near")})
     counts = ["clean_blocks", "removed_edges", "removed_exact", "removed_near", "replacements", "controls", "raw_chars"]
-    d = d.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts} | {"text": F.coalesce("text", F.lit(""))})
+    d = d.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts})
     visible = F.col("text").rlike(r"[^\s\p{C}]")
     many = F.col("replacements") > F.greatest(F.lit(3), F.floor(F.col("raw_chars") / 100))
     binary = F.coalesce(F.try_divide(F.col("controls"), F.col("raw_chars")) > 0.08, F.lit(False))
