@@ -61,6 +61,38 @@ def budgeted_turns(turns: DataFrame, budget: int = 1800, reserve: int = 360) ->
     return turns.groupBy("conv_id").applyInPandas(fold, "conv_id long, turn long, tokens long")
 
 
+def two_form_turns(turns: DataFrame, budget: int = 1800, reserve: int = 360, frame: int = 48) -> DataFrame:
+    """turns (conv_id, turn, full, compact, base) -> conv_id, turn, form, tokens: the newest turns that fit, in full or in compact form.
+
+    From the budget go ``base`` (tokens of the summary) and ``frame``. The two newest turns take their compact form where the full one
+    doesn't fit, and are passed over where that doesn't either; from the third on only full forms count and the first that doesn't fit
+    ends it. The newest leaves ``reserve`` to the next, if there is one. A turn costs at least 1, so no more than the budget's
+    newest turns of a conversation can matter: only those come together, for a fold inside the JVM.
+    """
+    newest = W.partitionBy("conv_id").orderBy(F.col("turn").desc(), F.col("full").desc(), F.col("compact").desc())
+    least = lambda c: F.greatest(F.lit(1), F.coalesce(F.col(c), F.lit(1))).cast("long").alias(c)
+    near = turns.withColumn("__i", F.row_number().over(newest)).filter(F.col("__i") <= budget + 3)
+    rows = near.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("__i", "turn", least("full"), least("compact")))).alias("t"), F.max(F.coalesce("base", F.lit(0))).cast("long").alias("base")
+    )
+    kept = "array<struct<turn:{},form:string,tokens:bigint>>".format(turns.schema["turn"].dataType.simpleString())
+    start = F.struct(F.greatest(F.lit(0), F.lit(budget - frame) - F.col("base")).cast("long").alias("left"), F.lit(False).alias("over"), F.array().cast(kept).alias("kept"))
+
+    def step(s, x):
+        first = (x["__i"] == 1) & (F.size("t") > 1)
+        allowed = F.greatest(F.lit(0), s["left"] - F.when(first, reserve).otherwise(0))
+        short = (x["__i"] <= 2) & (x["full"] > allowed)
+        cost = F.when(short, x["compact"]).otherwise(x["full"])
+        fits = (cost <= allowed) & ~s["over"]
+        taken = F.array(F.struct(x["turn"].alias("turn"), F.when(short, "compact").otherwise("full").alias("form"), cost.alias("tokens")))
+        return F.struct(
+            F.when(fits, s["left"] - cost).otherwise(s["left"]).alias("left"), (s["over"] | (~fits & (x["__i"] > 2))).alias("over"),
+            F.when(fits, F.concat(s["kept"], taken.cast(kept))).otherwise(s["kept"]).alias("kept"),
+        )
+
+    return rows.select("conv_id", F.inline(F.aggregate("t", start, step, lambda s: s["kept"])))
+
+
 def greedy_budget(ranked: DataFrame, budget: int = 400, most: int = 4) -> DataFrame:
     """ranked (key, rank, item, tokens) -> what is taken, skipping what doesn't fit.
 
