@@ -186,15 +186,15 @@ def folded(blocks: DataFrame) -> DataFrame:
     """A row for each document: raw counts and ``b``, its blocks with text in order, each with its fate and, if kept, text and place.
 
     fate: edge (of a page), kept, exact or near. Each paragraph is compared with the last block kept; code and
-    table rows always stay. A document's blocks come together in one row, as a fold needs; nothing else does.
+    table rows always stay. A document's blocks come together in one row, as a fold needs, so texts are shuffled once; its
+    edges join them as numbers.
     """
     normal = normalized_blocks(blocks)
-    edge = block_edges(normal).distinct().withColumn("edge", F.lit(True))
-    row = F.struct("idx", "kind", "page", "layout", F.coalesce("edge", F.lit(False)).alias("edge"), "text")
-    rows = normal.join(edge, ["doc_id", "idx"], "left").groupBy("doc_id").agg(
+    edges = block_edges(normal).groupBy("doc_id").agg(F.collect_set("idx").alias("edges"))
+    rows = normal.groupBy("doc_id").agg(
         F.count("*").alias("raw_blocks"), *[F.sum(c).alias(c) for c in ("replacements", "controls", "raw_chars")],
-        F.array_sort(F.collect_list(F.when(F.col("text").rlike(r"\S"), row))).alias("b"),
-    )
+        F.array_sort(F.collect_list(F.when(F.col("text").rlike(r"\S"), F.struct("idx", "kind", "page", "layout", "text")))).alias("b"),
+    ).join(edges, "doc_id", "left")
     kind = {c: normal.schema[c].dataType.simpleString() for c in ("doc_id", "idx", "page")}
     out = f"doc_id {kind['doc_id']}, raw_blocks long, replacements long, controls long, raw_chars long, b array<struct<idx:{kind['idx']},kind:string,page:{kind['page']},fate:string,text:string,char_start:long,char_end:long>>"
     pa_out = to_arrow_schema(StructType.fromDDL(out))
@@ -202,10 +202,10 @@ def folded(blocks: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             done = []
-            for all_ in batch["b"].to_pylist():
-                last, at, new = None, 0, []
+            for all_, edges in zip(batch["b"].to_pylist(), batch["edges"].to_pylist(), strict=True):
+                last, at, new, edges = None, 0, [], set(edges or ())
                 for b in all_:
-                    fate = "edge" if b["edge"] else "kept"
+                    fate = "edge" if b["idx"] in edges else "kept"
                     if fate == "kept" and last and b["kind"] == last["kind"] == "paragraph":
                         if " ".join(b["text"].split()).casefold() == " ".join(last["text"].split()).casefold():
                             fate = "exact"
