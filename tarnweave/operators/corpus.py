@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarnweave.functions import safety
 from tarnweave.functions.scores import hash_bucket
 from tarnweave.functions.text import dedup_key, estimate_tokens
+from tarnweave.operators import nearness
 from tarnweave.sources.tables import written
 
 
@@ -80,51 +81,15 @@ def first_source_wins(parts: list[DataFrame], key: str) -> DataFrame:
     return out.withColumn("best", best).filter("priority = best").drop("best")
 
 
-def near_pairs(vectors: DataFrame, most: float, block: int = 2048) -> DataFrame:
-    """vectors (vec_id, h, embedding) -> (early, late): all pairs at a cosine of ``most`` or more, the lesser (h, vec_id) first.
+def _head_kept(vectors: DataFrame, most: float, block: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(vec_id kept of the first ``block`` vectors in order, all later vectors that are near none of these, the kept vectors).
 
-    Blocks of vectors are rows of their own, and each task multiplies a few pairs of blocks as
-    matrices, so nothing is missed. The work is quadratic in the rows, and so are the tasks in the blocks.
+    At most ``block`` vectors reach the driver.
     """
-
-    def pack(frames):
-        whole = pd.concat([pd.DataFrame(columns=["vec_id", "h", "embedding"]), *frames])
-        for at in range(0, len(whole), block):
-            f = whole.iloc[at : at + block]
-            m = np.stack(f["embedding"].to_numpy()).astype(np.float64)
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            ids, h = (f[c].to_numpy(np.int64) for c in ("vec_id", "h"))
-            yield pd.DataFrame({"ids": [ids.tobytes()], "h": [h.tobytes()], "m": [m.tobytes()]})
-
-    def compare(frames):
-        for f in frames:
-            for r in f.itertuples(index=False):
-                (ids, h, m), (ids2, h2, m2) = ((np.frombuffer(i, np.int64), np.frombuffer(x, np.int64), np.frombuffer(v, np.float64)) for i, x, v in ((r.ids, r.h, r.m), (r.ids2, r.h2, r.m2)))
-                m, m2 = m.reshape(len(ids), -1), m2.reshape(len(ids2), -1)
-                for at in range(0, len(ids), 512):
-                    i, j = np.nonzero(m[at : at + 512] @ m2.T >= most)
-                    i += at
-                    if r.block == r.block2:
-                        i, j = i[i < j], j[i < j]
-                    first = (h[i] < h2[j]) | ((h[i] == h2[j]) & (ids[i] < ids2[j]))
-                    if len(i):
-                        yield pd.DataFrame({"early": np.where(first, ids[i], ids2[j]), "late": np.where(first, ids2[j], ids[i])})
-
-    n = vectors.count()
-    parts = max(1, -(-n // (2 * block)))
-    packed = vectors.select("vec_id", "h", "embedding").repartition(parts).mapInPandas(pack, "ids binary, h binary, m binary")
-    packed = written(packed.withColumn("block", F.monotonically_increasing_id()), "blocks").repartition(parts)
-    other = packed.select(*[F.col(c).alias(f"{c}2") for c in packed.columns])
-    return packed.hint("shuffle_replicate_nl").join(other, F.col("block") <= F.col("block2")).mapInPandas(compare, "early long, late long")
-
-
-def _head_kept(vectors: DataFrame, most: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """(vec_id kept of the first ``block`` vectors in hash order, all later vectors that are near none of these)."""
     spark, rows = vectors.sparkSession, vectors.orderBy("h", "vec_id").limit(block).collect()
     if not rows:
-        return vectors.select("vec_id"), vectors
-    m = np.array([r["embedding"] for r in rows], np.float64)
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        return vectors.select("vec_id"), vectors, np.zeros((0, 1))
+    m = nearness.units(r["embedding"] for r in rows)
     kept: list[int] = []
     for i in range(len(m)):
         if not kept or (m[kept] @ m[i]).max() < most:
@@ -135,44 +100,56 @@ def _head_kept(vectors: DataFrame, most: float, block: int) -> tuple[DataFrame,
         for whole in frames:
             for at in range(0, len(whole), 1024):
                 f = whole.iloc[at : at + 1024]
-                c = np.stack(f["embedding"].to_numpy()).astype(np.float64)
-                c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-                yield f[(c @ shared.value.T).max(axis=1) < most]
+                yield f[(nearness.units(f["embedding"]) @ shared.value.T).max(axis=1) < most]
 
     later = vectors.filter((F.col("h") > rows[-1]["h"]) | ((F.col("h") == rows[-1]["h"]) & (F.col("vec_id") > rows[-1]["vec_id"])))
-    return spark.createDataFrame([(rows[i]["vec_id"],) for i in kept], "vec_id long"), later.mapInPandas(far, vectors.schema)
+    return spark.createDataFrame([(rows[i]["vec_id"],) for i in kept], "vec_id long"), later.mapInPandas(far, vectors.schema), m[kept]
 
 
-def greedy_near_duplicates(vectors: DataFrame, most: float = 0.93, block: int = 2048) -> DataFrame:
-    """vectors (vec_id, embedding) -> (vec_id, kept): in hash order, a row goes if its cosine to a kept one is ``most`` or more.
+def greedy_near_duplicates(vectors: DataFrame, most: float = 0.93, block: int = 2048, order: Column | None = None, pivots: int = 64) -> DataFrame:
+    """vectors (vec_id, embedding) -> (vec_id, kept): in order, a row goes if its cosine to a kept one is ``most`` or more.
 
     Of identical vectors only the first can be kept, so they are folded first. The first ``block``
-    rows in hash order are settled at once and what is near a kept one of them goes, so that a group
-    which is a large part of all rows has no pairs left to list. Then, round by round, who has no earlier neighbour left is kept and its later
-    neighbours go. vec_id is a key. Rows without a direction (null, empty or all zero) are near
-    nothing and stay. The hash order is the engine's own definition.
+    rows in order are settled at once and what is near a kept one of them goes, so that a group
+    which is a large part of all rows is mostly gone; the first ``pivots`` kept ones then prune the
+    blocks of what is left (``nearness``). vec_id is a key. Rows without a direction (null, empty or
+    all zero) are near nothing and stay. ``order`` is a long that should be random; equal ones go by
+    vec_id. Without it the order is a hash of vec_id, the engine's own definition.
     """
-    keyed = vectors.select("vec_id", "embedding", F.xxhash64("vec_id").alias("h"))
+    keyed = vectors.select("vec_id", "embedding", (F.xxhash64("vec_id") if order is None else order).alias("h"))
     pointed = F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     first = keyed.filter(pointed).groupBy("embedding").agg(F.min(F.struct("h", "vec_id")).alias("r"))
     first = written(first.select("r.vec_id", "r.h", "embedding"), "first")
-    head, rest = _head_kept(first, most, block)
-    rest = written(rest, "rest")
-    links = written(near_pairs(rest, most, block), "links")
-    gone = []
-    while not links.isEmpty():
-        free = links.select("early").distinct().join(links.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
-        out = written(links.join(free, "early", "left_semi").select(F.col("late").alias("vec_id")).distinct(), "gone")
-        gone.append(out)
-        left = links.join(out.select(F.col("vec_id").alias("early")), "early", "left_anti")
-        links = written(left.join(out.select(F.col("vec_id").alias("late")), "late", "left_anti"), "links")
-    kept = rest.select("vec_id")
-    for out in gone:
-        kept = kept.join(out, "vec_id", "left_anti")
-    kept = kept.unionByName(head).unionByName(keyed.filter(~pointed).select("vec_id"))
+    head, rest, known = _head_kept(first, most, block)
+    kept = head
+    if len(known):
+        known = known[:pivots]
+        rest = written(nearness.celled(rest, known), "rest")
+        kept = rest.select("vec_id").join(nearness.removed_in_order(rest, known, most, block), "vec_id", "left_anti").unionByName(head)
+    kept = kept.unionByName(keyed.filter(~pointed).select("vec_id"))
     return vectors.select("vec_id").join(kept.withColumn("k", F.lit(True)), "vec_id", "left").select("vec_id", F.coalesce("k", F.lit(False)).alias("kept"))
 
 
+def decontaminated(rows: DataFrame, protected: DataFrame, near: float = 0.85, most: float = 0.93, order: Column | None = None) -> DataFrame:
+    """rows (vec_id, text, embedding) against protected (vec_id, text, embedding) -> (vec_id, verdict), a row each.
+
+    ``exact_eval``: letters and digits equal a protected text's; ``near_eval``: a cosine of ``near`` or
+    more (6 decimals) to a protected vector; ``near_duplicate``: of the rows left, in order, a cosine of
+    ``most`` or more to one that is kept; else ``kept``. Earlier verdicts win, and a row that goes by one
+    of the first two takes no other with it. Null texts equal nothing; a text without letters and digits
+    equals any other such. Vectors without a direction are near nothing. ``order`` as in
+    ``greedy_near_duplicates``.
+    """
+    rows = rows.select("vec_id", "text", "embedding")
+    fresh = drop_exact(rows, "text", protected.filter("text is not null"), "text").select("vec_id", "embedding")
+    best = nearest_of_protected(fresh, protected.select(F.col("vec_id").alias("query_id"), "embedding"))
+    close = written(best.filter(F.col("cosine") >= near).select("vec_id"), "close")
+    left = written(fresh.join(close, "vec_id", "left_anti"), "left")
+    late = greedy_near_duplicates(left, most, order=order).select("vec_id", F.when(F.col("kept"), "kept").otherwise("near_duplicate").alias("v"))
+    settled = late.unionByName(close.withColumn("v", F.lit("near_eval")))
+    return rows.select("vec_id").join(settled, "vec_id", "left").select("vec_id", F.coalesce("v", F.lit("exact_eval")).alias("verdict"))
+
+
 def trajectories(turns: DataFrame, most_chars: int) -> DataFrame:
     """turns (conv_id, turn, role, text) -> one sample for each answered turn, with its split; safety is not looked at.
 

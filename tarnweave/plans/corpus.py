@@ -94,3 +94,23 @@ select conv_id, turn, n_context, context_tokens, case when list_reduce(list_tran
 from t where role = 'assistant' and text is not null and n_context > 0 and tokens + context_tokens <= 12288""")
 def trajectory_samples_safe(spark, sf):
     return corpus.safe_trajectories(table(spark, sf, "conversations"))
+
+
+@query("""with e as (select vec_id, embedding::double[] e from embeddings), v as (select a.vec_id, list_transform(list_zip(b.e, a.e), lambda x: x[1] + 0.25::double * x[2]) e from e a join e b on b.vec_id = a.vec_id - a.vec_id % 5),
+n as (select vec_id, e, sqrt(list_dot_product(e, e)) l, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') k, ('0x' || substr(sha1(vec_id::varchar), 1, 15))::bigint h from v left join documents on doc_id = vec_id),
+p as (select * from n where vec_id % 50 = 0), r as (select * from n where vec_id % 50 <> 0),
+x as (select vec_id from r where k in (select k from p where k is not null)),
+c as (select distinct r.vec_id from r, p where round(list_dot_product(r.e, p.e) / (r.l * p.l), 6) >= 0.85 and r.vec_id not in (from x)),
+f as (select * from r where vec_id not in (from x) and vec_id not in (from c)),
+l as (select b.vec_id, any_value(b.h) h, list(a.vec_id) early from f a join f b on (a.h, a.vec_id) < (b.h, b.vec_id) and list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.93 group by 1),
+o as (select list_reduce(list_prepend({'i': -1::bigint, 'early': []::bigint[], 'gone': []::bigint[]}, coalesce(list({'i': vec_id, 'early': early, 'gone': []::bigint[]} order by h, vec_id), [])),
+  lambda s, y: {'i': y.i, 'early': y.early, 'gone': case when len(list_filter(y.early, lambda z: not list_contains(s.gone, z))) > 0 then list_append(s.gone, y.i) else s.gone end}).gone gone from l)
+select vec_id, case when vec_id in (from x) then 'exact_eval' when vec_id in (from c) then 'near_eval' when list_contains((select gone from o), vec_id) then 'near_duplicate' else 'kept' end verdict from r""")
+def decontaminate_chain(spark, sf):
+    """Texts and vectors of all documents against those of ids divisible by 50; a vector leans on that of the first of its five."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    lean = F.zip_with("b", "e", lambda b, a: b + F.lit(0.25) * a)
+    v = e.withColumn("first", F.col("vec_id") - F.col("vec_id") % 5).join(e.select(F.col("vec_id").alias("first"), F.col("e").alias("b")), "first").select("vec_id", lean.alias("embedding"))
+    v = v.join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
+    order = F.conv(F.substring(F.sha1(F.col("vec_id").cast("string")), 1, 15), 16, 10).cast("long")
+    return corpus.decontaminated(v.filter("vec_id % 50 <> 0"), v.filter("vec_id % 50 = 0"), order=order)
