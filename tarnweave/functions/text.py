@@ -150,3 +150,46 @@ def quote_powershell(value: Column) -> Column:
 def quote_cmd(value: Column) -> Column:
     """Null where cmd.exe would read a sign of the value as its own."""
     return F.when(value.rlike(r'[&|<>^%!"\r\n]'), F.lit(None)).otherwise(F.concat(F.lit('"'), value, F.lit('"')))
+
+
+# What marks {{...}} as a template of a command's own output format
+TEMPLATE = r"\.[A-Za-z]|[$(]|(?:json|range|end|index|if|with|else)\b"
+
+
+def catalog_command(text: Column) -> Column:
+    """A page's command with its slots as <name>.
+
+    {{[short|long]}} becomes its last choice, {{slot}} becomes <slot>, also with one level of braces
+    within, as in {{a/{b,c}}}. Escaped \\{\\{ and \\}\\} are plain braces, and so are those of templates in
+    a command with --format. Names in <> lose their outer white space; <> without a name stays.
+    """
+    t = F.replace(F.replace(text, F.lit("\\{\\{"), F.lit("\x00")), F.lit("\\}\\}"), F.lit("\x01"))
+    kept = F.regexp_replace(t, r"\{\{(\s*(?:" + TEMPLATE + r")[^{}]*)\}\}", "\x00$1\x01")
+    t = F.when(F.contains(t, F.lit("--format")), kept).otherwise(t)
+    t = F.regexp_replace(t, r"\{\{\[(?:[^\]|]++\|)++([^\]|]++)\]\}\}", "$1")
+    t = F.regexp_replace(t, r"\{\{((?:[^{}]++|\{[^{}]*+\})++)\}\}", "<$1>")
+    t = F.replace(F.replace(t, F.lit("\x00"), F.lit("{{")), F.lit("\x01"), F.lit("}}"))
+    return F.regexp_replace(t, r"(?U)(?<!<)<[\s&&[^\r\n]]*+([^<>\s](?:[^<>\r\n]*[^<>\s])?)[\s&&[^\r\n]]*+>(?!>)", "<$1>")
+
+
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def catalog_text(text: Column, code: bool = False) -> Column:
+    """A catalog's text without control and format characters, with \\n as line end and no empty line at either end.
+
+    Prose takes the compatibility form, loses the white space around each line and all but two of empty
+    lines in a row; code takes the canonical form and loses white space at line ends only.
+    """
+    if code:
+        t = F.coalesce(F.pandas_udf(_nfc, StringType())(F.when(F.octet_length(text) != F.length(text), text)), text)
+    else:
+        t = nfkc(text)
+    t = F.regexp_replace(F.regexp_replace(t, "\r\n?", "\n"), r"[\p{C}&&[^\n\t]]+", "")
+    blank = r"[\s&&[^\n]]"
+    t = F.regexp_replace(t, f"(?U)(?<!{blank}){blank}++(?=\n|\\z)", "")
+    if not code:
+        t = F.regexp_replace(t, f"(?U)(?<=\n|\\A){blank}++", "")
+        t = F.regexp_replace(t, "\n{4,}", "\n\n\n")
+    return F.regexp_replace(F.regexp_replace(t, r"\A\n+", ""), r"(?<!\n)\n+\z", "")

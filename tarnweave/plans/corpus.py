@@ -96,7 +96,7 @@ def trajectory_samples_safe(spark, sf):
     return corpus.safe_trajectories(table(spark, sf, "conversations"))
 
 
-@query("""with e as (select vec_id, embedding::double[] e from embeddings), v as (select a.vec_id, list_transform(list_zip(b.e, a.e), lambda x: x[1] + 0.25::double * x[2]) e from e a join e b on b.vec_id = a.vec_id - a.vec_id % 5),
+@query("""with e as (select vec_id, embedding::double[] e from embeddings), v as (select a.vec_id, list_transform(list_zip(b.e, a.e), lambda x: x[1] + 0.27::double * x[2]) e from e a join e b on b.vec_id = a.vec_id - a.vec_id % 5),
 n as (select vec_id, e, sqrt(list_dot_product(e, e)) l, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') k, ('0x' || substr(sha1(vec_id::varchar), 1, 15))::bigint h from v left join documents on doc_id = vec_id),
 p as (select * from n where vec_id % 50 = 0), r as (select * from n where vec_id % 50 <> 0),
 x as (select vec_id from r where k in (select k from p where k is not null)),
@@ -109,7 +109,7 @@ select vec_id, case when vec_id in (from x) then 'exact_eval' when vec_id in (fr
 def decontaminate_chain(spark, sf):
     """Texts and vectors of all documents against those of ids divisible by 50; a vector leans on that of the first of its five."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    lean = F.zip_with("b", "e", lambda b, a: b + F.lit(0.25) * a)
+    lean = F.zip_with("b", "e", lambda b, a: b + F.lit(0.27) * a)
     v = e.withColumn("first", F.col("vec_id") - F.col("vec_id") % 5).join(e.select(F.col("vec_id").alias("first"), F.col("e").alias("b")), "first").select("vec_id", lean.alias("embedding"))
     v = v.join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
     order = F.conv(F.substring(F.sha1(F.col("vec_id").cast("string")), 1, 15), 16, 10).cast("long")

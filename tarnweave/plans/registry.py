@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import answers, assembly, catalog, corpus, evaluation, gates, memories, pages, records, relational, retrieval, search, state, text
+from . import answers, assembly, catalog, corpus, evaluation, gates, memories, pages, records, relational, releases, retrieval, search, state, text
 
-MODULES = [text, relational, search, retrieval, evaluation, state, corpus, catalog, records, memories, answers, assembly, pages, gates]
+MODULES = [text, relational, search, retrieval, evaluation, state, corpus, catalog, records, memories, answers, assembly, pages, gates, releases]
 
 
 def queries() -> dict:
