@@ -4,7 +4,7 @@ The angle is a metric, so two vectors at a cosine of ``most`` or more differ by
 their angle to any pivot. Rows are sorted by (nearest pivot, angle to it) in ranges, which also splits a
 cell that holds a large part of all rows, and are cut into blocks that never cross a cell. A block knows
 the least and the greatest angle of its rows to each pivot. It goes to the cells that it may reach, and
-there, slice by slice, meets the blocks it may reach; matrices are multiplied for these alone.
+there, by groups of blocks, meets those it may reach; matrices are multiplied for these alone.
 
 The pivots are few (64 here) and any choice is exact; what they change is how much is skipped. Vectors
 without structure (independent directions in many dimensions) have no block that can be skipped, and the
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tarnweave.sources.tables import written
 
 SLACK = 1e-6
-PER_SLICE = 16
+PER_GROUP = 16
 ROWS = "vec_id long, h long, cell int, angle double, embedding array<double>"
 BLOCKS = "block long, cell int, ids binary, h binary, m binary, lo array<double>, hi array<double>"
 
@@ -78,6 +78,18 @@ def blocks_of(rows: DataFrame, pivots: np.ndarray, block: int) -> DataFrame:
     return written(packed.withColumn("block", F.monotonically_increasing_id()).select("block", "cell", "ids", "h", "m", "lo", "hi"), "blocks")
 
 
+def _groups(sizes: list[int]) -> list[tuple[int, int]]:
+    """First group and number of groups of each cell: small cells share a group of PER_GROUP blocks, large ones have several."""
+    out, group, held = [], 0, 0
+    for n in sizes:
+        if held and held + n > PER_GROUP:
+            group, held = group + 1, 0
+        k = max(1, -(-n // PER_GROUP))
+        out.append((group, k))
+        group, held = (group + k, 0) if k > 1 else (group, held + n)
+    return out
+
+
 def block_pairs(left: DataFrame, right: DataFrame, most: float, itself: bool) -> DataFrame:
     """Blocks of ``left`` beside those blocks of ``right`` (columns ..2) that may hold a neighbour; ``itself``: each pair once.
 
@@ -88,22 +100,22 @@ def block_pairs(left: DataFrame, right: DataFrame, most: float, itself: bool) ->
     bounds: dict[int, dict[int, tuple[float, float]]] = {}
     for r in edge.collect():
         bounds.setdefault(r["cell"], {})[r["pivot"]] = (r["lo"], r["hi"])
-    slices = {r["cell"]: -(-r["n"] // PER_SLICE) for r in right.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    n = {r["cell"]: r["n"] for r in right.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     cells = sorted(bounds)
+    places = _groups([n[c] for c in cells])
     lo, hi = (np.array([[bounds[c][p][k] for p in range(len(bounds[c]))] for c in cells]) for k in (0, 1))
-    shared = left.sparkSession.sparkContext.broadcast((np.array(cells), lo, hi, slices))
+    shared = left.sparkSession.sparkContext.broadcast((lo, hi, places))
 
     def reach(lows: pd.Series, highs: pd.Series) -> pd.Series:
-        cells, lo, hi, slices = shared.value
+        lo, hi, places = shared.value
         near = lambda a, b: ((a[None] - span <= hi) & (b[None] + span >= lo)).all(axis=1)
-        return pd.Series([[{"c": int(c), "s": s} for c in cells[near(a, b)] for s in range(slices[c])] if len(cells) else [] for a, b in zip(lows, highs, strict=True)])
+        return pd.Series([sorted({g for i in np.nonzero(near(a, b))[0] for g in range(places[i][0], sum(places[i]))}) if places else [] for a, b in zip(lows, highs, strict=True)])
 
-    places = F.pandas_udf(reach, "array<struct<c:int,s:int>>")
-    a = left.withColumn("at", F.explode(places("lo", "hi")))
-    n = F.create_map(*[x for c in cells for x in (F.lit(c), F.lit(slices[c]))]) if cells else F.create_map().cast("map<int,int>")
-    b = right.select(*[F.col(c).alias(f"{c}2") for c in right.columns]).withColumn("s2", F.pmod(F.xxhash64("block2"), n[F.col("cell2")]).cast("int"))
+    a = left.withColumn("at", F.explode(F.pandas_udf(reach, "array<int>")("lo", "hi")))
+    of = lambda k: F.create_map(*[x for c, p in zip(cells, places, strict=True) for x in (F.lit(c), F.lit(p[k]))])[F.col("cell2")] if cells else F.lit(0)
+    b = right.select(*[F.col(c).alias(f"{c}2") for c in right.columns]).withColumn("at2", (of(0) + F.pmod(F.xxhash64("block2"), of(1))).cast("int"))
     apart = F.exists(F.arrays_zip("lo", "hi", "lo2", "hi2"), lambda x: (x["lo"] - span > x["hi2"]) | (x["hi"] + span < x["lo2"]))
-    on = (F.col("at.c") == F.col("cell2")) & (F.col("at.s") == F.col("s2"))
+    on = F.col("at") == F.col("at2")
     if itself:
         on = on & (F.col("block") <= F.col("block2"))
     return a.join(b, on & ~apart).select("block", "ids", "h", "m", "block2", "ids2", "h2", "m2")

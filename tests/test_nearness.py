@@ -71,3 +71,14 @@ def test_nothing_protected_and_nothing_at_all(spark):
     got = {r["vec_id"]: r["verdict"] for r in corpus.decontaminated(d, none, order=F.col("vec_id")).collect()}
     assert got == {1: "kept", 2: "near_duplicate", 3: "kept"}
     assert corpus.decontaminated(none, d).collect() == []
+
+
+def test_groups_of_blocks_are_bounded():
+    sizes = [3, 0, 12, 2, 40, 1, 16, 1, 15, 17]
+    places = nearness._groups(sizes)
+    held: dict[int, float] = {}
+    for n, (first, k) in zip(sizes, places, strict=True):
+        for g in range(first, first + k):
+            held[g] = held.get(g, 0) + n / k
+    assert max(held.values()) <= nearness.PER_GROUP and set(held) == set(range(len(held)))
+    assert places[4][1] == 3 and places[0] == places[1] == (0, 1)
