@@ -16,9 +16,9 @@ from tarnweave.sources.tables import written
 
 
 def drop_exact(rows: DataFrame, text: str, protected: DataFrame, protected_text: str) -> DataFrame:
-    """Rows whose letters and digits equal no protected text's."""
-    p = protected.select(dedup_key(F.col(protected_text)).alias("__k")).distinct()
-    return rows.withColumn("__k", dedup_key(F.col(text))).join(p, "__k", "left_anti").drop("__k")
+    """Rows whose letters and digits equal no protected text's; digests are joined, so no text is shuffled for its key."""
+    p = protected.select(F.sha2(dedup_key(F.col(protected_text)), 256).alias("__k")).distinct()
+    return rows.withColumn("__k", F.sha2(dedup_key(F.col(text)), 256)).join(p, "__k", "left_anti").drop("__k")
 
 
 def nearest_protected(rows: DataFrame, protected: DataFrame) -> DataFrame:
