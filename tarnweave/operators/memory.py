@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from tarnweave.functions import safety
 from tarnweave.functions.scores import age_decay, freshness, reliability
 from tarnweave.functions.text import dice, estimate_tokens, signature_tokens
+from tarnweave.sources.tables import written
 
 
 def turn_pairs(messages: DataFrame) -> DataFrame:
@@ -294,25 +297,130 @@ def local_summary(turns: DataFrame, constraint: str, limit: int = 12) -> DataFra
     )
 
 
+#: Tokens whose frequency goes to all tasks, the most frequent ones; it only decides how many episodes are compared, not the result.
+FREQUENT = 1 << 19
+#: A side with at most so many rows is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, which is cheap to read, broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _rest(n: np.ndarray, least: float) -> np.ndarray:
+    """How many of a set's n tokens, the most frequent ones, need no comparing: sets that are alike share one of the others too."""
+    return np.maximum(np.ceil(n * (least / (2 - least)) - 1e-9).astype(np.int64) - 1, 0)
+
+
+def _rarest(sets: DataFrame, least: float) -> DataFrame:
+    """sets (id, grp, t) -> key, id, n: a row for each of a set's rarest tokens, all but _rest of them.
+
+    Any order that is the same for all sets would do; by frequency, the groups of a key stay small. Tokens that
+    only one set has meet nothing and are left out.
+    """
+    df = written(sets.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "df")
+    floor, above = 2, 0
+    for r in df.groupBy("df").agg(F.count("*").alias("n")).orderBy(F.col("df").desc()).toLocalIterator():
+        above += r["n"]
+        if above > FREQUENT:
+            floor = r["df"] + 1
+            break
+    table = df.filter(F.col("df") >= floor).toArrow()
+    token, count = table["token"].to_numpy(), table["df"].to_numpy()
+    order = np.argsort(token)
+    shared = sets.sparkSession.sparkContext.broadcast((token[order], count[order], floor == 2))
+
+    def run(batches):
+        token, count, whole = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                n = b["t"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                t, row, start = b["t"].flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+                df = np.zeros(len(t), np.int64)
+                if len(token):
+                    place = np.minimum(np.searchsorted(token, t), len(token) - 1)
+                    df = np.where(token[place] == t, count[place], 0)
+                order = np.lexsort((t, df, row))
+                t, df = t[order], df[order]
+                keep = np.arange(len(t)) - start[row] < (n - _rest(n, least))[row]
+                if whole:
+                    keep &= df > 0
+                grp, ids, row = b["grp"].to_numpy(zero_copy_only=False), b["id"].to_numpy(zero_copy_only=False), row[keep]
+                yield pa.record_batch([pa.array(t[keep] ^ grp[row]), pa.array(ids[row]), pa.array(n[row].astype(np.int32))], ["key", "id", "n"])
+
+    return sets.select("id", "grp", "t").mapInArrow(run, "key long, id long, n int")
+
+
+def _pairs(key: np.ndarray, ids: np.ndarray, n: np.ndarray, least: float):
+    """Batches (id, other, n, m) of the rows of one key whose sizes allow it; rows are in order of key and id."""
+    at, apart = np.arange(len(key)), 0
+    while len(at):
+        apart += 1
+        at = at[at + apart < len(key)]
+        at = at[key[at] == key[at + apart]]
+        x, y = n[at + apart], n[at]
+        fits = np.minimum(x, y) >= np.maximum(x, y) * (least / (2 - least)) - 1e-9
+        if fits.any():
+            yield pa.record_batch([ids[at + apart][fits], ids[at][fits], x[fits], y[fits]], ["id", "other", "n", "m"])
+
+
+def _met(rare: DataFrame, least: float) -> DataFrame:
+    """rare (key, id, n) -> id, other: an episode and an earlier one that share so many rare tokens that they can be alike.
+
+    What else two sets share is among the rest of one of them. Only ids and sizes move.
+    """
+
+    def run(batches):
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        for b in batches:
+            key, ids, n = held = [np.concatenate([h, b[c].to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("key", "id", "n"), strict=True)]
+            if len(key):
+                end = np.searchsorted(key, key[-1])  # the last key may go on in the next batch
+                yield from _pairs(key[:end], ids[:end], n[:end], least)
+                held = [key[end:], ids[end:], n[end:]]
+        yield from _pairs(*held, least)
+
+    met = rare.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "id long, other long, n int, m int")
+    rest = F.ceil(F.greatest("n", "m") * (least / (2 - least)) - 1e-9) - 1
+    needed = F.ceil((F.col("n") + F.col("m")) * (least / 2) - 1e-9)
+    return met.groupBy("id", "other", "n", "m").agg(F.count("*").alias("c")).filter(F.col("c") + F.greatest(rest, F.lit(0)) >= needed).select("id", "other")
+
+
+def _alike(met: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs of ``met`` (id, other) whose sets are alike, as id, first: the least other of each."""
+    met = _small(met)
+    a = sets.join(met, "id").select("id", "other", "grp", "t")
+    b = sets.select(F.col("id").alias("other"), F.col("grp").alias("grp2"), F.col("t").alias("t2")).join(met, "other").select("id", "other", "grp2", "t2")
+    pairs = a.join(b, ["id", "other"]).filter((F.col("grp") == F.col("grp2")) & (dice(F.col("t"), F.col("t2")) >= least))
+    return pairs.groupBy("id").agg(F.min("other").alias("first"))
+
+
 def episode_duplicates(episodes: DataFrame, least: float = 0.8) -> DataFrame:
     """episodes (id, project, outcome, symptom, keys) -> id, first: the earliest episode with the same keys and a symptom alike (Dice).
 
     Only episodes of one project and outcome with equal key sets are compared, and of these only such as
-    share one of their rarest tokens: of n tokens all but two thirds, and one more, as others can't be alike enough.
+    share enough of their rarest tokens; a symptom without tokens is alike only to its equals, an episode without project,
+    outcome or keys to none. Tokens are their 64-bit hashes. Each episode is first held against the earliest one
+    that may do, and only where that fails against the others.
     """
-    e = episodes.select("id", "project", "outcome", F.array_sort(F.array_distinct("keys")).alias("keys"), signature_tokens(F.col("symptom")).alias("t"))
-    equal = e.groupBy("project", "outcome", "keys", "t").agg(F.min("id").alias("rep"))  # equal symptoms first, so that groups of copies are one row
     cols = ["project", "outcome", "keys"]
-    token = equal.select(*cols, "rep", "t", F.explode("t").alias("token"))
-    common = token.groupBy("token").agg(F.count("*").alias("df"))
-    place = F.row_number().over(W.partitionBy("rep").orderBy("df", "token"))
-    needed = F.ceil(F.size("t") * (least / (2 - least)) - 1e-9)
-    token = token.join(common, "token").withColumn("place", place).filter(F.col("place") <= F.size("t") - needed + 1).drop("df", "place")
-    pairs = token.join(token.select(*cols, F.col("rep").alias("other"), F.col("t").alias("t2"), "token"), [*cols, "token"]).filter("other < rep")
-    pairs = pairs.select("rep", "other", "t", "t2").dropDuplicates(["rep", "other"]).filter(dice(F.col("t"), F.col("t2")) >= least)
-    first = pairs.groupBy("rep").agg(F.min("other").alias("first"))
-    known = e.join(equal, [*cols, "t"]).join(first, "rep", "left")
-    return known.select("id", F.coalesce("first", "rep").alias("first"))
+    e = episodes.select("id", "project", "outcome", F.array_sort(F.array_distinct("keys")).alias("keys"), F.array_sort(signature_tokens(F.coalesce("symptom", F.lit("")))).alias("t"))
+    known = F.col("project").isNotNull() & F.col("outcome").isNotNull() & F.col("keys").isNotNull()
+    digest = F.unhex(F.sha2(F.array_join("t", " "), 256))
+    e = written(e.select("id", *[F.when(known, F.col(c)).alias(c) for c in cols], F.when(known, F.xxhash64(*cols)).alias("grp"), digest.alias("digest"), F.array_distinct(F.transform("t", lambda x: F.xxhash64(x))).alias("t")), "episodes")
+    # Equal symptoms first, so that groups of copies are one row.
+    copies = e.filter("grp is not null").groupBy(*cols, "digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
+    rep = written(e.select("id", *cols, "digest").join(copies, [*cols, "digest"]).filter("id > rep").select("id", "rep"), "copies")
+    sets = e.filter("grp is not null").join(_small(rep), "id", "left_anti").select("id", "grp", "t")
+    met = written(_met(_rarest(sets, least), least), "met")
+    nearest = met.groupBy("id").agg(F.min("other").alias("other"))
+    found = written(_alike(nearest, sets, least), "alike")
+    others = met.join(_small(found), "id", "left_anti").join(nearest, ["id", "other"], "left_anti")
+    first = written(found.unionByName(_alike(written(others, "others"), sets, least)), "first")
+    of_copies = rep.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("first", "rep").alias("first"))
+    return e.select("id").join(first.unionByName(of_copies), "id", "left").select("id", F.coalesce("first", "id").alias("first"))
 
 
 def observed_facts(trace: DataFrame) -> DataFrame:
