@@ -182,10 +182,10 @@ def block_edges(normal: DataFrame) -> DataFrame:
     return edges.join(often.select("doc_id", "key"), ["doc_id", "key"], "left_semi").select("doc_id", "idx")
 
 
-def folded(blocks: DataFrame) -> DataFrame:
+def folded(blocks: DataFrame, near: bool = True) -> DataFrame:
     """A row for each document: raw counts and ``b``, its blocks with text in order, each with its fate and, if kept, text and place.
 
-    fate: edge (of a page), kept, exact or near. Each paragraph is compared with the last block kept; code and
+    fate: edge (of a page), kept, exact or, with ``near``, near. Each paragraph is compared with the last block kept; code and
     table rows always stay. A document's blocks come together in one row, as a fold needs, so texts are shuffled once; its
     edges join them as numbers.
     """
@@ -209,7 +209,7 @@ def folded(blocks: DataFrame) -> DataFrame:
                     if fate == "kept" and last and b["kind"] == last["kind"] == "paragraph":
                         if " ".join(b["text"].split()).casefold() == " ".join(last["text"].split()).casefold():
                             fate = "exact"
-                        elif not b["layout"] and not last["layout"] and same_enough(last["text"], b["text"]):
+                        elif near and not b["layout"] and not last["layout"] and same_enough(last["text"], b["text"]):
                             fate = "near"
                     x = {"idx": b["idx"], "kind": b["kind"], "page": b["page"], "fate": fate}
                     if fate == "kept":
@@ -224,19 +224,20 @@ def folded(blocks: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, out)
 
 
-def clean_blocks(blocks: DataFrame) -> DataFrame:
+def clean_blocks(blocks: DataFrame, near: bool = True) -> DataFrame:
     """blocks (doc_id, idx, kind, page, text) -> doc_id, idx, kind, page, fate of blocks with text; those that stay have their normalised text, char_start and char_end."""
-    return folded(blocks).select("doc_id", F.inline("b"))
+    return folded(blocks, near).select("doc_id", F.inline("b"))
 
 
-def clean_documents(blocks: DataFrame) -> DataFrame:
+def clean_documents(blocks: DataFrame, near: bool = True) -> DataFrame:
     """blocks (doc_id, idx, kind, page, text) -> a report for each document: its clean text, what went, marks and a status.
 
+    Without ``near`` only equal neighbours go, not those that are nearly equal.
     rejected: nothing is left, or too many replacement signs; warning: anything went or looks odd; else clean.
     """
     n = lambda fate: F.size(F.filter("b", lambda x: x["fate"] == fate))
     whole = F.array_join(F.transform(F.filter("b", lambda x: x["fate"] == "kept"), lambda x: x["text"]), "\n\n")
-    d = folded(blocks).withColumns({"text": whole, "clean_blocks": n("kept"), "removed_edges": n("edge"), "removed_exact": n("exact"), "removed_near": n("near")})
+    d = folded(blocks, near).withColumns({"text": whole, "clean_blocks": n("kept"), "removed_edges": n("edge"), "removed_exact": n("exact"), "removed_near": n("near")})
     counts = ["clean_blocks", "removed_edges", "removed_exact", "removed_near", "replacements", "controls", "raw_chars"]
     d = d.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts})
     visible = F.col("text").rlike(r"[^\s\p{C}]")
