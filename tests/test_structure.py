@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnweave.operators import cleaning, structure
 from tarnweave.operators.chunking import Sizes
@@ -105,3 +106,17 @@ def test_plain_chunks(spark):
     assert rows[1]["text"].startswith("tiny")
     every = "".join(r["text"] for r in rows)
     assert every.count("w ") >= 299 and every.count("v ") >= 389
+
+
+def made(spark):
+    rng = random.Random(4)
+    texts = ["", None, "```\n" + "x = 1\n" * 900 + "```", *("\n\n".join(rng.choice(["# Head", "## Part", LONG * 30, LONG * 200, "```sh\nls\n```", "a | b"]) for _ in range(rng.randint(1, 25))) for _ in range(30))]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_parents_move_no_text(spark):
+    d = made(spark)
+    got = structure.document_parents(d)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    p = structure.document_pieces(d).groupBy("doc_id", "parent").agg(F.max("parent_text"), F.countDistinct("child"), F.min("line_start"), F.max("line_end"))
+    assert sorted(map(tuple, p.collect())) == sorted(tuple(r)[1:] for r in got.collect())
