@@ -120,3 +120,13 @@ def test_parents_move_no_text(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     p = structure.document_pieces(d).groupBy("doc_id", "parent").agg(F.max("parent_text"), F.countDistinct("child"), F.min("line_start"), F.max("line_end"))
     assert sorted(map(tuple, p.collect())) == sorted(tuple(r)[1:] for r in got.collect())
+
+
+def test_chunks_move_no_text(spark):
+    d = made(spark)
+    got = structure.document_chunks(d)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    p = structure.document_pieces(d).groupBy("doc_id", "child").agg(
+        structure.common_path(F.transform(F.array_sort(F.collect_list(F.struct("piece", "path"))), lambda x: x["path"])).alias("path"), F.min("char_start"), F.max("char_end"), F.min("line_start"), F.max("line_end")
+    )
+    assert sorted(map(tuple, p.collect())) == sorted(tuple(r) for r in got.select("doc_id", "child", "path", "char_start", "char_end", "line_start", "line_end").collect())
