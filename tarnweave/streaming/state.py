@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,44 +106,59 @@ def ingest_ledger(stream: DataFrame, out: str) -> DataFrame:
 
 
 REVISION = "user_id long, event_type string, kind string, revision long, version long, value string, valid_from timestamp"
-HISTORY = "version long, value string, bound timestamp, revision long, events string"
+HISTORY = "version long, value string, bound long, revision long, events string"
 
 
-def _same(a, b) -> bool:
-    return str(a).strip().lower() == str(b).strip().lower()
+def _norm(v) -> str:
+    return str(v).strip().lower()
+
+
+def _numbered(version: int, value, ordered: list) -> dict:
+    """number -> (value, time): the versions that events (time, id, value) in order make, from where versions stand."""
+    out = {}
+    for ts, _, v in ordered:
+        if version == 0 or _norm(v) != _norm(value):
+            version, value = version + 1, v
+            out[version] = (v, ts)
+    return out
 
 
 def revised_versions(horizon: dt.timedelta):
-    """The state function of ``stream_revisions``: what it remembers of a key is its events within the horizon, and where versions stood before them."""
+    """The state function of ``stream_revisions``: what it remembers of a key is its events within the horizon, and where versions stood before them.
+
+    Times are microseconds; a key's call is short, so it works on lists, and makes one frame only if it has something to say.
+    """
+    span = horizon // dt.timedelta(microseconds=1)
 
     def run(key, frames, state: GroupState):
         version, value, bound, revision, said = state.get if state.exists else (0, None, None, 0, "[]")
-        events = {e[1]: (pd.Timestamp(e[0]), e[1], e[2]) for e in json.loads(said)}
-        rows = pd.concat(list(frames))
-        late, old = [], dict(events)
-        for r in rows.itertuples(index=False):
-            if bound is not None and r.ts < pd.Timestamp(bound):
-                late.append((key[0], key[1], "late", revision, None, r.value, r.ts))
-            else:
-                events.setdefault(r.event_id, (r.ts, r.event_id, r.value))
-        ordered, out = sorted(events.values()), []
-        if len(events) > len(old):
+        known = [tuple(e) for e in json.loads(said)]
+        events, late = {e[1]: e for e in known}, []
+        for f in frames:
+            for ts, i, v in zip(f["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist(), f["event_id"].tolist(), f["value"].tolist(), strict=True):
+                if bound is not None and ts < bound:
+                    late.append(("late", revision, None, v, ts))
+                else:
+                    events.setdefault(i, (ts, i, v))
+        ordered, out = sorted(events.values()) if len(events) > len(known) else known, []
+        if len(events) > len(known):
             revision += 1
-            number, last = version, value
-            for ts, _, v in ordered:
-                if number == 0 or not _same(v, last):
-                    number, last = number + 1, v
-                    out.append((key[0], key[1], "version", revision, number, v, ts))
+            before = _numbered(version, value, known)
+            out = [("version", revision, n, *x) for n, x in _numbered(version, value, ordered).items() if before.get(n) != x]
+        keep = known
         if ordered:
-            bound = max(ordered[-1][0] - horizon, pd.Timestamp(bound) if bound is not None else pd.Timestamp.min)
-        keep = []
-        for ts, i, v in ordered:
-            if ts >= bound:
-                keep.append((ts.isoformat(), i, v))
-            elif version == 0 or not _same(v, value):
-                version, value = version + 1, v
-        state.update((version, value, bound.to_pydatetime() if ordered else bound, revision, json.dumps(keep)))
-        yield pd.DataFrame(out + late, columns=["user_id", "event_type", "kind", "revision", "version", "value", "valid_from"])
+            bound = max(ordered[-1][0] - span, bound if bound is not None else ordered[-1][0] - span)
+            keep = [e for e in ordered if e[0] >= bound]
+            for _, _, v in ordered[: len(ordered) - len(keep)]:
+                if version == 0 or _norm(v) != _norm(value):
+                    version, value = version + 1, v
+        state.update((version, value, bound, revision, json.dumps(keep)))
+        if said := out + late:
+            kind, revisions, versions, values, times = zip(*said, strict=True)
+            yield pd.DataFrame({
+                "user_id": [key[0]] * len(said), "event_type": [key[1]] * len(said), "kind": kind, "revision": revisions, "version": versions, "value": values,
+                "valid_from": np.array(times, "int64").astype("datetime64[us]"),
+            })
 
     return run
 
@@ -150,7 +166,7 @@ def revised_versions(horizon: dt.timedelta):
 def stream_revisions(events: DataFrame, horizon: dt.timedelta) -> DataFrame:
     """events (event_id, ts, user_id, event_type, value string) stream in any order -> versions of each key, corrected as late events come.
 
-    An event that comes after later ones re-opens the versions from its time on: they are emitted once more with a higher revision. An
+    An event that comes after later ones re-opens the versions from its time on: those that it changes are emitted once more with a higher revision. An
     event more than ``horizon`` behind the latest of its key changes nothing; it comes out as a row of kind ``late``. Ids that come again
     within the horizon count once. The state of a key is its events within the horizon.
     """

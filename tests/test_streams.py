@@ -81,6 +81,15 @@ def test_batches_in_any_order_give_the_same_versions(spark, tmp_path):
         assert out.filter("kind = 'late'").count() == 0
 
 
+def test_only_changed_versions_come_again():
+    clock, run = Clock(), state.revised_versions(dt.timedelta(days=1))
+    frame = lambda *rows: [pd.DataFrame([(i, T + dt.timedelta(minutes=m), v) for i, m, v in rows], columns=["event_id", "ts", "value"])]
+    said = lambda frames: [(r.revision, r.version, r.value) for f in run((1, "a"), frames, clock) for r in f.itertuples()]
+    assert said(frame((1, 0, "x"), (2, 10, "y"), (3, 20, "z"))) == [(1, 1, "x"), (1, 2, "y"), (1, 3, "z")]
+    assert said(frame((3, 20, "z"))) == []
+    assert said(frame((4, 15, "w"))) == [(2, 3, "w"), (2, 4, "z")]
+
+
 def test_events_behind_the_horizon_come_out_as_late(spark, tmp_path):
     s = in_batches(spark, str(tmp_path / "in"), [[event(1, 0, "x"), event(2, 100, "y")], [event(3, 1, "q"), event(4, 95, "x"), event(5, 200, "y")], [event(6, 150, "x")]])
     out = state.run_to_end(state.stream_revisions(s, dt.timedelta(minutes=60)), str(tmp_path / "out"))
