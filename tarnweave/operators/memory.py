@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tarnweave.functions import safety
 from tarnweave.functions.scores import age_decay, freshness, reliability
 from tarnweave.functions.text import dice, estimate_tokens, signature_tokens
+from tarnweave.operators import likeness
 from tarnweave.sources.tables import written
 
 
@@ -400,8 +401,8 @@ def _alike(met: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def episode_duplicates(episodes: DataFrame, least: float = 0.8) -> DataFrame:
     """episodes (id, project, outcome, symptom, keys) -> id, first: the earliest episode with the same keys and a symptom alike (Dice).
 
-    Only episodes of one project and outcome with equal key sets are compared, and of these only such as
-    share enough of their rarest tokens; a symptom without tokens is alike only to its equals, an episode without project,
+    Only episodes of one project and outcome with equal key sets are compared, first by sketches of their tokens
+    (``likeness``), and by the tokens themselves where these leave it open; a symptom without tokens is alike only to its equals, an episode without project,
     outcome or keys to none. Tokens are their 64-bit hashes. Each episode is first held against the earliest one
     that may do, and only where that fails against the others.
     """
@@ -414,7 +415,7 @@ def episode_duplicates(episodes: DataFrame, least: float = 0.8) -> DataFrame:
     copies = e.filter("grp is not null").groupBy(*cols, "digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     rep = written(e.select("id", *cols, "digest").join(copies, [*cols, "digest"]).filter("id > rep").select("id", "rep"), "copies")
     sets = e.filter("grp is not null").join(_small(rep), "id", "left_anti").select("id", "grp", "t")
-    met = written(_met(_rarest(sets, least), least), "met")
+    met = likeness.may_be_alike(sets, least)
     nearest = met.groupBy("id").agg(F.min("other").alias("other"))
     found = written(_alike(nearest, sets, least), "alike")
     others = met.join(_small(found), "id", "left_anti").join(nearest, ["id", "other"], "left_anti")

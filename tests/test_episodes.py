@@ -1,5 +1,7 @@
 """Episodes that are alike, against a plain loop."""
 
+import time
+
 import numpy as np
 
 from tarnweave.operators import memory
@@ -42,3 +44,39 @@ def test_no_row_is_lost_and_no_text_is_joined(spark):
     rare = memory._rarest(sets, 0.8)
     assert rare.dtypes == [("key", "bigint"), ("id", "bigint"), ("n", "int")]
     assert memory._met(rare, 0.8).count() == 190
+
+
+def shuffled(spark):
+    """Bytes that all tasks so far have shuffled."""
+    time.sleep(1)  # until the last tasks are counted
+    rows = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(rows.apply(i).totalShuffleWrite() for i in range(rows.length()))
+
+
+def test_shared_tokens_move_no_pairs(spark):
+    """Episodes that share a third of their tokens but aren't alike: what moves grows with the episodes, not with their pairs."""
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(180)])
+    rows = [(i, "p", "ok", " ".join(rng.choice(words, 60, replace=False)), ["a"]) for i in range(1500)]
+    before = shuffled(spark)
+    assert memory.episode_duplicates(episodes(spark, rows)).filter("id <> first").count() == 0
+    assert shuffled(spark) - before < 1500 * 600
+
+
+def test_blocks_of_any_size_lose_no_pair(spark):
+    from tarnweave.operators import likeness
+
+    rng = np.random.default_rng(4)
+    whole = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 3000)]
+    rows = []
+    for i in range(300):
+        n = int(rng.choice([1, 2, 3, 10, 32, 33, 40, 64, 65, 90, 500, 700, 2000]))
+        rows.append((i, i % 2, sorted({whole[j] for j in rng.choice(int(n * 1.15) + 1, n, replace=False)})))
+    want = set()
+    for i, g, t in rows:
+        want |= {(i, j) for j, g2, t2 in rows[:i] if g == g2 and 2.0 * len(set(t) & set(t2)) / (len(t) + len(t2)) >= 0.8}
+    assert len(want) > 1000
+    sets = spark.createDataFrame([*rows, (900, 0, [])], "id long, grp long, t array<long>")
+    for block in (4096, 7, 1):
+        got = [tuple(r) for r in likeness.may_be_alike(sets, 0.8, block).collect()]
+        assert len(got) == len(set(got)) and want <= set(got) and 900 not in {x for r in got for x in r}
