@@ -184,7 +184,9 @@ def stream_revisions(spark, sf):
     from datetime import timedelta
 
     e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", (F.col("event_id") % 3).cast("string").alias("value"))
-    folder = shared_dir(spark, "shuffled-events")
-    e.repartition(4, F.xxhash64("event_id")).write.parquet(folder)
-    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return streams.current_versions(streams.run_to_end(streams.stream_revisions(s, timedelta(days=36500)), shared_dir(spark, "revisions")))
+    folder, tasks = shared_dir(spark, "shuffled-events"), spark.sparkContext.defaultParallelism
+    e.repartition(4 * tasks, F.xxhash64("event_id")).write.parquet(folder)
+    files = len(spark.read.schema(e.schema).parquet(folder).inputFiles())
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", max(1, -(-files // 4))).parquet(folder)
+    buckets = max(4 * tasks, e.count() // 16384)
+    return streams.current_versions(streams.run_to_end(streams.stream_revisions(s, timedelta(days=36500), buckets), shared_dir(spark, "revisions")))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import random
 
 import pandas as pd
 import pytest
@@ -103,3 +104,38 @@ def test_the_ledger_reads_no_earlier_batch(spark, tmp_path):
     out = state.ingest_ledger(s, str(tmp_path / "out"))
     assert [(r["n"], r["n_ids"]) for r in out.orderBy("batch").collect()] == [(2, 2)] + [(2, 1)] * 5
     assert not (tmp_path / "out-ids").exists()
+
+
+def test_keys_share_calls_and_states(spark, tmp_path):
+    """There are no more states than buckets, however many keys; each key's versions are those of its events in order of time."""
+    rows = [(i, T + dt.timedelta(minutes=i * 7919 % 6007), None if i % 3001 == 3000 else i % 3001, None if i % 7 == 0 else "ab"[i % 2], f" {'xyz'[i * i % 3]} ") for i in range(6002)]
+    s = in_batches(spark, str(tmp_path / "in"), [rows[1::2], rows[::2] + rows[1:200:2]])
+    out = state.run_to_end(state.stream_revisions(s, dt.timedelta(days=30)), str(tmp_path / "out"))
+    want, last = set(), {}
+    for _, at, user, kind, value in sorted(rows, key=lambda r: (r[1], r[0])):
+        n, before = last.get((user, kind), (0, None))
+        if value != before:
+            want.add((user, kind, n + 1, value, at))
+        last[user, kind] = (n + (value != before), value)
+    got = [tuple(r) for r in state.current_versions(out).collect()]
+    assert len(last) > 3001 and len(got) == len(want) and set(got) == want
+    assert spark.read.format("statestore").load(str(tmp_path / "out-checkpoint")).count() <= 1024
+
+
+def test_a_bucket_keeps_its_keys_apart():
+    """Keys in one call against a call for each key: late events, ids that come again, keys without a name."""
+    r = random.Random(5)
+    plain = lambda v: None if pd.isna(v) else v if isinstance(v, str) else int(v)
+    for days in (1, 40):
+        many, clock, alone = state.revised_keys(dt.timedelta(days=days)), Clock(), {}
+        for _ in range(5):
+            rows = [(r.choice([None, 1, 2, 2**60 + 1]), r.choice([None, "a"]), r.randrange(80), r.randrange(30), r.choice(["x", " X", "y", None])) for _ in range(60)]
+            frame = pd.DataFrame({"no_user": [u is None for u, *_ in rows], "user_id": [u or 0 for u, *_ in rows], "event_type": pd.Series([x[1] for x in rows], dtype=object), "no_id": False, "event_id": [x[2] for x in rows], "at": [x[3] * 86_400_000_000 for x in rows], "value": [x[4] for x in rows]})
+            got = [(plain(x.user_id), plain(x.event_type), x.kind, int(x.revision), plain(x.version), plain(x.value), x.at // 86_400_000_000) for f in many((0,), [frame], clock) for x in f.itertuples(index=False)]
+            want = []
+            for key in dict.fromkeys((u, k) for u, k, *_ in rows):
+                own = [x for x in rows if x[:2] == key]
+                f = pd.DataFrame({"event_id": [x[2] for x in own], "ts": pd.to_datetime([x[3] for x in own], unit="D"), "value": pd.Series([x[4] for x in own], dtype=object)})
+                run, held = alone.setdefault(key, (state.revised_versions(dt.timedelta(days=days)), Clock()))
+                want += [(*key, x.kind, int(x.revision), plain(x.version), plain(x.value), (x.valid_from - pd.Timestamp(0)).days) for g in run(key, [f], held) for x in g.itertuples(index=False)]
+            assert sorted(map(str, got)) == sorted(map(str, want)) and got
