@@ -51,7 +51,7 @@ def _cuts(grp: np.ndarray, bits: np.ndarray, block: int) -> np.ndarray:
 
 
 def blocks_of(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows of ``sketches``, which must be cheap to read twice -> block, grp, bits, lo, hi (the sizes), ids, n, s; written."""
+    """Rows of ``sketches`` -> block, grp, bits, lo, hi (the sizes), ids, n, s; written."""
 
     def run(batches):
         def packed(table, begin, end):
@@ -109,9 +109,9 @@ def _close(left: tuple, right: tuple, itself: bool, least: float) -> tuple[np.nd
     return np.maximum(p, q), np.minimum(p, q)
 
 
-def may_be_alike(sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """sets (id, grp, t), ids unique -> id, other: all pairs of a group, the larger id first, that are alike by ``least`` or more, and few others; written."""
-    blocks = blocks_of(written(sketches(sets), "sketches"), block)
+def may_be_alike(rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """Rows of ``sketches``, ids unique, cheap to read twice -> id, other: all pairs of a group, the larger id first, that are alike by ``least`` or more, and few others; written."""
+    blocks = blocks_of(rows, block)
     share = least / (2 - least)
     of = blocks.select("block", "grp", "lo", "hi")
     to = of.select(*[F.col(c).alias(f"{c}2") for c in of.columns])
@@ -130,5 +130,5 @@ def may_be_alike(sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame
                 id_, other = _close(side(b, "", i), side(b, "2", i), b["block"][i].as_py() == b["block2"][i].as_py(), least)
                 yield pa.record_batch([pa.array(id_), pa.array(other)], ["id", "other"])
 
-    with small_batches(sets.sparkSession, 8):
+    with small_batches(rows.sparkSession, 8):
         return written(sides.mapInArrow(run, "id long, other long"), "met")

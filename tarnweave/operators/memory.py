@@ -414,8 +414,9 @@ def episode_duplicates(episodes: DataFrame, least: float = 0.8) -> DataFrame:
     # Equal symptoms first, so that groups of copies are one row.
     copies = e.filter("grp is not null").groupBy(*cols, "digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     rep = written(e.select("id", *cols, "digest").join(copies, [*cols, "digest"]).filter("id > rep").select("id", "rep"), "copies")
-    sets = e.filter("grp is not null").join(_small(rep), "id", "left_anti").select("id", "grp", "t")
-    met = likeness.may_be_alike(sets, least)
+    # Copies go from the sketches, which are short, and so take no part in what follows.
+    sets = e.filter("grp is not null").select("id", "grp", "t")
+    met = likeness.may_be_alike(written(likeness.sketches(sets), "sketches").join(_small(rep), "id", "left_anti"), least)
     nearest = met.groupBy("id").agg(F.min("other").alias("other"))
     found = written(_alike(nearest, sets, least), "alike")
     others = met.join(_small(found), "id", "left_anti").join(nearest, ["id", "other"], "left_anti")

@@ -78,5 +78,5 @@ def test_blocks_of_any_size_lose_no_pair(spark):
     assert len(want) > 1000
     sets = spark.createDataFrame([*rows, (900, 0, [])], "id long, grp long, t array<long>")
     for block in (4096, 7, 1):
-        got = [tuple(r) for r in likeness.may_be_alike(sets, 0.8, block).collect()]
+        got = [tuple(r) for r in likeness.may_be_alike(likeness.sketches(sets), 0.8, block).collect()]
         assert len(got) == len(set(got)) and want <= set(got) and 900 not in {x for r in got for x in r}
